@@ -127,7 +127,7 @@ def ingest_tally(results: DataFrame, source_col: str = "source",
 
 def distinct_options(df: DataFrame, col: str, sentinel: str = "All") -> DataFrame:
     """Distinct non-blank values, sorted, the sentinel first.
-    Output ``(pos, value)``: ``pos`` 0 is the sentinel, values follow in order."""
+    Output ``(value, is_sentinel)``, ordered sentinel first, then by value."""
     values = (df.filter(F.col(col).isNotNull() & (F.col(col) != F.lit("")))
               .select(F.col(col).alias("value")).distinct())
     first = df.sparkSession.range(1).select(F.lit(sentinel).alias("value"))

@@ -6,8 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shipfold.operators import aggregates as A
+from shipfold.operators import filters as F_
+from shipfold.operators import normalise as N
+from shipfold.operators import paging as P
 from shipfold.plans.registry import register
-from shipfold.plans.tables import SHIPMENTS_SQL, shipments_of
+from shipfold.plans.tables import SHIPMENTS_SQL, shipments_of, table
 
 _FACET_REPORT_SQL = f"""
 WITH {SHIPMENTS_SQL},
@@ -41,3 +44,193 @@ def facet_report(spark, sf_dir):
         labelled={"by_status": ("status", "Unknown"), "by_bot_status": ("bot_status", "pending")},
         top={"by_airline": "airline", "by_firm_code": "firm_code"},
     )
+
+
+def _ws(body: str) -> str:
+    return f"WITH {SHIPMENTS_SQL}\n{body}"
+
+
+_SHIP_COLS = "row_seq, mawb, status, bot_status, airline, firm_code, eta, pod, o_totalprice"
+
+
+@register("table_scan", sql=_ws(f"SELECT {_SHIP_COLS} FROM shipments"))
+def table_scan(spark, sf_dir):
+    """The whole shipment list (column-pruned scan)."""
+    return shipments_of(spark, sf_dir)
+
+
+@register("eq_filter", sql=_ws(
+    f"SELECT {_SHIP_COLS} FROM shipments WHERE status = 'F' AND pod = '1-URGENT'"))
+def eq_filter(spark, sf_dir):
+    """given, non-empty parameters only; ``pod`` reaches Parquet as a
+    pushed filter."""
+    return F_.eq_filter(shipments_of(spark, sf_dir),
+                        {"status": "F", "pod": "1-URGENT", "airline": None, "firm_code": ""})
+
+
+@register("sentinel_filter", sql=_ws(
+    f"SELECT {_SHIP_COLS} FROM shipments WHERE pod = '2-HIGH' AND firm_code = '1995-03'"))
+def sentinel_filter(spark, sf_dir):
+    """``All`` and empty mean no filter."""
+    return F_.sentinel_filter(shipments_of(spark, sf_dir),
+                              {"pod": "2-HIGH", "status": "All", "airline": "", "firm_code": "1995-03"})
+
+
+@register("like_filter", sql=_ws(f"SELECT {_SHIP_COLS} FROM shipments WHERE mawb ILIKE '%1_3%'"))
+def like_filter(spark, sf_dir):
+    """LIKE contains, the ``_`` in the value stays a wildcard."""
+    return F_.like_filter(shipments_of(spark, sf_dir), "mawb", "1_3")
+
+
+@register("contains_filter", sql=_ws(
+    f"SELECT {_SHIP_COLS} FROM shipments WHERE strpos(lower(coalesce(status, '')), 'unk') > 0"))
+def contains_filter(spark, sf_dir):
+    """literal, case-insensitive substring; NULL is ''."""
+    return F_.contains_filter(shipments_of(spark, sf_dir), "status", "UNK")
+
+
+@register("select_filter", sql=_ws(
+    f"SELECT {_SHIP_COLS} FROM shipments WHERE strpos(lower(coalesce(bot_status, '')), 'eta') > 0"))
+def select_filter(spark, sf_dir):
+    """the select filter as coded, a substring match: 'ETA' picks no_eta."""
+    return F_.select_filter(shipments_of(spark, sf_dir), "bot_status", "ETA")
+
+
+@register("date_range_filter", sql=_ws(
+    f"SELECT {_SHIP_COLS} FROM shipments WHERE coalesce(eta, '') >= '1995-01-01' "
+    "AND coalesce(eta, '') <= '1995-06-30' || chr(65535)"))
+def date_range_filter(spark, sf_dir):
+    """inclusive lexical range; the bare end date covers its whole day."""
+    return F_.date_range_filter(shipments_of(spark, sf_dir), "eta", "1995-01-01", "1995-06-30")
+
+
+@register("grid_filter", sql=_ws(
+    f"SELECT {_SHIP_COLS} FROM shipments WHERE strpos(lower(coalesce(status, '')), 'f') > 0 "
+    "AND coalesce(eta, '') <= '1996-12-31' || chr(65535) "
+    "AND strpos(lower(coalesce(airline, '')), '1') > 0"))
+def grid_filter(spark, sf_dir):
+    """all active column filters; trimmed; empty and All ignored; an
+    end-only range lets blank cells through."""
+    return F_.grid_filter(shipments_of(spark, sf_dir), {
+        "status": " f ", "pod": "All", "firm_code": "  ",
+        "eta": {"start": "", "end": "1996-12-31"}, "airline": "1"})
+
+
+@register("point_lookup", sql=_ws(f"SELECT {_SHIP_COLS} FROM shipments WHERE mawb = '777'"))
+def point_lookup(spark, sf_dir):
+    """F8: one row by key (empty result = not found)."""
+    return F_.point_lookup(shipments_of(spark, sf_dir), "mawb", "777")
+
+
+@register("filtered_count", sql=_ws(
+    "SELECT COUNT(*) AS total FROM shipments WHERE status = 'F'"))
+def filtered_count(spark, sf_dir):
+    """A1: COUNT(*) with the list's filters."""
+    return A.filtered_count(shipments_of(spark, sf_dir), F.col("status") == "F")
+
+
+@register("facet_status", sql=_ws(
+    "SELECT COALESCE(NULLIF(status, ''), 'Unknown') AS label, COUNT(*) AS cnt "
+    "FROM shipments GROUP BY 1"))
+def facet_status(spark, sf_dir):
+    """A2: by status; NULL, '' and the literal default are summed."""
+    return A.facet_status(shipments_of(spark, sf_dir))
+
+
+@register("facet_bot_status", sql=_ws(
+    "SELECT COALESCE(NULLIF(bot_status, ''), 'pending') AS label, COUNT(*) AS cnt "
+    "FROM shipments GROUP BY 1"))
+def facet_bot_status(spark, sf_dir):
+    """A3: by bot status; NULL and '' count as pending."""
+    return A.facet_bot_status(shipments_of(spark, sf_dir))
+
+
+@register("topk_category", sql=_ws(
+    "SELECT airline AS label, COUNT(*) AS cnt FROM shipments WHERE airline IS NOT NULL "
+    "GROUP BY airline ORDER BY cnt DESC, label ASC LIMIT 10"))
+def topk_category(spark, sf_dir):
+    """A4: top ten airlines, ties broken by value."""
+    return A.top_k(shipments_of(spark, sf_dir), "airline")
+
+
+@register("dashboard_cards", sql=_ws(
+    "SELECT s.total, s.bot_pending, s.bot_arrived, p.pickup_total FROM "
+    "(SELECT COUNT(*) AS total, "
+    "  COUNT(*) FILTER (WHERE COALESCE(NULLIF(bot_status, ''), 'pending') = 'pending') AS bot_pending, "
+    "  COUNT(*) FILTER (WHERE bot_status = 'arrived') AS bot_arrived FROM shipments) s, "
+    "(SELECT COUNT(*) AS pickup_total FROM lineitem) p"))
+def dashboard_cards(spark, sf_dir):
+    """The four dashboard cards; line items stand in for pickups."""
+    return A.dashboard_cards(shipments_of(spark, sf_dir), table(spark, sf_dir, "lineitem"))
+
+
+@register("distinct_options", sql=_ws(
+    "SELECT 'All' AS value, TRUE AS is_sentinel "
+    "UNION ALL SELECT DISTINCT firm_code, FALSE FROM shipments "
+    "WHERE firm_code IS NOT NULL AND firm_code <> ''"))
+def distinct_options(spark, sf_dir):
+    """Sorted distinct non-blank values with ``All`` first."""
+    return A.distinct_options(shipments_of(spark, sf_dir), "firm_code")
+
+
+@register("table_counts", sql=
+    "SELECT 'import_confirm' AS table_name, COUNT(*) AS row_count FROM orders "
+    "UNION ALL SELECT 'pickup_report', COUNT(*) FROM lineitem "
+    "UNION ALL SELECT 'change_log', COUNT(*) FROM events")
+def table_counts(spark, sf_dir):
+    """Row count per table."""
+    return A.table_counts({
+        "import_confirm": table(spark, sf_dir, "orders"),
+        "pickup_report": table(spark, sf_dir, "lineitem"),
+        "change_log": table(spark, sf_dir, "events"),
+    })
+
+
+@register("union_distinct", sql=_ws(
+    "SELECT airline AS value FROM shipments WHERE status = 'F' "
+    "UNION SELECT airline FROM shipments WHERE pod = '1-URGENT'"))
+def union_distinct(spark, sf_dir):
+    """Union of two selections, distinct, ascending."""
+    s = shipments_of(spark, sf_dir)
+    return A.union_distinct(s.filter(F.col("status") == "F").select(F.col("airline").alias("value")),
+                            s.filter(F.col("pod") == "1-URGENT").select(F.col("airline").alias("value")))
+
+
+@register("page_desc", sql=_ws(
+    f"SELECT {_SHIP_COLS} FROM shipments WHERE pod = '3-MEDIUM' "
+    "ORDER BY row_seq DESC LIMIT 50 OFFSET 100"))
+def page_desc(spark, sf_dir):
+    """L1: third page of 50, newest first, of a filtered list."""
+    s = F_.eq_filter(shipments_of(spark, sf_dir), {"pod": "3-MEDIUM"})
+    return P.page_desc(s, "row_seq", page=3, page_size=50)
+
+
+@register("list_asc", sql=_ws(
+    f"SELECT {_SHIP_COLS} FROM shipments WHERE pod = '1-URGENT' AND mawb ILIKE '%9%' "
+    "ORDER BY row_seq ASC"))
+def list_asc(spark, sf_dir):
+    """L2: the milestone list: All-sentinel filters, LIKE on key, oldest first."""
+    s = F_.sentinel_filter(shipments_of(spark, sf_dir), {"pod": "1-URGENT", "status": "All"})
+    return P.list_asc(F_.like_filter(s, "mawb", "9"), "row_seq")
+
+
+@register("page_envelope", sql=_ws(
+    "SELECT COUNT(*) AS total, CAST(7 AS BIGINT) AS page, CAST(200 AS BIGINT) AS page_size, "
+    "GREATEST(1, CAST(CEIL(COUNT(*) / 200.0) AS BIGINT)) AS pages, "
+    "GREATEST(0, LEAST(200, COUNT(*) - 1200)) AS items_on_page "
+    "FROM shipments WHERE pod = '1-URGENT'"))
+def page_envelope(spark, sf_dir):
+    """Total, page, size, page count (at least 1), rows on the page."""
+    s = F_.eq_filter(shipments_of(spark, sf_dir), {"pod": "1-URGENT"})
+    return P.page_envelope(s, page=7, page_size=200)
+
+
+@register("view_defaults", sql=_ws(
+    "SELECT mawb, COALESCE(NULLIF(status, ''), 'New') AS status, "
+    "COALESCE(NULLIF(bot_status, ''), '') AS bot_status, "
+    "COALESCE(NULLIF(airline, ''), '') AS airline FROM shipments"))
+def view_defaults(spark, sf_dir):
+    """null/blank -> the grid's default per column."""
+    s = shipments_of(spark, sf_dir)
+    return N.view_defaults(s, ["mawb", "status", "bot_status", "airline"],
+                           {"status": "New"})

@@ -84,3 +84,90 @@ shipments AS (
 
 def shipments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shipments(table(spark, sf_dir, "orders"))
+
+
+# --------------------------------------------------------------------------
+# Change log: events as changes to a per-user record with columns value, props.
+#   signup   -> replace {value, props}
+#   purchase -> upload upsert {value, props} (NULL cells absent)
+#   click    -> patch {value};  view -> patch {props}  (NULL fields dropped)
+#   error    -> bulk upsert {value: NULL} (a present NULL overwrites)
+# key = user_id as text, seq = event_id (unique, follows ts), ts = ts.
+# --------------------------------------------------------------------------
+
+EVENT_COLUMNS = ("value", "props")
+
+
+def events_changes(events: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    from shipfold.operators.changes import PATCH, REPLACE, UPSERT, change_frame
+
+    ev = events if types is None else events.filter(F.col("event_type").isin(*types))
+    t = F.col("event_type")
+    v = F.col("value").cast("string")
+    p = F.col("props")
+    both = F.create_map(F.lit("value"), v, F.lit("props"), p)
+    fields = (F.when(t == "signup", both)
+              .when(t == "purchase", F.map_filter(both, lambda _, x: x.isNotNull()))
+              .when(t == "click", F.map_filter(F.create_map(F.lit("value"), v), lambda _, x: x.isNotNull()))
+              .when(t == "view", F.map_filter(F.create_map(F.lit("props"), p), lambda _, x: x.isNotNull()))
+              .otherwise(F.create_map(F.lit("value"), F.lit(None).cast("string"))))
+    kind = (F.when(t == "signup", F.lit(REPLACE))
+            .when(t.isin("purchase", "error"), F.lit(UPSERT))
+            .otherwise(F.lit(PATCH)))
+    return change_frame(ev, F.col("user_id"), F.col("event_id"), kind, fields, F.col("ts"))
+
+
+def events_changes_of(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return events_changes(ev, types)
+
+
+def changes_sql(types: tuple[str, ...] | None = None) -> str:
+    where = "" if types is None else "WHERE event_type IN (" + ", ".join(f"'{t}'" for t in types) + ")"
+    return f"""
+ch AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, ts, event_type,
+         CASE WHEN event_type = 'signup' THEN 'replace'
+              WHEN event_type IN ('purchase', 'error') THEN 'upsert'
+              ELSE 'patch' END AS kind,
+         CASE WHEN event_type IN ('signup', 'error') THEN TRUE
+              WHEN event_type IN ('purchase', 'click') THEN value IS NOT NULL
+              ELSE FALSE END AS has_value,
+         CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v_value,
+         CASE WHEN event_type = 'signup' THEN TRUE
+              WHEN event_type IN ('purchase', 'view') THEN props IS NOT NULL
+              ELSE FALSE END AS has_props,
+         props AS v_props
+  FROM events {where}
+),
+ch2 AS (
+  SELECT *, (kind <> 'patch' OR has_value OR has_props) AS applicable FROM ch
+)"""
+
+
+def fold_sql(types: tuple[str, ...] | None = None) -> str:
+    return f"""WITH {changes_sql(types)},
+k AS (
+  SELECT key,
+         MIN(seq) FILTER (WHERE kind IN ('replace', 'upsert')) AS first_insert,
+         MAX(seq) FILTER (WHERE kind = 'replace') AS last_replace,
+         MAX(seq) FILTER (WHERE has_value) AS value_seq,
+         arg_max_null(v_value, seq) FILTER (WHERE has_value) AS value_last,
+         MAX(seq) FILTER (WHERE has_props) AS props_seq,
+         arg_max_null(v_props, seq) FILTER (WHERE has_props) AS props_last,
+         arg_max(ts, seq) FILTER (WHERE applicable) AS last_ts
+  FROM ch2 GROUP BY key
+)
+SELECT CAST(key AS BIGINT) AS user_id,
+       CAST(CASE WHEN value_seq >= COALESCE(last_replace, first_insert) THEN value_last END AS DOUBLE) AS value,
+       CASE WHEN props_seq >= COALESCE(last_replace, first_insert) THEN props_last END AS props,
+       COALESCE(last_replace, first_insert) AS row_seq,
+       last_ts AS last_updated
+FROM k WHERE first_insert IS NOT NULL"""
+
+
+def typed_events_fold(folded: DataFrame) -> DataFrame:
+    """Typed view of a folded events table."""
+    return folded.select(F.col("key").cast("bigint").alias("user_id"),
+                         F.col("value").cast("double").alias("value"),
+                         "props", "row_seq", "last_updated")
