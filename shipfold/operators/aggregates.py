@@ -144,15 +144,19 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def copy_check(cells: DataFrame, page_col: str = "page_id", row_col: str = "row_no",
-               in_body_col: str = "in_body") -> DataFrame:
-    """Per page: all rows vs rows inside the body wrapper; the fixed clone
-    doubles the count (A12)."""
-    rows = cells.select(page_col, row_col, in_body_col).distinct()
-    return rows.groupBy(page_col).agg(
-        F.count(F.lit(1)).alias("dom_rows"),
-        F.count_if(F.col(in_body_col)).alias("body_rows"),
-    ).withColumn("clone_doubles", F.col("dom_rows") == F.col("body_rows") * 2)
+def copy_check(pages: DataFrame) -> DataFrame:
+    """Per page: all grid rows vs rows inside the body wrapper; the fixed clone
+    doubles the count (A12). Input: the scan's page rows."""
+    return pages.select("page_id", "dom_rows", "body_rows",
+                        (F.col("dom_rows") == F.col("body_rows") * 2).alias("clone_doubles"))
+
+
+def count_reconcile(extracted: DataFrame, reported: DataFrame, key: str = "page_id") -> DataFrame:
+    """Extracted row count vs the page's reported total (J6): an equi-join on
+    the page key; ``matches`` flags agreement."""
+    j = extracted.join(reported, key, "full_outer")
+    return j.select(key, "extracted", "reported",
+                    F.coalesce(F.col("extracted") == F.col("reported"), F.lit(False)).alias("matches"))
 
 
 def union_distinct(a: DataFrame, b: DataFrame, col: str = "value") -> DataFrame:

@@ -51,7 +51,7 @@ def header_keep(targets: ColumnLike) -> Column:
     aliases of one column resolve to the last one (P2)."""
     t = _c(targets)
     return F.transform(t, lambda x, i: x.isNotNull() & ~F.exists(
-        F.slice(t, i + 2, F.greatest(F.size(t), F.lit(1))), lambda y: y == x))
+        F.slice(t, i + 2, F.greatest(F.size(t), F.lit(1))), lambda y: y.eqNullSafe(x)))
 
 
 def cells_to_fields(targets: ColumnLike, keep: ColumnLike, cells: ColumnLike) -> Column:
@@ -105,13 +105,13 @@ def label_map(cells: DataFrame, aliases: Mapping[str, str], key: str,
     # drop out and, per column, the last remaining cell wins.
     per_label = F.filter(cells_col, lambda e, i: ~F.exists(
         F.slice(cells_col, i + 2, F.greatest(F.size(cells_col), F.lit(1))),
-        lambda y: y["label"] == e["label"]))
+        lambda y: y["label"].eqNullSafe(e["label"])))
     present = F.filter(per_label, lambda e: e["value"].isNotNull())
     rows = grouped.select(*row_cols, present.alias("cells"))
     cells_col = F.col("cells")
     last = F.filter(cells_col, lambda e, i: ~F.exists(
         F.slice(cells_col, i + 2, F.greatest(F.size(cells_col), F.lit(1))),
-        lambda y: y["column"] == e["column"]))
+        lambda y: y["column"].eqNullSafe(e["column"])))
     rows = rows.select(*row_cols, F.map_from_arrays(
         F.transform(last, lambda e: e["column"]),
         F.transform(last, lambda e: e["value"])).alias("fields"))

@@ -5,5 +5,6 @@ from shipfold.plans.registry import ORACLE, QUERIES, register
 # Importing the modules fills the registry.
 from shipfold.plans import queries_list as _queries_list  # noqa: F401,E402
 from shipfold.plans import queries_fold as _queries_fold  # noqa: F401,E402
+from shipfold.plans import queries_sources as _queries_sources  # noqa: F401,E402
 
 __all__ = ["ORACLE", "QUERIES", "register"]
