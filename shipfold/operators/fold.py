@@ -40,14 +40,10 @@ def _applicable() -> Column:
     return (F.col("kind") != F.lit(PATCH)) | (F.size("fields") > 0)
 
 
-def fold(changes: DataFrame, columns: Sequence[str], milestone: bool = False,
-         key_name: str = "key", stamp: str | None = "last_updated") -> DataFrame:
-    """Current row per key from a change log.
-
-    Output: ``key_name``, one string column per entry of ``columns``,
-    ``row_seq`` (order of the row's id) and, if ``stamp``, the stamp column.
-    Keys never inserted produce no row.
-    """
+def state_aggregates(columns: Sequence[str]) -> list[Column]:
+    """The per-key aggregate state of the fold. Every entry is a min or max,
+    so states of two slices of the log merge by the same aggregate: batch
+    and stream folds agree, and replaying a slice changes nothing."""
     kind, seq = F.col("kind"), F.col("seq")
     aggs = [
         F.min(F.when(kind.isin(*INSERT_KINDS), seq)).alias("_first_insert"),
@@ -61,8 +57,12 @@ def fold(changes: DataFrame, columns: Sequence[str], milestone: bool = False,
     for c in columns:
         aggs.append(F.max(F.when(F.map_contains_key("fields", F.lit(c)), F.struct(
             seq.alias("seq"), F.try_element_at("fields", F.lit(c)).alias("v")))).alias(f"_c_{c}"))
-    agg = changes.groupBy(F.col("key")).agg(*aggs)
+    return aggs
 
+
+def finish(state: DataFrame, columns: Sequence[str], milestone: bool = False,
+           key_name: str = "key", stamp: str | None = "last_updated") -> DataFrame:
+    """Current rows from per-key fold state (see ``state_aggregates``)."""
     floor = F.coalesce(F.col("_last_replace"), F.col("_first_insert"))
     values = {c: F.when(F.col(f"_c_{c}.seq") >= floor, F.col(f"_c_{c}.v")) for c in columns}
     if milestone and "status" in values:
@@ -77,7 +77,19 @@ def fold(changes: DataFrame, columns: Sequence[str], milestone: bool = False,
     out.append(floor.alias("row_seq"))
     if stamp:
         out.append(F.col("_last.ts").alias(stamp))
-    return agg.filter(F.col("_first_insert").isNotNull()).select(*out)
+    return state.filter(F.col("_first_insert").isNotNull()).select(*out)
+
+
+def fold(changes: DataFrame, columns: Sequence[str], milestone: bool = False,
+         key_name: str = "key", stamp: str | None = "last_updated") -> DataFrame:
+    """Current row per key from a change log.
+
+    Output: ``key_name``, one string column per entry of ``columns``,
+    ``row_seq`` (order of the row's id) and, if ``stamp``, the stamp column.
+    Keys never inserted produce no row.
+    """
+    state = changes.groupBy(F.col("key")).agg(*state_aggregates(columns))
+    return finish(state, columns, milestone, key_name, stamp)
 
 
 def key_stats(changes: DataFrame) -> DataFrame:

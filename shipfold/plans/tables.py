@@ -171,3 +171,47 @@ def typed_events_fold(folded: DataFrame) -> DataFrame:
     return folded.select(F.col("key").cast("bigint").alias("user_id"),
                          F.col("value").cast("double").alias("value"),
                          "props", "row_seq", "last_updated")
+
+
+# --------------------------------------------------------------------------
+# Milestones: orders with departure/arrival times from their line items.
+#   etd_orig = order date; atd = first ship date of a finished line;
+#   ata = last ship date of a finished, returned line (text, NULL if none).
+# Line items are aggregated per order first (partial aggregate), then joined.
+# --------------------------------------------------------------------------
+
+_TS_FMT = "yyyy-MM-dd HH:mm:ss"
+
+
+def milestones(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    fin = F.col("l_linestatus") == "F"
+    per_order = lineitem.groupBy("l_orderkey").agg(
+        F.min(F.when(fin, F.col("l_shipdate"))).alias("_atd"),
+        F.max(F.when(fin & (F.col("l_returnflag") == "R"), F.col("l_shipdate"))).alias("_ata"))
+    j = orders.select("o_orderkey", "o_orderdate").join(
+        per_order, orders["o_orderkey"] == per_order["l_orderkey"], "left")
+    return j.select(
+        F.col("o_orderkey").alias("row_seq"),
+        F.col("o_orderkey").cast("string").alias("mawb"),
+        F.date_format("o_orderdate", _TS_FMT).alias("etd_orig"),
+        F.date_format("_atd", _TS_FMT).alias("atd"),
+        F.date_format("_ata", _TS_FMT).alias("ata"),
+    )
+
+
+def milestones_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return milestones(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+MILESTONES_SQL = """
+milestones AS (
+  SELECT o_orderkey AS row_seq, CAST(o_orderkey AS VARCHAR) AS mawb,
+         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS etd_orig,
+         strftime(l.atd, '%Y-%m-%d %H:%M:%S') AS atd,
+         strftime(l.ata, '%Y-%m-%d %H:%M:%S') AS ata
+  FROM orders LEFT JOIN (
+    SELECT l_orderkey,
+           MIN(l_shipdate) FILTER (WHERE l_linestatus = 'F') AS atd,
+           MAX(l_shipdate) FILTER (WHERE l_linestatus = 'F' AND l_returnflag = 'R') AS ata
+    FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l.l_orderkey
+)"""
