@@ -62,7 +62,8 @@ def csv_scan(spark, sf_dir):
     """Orders written as CSV uploads, read back as all-string
     cells, headers mapped by alias, keys checked, folded into current rows."""
     path = scratch_dir(spark, "csv_scan")
-    (orders_as_upload(table(spark, sf_dir, "orders")).write.mode("overwrite")
+    files_n = spark.sparkContext.defaultParallelism
+    (orders_as_upload(table(spark, sf_dir, "orders")).repartition(files_n).write.mode("overwrite")
      .option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     import glob as _glob

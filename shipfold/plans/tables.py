@@ -114,7 +114,7 @@ def events_changes(events: DataFrame, types: tuple[str, ...] | None = None) -> D
     kind = (F.when(t == "signup", F.lit(REPLACE))
             .when(t.isin("purchase", "error"), F.lit(UPSERT))
             .otherwise(F.lit(PATCH)))
-    return change_frame(ev, F.col("user_id"), F.col("event_id"), kind, fields, F.col("ts"))
+    return change_frame(ev, F.col("user_id"), F.col("event_id"), kind, fields, F.col("ts"), "event_type")
 
 
 def events_changes_of(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None) -> DataFrame:

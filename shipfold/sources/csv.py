@@ -42,12 +42,25 @@ def accepted_path(path: str) -> bool:
     return path.endswith(UPLOAD_EXTENSIONS)
 
 
-def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int = 64,
+def header_width(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Upper bound of the column count: the widest header line (commas + 1;
+    quoted commas only over-count). Reads only the first split of each file
+    and brings one number to the driver."""
+    txt = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("r"), "value")
+    first = txt.filter(F.col("b") == 0).groupBy("f").agg(F.min_by("value", "r").alias("h"))
+    width = first.agg(F.max(F.size(F.split("h", ",", -1)))).first()[0]
+    return int(width or 1)
+
+
+def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int | None = None,
                    **options) -> DataFrame:
     """Raw cells of CSV files: ``file_path, file_index, line_no, cells,
     raw_cells``.
 
-    ``cells`` is ``array<string>`` of width ``max_columns`` with NA tokens as
+    ``cells`` is ``array<string>`` of width ``max_columns`` (default: the
+    widest header, see ``header_width``) with NA tokens as
     NULL; ``raw_cells`` keeps the text ('' for empty). Line 0 of each file is
     its header. Files are ordered by path (``file_index``).
     """
@@ -55,6 +68,8 @@ def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int =
     for p in paths:
         if not accepted_path(p):
             raise ValueError(f"only {', '.join(UPLOAD_EXTENSIONS)} files are accepted: {p}")
+    if max_columns is None:
+        max_columns = header_width(spark, paths)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
     reader = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
     for k, v in options.items():
@@ -83,7 +98,7 @@ def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int =
 
 
 def csv_upload_rows(spark: SparkSession, paths: Sequence[str], profile: TableProfile,
-                    max_columns: int = 64, **options) -> DataFrame:
+                    max_columns: int | None = None, **options) -> DataFrame:
     """Upload rows ``file_path, file_index, line_no, fields, has_key_column``
     of CSV files for a profile (see ``upload_rows_from_cells``)."""
     return upload_rows_from_cells(read_csv_cells(spark, paths, max_columns, **options), profile)
@@ -101,8 +116,10 @@ def upload_rows_from_cells(cells: DataFrame, profile: TableProfile) -> DataFrame
 
     The header table has one row per file; AQE broadcasts it when small.
     """
-    headers = (cells.filter(F.col("line_no") == 0)
-               .select("file_path", F.col("raw_cells").alias("_header")))
+    # One row per file. The aggregate is also a barrier: the header mapping
+    # below (and any filter on it) runs on header rows only, never on data.
+    headers = (cells.filter(F.col("line_no") == 0).groupBy("file_path")
+               .agg(F.min_by("raw_cells", "line_no").alias("_header")))
     headers = headers.withColumn("_targets", header_targets("_header", profile.aliases))
     headers = headers.withColumn("_keep", header_keep("_targets"))
     headers = headers.withColumn("_has_key", F.coalesce(
