@@ -96,16 +96,22 @@ def facet_report(df: DataFrame,
 def dashboard_cards(shipments: DataFrame, pickups: DataFrame,
                     bot_col: str = "bot_status") -> DataFrame:
     """Total, bot-pending, bot-arrived and pickup total in one row; absent
-    counts are 0 (A6). Bot status NULL or '' counts as pending."""
+    counts are 0 (A6). Bot status NULL or '' counts as pending.
+
+    Both tables feed one global aggregate over their union (partial counts
+    per partition, then one tiny final step): no join of the two counts.
+    """
     bot = blank_default(bot_col, BOT_STATUS_FACET_DEFAULT)
-    ic = shipments.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(bot == F.lit("pending")).alias("bot_pending"),
-        F.count_if(bot == F.lit("arrived")).alias("bot_arrived"),
+    a = shipments.select(F.lit(1).alias("_ic"), (bot == F.lit("pending")).alias("_p"),
+                         (bot == F.lit("arrived")).alias("_a"), F.lit(0).alias("_pr"))
+    b = pickups.select(F.lit(0).alias("_ic"), F.lit(False).alias("_p"),
+                       F.lit(False).alias("_a"), F.lit(1).alias("_pr"))
+    return a.unionByName(b).agg(
+        F.coalesce(F.sum("_ic"), F.lit(0)).cast("bigint").alias("total"),
+        F.count_if("_p").alias("bot_pending"),
+        F.count_if("_a").alias("bot_arrived"),
+        F.coalesce(F.sum("_pr"), F.lit(0)).cast("bigint").alias("pickup_total"),
     )
-    pr = pickups.agg(F.count(F.lit(1)).alias("pickup_total"))
-    # Two one-row frames: join on a constant key.
-    return ic.withColumn("_one", F.lit(1)).join(pr.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def disposition_tally(results: DataFrame, status_col: str = "disposition") -> DataFrame:

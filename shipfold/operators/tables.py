@@ -57,3 +57,37 @@ def column_options(spark: SparkSession, grid: Sequence[tuple[str, str, str, str
         "position", "column", "label", "filter_kind", "options_key",
         F.coalesce(F.size("options"), F.lit(0)).alias("n_options"),
         F.array_join("options", "|").alias("options"))
+
+
+# -- S11: change-log appends and snapshot publication -------------------------
+#
+# Writes never update in place. A change batch is appended as its own
+# partition (rewriting the same batch id replaces it, so a retried job is
+# harmless). A snapshot is written to a new version folder first; only then
+# is the version recorded in a small commit table. Readers take the newest
+# committed version, so they see either the old or the new snapshot whole.
+
+
+def append_changes(changes: DataFrame, log_root: str, batch_id: int) -> None:
+    """Append one batch of changes to the log (idempotent per batch id)."""
+    changes.write.mode("overwrite").parquet(f"{log_root.rstrip('/')}/batch={int(batch_id)}")
+
+
+def read_changes(spark: SparkSession, log_root: str) -> DataFrame:
+    return spark.read.parquet(log_root)
+
+
+def publish_snapshot(spark: SparkSession, current: DataFrame, root: str, version: int) -> None:
+    """Write-new-then-swap: data first, then the commit record."""
+    base = root.rstrip("/")
+    current.write.mode("overwrite").parquet(f"{base}/data/version={int(version)}")
+    spark.createDataFrame([(int(version),)], "version long").write.mode("append").parquet(f"{base}/commits")
+
+
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The newest committed snapshot."""
+    base = root.rstrip("/")
+    version = spark.read.parquet(f"{base}/commits").agg(F.max("version")).first()[0]
+    if version is None:
+        raise FileNotFoundError(f"no committed snapshot under {root}")
+    return spark.read.parquet(f"{base}/data/version={int(version)}")

@@ -118,3 +118,23 @@ def stream_fold(spark, sf_dir):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return typed_events_fold(read_current(spark, sink, EVENT_COLUMNS))
+
+
+@register("snapshot_publish", sql=fold_sql())
+def snapshot_publish(spark, sf_dir):
+    """The log appended in two batches, folded, published as snapshot
+    versions 1 and 2 (write-new-then-swap); the newest committed version is
+    read back."""
+    root = scratch_dir(spark, "store")
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    cutoff = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    TB.append_changes(events_changes(ev.filter(F.col("ts") < cutoff)), f"{root}/log", 1)
+    TB.publish_snapshot(spark, fold_current(TB.read_changes(spark, f"{root}/log")), f"{root}/snap", 1)
+    TB.append_changes(events_changes(ev.filter(F.col("ts") >= cutoff)), f"{root}/log", 2)
+    TB.publish_snapshot(spark, fold_current(TB.read_changes(spark, f"{root}/log")), f"{root}/snap", 2)
+    return typed_events_fold(TB.read_snapshot(spark, f"{root}/snap"))
+
+
+def fold_current(changes):
+    from shipfold.operators.fold import fold
+    return fold(changes.drop("batch"), EVENT_COLUMNS)
