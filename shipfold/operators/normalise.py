@@ -83,36 +83,32 @@ def require_column(df: DataFrame, column: str) -> None:
 
 def label_map(cells: DataFrame, aliases: Mapping[str, str], key: str,
               row_cols: Sequence[str] = ("page_id", "row_no")) -> DataFrame:
-    """Long scraped cells ``(page, row, label, value)`` to one field map per
-    row (P3): label -> column through the alias map, value stripped, values
-    ``'' nan none -`` (any case) dropped, rows without a key dropped.
+    """Long scraped cells ``(row..., col_no, label, value)`` to one field map
+    per row (P3): label -> column through the alias map, value stripped,
+    values ``'' nan none -`` (any case) dropped, rows without a key dropped.
 
-    Cells of one row share the row's partition key, so the ``collect`` below
-    is bounded by the grid's column count, not by the data size.
+    A label seen twice in a row keeps its last cell (even when blank); then
+    blanks drop out and, per column, the last remaining cell wins.
+
+    Skew-safe: cells are first reduced per (row, label) with a partial
+    aggregate, so the per-row collect holds at most one entry per alias
+    label, however many cells a row has.
     """
     amap = literal_map(aliases)
     mapped = cells.select(
-        *row_cols,
-        F.col("col_no"),
-        F.col("label"),
+        *row_cols, "col_no", "label",
         F.element_at(amap, lower_strip("label")).alias("column"),
         token_clean_scrape("value").alias("value"),
     ).filter(F.col("column").isNotNull())
-    grouped = mapped.groupBy(*row_cols).agg(F.array_sort(F.collect_list(
-        F.struct("col_no", "label", "column", "value"))).alias("cells"))
-    cells_col = F.col("cells")
-    # A label seen twice keeps its last cell (even when blank); then blanks
-    # drop out and, per column, the last remaining cell wins.
-    per_label = F.filter(cells_col, lambda e, i: ~F.exists(
-        F.slice(cells_col, i + 2, F.greatest(F.size(cells_col), F.lit(1))),
-        lambda y: y["label"].eqNullSafe(e["label"])))
-    present = F.filter(per_label, lambda e: e["value"].isNotNull())
-    rows = grouped.select(*row_cols, present.alias("cells"))
+    per_label = mapped.groupBy(*row_cols, "label").agg(
+        F.max(F.struct("col_no", "column", "value")).alias("c"))
+    grouped = (per_label.filter(F.col("c.value").isNotNull())
+               .groupBy(*row_cols).agg(F.array_sort(F.collect_list("c")).alias("cells")))
     cells_col = F.col("cells")
     last = F.filter(cells_col, lambda e, i: ~F.exists(
         F.slice(cells_col, i + 2, F.greatest(F.size(cells_col), F.lit(1))),
         lambda y: y["column"].eqNullSafe(e["column"])))
-    rows = rows.select(*row_cols, F.map_from_arrays(
+    rows = grouped.select(*row_cols, F.map_from_arrays(
         F.transform(last, lambda e: e["column"]),
         F.transform(last, lambda e: e["value"])).alias("fields"))
     return rows.filter(F.element_at("fields", F.lit(key)).isNotNull())

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shipfold.operators.joins import join_checked
 from shipfold.operators.normalise import cells_to_fields, header_keep, header_targets
 from shipfold.profiles import TableProfile
 
@@ -54,15 +55,11 @@ def header_width(spark: SparkSession, paths: Sequence[str]) -> int:
     return int(width or 1)
 
 
-def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int | None = None,
-                   **options) -> DataFrame:
-    """Raw cells of CSV files: ``file_path, file_index, line_no, cells,
-    raw_cells``.
+def _scan(spark: SparkSession, paths: Sequence[str], max_columns: int | None, options: dict):
+    """The raw scan plus the per-split table (one aggregation pass).
 
-    ``cells`` is ``array<string>`` of width ``max_columns`` (default: the
-    widest header, see ``header_width``) with NA tokens as
-    NULL; ``raw_cells`` keeps the text ('' for empty). Line 0 of each file is
-    its header. Files are ordered by path (``file_index``).
+    Per split: first row id, row count and first row. Block 0's first row is
+    the file's header, so headers need no pass of their own.
     """
     paths = list(paths)
     for p in paths:
@@ -84,27 +81,68 @@ def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int |
         F.array(*cols).alias("cells"),
         F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(max_columns)]).alias("raw_cells"),
     )
-    # One row per split: small (files x splits), so the windows below that
-    # order it are cheap even without a partition key.
-    splits = base.groupBy("file_path", "block_start").agg(
-        F.min("_rid").alias("_rid0"), F.count(F.lit(1)).alias("_n"))
+    per_split = base.groupBy("file_path", "block_start").agg(
+        F.min("_rid").alias("_rid0"), F.count(F.lit(1)).alias("_n"),
+        F.min_by("raw_cells", "_rid").alias("_first"))
+    n_files = len(raw.inputFiles())
+    # Planning facts bound the split table: splits <= files + scan partitions.
+    split_bound = n_files + raw.rdd.getNumPartitions()
+    return base, per_split, n_files, split_bound
+
+
+def _number_lines(base: DataFrame, per_split: DataFrame, split_bound: int) -> DataFrame:
+    # The split table is small and ordered without a partition key; it is
+    # broadcast when its bound allows, so the data is never shuffled just to
+    # number its lines.
     before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1)
-    splits = (splits.withColumn("_first_line", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-              .withColumn("file_index", F.dense_rank().over(Window.orderBy("file_path")) - 1))
-    return (base.join(splits.drop("_n"), ["file_path", "block_start"])
+    splits = (per_split.select("file_path", "block_start", "_rid0", "_n")
+              .withColumn("_first_line", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+              .withColumn("file_index", F.dense_rank().over(Window.orderBy("file_path")) - 1)
+              .drop("_n"))
+    return (join_checked(base, splits, ["file_path", "block_start"], row_bound=split_bound)
             .withColumn("line_no", F.col("_first_line") + F.col("_rid") - F.col("_rid0"))
             .drop("_rid", "_rid0", "_first_line", "block_start"))
 
 
+def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int | None = None,
+                   **options) -> DataFrame:
+    """Raw cells of CSV files: ``file_path, cells, raw_cells, file_index,
+    line_no``.
+
+    ``cells`` is ``array<string>`` of width ``max_columns`` (default: the
+    widest header, see ``header_width``) with NA tokens as NULL;
+    ``raw_cells`` keeps the text ('' for empty). Line 0 of each file is its
+    header. Files are ordered by path (``file_index``).
+    """
+    base, per_split, _n_files, split_bound = _scan(spark, paths, max_columns, options)
+    return _number_lines(base, per_split, split_bound)
+
+
 def csv_upload_rows(spark: SparkSession, paths: Sequence[str], profile: TableProfile,
                     max_columns: int | None = None, **options) -> DataFrame:
     """Upload rows ``file_path, file_index, line_no, fields, has_key_column``
-    of CSV files for a profile (see ``upload_rows_from_cells``)."""
-    return upload_rows_from_cells(read_csv_cells(spark, paths, max_columns, **options), profile)
+    of CSV files for a profile (see ``upload_rows_from_cells``).
+
+    Two passes over the data in all: one aggregation per split (line counts
+    and each file's header), then the main scan joined with the two small
+    tables."""
+    base, per_split, n_files, split_bound = _scan(spark, paths, max_columns, options)
+    headers = (per_split.filter(F.col("block_start") == 0)
+               .select("file_path", F.col("_first").alias("_header")))
+    return upload_rows_from_cells(_number_lines(base, per_split, split_bound), profile,
+                                  n_files=n_files, headers=headers)
+
+
+def _header_table(cells: DataFrame) -> DataFrame:
+    # One row per file; the aggregate is also a barrier: the header mapping
+    # (and any filter on it) runs on header rows only, never on data.
+    return (cells.filter(F.col("line_no") == 0).groupBy("file_path")
+            .agg(F.min_by("raw_cells", "line_no").alias("_header")))
 
 
-def upload_rows_from_cells(cells: DataFrame, profile: TableProfile) -> DataFrame:
+def upload_rows_from_cells(cells: DataFrame, profile: TableProfile,
+                           n_files: int | None = None, headers: DataFrame | None = None) -> DataFrame:
     """Header row + body rows of uploaded files to field maps.
 
     Header cells are normalised and renamed by alias; unknown columns drop;
@@ -114,17 +152,17 @@ def upload_rows_from_cells(cells: DataFrame, profile: TableProfile) -> DataFrame
     rows with ``fields`` NULL and ``has_key_column`` false; the caller rejects
     them whole, as the original rejects such a file.
 
-    The header table has one row per file; AQE broadcasts it when small.
+    The header table has one row per file; it is broadcast when the file
+    count (``n_files``, else a count job) is small (``join_checked``).
     """
-    # One row per file. The aggregate is also a barrier: the header mapping
-    # below (and any filter on it) runs on header rows only, never on data.
-    headers = (cells.filter(F.col("line_no") == 0).groupBy("file_path")
-               .agg(F.min_by("raw_cells", "line_no").alias("_header")))
+    headers = _header_table(cells) if headers is None else headers
     headers = headers.withColumn("_targets", header_targets("_header", profile.aliases))
     headers = headers.withColumn("_keep", header_keep("_targets"))
     headers = headers.withColumn("_has_key", F.coalesce(
         F.exists("_targets", lambda t: t == F.lit(profile.key)), F.lit(False)))
-    body = cells.filter(F.col("line_no") > 0).join(headers, "file_path")
+    headers = headers.select("file_path", "_targets", "_keep", "_has_key")
+    body = join_checked(cells.filter(F.col("line_no") > 0), headers, "file_path",
+                        row_bound=n_files)
     fields = cells_to_fields("_targets", "_keep", F.slice("cells", 1, F.size("_targets")))
     return body.select(
         "file_path", "file_index", "line_no",

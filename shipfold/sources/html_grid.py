@@ -37,6 +37,8 @@ ROOT, HEADER_WRAPPER, BODY_WRAPPER = "el-table", "el-table__header-wrapper", "el
 ROW, CELL_TD, CELL = "el-table__row", "el-table__cell", "cell"
 GUTTER, SELECTION, TOTAL = "gutter", "el-table-column--selection", "el-pagination__total"
 
+OUT_CHUNK = 50_000  # output rows per Arrow batch handed back to Spark
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
          "param", "source", "track", "wbr"}
 _BLOCK = {"br", "p", "div", "li", "tr", "td", "th", "ul", "ol", "table", "h1", "h2", "h3"}
@@ -207,7 +209,11 @@ def _scanner(mode: str):
             rows = []
             for pid, html in zip(pdf["page_id"], pdf["html"]):
                 rows.extend(fn(int(pid), html))
-            yield pd.DataFrame.from_records(rows, columns=cols)
+                if len(rows) >= OUT_CHUNK:
+                    yield pd.DataFrame.from_records(rows, columns=cols)
+                    rows = []
+            if rows:
+                yield pd.DataFrame.from_records(rows, columns=cols)
 
     return scan
 
