@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
-# Whitespace as a Python ``str.strip()`` sees it: Unicode white space plus the
-# ASCII separator controls. Spark's ``trim`` only removes spaces.
-_WS = r"[\s\x1c-\x1f]"
-_STRIP_RE = rf"(?U)^{_WS}+|{_WS}+$"
-_RUN_RE = rf"(?U){_WS}+"
+# FIXED VALUES: white space as a Python ``str.strip()`` sees it (Unicode
+# white space plus the ASCII separator controls). Spark's ``trim`` only
+# removes spaces.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
+_RUN_RE = r"(?U)[\s\x1c-\x1f]+"
 
 # FIXED VALUES: key values treated as missing (case-sensitive), after strip.
 MISSING_KEY_TOKENS = ("", "nan", "None")
@@ -25,7 +27,7 @@ def _c(c: ColumnLike) -> Column:
 
 def strip(c: ColumnLike) -> Column:
     """Remove leading and trailing white space of every kind."""
-    return F.regexp_replace(_c(c), _STRIP_RE, "")
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def lower_strip(c: ColumnLike) -> Column:
@@ -34,8 +36,9 @@ def lower_strip(c: ColumnLike) -> Column:
 
 
 def collapse_ws(c: ColumnLike) -> Column:
-    """Runs of white space become one space, then strip."""
-    return strip(F.regexp_replace(_c(c), _RUN_RE, " "))
+    """Runs of white space become one space, then strip (X2). After the
+    collapse only single spaces remain at the ends, so ``trim`` is enough."""
+    return F.trim(F.regexp_replace(_c(c), _RUN_RE, " "))
 
 
 def blank_to_null(c: ColumnLike) -> Column:

@@ -68,7 +68,9 @@ def _scan(spark: SparkSession, paths: Sequence[str], max_columns: int | None, op
     if max_columns is None:
         max_columns = header_width(spark, paths)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
-    reader = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
+    # Doubled quotes inside a quoted field are one quote, as uploads write them.
+    reader = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
+              .option("quote", '"').option("escape", '"'))
     for k, v in options.items():
         reader = reader.option(k, v)
     raw = reader.csv(paths)

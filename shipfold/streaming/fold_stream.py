@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from shipfold.operators.fold import finish, state_aggregates
@@ -40,9 +41,57 @@ def start_stream_fold(changes_stream: DataFrame, columns: Sequence[str], sink_di
     return writer.start()
 
 
-def read_current(spark: SparkSession, sink_dir: str, columns: Sequence[str]) -> DataFrame:
-    """Newest version of every key: one aggregation with a partial step."""
-    versions = spark.read.parquet(sink_dir)
-    payload = F.struct(*[F.col(c) for c in (*columns, "row_seq", "last_updated")])
+def _newest(versions: DataFrame, columns: Sequence[str]) -> DataFrame:
+    cols = (*columns, "row_seq", "last_updated")
+    payload = F.struct(*[F.col(c) for c in cols])
     latest = versions.groupBy("key").agg(F.max_by(payload, F.col("version")).alias("_r"))
-    return latest.select("key", *[F.col(f"_r.{c}").alias(c) for c in (*columns, "row_seq", "last_updated")])
+    return latest.select("key", *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def _base_version(spark: SparkSession, sink_dir: str):
+    try:
+        bases = spark.read.parquet(f"{sink_dir.rstrip('/')}/_base")
+    except AnalysisException:
+        return None
+    return bases.agg(F.max("at")).first()[0]
+
+
+def read_current(spark: SparkSession, sink_dir: str, columns: Sequence[str]) -> DataFrame:
+    """Newest version of every key: one aggregation with a partial step.
+
+    After a compaction only the compacted base and the versions written since
+    are read (the version filter prunes the older folders).
+    """
+    base = sink_dir.rstrip("/")
+    at = _base_version(spark, sink_dir)
+    versions = spark.read.parquet(base)
+    if at is None:
+        return _newest(versions, columns)
+    compacted = spark.read.parquet(f"{base}/_base/at={int(at)}").withColumn("version", F.lit(int(at)).cast("bigint"))
+    recent = versions.filter(F.col("version") > F.lit(int(at)))
+    return _newest(compacted.unionByName(recent.select(*compacted.columns)), columns)
+
+
+def compact(spark: SparkSession, sink_dir: str, columns: Sequence[str]) -> int | None:
+    """Fold all versions into one base snapshot at the newest version, so
+    later reads skip the older version folders. Returns that version."""
+    base = sink_dir.rstrip("/")
+    latest = spark.read.parquet(base).agg(F.max("version")).first()[0]
+    if latest is None:
+        return None
+    # Only versions up to ``latest`` enter the base; a stream may keep writing.
+    snap = _newest_upto(spark, sink_dir, columns, int(latest))
+    snap.write.mode("overwrite").parquet(f"{base}/_base/at={int(latest)}")
+    return int(latest)
+
+
+def _newest_upto(spark: SparkSession, sink_dir: str, columns: Sequence[str], upto: int) -> DataFrame:
+    base = sink_dir.rstrip("/")
+    at = _base_version(spark, sink_dir)
+    versions = spark.read.parquet(base).filter(F.col("version") <= F.lit(upto))
+    if at is not None:
+        compacted = spark.read.parquet(f"{base}/_base/at={int(at)}").withColumn(
+            "version", F.lit(int(at)).cast("bigint"))
+        versions = compacted.unionByName(
+            versions.filter(F.col("version") > F.lit(int(at))).select(*compacted.columns))
+    return _newest(versions, columns)
