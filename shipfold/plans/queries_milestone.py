@@ -124,7 +124,7 @@ def collapse_ws(spark, sf_dir):
 
 @register("tag_split", sql=f"""
 SELECT doc_id,
-       CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(string_split(text, ',')) END AS n_tags,
+       CAST(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(string_split(text, ',')) END AS INTEGER) AS n_tags,
        CASE WHEN text IS NULL OR text = '' THEN ''
             ELSE array_to_string(list_transform(string_split(text, ','), lambda x: {strip('x')}), ', ') END AS tags
 FROM documents""")

@@ -45,10 +45,18 @@ def duck():
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
-    got = _rows(entry.queries()[name](spark, SF).toPandas())
-    want = _rows(duck.execute(entry.oracle_sql()[name]).fetchdf())
+    sdf = entry.queries()[name](spark, SF)
+    sql = entry.oracle_sql()[name]
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {sql}").fetchall()}
+    assert {n: SPARK_TO_DUCK.get(t, t) for n, t in sdf.dtypes} == duck_types
+    got = _rows(sdf.toPandas())
+    want = _rows(duck.execute(sql).fetchdf())
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1])
     assert got[1] == want[1]
