@@ -14,7 +14,7 @@ from shipfold.plans.registry import register
 from shipfold.plans.sql_helpers import collapse, strip
 from shipfold.plans.tables import table
 from shipfold.profiles import IMPORT_CONFIRM, TableProfile
-from shipfold.session import scratch_dir
+from shipfold.session import default_parallelism, scratch_dir
 from shipfold.sources import csv as CSV
 from shipfold.sources import html_grid as H
 from shipfold.sources import json as J
@@ -62,7 +62,7 @@ def csv_scan(spark, sf_dir):
     """Orders written as CSV uploads, read back as all-string
     cells, headers mapped by alias, keys checked, folded into current rows."""
     path = scratch_dir(spark, "csv_scan")
-    files_n = spark.sparkContext.defaultParallelism
+    files_n = default_parallelism(spark)
     (orders_as_upload(table(spark, sf_dir, "orders")).repartition(files_n).write.mode("overwrite")
      .option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))

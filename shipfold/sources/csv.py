@@ -88,11 +88,14 @@ def _scan(spark: SparkSession, paths: Sequence[str], max_columns: int | None, op
         F.min_by("raw_cells", "_rid").alias("_first"))
     n_files = len(raw.inputFiles())
     # Planning facts bound the split table: splits <= files + scan partitions.
-    split_bound = n_files + raw.rdd.getNumPartitions()
+    try:
+        split_bound = n_files + raw.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): count instead
+        split_bound = None
     return base, per_split, n_files, split_bound
 
 
-def _number_lines(base: DataFrame, per_split: DataFrame, split_bound: int) -> DataFrame:
+def _number_lines(base: DataFrame, per_split: DataFrame, split_bound: int | None) -> DataFrame:
     # The split table is small and ordered without a partition key; it is
     # broadcast when its bound allows, so the data is never shuffled just to
     # number its lines.
