@@ -116,27 +116,29 @@ def error_sample(spark, sf_dir):
 
 @register("patch_fields", sql="""
 SELECT event_id,
-       CASE WHEN event_type = 'click' THEN ['value'] ELSE ['props'] END AS fields
+       CASE WHEN event_type = 'click' THEN 'value' ELSE 'props' END AS fields
 FROM events WHERE event_type IN ('click', 'view')""")
 def patch_fields(spark, sf_dir):
-    """P10: a patch keeps only its non-NULL fields (listed by name)."""
+    """P10: a patch keeps only its non-NULL fields (names, comma-joined)."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
     payload = F.create_map(
         F.lit("value"), F.when(F.col("event_type") == "click", F.col("value").cast("string")),
         F.lit("props"), F.when(F.col("event_type") == "view", F.col("props")))
-    return ev.select("event_id", F.array_sort(F.map_keys(N.patch_fields(payload))).alias("fields"))
+    return ev.select("event_id", F.array_join(F.array_sort(F.map_keys(N.patch_fields(payload))), ",")
+                     .alias("fields"))
 
 
 @register("changed_columns", sql="""
 SELECT event_id,
-       CASE WHEN event_type = 'click' THEN ['last_updated', 'value']
-            WHEN event_type = 'view' THEN ['last_updated', 'props']
-            ELSE ['last_updated', 'props', 'value'] END AS updated
+       CASE WHEN event_type = 'click' THEN 'last_updated,value'
+            WHEN event_type = 'view' THEN 'last_updated,props'
+            ELSE 'last_updated,props,value' END AS updated
 FROM events WHERE event_type <> 'error'""")
 def changed_columns(spark, sf_dir):
-    """Names a change sets, plus the stamp, sorted."""
+    """Names a change sets, plus the stamp, sorted (comma-joined)."""
     ch = events_changes_of(spark, sf_dir, ("signup", "purchase", "click", "view"))
-    return ch.select(F.col("seq").alias("event_id"), N.changed_columns("fields").alias("updated"))
+    return ch.select(F.col("seq").alias("event_id"),
+                     F.array_join(N.changed_columns("fields"), ",").alias("updated"))
 
 
 @register("canonical_key", sql="""
