@@ -45,7 +45,7 @@ def column_options(spark: SparkSession, grid: Sequence[tuple[str, str, str, str
 
     ``vocab(options_key, pos, value)``; options are ordered by ``pos``. The
     column model is fixed metadata (tens of rows); each vocabulary is one
-    bounded list of choices.
+    list of choices, collected per options key after a partial aggregate.
     """
     model = spark.createDataFrame(
         [(i, c, label, kind, key) for i, (c, label, kind, key) in enumerate(grid)],
@@ -53,7 +53,8 @@ def column_options(spark: SparkSession, grid: Sequence[tuple[str, str, str, str
     opts = vocab.groupBy("options_key").agg(
         F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_o"))
     opts = opts.select("options_key", F.transform("_o", lambda e: e["value"]).alias("options"))
-    return model.join(F.broadcast(opts), "options_key", "left").select(
+    # Both sides are small; AQE picks the join from their measured sizes.
+    return model.join(opts, "options_key", "left").select(
         "position", "column", "label", "filter_kind", "options_key",
         F.coalesce(F.size("options"), F.lit(0)).alias("n_options"),
         F.array_join("options", "|").alias("options"))

@@ -20,6 +20,11 @@ _DEFAULTS = {
     # Whole pages and workbooks travel through Arrow: keep input batches small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.ui.enabled": "false",
+    # Fold state is one row per key (as large as the table): keep it in RocksDB,
+    # off the JVM heap, with incremental checkpoints.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
