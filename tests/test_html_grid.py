@@ -67,3 +67,29 @@ def test_grid_to_fields(spark):
     assert rows[0]["fields"]["dest_handling_office"] == "Office & Co"
     assert "status" not in rows[1]["fields"] and "eta" not in rows[1]["fields"]
     assert [r[0] for r in N.unmapped_labels(cells, SCRAPE_LABEL_ALIASES).collect()] == []
+
+
+def test_full_grid_golden_counts(spark):
+    """25 rows: 50 rows in the DOM (body + frozen clone), 25 in the body, 29
+    header cells (selection + 28 labels) plus the gutter, reported total 25,
+    every label mapped, including the grid's misspelt office label."""
+    from shipfold.profiles import IMPORT_CONFIRM_GRID
+    labels = [label for _c, label, _k, _o in IMPORT_CONFIRM_GRID]
+    global LABELS
+    saved, LABELS = LABELS, labels
+    try:
+        rows = [[f"V{r}-{c}" if c != 6 else f"900-{r:07d}" for c in range(len(labels))] for r in range(25)]
+        html = grid_page(rows, 25)
+    finally:
+        LABELS = saved
+    pages = spark.createDataFrame([(7, html)], "page_id long, html string")
+    scan = H.grid_scan(pages)
+    pg = H.grid_pages(scan).first()
+    assert (pg["dom_rows"], pg["body_rows"], pg["reported_total"]) == (50, 25, "Total 25")
+    cells = H.grid_cells(scan)
+    assert cells.count() == 25 * 28
+    assert cells.select("label").distinct().count() == 28
+    mapped = N.label_map(cells, SCRAPE_LABEL_ALIASES, "mawb")
+    assert mapped.count() == 25
+    assert len(mapped.first()["fields"]) == 28
+    assert N.unmapped_labels(cells, SCRAPE_LABEL_ALIASES).count() == 0
