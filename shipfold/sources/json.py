@@ -34,7 +34,7 @@ def explode_rows(df: DataFrame, text: ColumnLike, *keep: str) -> DataFrame:
 def read_json_array_files(spark: SparkSession, paths) -> DataFrame:
     """Whole JSON array files (one per bulk request): ``file_path, pos,
     fields``. A file is one task; many files read in parallel (S3)."""
-    raw = spark.read.option("wholetext", True).text(paths)
+    raw = spark.read.text(paths, wholetext=True)
     return explode_rows(raw.select(F.col("_metadata.file_path").alias("file_path"), "value"),
                         "value", "file_path")
 
