@@ -136,13 +136,25 @@ def _typed_rows(rows):
 
 @register("json_scan", sql=_BULK_SQL)
 def json_scan(spark, sf_dir):
-    """S3: bulk JSON arrays (schema-free rows as maps), one record per row
-    with its position in the request."""
+    """S3: bulk request bodies (JSON arrays, schema-free rows as maps), one
+    record per row with its position in the request."""
     ev = table(spark, sf_dir, "events")
     payloads = _event_payloads(ev, _bulk_record())
     return _typed_rows(J.explode_rows(payloads, "payload", "payload_id"))
 
 
+@register("json_file_scan", sql=_BULK_SQL)
+def json_file_scan(spark, sf_dir):
+    """S3 over files: each bulk request written as its own JSON array file,
+    read back whole-file (one task per file, files in parallel)."""
+    ev = table(spark, sf_dir, "events")
+    path = scratch_dir(spark, "json_scan")
+    _event_payloads(ev, _bulk_record()).write.partitionBy("payload_id").text(path)
+    rows = J.read_json_array_files(spark, path)
+    rows = rows.withColumn("payload_id", F.regexp_extract("file_path", r"payload_id=(\d+)", 1).cast("bigint"))
+    return _typed_rows(rows)
+
+
 @register("embedded_json_scan", sql=_BULK_SQL)
 def embedded_json_scan(spark, sf_dir):
     """The same arrays embedded as ``var EVENTS = [...];`` in a script

@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 # Queries that write files before returning (their plans read what was written).
-WRITERS = {"csv_scan", "stream_fold", "reset_report", "seed_if_empty", "snapshot_publish"}
+WRITERS = {"csv_scan", "stream_fold", "reset_report", "seed_if_empty", "snapshot_publish",
+           "json_file_scan"}
 PYTHON_OK = {"html_grid_scan", "count_reconcile", "copy_check"}
 
 
