@@ -14,7 +14,7 @@ from shipfold.plans.registry import register
 from shipfold.plans.sql_helpers import collapse, strip
 from shipfold.plans.tables import table
 from shipfold.profiles import IMPORT_CONFIRM, TableProfile
-from shipfold.session import default_parallelism, scratch_dir
+from shipfold.session import default_parallelism, partition_count, scratch_dir
 from shipfold.sources import csv as CSV
 from shipfold.sources import html_grid as H
 from shipfold.sources import json as J
@@ -62,13 +62,15 @@ def csv_scan(spark, sf_dir):
     """Orders written as CSV uploads, read back as all-string
     cells, headers mapped by alias, keys checked, folded into current rows."""
     path = scratch_dir(spark, "csv_scan")
+    sheet = orders_as_upload(table(spark, sf_dir, "orders"))
+    # One upload file per partition; only a tiny input is spread out first.
     files_n = default_parallelism(spark)
-    (orders_as_upload(table(spark, sf_dir, "orders")).repartition(files_n).write.mode("overwrite")
+    if (partition_count(sheet) or files_n) < files_n:
+        sheet = sheet.repartition(files_n)
+    (sheet.write.mode("overwrite")
      .option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
-    import glob as _glob
-    files = sorted(_glob.glob(f"{path}/*.csv")) if "://" not in path else [f"{path}/*.csv"]
-    rows = CSV.csv_upload_rows(spark, files, IMPORT_CONFIRM)
+    rows = CSV.csv_upload_rows(spark, [path], IMPORT_CONFIRM)
     cur = upload_to_current(rows, IMPORT_CONFIRM, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
     return cur.select("mawb", "status", "airline", "eta", "hawb_customer", "bot_status")
 

@@ -13,7 +13,7 @@ from shipfold.plans.registry import register
 from shipfold.plans.tables import (EVENT_COLUMNS, MILESTONES_SQL, SHIPMENTS_SQL, events_changes,
                                    fold_sql, milestones_of, shipments_of, table, typed_events_fold)
 from shipfold.profiles import IMPORT_CONFIRM_GRID, UPDATE_TYPE_COLUMNS
-from shipfold.session import scratch_dir
+from shipfold.session import default_parallelism, scratch_dir
 from shipfold.streaming.fold_stream import read_current, start_stream_fold
 
 # Vocabularies derived from the data: options key -> (table, column).
@@ -100,7 +100,7 @@ def seed_if_empty(spark, sf_dir):
             .unionByName(b.select(F.lit("atd_ata").alias("table_name"), "seeded")))
 
 
-STREAM_FILES = 4
+STREAM_BATCHES = 4
 
 
 @register("stream_fold", sql=fold_sql())
@@ -110,8 +110,12 @@ def stream_fold(spark, sf_dir):
     equals the one-shot fold."""
     src = scratch_dir(spark, "stream_src")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    ev.repartitionByRange(STREAM_FILES, "event_id").write.mode("overwrite").parquet(src)
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src))
+    # Files cut by event_id range, as a log lands; about STREAM_BATCHES
+    # micro-batches take them in turn.
+    n_files = max(STREAM_BATCHES, default_parallelism(spark))
+    ev.repartitionByRange(n_files, "event_id").write.mode("overwrite").parquet(src)
+    per_trigger = -(-n_files // STREAM_BATCHES)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", per_trigger).parquet(src)
     sink, ckpt = scratch_dir(spark, "stream_sink"), scratch_dir(spark, "stream_ckpt")
     q = start_stream_fold(events_changes(stream), EVENT_COLUMNS, sink, ckpt)
     q.awaitTermination()

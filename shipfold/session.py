@@ -93,3 +93,11 @@ def is_local_path(path: str) -> bool:
 def makedirs_if_local(path: str) -> None:
     if is_local_path(path):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
+
+
+def partition_count(df) -> int | None:
+    """Partition count of a DataFrame when the session exposes RDDs."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return None

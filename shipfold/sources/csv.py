@@ -43,11 +43,23 @@ def accepted_path(path: str) -> bool:
     return path.endswith(UPLOAD_EXTENSIONS)
 
 
+def _gate(paths: Sequence[str], ext: str) -> list[str]:
+    """Files must carry the extension; anything else given is a folder,
+    whose files are filtered by ``pathGlobFilter`` on the reader."""
+    out = []
+    for p in paths:
+        name = p.rstrip("/").rsplit("/", 1)[-1]
+        if "." in name and not name.endswith(ext):
+            raise ValueError(f"only {', '.join(UPLOAD_EXTENSIONS)} files are accepted: {p}")
+        out.append(p)
+    return out
+
+
 def header_width(spark: SparkSession, paths: Sequence[str]) -> int:
     """Upper bound of the column count: the widest header line (commas + 1;
     quoted commas only over-count). Reads only the first split of each file
     and brings one number to the driver."""
-    txt = spark.read.text(list(paths)).select(
+    txt = spark.read.option("pathGlobFilter", "*.csv").text(list(paths)).select(
         F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
         F.monotonically_increasing_id().alias("r"), "value")
     first = txt.filter(F.col("b") == 0).groupBy("f").agg(F.min_by("value", "r").alias("h"))
@@ -61,16 +73,13 @@ def _scan(spark: SparkSession, paths: Sequence[str], max_columns: int | None, op
     Per split: first row id, row count and first row. Block 0's first row is
     the file's header, so headers need no pass of their own.
     """
-    paths = list(paths)
-    for p in paths:
-        if not accepted_path(p):
-            raise ValueError(f"only {', '.join(UPLOAD_EXTENSIONS)} files are accepted: {p}")
+    paths = _gate(list(paths), ".csv")
     if max_columns is None:
         max_columns = header_width(spark, paths)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
     # Doubled quotes inside a quoted field are one quote, as uploads write them.
     reader = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
-              .option("quote", '"').option("escape", '"'))
+              .option("quote", '"').option("escape", '"').option("pathGlobFilter", "*.csv"))
     for k, v in options.items():
         reader = reader.option(k, v)
     raw = reader.csv(paths)
