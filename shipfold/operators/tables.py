@@ -78,9 +78,18 @@ def read_changes(spark: SparkSession, log_root: str) -> DataFrame:
     return spark.read.parquet(log_root)
 
 
-def publish_snapshot(spark: SparkSession, current: DataFrame, root: str, version: int) -> None:
-    """Write-new-then-swap: data first, then the commit record."""
+def publish_snapshot(spark: SparkSession, current: DataFrame, root: str, version: int,
+                     cluster_key: str | None = None, files: int | None = None) -> None:
+    """Write-new-then-swap: data first, then the commit record.
+
+    With ``cluster_key`` the snapshot is range-partitioned and sorted by that
+    key, so each file and row group covers a narrow key range and a point
+    lookup skips the others through Parquet min/max statistics (F8).
+    """
     base = root.rstrip("/")
+    if cluster_key:
+        n = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        current = current.repartitionByRange(n, cluster_key).sortWithinPartitions(cluster_key)
     current.write.mode("overwrite").parquet(f"{base}/data/version={int(version)}")
     spark.createDataFrame([(int(version),)], "version long").write.mode("append").parquet(f"{base}/commits")
 

@@ -80,7 +80,8 @@ class ShipmentStore:
     def publish(self) -> int:
         """Write the current table as a snapshot version (write-new-then-swap)."""
         version = self.next_batch() - 1
-        TB.publish_snapshot(self.spark, self.current(), self.snapshot_path, version)
+        TB.publish_snapshot(self.spark, self.current(), self.snapshot_path, version,
+                            cluster_key=self.profile.key)
         return version
 
     def snapshot(self) -> DataFrame:

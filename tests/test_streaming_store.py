@@ -88,3 +88,19 @@ def test_stream_compaction_keeps_result(spark):
     run()
     got = {r["key"]: r.asDict() for r in read_current(spark, out, COLS).collect()}
     assert got == want
+
+
+def test_sorted_snapshot_lookup_is_pushed(spark):
+    root = tempfile.mkdtemp()
+    cur = spark.range(0, 5000).select(F.format_string("k%05d", "id").alias("key"),
+                                      F.col("id").cast("string").alias("a"))
+    TB.publish_snapshot(spark, cur, root, 1, cluster_key="key", files=8)
+    snap = TB.read_snapshot(spark, root)
+    hit = snap.filter(F.col("key") == "k01234")
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key,k01234)" in plan
+    assert [r["a"] for r in hit.collect()] == ["1234"]
+    # files cover disjoint, ordered key ranges
+    ranges = (snap.groupBy(F.input_file_name().alias("f"))
+              .agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("lo").collect())
+    assert all(a["hi"] < b["lo"] for a, b in zip(ranges, ranges[1:]))
