@@ -21,14 +21,58 @@ def check_page(page: int, page_size: int) -> None:
         raise ValueError(f"page_size must be within 1..{MAX_PAGE_SIZE}")
 
 
+# Beyond this many rows (offset + size) a page is found by range counts
+# instead of a per-partition top-(offset + size).
+DEEP_PAGE_ROWS = 100_000
+# Target rows per range partition when locating a deep page.
+DEEP_PAGE_SLICE = 1_000_000
+
+
 def page_desc(df: DataFrame, order_col: str, page: int = 1,
-              page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+              page_size: int = DEFAULT_PAGE_SIZE, deep_rows: int = DEEP_PAGE_ROWS,
+              slice_rows: int = DEEP_PAGE_SLICE) -> DataFrame:
     """Newest first: ``ORDER BY order_col DESC LIMIT size OFFSET (page-1)*size``
-    (L1). ``order_col`` must be unique."""
+    (L1). ``order_col`` must be unique.
+
+    Shallow pages are a ``TakeOrderedAndProject``. Deep pages (offset + size
+    above ``deep_rows``) are located exactly without holding offset rows in
+    any task: only the order column is range-partitioned into slices of
+    about ``slice_rows`` rows; one small row per slice (count, min, max) goes
+    to the driver; the page then lies in the key range of at most a few
+    consecutive slices, and is read from that range alone.
+    """
     check_page(page, page_size)
     offset = (page - 1) * page_size
-    ordered = df.orderBy(F.col(order_col).desc())
-    return (ordered.offset(offset) if offset else ordered).limit(page_size)
+    if offset + page_size <= deep_rows:
+        ordered = df.orderBy(F.col(order_col).desc())
+        return (ordered.offset(offset) if offset else ordered).limit(page_size)
+    return _deep_page(df, order_col, offset, page_size, slice_rows)
+
+
+def _deep_page(df: DataFrame, order_col: str, offset: int, page_size: int,
+               slice_rows: int) -> DataFrame:
+    keys = df.select(F.col(order_col).alias("_k"))
+    total = keys.count()
+    if offset >= total:
+        return df.limit(0)
+    n_slices = max(1, -(-total // slice_rows))
+    stats = (keys.repartitionByRange(n_slices, F.col("_k").desc())
+             .groupBy(F.spark_partition_id().alias("_p"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi"))
+             .orderBy(F.col("hi").desc()).collect())
+    before, first, last, skip = 0, None, None, 0
+    for row in stats:  # at most n_slices small rows
+        if first is None and before + row["n"] > offset:
+            first, skip = row, offset - before
+        if first is not None:
+            last = row
+            if before + row["n"] >= offset + page_size:
+                break
+        before += row["n"]
+    hi, lo = first["hi"], last["lo"]
+    window = df.filter((F.col(order_col) <= F.lit(hi)) & (F.col(order_col) >= F.lit(lo)))
+    ordered = window.orderBy(F.col(order_col).desc())
+    return (ordered.offset(skip) if skip else ordered).limit(page_size)
 
 
 def page_after(df: DataFrame, order_col: str, last_seen, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:

@@ -41,3 +41,11 @@ def test_split_missing_key(spark):
     assert rejected.count() == 3
     flagged = FL.flag_missing_key(df, "k").filter("key_missing").count()
     assert flagged == 3
+
+
+def test_deep_page_equals_shallow(spark):
+    df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("row_seq"), F.col("id"))
+    for page in (1, 2, 37, 99, 100, 101):
+        deep = [r["row_seq"] for r in P.page_desc(df, "row_seq", page, 50, deep_rows=0, slice_rows=300).collect()]
+        shallow = [r["row_seq"] for r in P.page_desc(df, "row_seq", page, 50).collect()]
+        assert deep == shallow, page
