@@ -12,8 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.functions.text import (ColumnLike, _c, blank_default, collapse_ws,
-                                     lower_strip, token_clean_scrape)
+from shipfold.functions.text import (ColumnLike, _c, blank_default, lower_strip,
+                                     token_clean_scrape)
 from shipfold.profiles import TableProfile
 
 
@@ -146,7 +146,3 @@ def changed_columns(m: ColumnLike, stamped: Sequence[str] = ("last_updated",)) -
 def update_type_column(update_type: ColumnLike, mapping: Mapping[str, str | None]) -> Column:
     """Update type -> target column; NULL for refused or unknown types."""
     return F.element_at(literal_map(mapping), _c(update_type))
-
-
-def collapse_label(c: ColumnLike) -> Column:
-    return collapse_ws(c)
