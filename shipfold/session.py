@@ -28,6 +28,38 @@ _DEFAULTS = {
 }
 
 
+# Settings for the target scale (hundreds of TB on a large cluster). The
+# engine never forces them on a given session; ``apply_scale_defaults`` sets
+# only those the session leaves unset.
+SCALE_DEFAULTS = {
+    # Many initial shuffle partitions; AQE coalesces them to ~256 MB each, so
+    # no reduce task has to spill more than its share.
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    # Hot keys (a third of all rows) are split at run time.
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    # Runtime broadcast only for sides measured under 64 MB.
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    # Whole pages and workbooks travel through Arrow: keep batches small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
+
+def apply_scale_defaults(spark: SparkSession) -> dict:
+    """Set the scale settings the session does not already set; returns them."""
+    applied = {}
+    for k, v in SCALE_DEFAULTS.items():
+        try:
+            if spark.conf.get(k, None) is None:
+                spark.conf.set(k, v)
+                applied[k] = v
+        except Exception:  # noqa: BLE001 - a static conf on this session
+            continue
+    return applied
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "shipfold", extra: dict | None = None) -> SparkSession:
     """Local session for tests and benchmarks; on a cluster use the given one."""
