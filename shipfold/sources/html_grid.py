@@ -22,12 +22,21 @@ clone; text has white space collapsed and entities decoded.
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The parse functions run in Python workers. Pickle this module by value so
+# executors need no installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older pickler: the package must be on the workers
+    pass
+
 GRID_SCHEMA = ("page_id long, kind string, row_no int, col_no int, label string, "
                "value string, in_body boolean, reported_total string, dom_rows int, "
                "body_rows int")

@@ -10,6 +10,7 @@ Legacy ``.xls`` has no available reader and is refused.
 
 from __future__ import annotations
 
+import sys
 import io
 import re
 import zipfile
@@ -21,6 +22,14 @@ from pyspark.sql import functions as F
 
 from shipfold.sources.csv import NA_TOKENS
 
+# The parse functions run in Python workers. Pickle this module by value so
+# executors need no installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older pickler: the package must be on the workers
+    pass
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
