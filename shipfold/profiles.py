@@ -19,6 +19,7 @@ class TableProfile:
     upsert_defaults: dict[str, str] = field(default_factory=dict)  # set when an upsert lacks them
     milestone: bool = False                   # status derived from atd/ata on each patch
     stamp_column: str | None = "last_updated"
+    patch_columns: tuple[str, ...] | None = None  # fields a write-back may set (None: any)
 
     @property
     def value_columns(self) -> tuple[str, ...]:
@@ -206,6 +207,15 @@ UPDATE_TYPE_COLUMNS: dict[str, str | None] = {
 }
 
 
+# FIXED VALUES: fields a write-back payload may carry, per table; others
+# are dropped from the payload.
+IMPORT_CONFIRM_PATCH_FIELDS: tuple[str, ...] = (
+    "eta", "flight_no", "airline", "status", "op_remarks", "ata", "atd", "source_ata",
+    "source_atd", "bot_eta", "bot_etd", "bot_status", "carrier_scrape", "cross_check_flag",
+)
+ATD_ATA_PATCH_FIELDS: tuple[str, ...] = ("atd", "ata", "flight", "status")
+
+
 def _alias_map(aliases: dict[str, tuple[str, ...]]) -> dict[str, str]:
     return {a: col for col, names in aliases.items() for a in names}
 
@@ -225,6 +235,7 @@ IMPORT_CONFIRM = TableProfile(
     columns=tuple(c for c, *_ in IMPORT_CONFIRM_GRID) + IMPORT_CONFIRM_WRITEBACK,
     aliases=_alias_map(IMPORT_CONFIRM_ALIASES),
     upsert_defaults={"bot_status": "pending"},
+    patch_columns=IMPORT_CONFIRM_PATCH_FIELDS,
 )
 
 ATD_ATA = TableProfile(
@@ -233,6 +244,7 @@ ATD_ATA = TableProfile(
     columns=ATD_ATA_COLUMNS,
     aliases={c: c for c in ATD_ATA_COLUMNS},
     milestone=True,
+    patch_columns=ATD_ATA_PATCH_FIELDS,
 )
 
 PICKUP_REPORT = TableProfile(

@@ -157,7 +157,11 @@ class ShipmentStore:
         outcome: ok / not_found / skipped."""
         batch = self.next_batch()
         pos = F.col(position_col) if position_col else F.monotonically_increasing_id()
-        changes = C.patch_changes(patches, F.col(key_col), F.col(payload_col), self._seq(batch, pos),
+        payload = F.col(payload_col)
+        if self.profile.patch_columns:
+            allowed = F.array(*[F.lit(c) for c in self.profile.patch_columns])
+            payload = F.map_filter(payload, lambda k, v: F.array_contains(allowed, k))
+        changes = C.patch_changes(patches, F.col(key_col), payload, self._seq(batch, pos),
                                   F.lit(ts).cast("timestamp_ntz"))
         self._append(changes, batch)
         return self._outcomes(batch)

@@ -42,10 +42,13 @@ def test_milestone_flows(spark):
     assert (row["ata"], row["status"]) == ("2030-01-02 05:00:00", "Completed")
     # a patch with its own status keeps it; unknown key is not_found; empty is skipped
     p2 = spark.createDataFrame([("777-00000002", {"flight": "XY123", "status": "Pending Depart"}),
-                                ("999-00000000", {"atd": "x"}), ("777-00000003", {})],
+                                ("999-00000000", {"atd": "x"}), ("777-00000003", {}),
+                                ("777-00000004", {"pod": "QQQ"})],
                                "k string, m map<string,string>")
     outcomes = {r["mawb"]: r["disposition"] for r in store.patch(p2, "k", "m", T2).collect()}
-    assert outcomes == {"777-00000002": "ok", "999-00000000": "not_found", "777-00000003": "skipped"}
+    assert outcomes == {"777-00000002": "ok", "999-00000000": "not_found", "777-00000003": "skipped",
+                        "777-00000004": "skipped"}  # pod is not a write-back field
+    assert store.get("777-00000004").first()["pod"] == "ABC"
     assert store.get("777-00000002").first()["status"] == "Pending Depart"
     # batch of three ATD writes (one key padded, one blank dropped), one refused batch
     payloads = spark.createDataFrame([
