@@ -228,8 +228,18 @@ def _scanner(mode: str):
 
 
 def grid_scan(pages: DataFrame, mode: str = "grid") -> DataFrame:
-    """Parse ``pages(page_id, html)`` into the long grid frame."""
-    return pages.select("page_id", "html").mapInPandas(_scanner(mode), GRID_SCHEMA)
+    """Parse ``pages(page_id, html)`` into the long grid frame.
+
+    Parsing is CPU-bound per page, so an input with fewer partitions than the
+    cluster has cores (a few small files) is spread out first; a large table
+    is parsed where it lies.
+    """
+    from shipfold.session import default_parallelism, partition_count
+    src = pages.select("page_id", "html")
+    cores = default_parallelism(pages.sparkSession)
+    if (partition_count(src) or cores) < cores:
+        src = src.repartition(cores)
+    return src.mapInPandas(_scanner(mode), GRID_SCHEMA)
 
 
 def grid_cells(scan: DataFrame) -> DataFrame:
