@@ -142,3 +142,12 @@ def test_bulk_json_keeps_absent_vs_null(spark):
     rows = J.explode_rows(df, "p").collect()
     assert rows[0]["fields"] == {"mawb": "1", "eta": None, "wt": "5"}
     assert rows[1]["fields"] == {"eta": "x"}
+
+
+def test_csv_byte_order_mark_and_quotes(spark):
+    tmp = tempfile.mkdtemp()
+    p = os.path.join(tmp, "bom.csv")
+    with open(p, "wb") as fh:
+        fh.write('﻿M#,OP Remarks\n900-1,"late, ""held"" at gate"\n'.encode("utf-8"))
+    rows = CSV.csv_upload_rows(spark, [p], IMPORT_CONFIRM).collect()
+    assert rows[0]["fields"] == {"mawb": "900-1", "op_remarks": 'late, "held" at gate'}
