@@ -14,6 +14,7 @@ is that plus its position inside the split. ``seq`` is derived from
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from shipfold.operators.joins import join_checked
 from shipfold.operators.normalise import cells_to_fields, header_keep, header_targets
 from shipfold.profiles import TableProfile
+from shipfold.session import scratch_dir
 
 # FIXED VALUES: cell texts a CSV upload treats as missing (the default NA
 # tokens of the common Python CSV reader), compared exactly.
@@ -55,53 +57,113 @@ def _gate(paths: Sequence[str], ext: str) -> list[str]:
     return out
 
 
-def header_width(spark: SparkSession, paths: Sequence[str]) -> int:
-    """Upper bound of the column count: the widest header line (commas + 1;
-    quoted commas only over-count). Reads only the first split of each file
-    and brings one number to the driver."""
-    txt = spark.read.option("pathGlobFilter", "*.csv").text(list(paths)).select(
-        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+# Reader options that shape how one line parses; they are handed to
+# ``from_csv`` too, so a header line parses exactly as the reader parses it.
+_READ_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+_PARSE_KEYS = ("sep", "delimiter", "quote", "escape", "charToEscapeQuoteEscaping", "comment",
+               "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "nullValue", "emptyValue",
+               "unescapedQuoteHandling", "maxCharsPerColumn")
+
+
+def _text_headers_ok(options: dict) -> bool:
+    """Header lines can be taken from a text pass unless a record may span
+    lines or the files are not UTF-8."""
+    multi = str(options.get("multiLine", options.get("multiline", "false"))).lower() == "true"
+    enc = str(options.get("encoding", options.get("charset", "utf-8"))).lower().replace("-", "")
+    return not multi and enc == "utf8"
+
+
+def header_lines(spark: SparkSession, paths: Sequence[str], options: dict | None = None) -> DataFrame:
+    """One row per file, ``file_path, line``: the file's header line, read as
+    text from the first split of each file.
+
+    The CSV reader skips lines that are empty after trimming every character
+    up to U+0020 (and comment lines, if a comment prefix is set), so the header
+    is the first line it does not skip. The table (one row per file) is
+    written under the shared checkpoint folder, so the text pass runs once
+    for the width and the header mapping."""
+    options = options or {}
+    reader = spark.read.option("pathGlobFilter", "*.csv")
+    if "lineSep" in options:
+        reader = reader.option("lineSep", options["lineSep"])
+    txt = reader.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("b"),
         F.monotonically_increasing_id().alias("r"), "value")
-    first = txt.filter(F.col("b") == 0).groupBy("f").agg(F.min_by("value", "r").alias("h"))
-    width = first.agg(F.max(F.size(F.split("h", ",", -1)))).first()[0]
+    kept = ~F.col("value").rlike("^[\\x00-\\x20]*$")
+    if options.get("comment"):
+        kept = kept & ~F.col("value").startswith(options["comment"])
+    first = txt.filter((F.col("b") == 0) & kept).groupBy("file_path").agg(F.min_by("value", "r").alias("line"))
+    out = scratch_dir(spark, "csv_headers")
+    first.write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
+def header_width(heads: DataFrame, options: dict | None = None) -> int:
+    """Upper bound of the column count: the widest header line (separators
+    + 1; quoted separators only over-count). One number to the driver."""
+    options = options or {}
+    sep = options.get("sep", options.get("delimiter", ","))
+    width = heads.agg(F.max(F.size(F.split("line", re.escape(sep), -1)))).first()[0]
     return int(width or 1)
 
 
-def _scan(spark: SparkSession, paths: Sequence[str], max_columns: int | None, options: dict):
-    """The raw scan plus the per-split table (one aggregation pass).
+def _parse_header(line: str, width: int, options: dict):
+    """A header line parsed by the reader's own CSV parser, as ``raw_cells``."""
+    opts = {k: str(v) for k, v in {**_READ_OPTIONS, **options}.items() if k in _PARSE_KEYS or k == "mode"}
+    schema = ", ".join(f"_c{i} STRING" for i in range(width))
+    h = F.from_csv(F.col(line), schema, opts)
+    return F.array(*[F.coalesce(h[f"_c{i}"], F.lit("")) for i in range(width)])
 
-    Per split: first row id, row count and first row. Block 0's first row is
-    the file's header, so headers need no pass of their own.
+
+def _scan(spark: SparkSession, paths: Sequence[str], max_columns: int | None, options: dict,
+          need_headers: bool):
+    """The raw scan, the per-split table and (if asked) the header table.
+
+    Per split: first row id and row count, from a scan that parses no
+    column. Headers come from the text pass (``header_lines``), so the CSV
+    data is parsed in full once, by the main scan. For records that may
+    span lines or files that are not UTF-8, block 0's first row is the
+    header (one more parse of the data); the width bound still comes from
+    the text pass unless ``max_columns`` is given.
     """
     paths = _gate(list(paths), ".csv")
+    text_ok = _text_headers_ok(options)
+    heads = (header_lines(spark, paths, options)
+             if max_columns is None or (need_headers and text_ok) else None)
     if max_columns is None:
-        max_columns = header_width(spark, paths)
+        max_columns = header_width(heads, options)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
     # Doubled quotes inside a quoted field are one quote, as uploads write them.
-    reader = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
-              .option("quote", '"').option("escape", '"').option("pathGlobFilter", "*.csv"))
-    for k, v in options.items():
+    reader = spark.read.schema(schema).option("header", False).option("pathGlobFilter", "*.csv")
+    for k, v in {**_READ_OPTIONS, **options}.items():
         reader = reader.option(k, v)
     raw = reader.csv(paths)
     cols = [F.when(F.col(f"_c{i}").isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}"))
             for i in range(max_columns)]
+    raw_cells = F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(max_columns)])
     base = raw.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("_rid"),
         F.array(*cols).alias("cells"),
-        F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(max_columns)]).alias("raw_cells"),
+        raw_cells.alias("raw_cells"),
     )
     per_split = base.groupBy("file_path", "block_start").agg(
-        F.min("_rid").alias("_rid0"), F.count(F.lit(1)).alias("_n"),
-        F.min_by("raw_cells", "_rid").alias("_first"))
+        F.min("_rid").alias("_rid0"), F.count(F.lit(1)).alias("_n"))
+    headers = None
+    if need_headers:
+        if text_ok:
+            headers = heads.select("file_path", _parse_header("line", max_columns, options).alias("_header"))
+        else:
+            headers = (base.filter(F.col("block_start") == 0).groupBy("file_path")
+                       .agg(F.min_by("raw_cells", "_rid").alias("_header")))
     n_files = len(raw.inputFiles())
     # Planning facts bound the split table: splits <= files + scan partitions.
     try:
         split_bound = n_files + raw.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): count instead
         split_bound = None
-    return base, per_split, n_files, split_bound
+    return base, per_split, headers, n_files, split_bound
 
 
 def _number_lines(base: DataFrame, per_split: DataFrame, split_bound: int | None) -> DataFrame:
@@ -129,7 +191,7 @@ def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int |
     ``raw_cells`` keeps the text ('' for empty). Line 0 of each file is its
     header. Files are ordered by path (``file_index``).
     """
-    base, per_split, _n_files, split_bound = _scan(spark, paths, max_columns, options)
+    base, per_split, _headers, _n_files, split_bound = _scan(spark, paths, max_columns, options, False)
     return _number_lines(base, per_split, split_bound)
 
 
@@ -138,12 +200,11 @@ def csv_upload_rows(spark: SparkSession, paths: Sequence[str], profile: TablePro
     """Upload rows ``file_path, file_index, line_no, fields, has_key_column``
     of CSV files for a profile (see ``upload_rows_from_cells``).
 
-    Two passes over the data in all: one aggregation per split (line counts
-    and each file's header), then the main scan joined with the two small
+    Three passes over the data in all, one of them a full parse: a text
+    pass for each file's header line, one aggregation per split that parses
+    no column (line counts), then the main scan joined with the two small
     tables."""
-    base, per_split, n_files, split_bound = _scan(spark, paths, max_columns, options)
-    headers = (per_split.filter(F.col("block_start") == 0)
-               .select("file_path", F.col("_first").alias("_header")))
+    base, per_split, headers, n_files, split_bound = _scan(spark, paths, max_columns, options, True)
     return upload_rows_from_cells(_number_lines(base, per_split, split_bound), profile,
                                   n_files=n_files, headers=headers)
 

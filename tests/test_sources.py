@@ -151,3 +151,21 @@ def test_csv_byte_order_mark_and_quotes(spark):
         fh.write('﻿M#,OP Remarks\n900-1,"late, ""held"" at gate"\n'.encode("utf-8"))
     rows = CSV.csv_upload_rows(spark, [p], IMPORT_CONFIRM).collect()
     assert rows[0]["fields"] == {"mawb": "900-1", "op_remarks": 'late, "held" at gate'}
+
+
+def test_csv_header_after_blank_lines_and_quoted_header(spark):
+    # Lines that are empty after trimming control characters are skipped by
+    # the reader, so the header is the first other line; a quoted header cell
+    # keeps its comma. Line numbers count records, as the reader gives them.
+    tmp = tempfile.mkdtemp()
+    _write(tmp, "a.csv", "\n  \t\n\"M#\",\"OP, Remarks\",ETA\n900-1,x,2030-01-01 00:00:00\n\n900-2,y,\n")
+    _write(tmp, "b.csv", "ETA,M#\n2031-01-01 00:00:00,900-3\n")
+    rows = CSV.csv_upload_rows(spark, [tmp], IMPORT_CONFIRM).orderBy("file_index", "line_no").collect()
+    got = [(r["file_index"], r["line_no"], r["fields"]) for r in rows]
+    assert got == [
+        (0, 1, {"mawb": "900-1", "eta": "2030-01-01 00:00:00"}),
+        (0, 2, {"mawb": "900-2"}),
+        (1, 1, {"mawb": "900-3", "eta": "2031-01-01 00:00:00"}),
+    ]
+    heads = CSV.header_lines(spark, [tmp])
+    assert CSV.header_width(heads) == 4  # the quoted comma over-counts by one
