@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -157,16 +158,34 @@ def _scan(spark: SparkSession, paths: Sequence[str], max_columns: int | None, op
         else:
             headers = (base.filter(F.col("block_start") == 0).groupBy("file_path")
                        .agg(F.min_by("raw_cells", "_rid").alias("_header")))
-    n_files = len(raw.inputFiles())
+    files = raw.inputFiles()
     # Planning facts bound the split table: splits <= files + scan partitions.
     try:
-        split_bound = n_files + raw.rdd.getNumPartitions()
+        split_bound = len(files) + raw.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): count instead
         split_bound = None
-    return base, per_split, headers, n_files, split_bound
+    max_path = max((len(f.encode("utf-8")) for f in files), default=0)
+    return _Scan(base, per_split, headers, len(files), split_bound, max_columns, max_path)
 
 
-def _number_lines(base: DataFrame, per_split: DataFrame, split_bound: int | None) -> DataFrame:
+class _Scan(NamedTuple):
+    base: DataFrame
+    per_split: DataFrame
+    headers: DataFrame | None
+    n_files: int
+    split_bound: int | None   # rows of the split table, from planning facts
+    width: int                # cells per row
+    max_path: int             # bytes of the longest file path
+
+
+# Bytes a row of a small table may take beyond its strings (fixed-width
+# fields, offsets, row header), for the broadcast byte bound.
+_ROW_OVERHEAD = 64
+_CELL_OVERHEAD = 16
+
+
+def _number_lines(base: DataFrame, per_split: DataFrame, split_bound: int | None,
+                  max_path: int | None = None) -> DataFrame:
     # The split table is small and ordered without a partition key; it is
     # broadcast when its bound allows, so the data is never shuffled just to
     # number its lines.
@@ -176,7 +195,10 @@ def _number_lines(base: DataFrame, per_split: DataFrame, split_bound: int | None
               .withColumn("_first_line", F.coalesce(F.sum("_n").over(before), F.lit(0)))
               .withColumn("file_index", F.dense_rank().over(Window.orderBy("file_path")) - 1)
               .drop("_n"))
-    return (join_checked(base, splits, ["file_path", "block_start"], row_bound=split_bound)
+    # A split row is its path and four numbers.
+    row_bytes = None if max_path is None else max_path + _ROW_OVERHEAD
+    return (join_checked(base, splits, ["file_path", "block_start"], row_bound=split_bound,
+                         row_bytes=row_bytes)
             .withColumn("line_no", F.col("_first_line") + F.col("_rid") - F.col("_rid0"))
             .drop("_rid", "_rid0", "_first_line", "block_start"))
 
@@ -191,8 +213,8 @@ def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int |
     ``raw_cells`` keeps the text ('' for empty). Line 0 of each file is its
     header. Files are ordered by path (``file_index``).
     """
-    base, per_split, _headers, _n_files, split_bound = _scan(spark, paths, max_columns, options, False)
-    return _number_lines(base, per_split, split_bound)
+    sc = _scan(spark, paths, max_columns, options, False)
+    return _number_lines(sc.base, sc.per_split, sc.split_bound, sc.max_path)
 
 
 def csv_upload_rows(spark: SparkSession, paths: Sequence[str], profile: TableProfile,
@@ -204,9 +226,13 @@ def csv_upload_rows(spark: SparkSession, paths: Sequence[str], profile: TablePro
     pass for each file's header line, one aggregation per split that parses
     no column (line counts), then the main scan joined with the two small
     tables."""
-    base, per_split, headers, n_files, split_bound = _scan(spark, paths, max_columns, options, True)
-    return upload_rows_from_cells(_number_lines(base, per_split, split_bound), profile,
-                                  n_files=n_files, headers=headers)
+    sc = _scan(spark, paths, max_columns, options, True)
+    # A header row is its path, one target name (or NULL) and one flag per cell.
+    longest = max((len(t.encode("utf-8")) for t in profile.aliases.values()), default=0)
+    row_bytes = sc.max_path + _ROW_OVERHEAD + sc.width * (longest + _CELL_OVERHEAD)
+    return upload_rows_from_cells(_number_lines(sc.base, sc.per_split, sc.split_bound, sc.max_path),
+                                  profile, n_files=sc.n_files, headers=sc.headers,
+                                  header_row_bytes=row_bytes)
 
 
 def _header_table(cells: DataFrame) -> DataFrame:
@@ -217,7 +243,8 @@ def _header_table(cells: DataFrame) -> DataFrame:
 
 
 def upload_rows_from_cells(cells: DataFrame, profile: TableProfile,
-                           n_files: int | None = None, headers: DataFrame | None = None) -> DataFrame:
+                           n_files: int | None = None, headers: DataFrame | None = None,
+                           header_row_bytes: int | None = None) -> DataFrame:
     """Header row + body rows of uploaded files to field maps.
 
     Header cells are normalised and renamed by alias; unknown columns drop;
@@ -228,7 +255,8 @@ def upload_rows_from_cells(cells: DataFrame, profile: TableProfile,
     them whole, as the original rejects such a file.
 
     The header table has one row per file; it is broadcast when the file
-    count (``n_files``, else a count job) is small (``join_checked``).
+    count (``n_files``, else a count job) and, if given, the file count times
+    ``header_row_bytes`` are small (``join_checked``).
     """
     headers = _header_table(cells) if headers is None else headers
     headers = headers.withColumn("_targets", header_targets("_header", profile.aliases))
@@ -237,7 +265,7 @@ def upload_rows_from_cells(cells: DataFrame, profile: TableProfile,
         F.exists("_targets", lambda t: t == F.lit(profile.key)), F.lit(False)))
     headers = headers.select("file_path", "_targets", "_keep", "_has_key")
     body = join_checked(cells.filter(F.col("line_no") > 0), headers, "file_path",
-                        row_bound=n_files)
+                        row_bound=n_files, row_bytes=header_row_bytes)
     fields = cells_to_fields("_targets", "_keep", F.slice("cells", 1, F.size("_targets")))
     return body.select(
         "file_path", "file_index", "line_no",

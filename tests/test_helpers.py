@@ -49,3 +49,26 @@ def test_deep_page_equals_shallow(spark):
         deep = [r["row_seq"] for r in P.page_desc(df, "row_seq", page, 50, deep_rows=0, slice_rows=300).collect()]
         shallow = [r["row_seq"] for r in P.page_desc(df, "row_seq", page, 50).collect()]
         assert deep == shallow, page
+
+
+def test_join_checked_bounds_rows_and_bytes(spark):
+    from shipfold.operators.joins import join_checked
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    # Spark's own size-based broadcast is off, so only the hint can broadcast.
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        assert "BroadcastExchange" in plan(join_checked(big, small, "k", row_bound=10, row_bytes=100))
+        # Ten rows, but each may be 10 MB: 100 MB is over the byte bound.
+        wide = join_checked(big, small, "k", row_bound=10, row_bytes=10 * 1024 * 1024)
+        assert "BroadcastExchange" not in plan(wide)
+        assert wide.count() == 10
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
