@@ -8,7 +8,7 @@ total, so every order carries the unique key as its last term.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shipfold.profiles import DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE
@@ -37,9 +37,10 @@ def page_desc(df: DataFrame, order_col: str, page: int = 1,
     Shallow pages are a ``TakeOrderedAndProject``. Deep pages (offset + size
     above ``deep_rows``) are located exactly without holding offset rows in
     any task: only the order column is range-partitioned into slices of
-    about ``slice_rows`` rows; one small row per slice (count, min, max) goes
-    to the driver; the page then lies in the key range of at most a few
-    consecutive slices, and is read from that range alone.
+    about ``slice_rows`` rows, with one small row per slice (count, min,
+    max); a running sum over those rows finds the few consecutive slices
+    that hold the page, only they go to the driver, and the page is read
+    from their key range alone.
     """
     check_page(page, page_size)
     offset = (page - 1) * page_size
@@ -58,17 +59,19 @@ def _deep_page(df: DataFrame, order_col: str, offset: int, page_size: int,
     n_slices = max(1, -(-total // slice_rows))
     stats = (keys.repartitionByRange(n_slices, F.col("_k").desc())
              .groupBy(F.spark_partition_id().alias("_p"))
-             .agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi"))
-             .orderBy(F.col("hi").desc()).collect())
-    before, first, last, skip = 0, None, None, 0
-    for row in stats:  # at most n_slices small rows
-        if first is None and before + row["n"] > offset:
-            first, skip = row, offset - before
-        if first is not None:
-            last = row
-            if before + row["n"] >= offset + page_size:
-                break
-        before += row["n"]
+             .agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi")))
+    # Rows before each slice, newest slice first: a running sum over the
+    # slice table (one small row per slice). Only the slices that hold the
+    # page reach the driver: one or two, as a page is far smaller than a slice.
+    newest_first = Window.orderBy(F.col("hi").desc())
+    before = F.coalesce(F.sum("n").over(newest_first.rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0))
+    located = (stats.withColumn("before", before)
+               .filter((F.col("before") < F.lit(offset + page_size))
+                       & (F.col("before") + F.col("n") > F.lit(offset)))
+               .orderBy(F.col("hi").desc()).collect())
+    first, last = located[0], located[-1]
+    skip = offset - first["before"]
     hi, lo = first["hi"], last["lo"]
     window = df.filter((F.col(order_col) <= F.lit(hi)) & (F.col(order_col) >= F.lit(lo)))
     ordered = window.orderBy(F.col(order_col).desc())

@@ -46,9 +46,13 @@ def test_split_missing_key(spark):
 def test_deep_page_equals_shallow(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("row_seq"), F.col("id"))
     for page in (1, 2, 37, 99, 100, 101):
-        deep = [r["row_seq"] for r in P.page_desc(df, "row_seq", page, 50, deep_rows=0, slice_rows=300).collect()]
         shallow = [r["row_seq"] for r in P.page_desc(df, "row_seq", page, 50).collect()]
-        assert deep == shallow, page
+        # Slices larger than a page, and slices smaller than one (a page then
+        # spans several slices).
+        for slice_rows in (300, 30):
+            deep = [r["row_seq"] for r in
+                    P.page_desc(df, "row_seq", page, 50, deep_rows=0, slice_rows=slice_rows).collect()]
+            assert deep == shallow, (page, slice_rows)
 
 
 def test_join_checked_bounds_rows_and_bytes(spark):
