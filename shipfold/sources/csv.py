@@ -189,29 +189,36 @@ def _number_lines(base: DataFrame, per_split: DataFrame, split_bound: int | None
     # The split table is small and ordered without a partition key; it is
     # broadcast when its bound allows, so the data is never shuffled just to
     # number its lines.
+    # Lines before a split in its file, and rows before it in the whole
+    # upload (files in path order): ``line_no`` and a dense ``row_index``.
     before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1)
+    before_all = Window.orderBy("file_path", "block_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = (per_split.select("file_path", "block_start", "_rid0", "_n")
               .withColumn("_first_line", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+              .withColumn("_first_row", F.coalesce(F.sum("_n").over(before_all), F.lit(0)))
               .withColumn("file_index", F.dense_rank().over(Window.orderBy("file_path")) - 1)
               .drop("_n"))
-    # A split row is its path and four numbers.
+    # A split row is its path and five numbers.
     row_bytes = None if max_path is None else max_path + _ROW_OVERHEAD
+    in_split = F.col("_rid") - F.col("_rid0")
     return (join_checked(base, splits, ["file_path", "block_start"], row_bound=split_bound,
                          row_bytes=row_bytes)
-            .withColumn("line_no", F.col("_first_line") + F.col("_rid") - F.col("_rid0"))
-            .drop("_rid", "_rid0", "_first_line", "block_start"))
+            .withColumn("line_no", F.col("_first_line") + in_split)
+            .withColumn("row_index", F.col("_first_row") + in_split)
+            .drop("_rid", "_rid0", "_first_line", "_first_row", "block_start"))
 
 
 def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int | None = None,
                    **options) -> DataFrame:
     """Raw cells of CSV files: ``file_path, cells, raw_cells, file_index,
-    line_no``.
+    line_no, row_index``.
 
     ``cells`` is ``array<string>`` of width ``max_columns`` (default: the
     widest header, see ``header_width``) with NA tokens as NULL;
     ``raw_cells`` keeps the text ('' for empty). Line 0 of each file is its
-    header. Files are ordered by path (``file_index``).
+    header. Files are ordered by path (``file_index``); ``row_index`` numbers
+    the rows of all files densely in (file, line) order.
     """
     sc = _scan(spark, paths, max_columns, options, False)
     return _number_lines(sc.base, sc.per_split, sc.split_bound, sc.max_path)
@@ -267,8 +274,9 @@ def upload_rows_from_cells(cells: DataFrame, profile: TableProfile,
     body = join_checked(cells.filter(F.col("line_no") > 0), headers, "file_path",
                         row_bound=n_files, row_bytes=header_row_bytes)
     fields = cells_to_fields("_targets", "_keep", F.slice("cells", 1, F.size("_targets")))
+    order = [c for c in ("file_index", "line_no", "row_index") if c in cells.columns]
     return body.select(
-        "file_path", "file_index", "line_no",
+        "file_path", *order,
         F.when(F.col("_has_key"), fields).alias("fields"),
         F.col("_has_key").alias("has_key_column"),
     )

@@ -84,9 +84,10 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
     return rows
 
 
-def read_workbook_cells(spark: SparkSession, paths, max_columns: int = 64) -> DataFrame:
+def read_workbook_cells(spark: SparkSession, paths, max_columns: int | None = None) -> DataFrame:
     """Cells of ``.xlsx`` files: ``file_path, file_index, line_no, cells,
-    raw_cells`` (same shape as ``read_csv_cells``)."""
+    raw_cells`` (same shape as ``read_csv_cells``). Rows keep their own width
+    unless ``max_columns`` pads or cuts them to a fixed one."""
     for p in paths if isinstance(paths, (list, tuple)) else [paths]:
         if not str(p).endswith(".xlsx"):
             raise ValueError(f"only .xlsx workbooks can be read: {p}")
@@ -98,7 +99,8 @@ def read_workbook_cells(spark: SparkSession, paths, max_columns: int = 64) -> Da
             out = []
             for path, content in zip(pdf["file_path"], pdf["content"]):
                 for line_no, row in enumerate(sheet_rows(bytes(content))):
-                    row = (row + [None] * max_columns)[:max_columns]
+                    if max_columns is not None:
+                        row = (row + [None] * max_columns)[:max_columns]
                     raw = ["" if v is None else v for v in row]
                     cells = [None if (v is None or v in NA_TOKENS) else v for v in row]
                     out.append((path, line_no, cells, raw))

@@ -6,11 +6,12 @@ pages, point lookups, statistics, reset. Every write appends one batch to the
 log (``root/log/batch=N``); reads fold the log (or read a published snapshot).
 Nothing passes through the driver except batch numbers and counts.
 
-``seq`` of a change is ``batch << 48 | position in the batch``, so batches
-apply in order and rows inside a batch in their file/payload order. The
-position is ``file << 36 | line`` for uploads (up to 4096 files per batch)
-and Spark's increasing row id for payloads (below 2^48 for fewer than
-32768 partitions).
+``seq`` of a change is ``batch << 40 | position in the batch``, so batches
+apply in order and rows inside a batch in their file/payload order: up to
+2^23 batches of up to 2^40 rows each, both checked. The position is the
+upload's dense row index (files in order, then lines; ``file << 20 | line``
+for workbooks, whose sheets hold at most 2^20 rows) and, for payloads, a
+dense position in partition order (``dense_positions``).
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from shipfold.sources import csv as CSV
 from shipfold.sources import json as J
 from shipfold.sources import workbook as WB
 
-BATCH_SHIFT = 48
+BATCH_SHIFT = 40                 # position bits of seq
+MAX_BATCH = (1 << 23) - 1        # seq stays a positive BIGINT
+SHEET_ROW_BITS = 20              # an .xlsx sheet holds at most 2^20 rows
 
 
 class ShipmentStore:
@@ -62,10 +65,18 @@ class ShipmentStore:
 
     def next_batch(self) -> int:
         last = self.changes().agg(F.max("batch")).first()[0]
-        return 1 if last is None else int(last) + 1
+        batch = 1 if last is None else int(last) + 1
+        if batch > MAX_BATCH:
+            raise ValueError(f"the change log holds {MAX_BATCH} batches; compact it into a new store")
+        return batch
 
     def _seq(self, batch: int, position: Column) -> Column:
-        return F.shiftleft(F.lit(batch).cast("bigint"), BATCH_SHIFT) + position.cast("bigint")
+        """``batch << 40 | position``; a position past 40 bits fails the job
+        rather than reorder batches."""
+        pos = position.cast("bigint")
+        return F.when(pos < F.lit(1 << BATCH_SHIFT),
+                      F.shiftleft(F.lit(batch).cast("bigint"), BATCH_SHIFT) + pos).otherwise(
+            F.raise_error(F.lit(f"more than 2^{BATCH_SHIFT} rows in one batch")).cast("bigint"))
 
     def _append(self, changes: DataFrame, batch: int) -> None:
         TB.append_changes(changes.select(*C.CHANGE_COLUMNS), self.log_path, batch)
@@ -118,7 +129,8 @@ class ShipmentStore:
     def _upload(self, rows: DataFrame, ts) -> DataFrame:
         batch = self.next_batch()
         ok = rows.filter(F.col("has_key_column"))
-        pos = CSV.upload_seq(F.col("file_index"), F.col("line_no"))
+        pos = (F.col("row_index") if "row_index" in rows.columns else
+               F.shiftleft(F.col("file_index").cast("bigint"), SHEET_ROW_BITS) + F.col("line_no"))
         changes, _ = C.upload_changes(ok, self.profile, self._seq(batch, pos), F.lit(ts).cast("timestamp_ntz"))
         self._append(changes, batch)
         return rows.agg(
@@ -141,8 +153,8 @@ class ShipmentStore:
         NULL; rows naming unknown columns fail alone. Returns ``(tally,
         errors)``; the tally counts rows (``upserted``, ``skipped``)."""
         batch = self.next_batch()
-        rows = (payloads.select(F.posexplode(J.parse_row_array(text_col)).alias("_pos", "fields"))
-                .withColumn("_pos", F.monotonically_increasing_id()))
+        rows = C.dense_positions(
+            payloads.select(F.posexplode(J.parse_row_array(text_col)).alias("_p", "fields")), "_pos")
         changes, rejected = C.bulk_changes(rows, self.profile, self._seq(batch, F.col("_pos")),
                                            F.lit(ts).cast("timestamp_ntz"))
         valid, errors = C.unknown_column_split(changes, self.profile)
@@ -156,7 +168,9 @@ class ShipmentStore:
         """Write-back patches (NULL fields dropped); returns each patch's
         outcome: ok / not_found / skipped."""
         batch = self.next_batch()
-        pos = F.col(position_col) if position_col else F.monotonically_increasing_id()
+        if not position_col:
+            patches, position_col = C.dense_positions(patches, "_pos"), "_pos"
+        pos = F.col(position_col)
         payload = F.col(payload_col)
         if self.profile.patch_columns:
             allowed = F.array(*[F.lit(c) for c in self.profile.patch_columns])
@@ -173,8 +187,7 @@ class ShipmentStore:
         tagged = payloads.select(F.monotonically_increasing_id().alias("_p"), text_col,
                                  J.flat_batch_reject_reason(J.flat_batch(text_col)).alias("reason"))
         refused = tagged.filter(F.col("reason").isNotNull()).select(text_col, "reason")
-        rows = (J.explode_flat_batch(tagged, text_col, "_p")
-                .withColumn("_pos", F.monotonically_increasing_id()))
+        rows = C.dense_positions(J.explode_flat_batch(tagged, text_col, "_p"), "_pos")
         changes = C.patch_changes(rows, F.col("key"), F.col("result"), self._seq(batch, F.col("_pos")),
                                   F.lit(ts).cast("timestamp_ntz"))
         self._append(changes, batch)
@@ -190,7 +203,8 @@ class ShipmentStore:
              defaults: Mapping[str, str] | None = None) -> None:
         """Insert-or-replace seed rows (source key -> column, missing -> '')."""
         batch = self.next_batch()
+        rows = C.dense_positions(rows, "_pos")
         changes = C.seed_changes(rows, self.profile.key, F.col(payload_col), mapping,
-                                 self._seq(batch, F.monotonically_increasing_id()),
+                                 self._seq(batch, F.col("_pos")),
                                  F.lit(ts).cast("timestamp_ntz"), defaults)
         self._append(changes, batch)
