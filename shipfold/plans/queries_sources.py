@@ -53,7 +53,7 @@ def upload_to_current(rows, profile: TableProfile, ts):
     """Upload rows -> upserts -> current rows (files without a key column and
     rows without a key are left out)."""
     ok = rows.filter(F.col("has_key_column"))
-    changes, _rejected = C.upload_changes(ok, profile, CSV.upload_seq(F.col("file_index"), F.col("line_no")), ts)
+    changes, _rejected = C.upload_changes(ok, profile, F.col("row_index"), ts)
     return FO.fold(changes, profile.value_columns, key_name=profile.key)
 
 

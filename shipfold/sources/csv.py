@@ -2,14 +2,16 @@
 
 Each file carries its own header row. Spark's reader is run with
 ``header=False`` and a wide all-string schema; the header of every file is
-found distributedly (the first line of the split that starts at offset 0),
-so files with different layouts can be read in one job, and the mapping from
-header cells to columns is done by expressions, not on the driver.
+its first line that the reader does not skip, found by a text pass and
+parsed by ``from_csv``, so files with different layouts can be read in one
+job, and the mapping from header cells to columns is done by expressions,
+not on the driver.
 
 Line numbers are exact per file: rows are counted per split, a prefix sum
 over the (small) split table gives each split's first line, and a row's line
-is that plus its position inside the split. ``seq`` is derived from
-(file order, line), so the change log keeps the file's row order.
+is that plus its position inside the split. The same sum over all splits
+gives ``row_index``, dense over the whole upload in (file, line) order;
+``seq`` is derived from it, so the change log keeps the files' row order.
 """
 
 from __future__ import annotations
@@ -38,7 +40,6 @@ NA_TOKENS = (
 # FIXED VALUES: accepted upload file extensions.
 UPLOAD_EXTENSIONS = (".xlsx", ".xls", ".csv")
 
-LINE_BITS = 36  # seq = file_index << 36 | line number within the file
 
 
 def accepted_path(path: str) -> bool:
@@ -280,7 +281,3 @@ def upload_rows_from_cells(cells: DataFrame, profile: TableProfile,
         F.when(F.col("_has_key"), fields).alias("fields"),
         F.col("_has_key").alias("has_key_column"),
     )
-
-
-def upload_seq(file_index, line_no):
-    return F.shiftleft(file_index.cast("bigint"), LINE_BITS) + line_no
