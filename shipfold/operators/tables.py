@@ -3,8 +3,11 @@ S13, P9, A11)."""
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,18 @@ def read_changes(spark: SparkSession, log_root: str) -> DataFrame:
     return spark.read.parquet(log_root)
 
 
+def newest_partition(spark: SparkSession, root: str, name: str) -> int | None:
+    """Largest ``N`` of the partition folders ``name=N`` under ``root``, or
+    None. Taken from the file listing a scan makes anyway; no row is read, so
+    the cost does not grow with the table's rows."""
+    try:
+        files = spark.read.parquet(root).inputFiles()
+    except AnalysisException:
+        return None
+    folder = re.compile(rf"/{re.escape(name)}=(\d+)/")
+    return max((int(m.group(1)) for m in map(folder.search, files) if m), default=None)
+
+
 def publish_snapshot(spark: SparkSession, current: DataFrame, root: str, version: int,
                      cluster_key: str | None = None, files: int | None = None) -> None:
     """Write-new-then-swap: data first, then the commit record.

@@ -64,8 +64,8 @@ class ShipmentStore:
                     "ts timestamp_ntz, batch int")
 
     def next_batch(self) -> int:
-        last = self.changes().agg(F.max("batch")).first()[0]
-        batch = 1 if last is None else int(last) + 1
+        last = TB.newest_partition(self.spark, self.log_path, "batch")
+        batch = 1 if last is None else last + 1
         if batch > MAX_BATCH:
             raise ValueError(f"the change log holds {MAX_BATCH} batches; compact it into a new store")
         return batch

@@ -18,10 +18,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from shipfold.operators.fold import finish, state_aggregates
+from shipfold.operators.tables import newest_partition
 
 
 def start_stream_fold(changes_stream: DataFrame, columns: Sequence[str], sink_dir: str,
@@ -49,11 +49,7 @@ def _newest(versions: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _base_version(spark: SparkSession, sink_dir: str):
-    try:
-        bases = spark.read.parquet(f"{sink_dir.rstrip('/')}/_base")
-    except AnalysisException:
-        return None
-    return bases.agg(F.max("at")).first()[0]
+    return newest_partition(spark, f"{sink_dir.rstrip('/')}/_base", "at")
 
 
 def read_current(spark: SparkSession, sink_dir: str, columns: Sequence[str]) -> DataFrame:
@@ -76,7 +72,8 @@ def compact(spark: SparkSession, sink_dir: str, columns: Sequence[str]) -> int |
     """Fold all versions into one base snapshot at the newest version, so
     later reads skip the older version folders. Returns that version."""
     base = sink_dir.rstrip("/")
-    latest = spark.read.parquet(base).agg(F.max("version")).first()[0]
+    # The newest version folder, from the listing (``_base`` is hidden from it).
+    latest = newest_partition(spark, base, "version")
     if latest is None:
         return None
     # Only versions up to ``latest`` enter the base; a stream may keep writing.
