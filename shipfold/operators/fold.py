@@ -98,15 +98,17 @@ def key_stats(changes: DataFrame) -> DataFrame:
         F.min(F.when(F.col("kind").isin(*INSERT_KINDS), F.col("seq"))).alias("first_insert"))
 
 
-def dispositions(changes: DataFrame) -> DataFrame:
+def dispositions(changes: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Outcome of every change (J1): inserts ``upserted``; patches ``ok`` when
     a row existed before them, ``not_found`` otherwise, ``skipped`` when empty.
 
-    The per-key table has one small row per key; AQE broadcasts it when its
-    measured size is under the threshold, else sort-merge joins with skew
-    splitting for hot keys.
+    ``stats`` (``key_stats`` of the whole log) lets a caller judge a slice of
+    the log; by default it comes from ``changes`` itself. The per-key table
+    has one small row per key; AQE broadcasts it when its measured size is
+    under the threshold, else sort-merge joins with skew splitting for hot
+    keys.
     """
-    stats = key_stats(changes)
+    stats = key_stats(changes) if stats is None else stats
     j = changes.join(stats, "key", "left")
     seq = F.col("seq")
     disp = (F.when(F.col("kind") != F.lit(PATCH), F.lit("upserted"))

@@ -194,10 +194,14 @@ class ShipmentStore:
         return self._outcomes(batch), refused
 
     def _outcomes(self, batch: int) -> DataFrame:
-        lo, hi = batch << BATCH_SHIFT, (batch + 1) << BATCH_SHIFT
-        d = FO.dispositions(self.changes().drop("batch"))
-        return (d.filter((F.col("seq") >= F.lit(lo)) & (F.col("seq") < F.lit(hi)))
-                .select(F.col("key").alias(self.profile.key), "seq", "disposition"))
+        """Outcome of each change of one batch. The batch is read by partition
+        pruning; first inserts come from the log's rows of the keys that batch
+        touches (a semi join), so the log is never joined whole."""
+        log = self.changes()
+        mine = log.filter(F.col("batch") == F.lit(batch)).drop("batch")
+        touched = log.join(mine.select("key").distinct(), "key", "left_semi")
+        d = FO.dispositions(mine, FO.key_stats(touched))
+        return d.select(F.col("key").alias(self.profile.key), "seq", "disposition")
 
     def seed(self, rows: DataFrame, payload_col: str, mapping: Mapping[str, str], ts,
              defaults: Mapping[str, str] | None = None) -> None:
