@@ -16,8 +16,10 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Whole pages and workbooks travel through Arrow: keep input batches small.
+    # Whole pages and workbooks travel through Arrow: keep input batches small,
+    # in rows and in bytes (a batch closes at whichever limit comes first).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.ui.enabled": "false",
     # Fold state is one row per key (as large as the table): keep it in RocksDB,
     # off the JVM heap, with incremental checkpoints.
@@ -42,8 +44,10 @@ SCALE_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     # Runtime broadcast only for sides measured under 64 MB.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-    # Whole pages and workbooks travel through Arrow: keep batches small.
+    # Whole pages and workbooks travel through Arrow: keep batches small, in
+    # rows and in bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 
