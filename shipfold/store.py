@@ -70,6 +70,9 @@ class ShipmentStore:
             raise ValueError(f"the change log holds {MAX_BATCH} batches; compact it into a new store")
         return batch
 
+    def _batch_rows(self, batch: int) -> int:
+        return self.changes().filter(F.col("batch") == F.lit(batch)).count()
+
     def _seq(self, batch: int, position: Column) -> Column:
         """``batch << 40 | position``; a position past 40 bits fails the job
         rather than reorder batches."""
@@ -159,7 +162,10 @@ class ShipmentStore:
                                            F.lit(ts).cast("timestamp_ntz"))
         valid, errors = C.unknown_column_split(changes, self.profile)
         self._append(valid, batch)
-        n_ok, n_bad = valid.count(), rejected.count() + errors.count()
+        # Two passes over the payloads in all: the write, and one row count.
+        # The written batch is counted from its files (partition-pruned).
+        n_ok = self._batch_rows(batch)
+        n_bad = rows.count() - n_ok
         tally = self.spark.createDataFrame([(n_ok, n_bad)], "upserted long, skipped long")
         return tally, errors.select(F.col("key").alias(self.profile.key), "error")
 
