@@ -97,3 +97,23 @@ def test_import_confirm_upload_bulk_stats(spark):
     assert stats[("total", None)] == 3
     assert stats[("by_status", "Unknown")] == 1 and stats[("by_bot_status", "pending")] == 3
     assert store.publish() >= 1 and store.snapshot().count() == 3
+
+
+def test_batch_outcomes_equal_the_whole_log_dispositions(spark):
+    # A batch's outcomes come from its own rows and the first inserts of the
+    # keys it touches; they must equal the dispositions of the whole log.
+    from shipfold.operators import fold as FO
+    from shipfold.store import BATCH_SHIFT
+    store = ShipmentStore(spark, tempfile.mkdtemp(), IMPORT_CONFIRM)
+    early = spark.createDataFrame([(f"k{i}", {"eta": "x"}) for i in range(5)], "k string, m map<string,string>")
+    store.patch(early, "k", "m", T1)  # before any insert: not_found
+    payload = spark.createDataFrame([(json.dumps([{"mawb": f"k{i}", "eta": "y"} for i in range(3)]),)], "t string")
+    store.bulk(payload, "t", T2)
+    late = spark.createDataFrame([(f"k{i}", {"eta": "z"} if i < 4 else {}) for i in range(6)],
+                                 "k string, m map<string,string>")
+    got = sorted((r["mawb"], r["seq"], r["disposition"]) for r in store.patch(late, "k", "m", T3).collect())
+    batch = max(r["seq"] for r in store.changes().collect()) >> BATCH_SHIFT
+    whole = FO.dispositions(store.changes().drop("batch")).filter(F.col("seq") >= F.lit(batch << BATCH_SHIFT))
+    want = sorted((r["key"], r["seq"], r["disposition"]) for r in whole.collect())
+    assert got == want
+    assert [d for _, _, d in got] == ["ok", "ok", "ok", "not_found", "skipped", "skipped"]
