@@ -90,3 +90,12 @@ def test_dense_positions_keep_order_and_stay_small(spark):
         if parts == 300:
             assert pos == list(range(3000))
         assert max(pos) < 1 << 40
+
+
+def test_newest_partition_from_listing(spark):
+    from shipfold.operators.tables import newest_partition
+    root = os.path.join(tempfile.mkdtemp(), "log")
+    assert newest_partition(spark, root, "batch") is None  # no folder yet
+    for b in (2, 10, 9):
+        spark.range(3).write.mode("overwrite").parquet(f"{root}/batch={b}")
+    assert newest_partition(spark, root, "batch") == 10  # numeric, not text order
