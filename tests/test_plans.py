@@ -41,3 +41,18 @@ def test_facet_report_shares_one_exchange(spark):
     final = _plan(df).split("Initial Plan")[0]
     assert final.count("ReusedExchange") == 4
     assert final.count("FileScan") == 1
+
+
+def test_csv_upload_parses_the_data_once(spark, tmp_path):
+    # Two CSV scans: one that parses no column (line counts per split) and
+    # the main scan. Headers come from the small text-pass table, so no
+    # second full parse of the data.
+    import re
+
+    from shipfold.profiles import IMPORT_CONFIRM
+    from shipfold.sources import csv as CSV
+    for i in range(3):
+        (tmp_path / f"u{i}.csv").write_text("M#,ETA\n" + "".join(f"{i}-{j},x\n" for j in range(50)))
+    plan = _plan(CSV.csv_upload_rows(spark, [str(tmp_path)], IMPORT_CONFIRM))
+    schemas = re.findall(r"FileScan csv .*?ReadSchema: (struct<[^>]*>)", plan)
+    assert sorted(schemas) == ["struct<>", "struct<_c0:string,_c1:string>"], schemas
