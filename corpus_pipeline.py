@@ -15,17 +15,29 @@ from pyspark.sql import DataFrame, SparkSession
 from shipfold.llm.best_fit import best_fit
 from shipfold.llm.common import read_table, write_scratch
 from shipfold.llm.exact_dedup import keep_first_copies
+from shipfold.llm.language_id import keep_identified
+from shipfold.llm.simhash_vp import keep_one_of_each
 from shipfold.llm.source_mix import mixed_documents
 
 #: Tokens of several libraries and pseudorandom draws are not SQL.
 ORACLE_SQL = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose fused language is undetermined or in doubt go."""
+    return keep_identified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per text stays: the largest doc_id."""
     return keep_first_copies(docs)
 
 
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays: the smallest doc_id."""
+    return keep_one_of_each(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix draws them: a row per document and pass."""
     return mixed_documents(docs)
@@ -37,7 +49,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", language_id),
     ("exact_dedup", exact_dedup),
+    ("simhash_dedup", simhash_dedup),
     ("source_mix", source_mix),
     ("packing", packing),
 ]

@@ -61,13 +61,13 @@ def with_row_id(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return write_scratch(df.withColumn(rid, F.monotonically_increasing_id()), name), rid
 
 
-def text_slices(batch, column_no: int) -> Iterator[tuple[int, list[str | None]]]:
+def text_slices(batch, column_no: int, most_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of an Arrow batch, bounded in rows and bytes."""
     col = batch.column(column_no)
     n, start = batch.num_rows, 0
     while start < n:
         step = min(SLICE_ROWS, n - start)
-        while step > 1 and col.slice(start, step).nbytes > SLICE_BYTES:
+        while step > 1 and col.slice(start, step).nbytes > most_bytes:
             step = max(1, step // 2)
         yield start, col.slice(start, step).to_pylist()
         start += step

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from shipfold.llm.best_fit import best_fit
 from shipfold.llm.common import read_table
 from shipfold.llm.exact_dedup import exact_dedup
+from shipfold.llm.language_id import identify_tables
+from shipfold.llm.simhash_vp import simhash_components
 from shipfold.llm.source_mix import source_mix
 from shipfold.llm.token_count import token_counts
 
@@ -19,10 +21,18 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(read_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_tables(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -31,7 +41,8 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op6_token_count, op9_exact_dedup, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (
+    op2_source_mix, op5_simhash_vp, op6_token_count, op7_language_id, op9_exact_dedup, op10_best_fit)}
 
 ORACLE = {
     "op9_exact_dedup": """
