@@ -7,20 +7,36 @@ can express the result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shipfold.llm.adaptive_scan import nearest_neighbours
 from shipfold.llm.best_fit import best_fit
 from shipfold.llm.common import read_table
 from shipfold.llm.exact_dedup import exact_dedup
 from shipfold.llm.language_id import identify_tables
+from shipfold.llm.pii_crf import find_pii
 from shipfold.llm.simhash_vp import simhash_components
 from shipfold.llm.source_mix import source_mix
 from shipfold.llm.token_count import token_counts
+from shipfold.llm.zstd_quality import quality_scores
+
+
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(read_table(spark, sf_dir, "documents"))
 
 
+def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0)
+
+
+def op4_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -42,7 +58,8 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_source_mix, op5_simhash_vp, op6_token_count, op7_language_id, op9_exact_dedup, op10_best_fit)}
+    op1_pii_crf, op2_source_mix, op3_adaptive_scan, op4_zstd_quality, op5_simhash_vp, op6_token_count, op7_language_id,
+    op9_exact_dedup, op10_best_fit)}
 
 ORACLE = {
     "op9_exact_dedup": """
