@@ -14,6 +14,7 @@ from shipfold.llm.best_fit import best_fit
 from shipfold.llm.common import read_table
 from shipfold.llm.exact_dedup import exact_dedup
 from shipfold.llm.language_id import identify_tables
+from shipfold.llm.license_scan import license_scan
 from shipfold.llm.pii_crf import find_pii
 from shipfold.llm.simhash_vp import simhash_components
 from shipfold.llm.source_mix import source_mix
@@ -49,6 +50,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_tables(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, its language and its id."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan(read_table(spark, sf_dir, "documents"), path)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -59,7 +66,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pii_crf, op2_source_mix, op3_adaptive_scan, op4_zstd_quality, op5_simhash_vp, op6_token_count, op7_language_id,
-    op9_exact_dedup, op10_best_fit)}
+    op8_license_scan, op9_exact_dedup, op10_best_fit)}
 
 ORACLE = {
     "op9_exact_dedup": """
