@@ -44,9 +44,10 @@ def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def heavy_winners(digests: DataFrame, tracked: int = TRACKED, max_heavy: int = MAX_HEAVY) -> DataFrame:
     """(digest, keep, n) of frequent digests, exact; at most ``max_heavy`` rows."""
-    partial = (digests.groupBy(F.pmod(F.xxhash64(F.col("rid") / F.lit(1 << 33)), F.lit(MERGE_GROUPS)).alias("g"))
+    partial = (digests.groupBy(F.pmod(F.shiftright("rid", 33), F.lit(MERGE_GROUPS)).alias("g"))
                .agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("state")))
-    named = (partial.agg(F.expr(f"approx_top_k_combine(state, {tracked})").alias("state"))
+    # A grouping key, though constant: partitions without summaries then give no empty ones.
+    named = (partial.groupBy((F.col("g") * 0).alias("all")).agg(F.expr(f"approx_top_k_combine(state, {tracked})").alias("state"))
              .select(F.explode(F.expr(f"approx_top_k_estimate(state, {max_heavy})")).alias("e"))
              .where(F.col("e.count") > 1).select(F.col("e.item").alias("digest")))
     return (digests.join(F.broadcast(named), "digest", "left_semi")
