@@ -10,8 +10,9 @@ sequences part full, so groups of ``group_rows`` pieces cost next to nothing.
 
 Ids of a text are the library's ids of its parts between ASCII white space: its
 normaliser and its word pattern act within such parts, and so do the special
-strings, which have no space in them. Parts are remembered per worker up to a fixed
-number.
+strings, which have no space in them. A part of Latin letters with marks after it is
+two pre-tokens, which the library's merges take directly; other parts go
+through the whole library. Both are remembered per worker up to a fixed number.
 
 Defined cases: a null text counts as empty and becomes the end id alone;
 repeated rows are packed each on its own; an empty table gives an empty result.
@@ -19,8 +20,11 @@ repeated rows are packed each on its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,6 +44,21 @@ KEPT = 300_000
 REMEMBERED_BYTES = 48
 
 
+#: A word of Latin letters and the marks after it: two pre-tokens, the first in lower
+#: case. Its letters are composed already, so the normaliser leaves them as they are.
+LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|\"()*%$&#]*)")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class WordIds:
     """Words (UTF-8, no ASCII white space) to token ids, remembered in one flat array."""
 
@@ -47,23 +66,46 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.index: dict[bytes, int] = {}
+        self.parts: dict[str, bytes] = {}
         self.starts = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.n = 0
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, as little-endian 32-bit integers."""
+        out: list = [None] * len(words)
+        hard = []
+        if len(self.parts) > REMEMBERED:
+            self.parts = dict(itertools.islice(self.parts.items(), KEPT))
+        for i, w in enumerate(words):
+            m = LETTERS.fullmatch(w.decode()) if len(w) <= REMEMBERED_BYTES else None
+            if m:
+                out[i] = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
+            else:
+                hard.append(i)
+        whole = self.tokenizer.encode_batch_fast([words[i].decode() for i in hard], add_special_tokens=False)
+        for i, e in zip(hard, whole, strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def part(self, text: str) -> bytes:
+        """Ids of one pre-token, by the library's merges."""
+        got = self.parts.get(text)
+        if got is None:
+            mapped = text.encode().decode("latin-1").translate(BYTE_CHARS)
+            got = self.parts[text] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return got
 
     def learn(self, words: list[bytes]) -> None:
         ids = self.encode(words)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         end = self.starts[self.n]
         need = end + lens.sum()
         while self.n + len(ids) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[end:need] = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+        self.flat[end:need] = np.frombuffer(b"".join(ids), np.uint32)
         self.starts[self.n + 1:self.n + 1 + len(ids)] = end + np.cumsum(lens)
         self.index.update(zip(words, range(self.n, self.n + len(ids)), strict=True))
         self.n += len(ids)
@@ -75,17 +117,19 @@ class WordIds:
         if self.n > REMEMBERED:
             self.index = {w: i for w, i in self.index.items() if i < KEPT}
             self.n = KEPT
-        at = list(map(self.index.get, words))
-        long: dict[bytes, int] = {}
-        if None in at:
-            new = {w for w, i in zip(words, at, strict=True) if i is None}
-            long = {w: 0 for w in new if len(w) > REMEMBERED_BYTES}
-            self.learn(list(new - long.keys()))
+        find = self.index.get
+        at = np.fromiter(map(find, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        long: list[bytes] = []
+        if missing:
+            unknown = [words[i] for i in missing]
+            new = dict.fromkeys(unknown)
+            long = [w for w in new if len(w) > REMEMBERED_BYTES]
+            self.learn([w for w in new if len(w) <= REMEMBERED_BYTES])
             mark = self.n
             if long:  # kept for this call only
-                self.learn(list(long))
-            at = list(map(self.index.get, words))
-        at = np.array(at, np.int64)
+                self.learn(long)
+            at[missing] = list(map(find, unknown))
         lens = self.starts[at + 1] - self.starts[at] if len(at) else np.zeros(0, np.int64)
         ends = np.cumsum(lens)
         flat = self.flat[np.arange(int(lens.sum())) + np.repeat(self.starts[at] - (ends - lens), lens)]
