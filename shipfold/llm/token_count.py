@@ -72,12 +72,12 @@ class _Counts(dict):
         self["\n"] = 1
         self.floor = len(self)
 
-    def learn(self, missing: list[str]) -> None:
-        if len(self) - self.floor + len(missing) > REMEMBERED:
+    def learn(self, merged: dict[str, int]) -> None:
+        if len(self) - self.floor + len(merged) > REMEMBERED:
             kept = dict(itertools.islice(self.items(), self.floor + KEPT))
             self.clear()
             self.update(kept)
-        self.update(zip(missing, merged_counts(self.model, missing), strict=True))
+        self.update(merged)
 
 
 def count_texts(counts: _Counts, texts: list[str | None]) -> list[int]:
@@ -90,11 +90,10 @@ def count_texts(counts: _Counts, texts: list[str | None]) -> list[int]:
         get = counts.get
         got = list(map(get, pre))
         if None in got:
-            rest = {p for p, n in zip(pre, got, strict=True) if n is None}
-            long = {p for p in rest if len(p) > REMEMBERED_CHARS}
-            extra = dict(zip(long, merged_counts(counts.model, list(long)), strict=True)) if long else {}
-            counts.learn(list(rest - long))
-            got = [get(p) or extra.get(p) for p in pre]
+            rest = list({p for p, n in zip(pre, got, strict=True) if n is None})
+            merged = dict(zip(rest, merged_counts(counts.model, rest), strict=True))
+            counts.learn({p: n for p, n in merged.items() if len(p) <= REMEMBERED_CHARS})
+            got = [merged[p] if n is None else n for p, n in zip(pre, got, strict=True)]
         out.append(sum(got))
     return out
 
