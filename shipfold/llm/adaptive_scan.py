@@ -41,6 +41,10 @@ RECALL = 0.97
 COLUMNS = 16
 EPSILON = 2.1
 CHUNK_ROWS = 8192
+#: Below this share of living pairs, blocks of columns are added pair by pair.
+SPARSE = 0.1
+#: Room for single precision in the comparisons of partial distances.
+SLACK = 1e-4
 SEED = 11
 
 
@@ -104,34 +108,42 @@ class Index:
 def scan(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
          k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, id, score) of each query's ``k`` best among ``vectors``, by the adaptive scan."""
-    x, q = index.rotated(vectors, True), index.rotated(queries, False)
+    x, q = (index.rotated(v, rows).astype(np.float32) for v, rows in ((vectors, True), (queries, False)))
     n, d = x.shape
-    first = min(n, max(4 * k, 64))
+    cuts = [*range(0, d, COLUMNS), d]
+    lengths = [(x[:, i:j] ** 2).sum(axis=1) for i, j in zip(cuts, cuts[1:], strict=False)]
+    first = min(n, max(128 * k, n // 8))
     out: list[tuple] = []
-    step = max(1, (1 << 21) // max(1, n))
+    step = max(1, (1 << 20) // max(1, n))
     for at in range(0, len(q), step):
         qs, own = q[at:at + step], query_ids[at:at + step]
-        rest = ids[None, :] != own[:, None]
+        alive = ids[None, :] != own[:, None]
         # The k-th distance among a few candidates is the first bound.
         full = (qs ** 2).sum(axis=1)[:, None] + (x[:first] ** 2).sum(axis=1)[None, :] - 2 * qs @ x[:first].T
-        full = np.where(rest[:, :first], full, np.inf)
-        bound = np.partition(full, k - 1, axis=1)[:, k - 1] if first > k else np.full(len(qs), np.inf)
-        seen = min(COLUMNS, d)
-        part = ((qs[:, :seen] ** 2).sum(axis=1)[:, None] + (x[:, :seen] ** 2).sum(axis=1)[None, :]
-                - 2 * qs[:, :seen] @ x[:, :seen].T)
-        limit = bound * (1 + EPSILON / math.sqrt(seen)) ** 2 * seen / d
-        a, b = np.nonzero((part <= limit[:, None]) & rest)
-        got = part[a, b]
+        full = np.where(alive[:, :first], full, np.inf)
+        bound = np.partition(full, k - 1, axis=1)[:, k - 1] if first > k else np.full(len(qs), np.inf, np.float32)
+
+        # Blocks of columns for all pairs, while many live; then for the living pairs alone.
+        part, seen, pairs = np.zeros(alive.shape, np.float32), 0, None
         while seen < d:
-            upto = min(d, seen + COLUMNS)
-            new = np.empty(len(a))
-            for i in range(0, len(a), 1 << 17):
-                diff = qs[a[i:i + (1 << 17)], seen:upto] - x[b[i:i + (1 << 17)], seen:upto]
-                new[i:i + (1 << 17)] = np.einsum("ij,ij->i", diff, diff)
-            got, seen = got + new, upto
-            limit = bound * ((1 + EPSILON / math.sqrt(seen)) ** 2 * seen / d if seen < d else 1 + 1e-9)
-            stay = got <= limit[a]
-            a, b, got = a[stay], b[stay], got[stay]
+            block, upto = seen // COLUMNS, min(d, seen + COLUMNS)
+            scale = (1 + EPSILON / math.sqrt(upto)) ** 2 * upto / d if upto < d else 1.0
+            limit = bound * scale * (1 + SLACK) + SLACK
+            y = qs[:, seen:upto]
+            if pairs is None:
+                part += (y ** 2).sum(axis=1)[:, None] + lengths[block][None, :]
+                part -= (2 * y) @ x[:, seen:upto].T
+                alive &= part <= limit[:, None]
+                if np.count_nonzero(alive) < SPARSE * alive.size or upto == d:
+                    a, b = np.nonzero(alive)
+                    pairs = part[a, b]
+            else:
+                for i in range(0, len(a), 1 << 17):
+                    diff = y[a[i:i + (1 << 17)]] - x[b[i:i + (1 << 17)], seen:upto]
+                    pairs[i:i + (1 << 17)] += np.einsum("ij,ij->i", diff, diff)
+                stay = pairs <= limit[a]
+                a, b, pairs = a[stay], b[stay], pairs[stay]
+            seen = upto
         score = np.empty(len(a))
         for i in range(0, len(a), 1 << 17):
             score[i:i + (1 << 17)] = np.einsum("ij,ij->i", queries[at + a[i:i + (1 << 17)]], vectors[b[i:i + (1 << 17)]])
