@@ -156,9 +156,10 @@ def scan(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarr
         np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
 
 
-def nearest_neighbours(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
+def nearest_neighbours(df: DataFrame, is_query: Column | str, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
                        recall: float = RECALL, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's ``k`` nearest found. ``is_query`` tests column ``id``."""
+    """(query_id, rank, vec_id, score): each query's ``k`` nearest found. ``is_query`` (or SQL) tests column ``id``."""
+    is_query = F.expr(is_query) if isinstance(is_query, str) else is_query
     v = write_scratch(valid_vectors(df, id_col, vec_col), "scan-vectors")
     names = "query_id bigint, rank int, vec_id bigint, score double"
     facts = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, b: a + b * b)).alias("m"),

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.llm.common import column, text_slices, tokenizer_path, worker_cache, write_scratch
+from shipfold.llm.common import column, map_arrow, text_slices, tokenizer_path, worker_cache, write_scratch
 
 MODEL = "word_bpe_49k.json"
 LENGTH = 2048
@@ -39,8 +39,8 @@ END = 0
 GROUP_ROWS = 50_000
 #: Words that a worker remembers, of at most so many bytes each. Past the number
 #: it keeps the first KEPT, which hold the common ones, and learns the rest anew.
-REMEMBERED = 600_000
-KEPT = 300_000
+REMEMBERED = 300_000
+KEPT = 150_000
 REMEMBERED_BYTES = 48
 
 
@@ -175,7 +175,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  *(pa.array(x, pa.int64()) for x in (start, size, crc))],
                 names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return d.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_arrow(d, run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

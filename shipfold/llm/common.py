@@ -19,6 +19,9 @@ from shipfold.session import scratch_dir
 #: Bytes and rows of text that one Python step holds at a time.
 SLICE_BYTES = 8 << 20
 SLICE_ROWS = 2000
+#: Rows and bytes of an Arrow batch: whole texts travel in it.
+BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 #: Where the public vocabulary files are, unless a caller names another folder.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -61,6 +64,47 @@ def with_row_id(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return write_scratch(df.withColumn(rid, F.monotonically_increasing_id()), name), rid
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def without(docs: DataFrame, keys: list[Column], drop: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose null-safe keys are in ``drop`` (one column a key).
+
+    ``drop`` is a written table: its measured size decides between a broadcast and
+    a shuffle of both sides.
+    """
+    return _on_keys(docs, keys, drop, "left_anti")
+
+
+def only(docs: DataFrame, keys: list[Column], these: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose null-safe keys are in ``these``."""
+    return _on_keys(docs, keys, these, "left_semi")
+
+
+def _on_keys(docs: DataFrame, keys: list[Column], other: DataFrame, how: str) -> DataFrame:
+    names = fresh(docs, *[f"key_{k}" for k in range(len(keys))])
+    right = other.toDF(*names)
+    on = [k.eqNullSafe(right[n]) for k, n in zip(keys, names, strict=True)]
+    return docs.join(right, on, how)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES``.
+
+    The bounds are session settings, so they are lowered there and never raised.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = str(conf.get(key)).lower().removesuffix("b")
+        now = int(now) if now.lstrip("-").isdigit() else 0
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(function, schema)
+
+
 def text_slices(batch, column_no: int, most_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of an Arrow batch, bounded in rows and bytes."""
     col = batch.column(column_no)

@@ -30,14 +30,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.llm.common import column, text_slices, with_row_id, write_scratch
+from shipfold.llm.common import column, map_arrow, text_slices, without, write_scratch
 
 BUCKETS = 1 << 14
 MIN_SHARE = 0.001
 KAPPA = 20.0
 LEAST = 0.5
 UND = "und"
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 # Bytes as the model sees them: lower case, all but letters and non-ASCII a space.
 _SEEN = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
@@ -83,7 +83,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, min_share: float =
 
     counts = np.zeros((len(langs) + 1, BUCKETS))
     if langs:
-        for k, bucket, n in (rows.mapInArrow(count, "lang int, bucket int, n bigint")
+        for k, bucket, n in (map_arrow(rows, count, "lang int, bucket int, n bigint")
                              .groupBy("lang", "bucket").agg(F.sum("n")).toPandas().itertuples(index=False)):
             counts[k, bucket] = n
     counts = counts + 0.5
@@ -121,7 +121,7 @@ def text_evidence(items: DataFrame, model: tuple[list[str], np.ndarray]) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n), *lists],
                                              names=[*names, "grams", "ll", "soft"])
 
-    return items.mapInArrow(score, schema)
+    return map_arrow(items, score, schema)
 
 
 def _sums(rows: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
@@ -188,7 +188,7 @@ def fuse(evidence: DataFrame, langs: list[str], kappa: float = KAPPA, least: flo
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept),
                         "lang string, text_lang string, score double, accepted boolean"])
-    return out.mapInArrow(decide, schema)
+    return map_arrow(out, decide, schema)
 
 
 def page_items(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -221,12 +221,15 @@ def identify(items: DataFrame, labelled: DataFrame, kappa: float = KAPPA, least:
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` whose language is accepted, all columns."""
-    held, rid = with_row_id(docs, "language-documents")
-    items = document_items(held.withColumn("id_", F.col(rid)), "id_", text_col, lang_col, source_col)
-    labelled = held.select(column(held, text_col).alias("text"), F.lower(column(held, lang_col).cast("string")).alias("lang"))
-    kept = identify(items.withColumn("kind", F.lit("documents")), labelled).where("accepted")
-    return held.join(kept.select(F.col("id").alias(rid)), rid, "left_semi").select(
-        *[column(held, c) for c in docs.columns])
+    text, lang, source = (column(docs, c) for c in (text_col, lang_col, source_col))
+    # Rows alike in what is judged are judged alike, so they need no number.
+    keys = [column(docs, id_col), F.xxhash64(text, lang, source)]
+    items = docs.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("id"),
+                        *[c.alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
+    labelled = docs.select(text.alias("text"), F.lower(lang.cast("string")).alias("lang"))
+    judged = identify(document_items(items, "id", "text", "lang", "source").withColumn("kind", F.lit("documents")), labelled)
+    gone = write_scratch(judged.where(~F.col("accepted")).select("id.k0", "id.k1").distinct(), "language-rejected")
+    return without(docs, keys, gone)
 
 
 def identify_tables(documents: DataFrame, pages: DataFrame) -> DataFrame:

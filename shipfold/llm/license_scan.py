@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shipfold.llm.common import column, write_scratch
+from shipfold.llm.common import column, once, write_scratch
 
 HEADER_LEAST = 0.75
 FILE_LEAST = 0.75
@@ -91,11 +91,6 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _weights(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], int]:
     """Term weights from the number of all documents that hold each."""
     known = F.array(*[F.lit(w) for w in vocabulary])
@@ -162,7 +157,7 @@ def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
 
     # One pass over the texts keeps those that a sentence or the whole can match with.
     mark = F.array(*[F.lit(t) for t in anchors(weights, headers, header_least)])
-    facts = _once(F.array_distinct(terms(F.col("text"))), lambda ws: F.struct(
+    facts = once(F.array_distinct(terms(F.col("text"))), lambda ws: F.struct(
         F.size(ws).alias("n"), F.array_intersect(ws, known).alias("hit")))
     some = d.withColumn("facts", facts).select(
         "id", "path", F.monotonically_increasing_id().alias("rid"), "text",

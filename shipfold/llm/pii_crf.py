@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.llm.common import column, text_slices, worker_cache
+from shipfold.llm.common import column, map_arrow, text_slices, worker_cache
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
@@ -444,5 +444,5 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                  pa.array(spans, pa.string()), pa.array(more, pa.int64())],
                 names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return d.mapInArrow(run, (f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS)
+    return map_arrow(d, run, (f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS)
                               + ", base_sha256 string, spans string, n_added bigint")).withColumnRenamed("id", id_col)

@@ -30,10 +30,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.llm.common import column, fresh, text_slices, with_row_id, write_scratch
+from shipfold.llm.common import column, fresh, map_arrow, only, text_slices, without, write_scratch
 from shipfold.llm.components import components
 
 SHINGLE = 4
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, text_col: str, out: str, shingle: int = SHINGL
             got = pa.array(np.array(got, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
 
 # --- the tree -----------------------------------------------------------------
@@ -307,15 +307,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                      max_bits: int = MAX_BITS, leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: each component's smallest id, one row."""
-    held, rid = with_row_id(docs, "simhash-documents")
-    fp = fresh(held, "fp")[0]
-    keyed = held.select(F.col(rid).alias("rid"), column(held, id_col).alias("id"),
-                        column(held, text_col).cast("string").alias("text"))
-    rows = write_scratch(fingerprints(keyed, "text", fp, shingle).select("rid", "id", F.col(fp).alias("fp")),
-                         "simhash-rows")
+    """The rows of ``docs`` that stay, all columns: each component's smallest id, one row.
+
+    Rows are named by id and a hash of their text; a name that is kept and that
+    several rows share (repeated rows) keeps one of them.
+    """
+    text = column(docs, text_col).cast("string")
+    keys = [column(docs, id_col), F.xxhash64(text)]
+    keyed = docs.select(keys[0].alias("id"), keys[1].alias("hash"), text.alias("text"))
+    rows = write_scratch(fingerprints(keyed, "text", "fp", shingle).groupBy("id", "hash", "fp")
+                         .agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
     roots = _roots(rows, "id", max_bits, leaf_points).select("fp", "root")
-    first = rows.join(roots, "fp").groupBy("root").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("keep"))
-    return held.join(first.select(F.col("keep.rid").alias(rid)), rid, "left_semi").select(
-        *[column(held, c) for c in docs.columns])
+    named = rows.join(roots, "fp")
+    first = named.groupBy("root").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("hash").isNull().alias("blank"), "hash")).alias("keep"))
+    judged = named.join(first, "root").withColumn(
+        "stays", F.col("id").eqNullSafe(F.col("keep.id")) & F.col("hash").eqNullSafe(F.col("keep.hash")))
+    gone = write_scratch(judged.where(~F.col("stays") | (F.col("n") > 1)).select("id", "hash", "stays"), "simhash-dropped")
+    kept = without(docs, keys, gone.select("id", "hash"))
+    repeated = gone.where("stays").select("id", "hash")
+    if not repeated.isEmpty():
+        hash_col = fresh(docs, "text_hash")[0]
+        again = only(docs, keys, repeated).withColumn(hash_col, F.xxhash64(text)).dropDuplicates([id_col, hash_col])
+        kept = kept.unionByName(again.select(*[column(again, c) for c in docs.columns]))
+    return kept

@@ -31,14 +31,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shipfold.llm.common import column, fresh, with_row_id, write_scratch
+from shipfold.llm.common import column, fresh, once, with_row_id, write_scratch
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 16384
 MAX_REPEAT = 3
 SEED = 20240229
 #: Rows of one (source, salt) group when running word counts are taken.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 4000
 #: The unit interval is cut into so many cells to look a draw's source up by join.
 CELLS = 4096
 ROUNDS = 12
@@ -134,7 +134,8 @@ def _plan(d: DataFrame, block_words: int, shard_slots: int, max_repeat: int, str
               .groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n")))
     start = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("shard")
                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = (counts.withColumn("start", start)
+    # Numbered, they go apart again: a hot source's slots are not one task's work.
+    taken = (counts.withColumn("start", start).repartition(math.ceil(shards / 4), "shard", "sid")
              .withColumn("i", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
              .join(sources.select("sid", "blocks"), "sid")
              .where(F.col("i") < F.col("blocks") * max_repeat)
@@ -198,8 +199,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = held.join(pieces, F.col(rid) == F.col(r))
     text = column(joined, text_col)
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    part = F.array_join(F.flatten(F.transform(F.col(parts), lambda p: F.slice(words, p["lo"].cast("int") + 1, (
-        p["hi"] - p["lo"]).cast("int")))), " ")
+    part = once(words, lambda ws: F.array_join(F.flatten(F.transform(F.col(parts), lambda p: F.slice(
+        ws, p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), " "))
     new = F.when(F.col(whole), text).otherwise(part)
     out = joined.withColumn(text_col, new)
     if length_col in docs.columns:

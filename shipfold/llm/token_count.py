@@ -21,14 +21,14 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.llm.common import column, text_slices, tokenizer_path, worker_cache
+from shipfold.llm.common import column, map_arrow, text_slices, tokenizer_path, worker_cache
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Merged pre-tokens that a worker remembers. Past the number it keeps the first
 #: KEPT, which hold the common ones, and merges the rest anew.
-REMEMBERED = 600_000
-KEPT = 300_000
+REMEMBERED = 400_000
+KEPT = 200_000
 #: Longer pre-tokens are merged each time, so the memory stays bounded in bytes.
 REMEMBERED_CHARS = 48
 SPACE = "▁"
@@ -121,6 +121,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()),
                                               pa.array(n_tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
-    got = d.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint")
+    got = map_arrow(d, run, f"id {kind}, n_bytes bigint, n_tokens bigint")
     return got.select(F.col("id").alias(id_col), "n_bytes", "n_tokens",
                       (F.col("n_tokens") > limit).alias("over_limit"))

@@ -22,10 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.llm.common import column, text_slices
+from shipfold.llm.common import column, map_arrow, text_slices
 
 TRAIN_ROWS = 4000
-CHUNKS = 16
+CHUNKS = 4
 CHUNK_BYTES = 4096
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
@@ -138,6 +138,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(x)],
                                              names=["id", "score", "difference"])
 
-    out = d.mapInArrow(run, f"id {kind}, score double, difference double")
+    out = map_arrow(d, run, f"id {kind}, score double, difference double")
     return out.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id")) == HELD_OUT, F.lit(False)).alias("held_out"),
                       "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "difference")
