@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 
 from shipfold.functions.milestone import (DIRECT_FUTURE, DIRECT_PAST, MINUTE_FORMAT, ROLLBACK,
                                           RULE_DIRECT, RULE_ROLLBACK, RULE_SCHEDULED)
-from shipfold.functions.text import MISSING_KEY_TOKENS, SCRAPE_NULL_TOKENS, WS_CHARS
+from shipfold.functions.text import (BROWSER_RUN_RE, BROWSER_WS_CHARS, MISSING_KEY_TOKENS,
+                                     SCRAPE_NULL_TOKENS, WS_CHARS)
 
 
 def _sql_str(s: str) -> str:
@@ -39,7 +40,7 @@ def _strip(x: str) -> str:
 FUNCTIONS = {
     "sf_strip": ("s STRING", "STRING", _strip("s")),
     "sf_collapse_ws": ("s STRING", "STRING",
-                       "trim(regexp_replace(s, '(?U)[\\\\s\\\\x1c-\\\\x1f]+', ' '))"),
+                       f"trim(regexp_replace(s, {_sql_str(BROWSER_RUN_RE)}, ' '))"),
     "sf_blank_default": ("s STRING, d STRING", "STRING", "coalesce(nullif(s, ''), d)"),
     "sf_is_missing_key": ("k STRING", "BOOLEAN",
                           f"k IS NULL OR {_strip('k')} IN ({_in(MISSING_KEY_TOKENS)})"),
@@ -52,7 +53,7 @@ FUNCTIONS = {
                         f"THEN NULL ELSE {_strip('coalesce(v, ' + chr(39) * 2 + ')')} END"),
     "sf_tag_split": ("s STRING", "ARRAY<STRING>",
                      "CASE WHEN s IS NULL OR s = '' THEN CAST(array() AS ARRAY<STRING>) "
-                     f"ELSE transform(split(s, ','), t -> {_strip('t')}) END"),
+                     f"ELSE transform(split(s, ','), t -> btrim(t, {_sql_str(BROWSER_WS_CHARS)})) END"),
     "sf_first_int": ("s STRING", "BIGINT",
                      "try_cast(nullif(regexp_extract(s, '(\\\\d+)', 1), '') AS BIGINT)"),
     "sf_html_escape": ("s STRING", "STRING",

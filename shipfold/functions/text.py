@@ -13,7 +13,13 @@ ColumnLike = Column | str
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
             "\u2028\u2029\u202f\u205f\u3000")
-_RUN_RE = r"(?U)[\s\x1c-\x1f]+"
+# FIXED VALUES: white space as a browser's ``trim`` and ``\\s`` see it: with the
+# byte-order mark, without the separator controls and the next-line character.
+BROWSER_WS_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680"
+                    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                    "\u2028\u2029\u202f\u205f\u3000\ufeff")
+BROWSER_RUN_RE = (r"[\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}"
+                  r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+")
 
 # FIXED VALUES: key values treated as missing (case-sensitive), after strip.
 MISSING_KEY_TOKENS = ("", "nan", "None")
@@ -36,9 +42,14 @@ def lower_strip(c: ColumnLike) -> Column:
 
 
 def collapse_ws(c: ColumnLike) -> Column:
-    """Runs of white space become one space, then strip (X2). After the
-    collapse only single spaces remain at the ends, so ``trim`` is enough."""
-    return F.trim(F.regexp_replace(_c(c), _RUN_RE, " "))
+    """Runs of a browser's white space become one space, then strip (X2). After
+    the collapse only single spaces remain at the ends, so ``trim`` is enough."""
+    return F.trim(F.regexp_replace(_c(c), BROWSER_RUN_RE, " "))
+
+
+def browser_trim(c: ColumnLike) -> Column:
+    """Remove leading and trailing white space as a browser does."""
+    return F.btrim(_c(c), F.lit(BROWSER_WS_CHARS))
 
 
 def blank_to_null(c: ColumnLike) -> Column:
@@ -73,7 +84,7 @@ def tag_split(c: ColumnLike) -> Column:
     empty tag (X3)."""
     v = _c(c)
     return F.when(v.isNull() | (v == ""), F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(v, ","), lambda t: strip(t)))
+        F.transform(F.split(v, ","), lambda t: browser_trim(t)))
 
 
 def tag_join(arr: ColumnLike) -> Column:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.functions.text import blank_default
+from shipfold.functions.text import blank_default, first_int
 from shipfold.profiles import BOT_STATUS_FACET_DEFAULT, STATUS_FACET_DEFAULT, TOP_K
 
 
@@ -157,12 +157,13 @@ def copy_check(pages: DataFrame) -> DataFrame:
                         (F.col("dom_rows") == F.col("body_rows") * 2).alias("clone_doubles"))
 
 
-def count_reconcile(extracted: DataFrame, reported: DataFrame, key: str = "page_id") -> DataFrame:
-    """Extracted row count vs the page's reported total (J6): an equi-join on
-    the page key; ``matches`` flags agreement."""
-    j = extracted.join(reported, key, "full_outer")
-    return j.select(key, "extracted", "reported",
-                    F.coalesce(F.col("extracted") == F.col("reported"), F.lit(False)).alias("matches"))
+def count_reconcile(pages: DataFrame) -> DataFrame:
+    """Extracted row count vs the total that the page states (J6, X10): both come
+    from the scan's one parse, so there is no join. ``matches`` flags agreement; a
+    page that states no number does not match."""
+    reported = first_int("reported_total")
+    return pages.select("page_id", F.col("body_rows").cast("bigint").alias("extracted"), reported.alias("reported"),
+                        F.coalesce(F.col("body_rows") == reported, F.lit(False)).alias("matches"))
 
 
 def union_distinct(a: DataFrame, b: DataFrame, col: str = "value") -> DataFrame:

@@ -11,7 +11,7 @@ from shipfold.operators import changes as C
 from shipfold.operators import filters as F_
 from shipfold.operators import fold as FO
 from shipfold.plans.registry import register
-from shipfold.plans.sql_helpers import collapse, strip
+from shipfold.plans.sql_helpers import browser_trim, collapse, strip
 from shipfold.plans.tables import MILESTONES_SQL, milestones_of, table
 
 _STATUS_SQL = ("CASE WHEN NULLIF(ata, '') IS NOT NULL THEN 'Completed' "
@@ -126,7 +126,7 @@ def collapse_ws(spark, sf_dir):
 SELECT doc_id,
        CAST(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(string_split(text, ',')) END AS INTEGER) AS n_tags,
        CASE WHEN text IS NULL OR text = '' THEN ''
-            ELSE array_to_string(list_transform(string_split(text, ','), lambda x: {strip('x')}), ', ') END AS tags
+            ELSE array_to_string(list_transform(string_split(text, ','), lambda x: {browser_trim('x')}), ', ') END AS tags
 FROM documents""")
 def tag_split(spark, sf_dir):
     """Comma lists to trimmed tags (a trailing comma gives an empty

@@ -11,7 +11,7 @@ from shipfold.operators import changes as C
 from shipfold.operators import fold as FO
 from shipfold.operators import normalise as N
 from shipfold.plans.registry import register
-from shipfold.plans.sql_helpers import collapse, strip
+from shipfold.plans.sql_helpers import strip
 from shipfold.plans.tables import table
 from shipfold.profiles import IMPORT_CONFIRM, TableProfile
 from shipfold.session import default_parallelism, partition_count, scratch_dir
@@ -275,52 +275,76 @@ def key_reject(spark, sf_dir):
     return o.select("o_orderkey", T.is_missing_key(key).alias("key_missing"))
 
 
-# -- S5/J6/A12/P3/P4: HTML scan of the pages' navigation lists -------------------
+# -- S5/J6/A12/P3/P4: HTML scan of grid pages over the orders --------------------
 
-_NAV_SQL = f"""
-nav AS (
-  SELECT page_id,
-         regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS hrefs,
-         regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS texts
-  FROM pages
-),
-items AS (
-  SELECT page_id, unnest(range(len(texts))) AS i, unnest(hrefs) AS href, unnest(texts) AS txt FROM nav
+_GRID_ROWS = 100  # orders on a page
+_GRID_LABELS = ("M#", "Status", "Dest Handing Office")
+
+
+def grid_page_table(spark, sf_dir):
+    """Grid pages over ``orders``: header with a filter widget, selection column
+    and gutter; body rows; a frozen clone but on every third page; a stated total,
+    wrong on every fifth page; list items and cells without end tags."""
+    o = table(spark, sf_dir, "orders")
+    td = '<td class="el-table__cell"><div class="cell">'
+    row = F.concat(
+        F.lit('<tr class="el-table__row"><td class="el-table__cell"><input type="checkbox">' + td),
+        F.col("o_orderkey").cast("string"), F.lit("</div></td>" + td + "<span>&nbsp;"), F.col("o_orderstatus"),
+        F.lit("</span>\n</div>" + td + "<ul><li>"), T.html_escape(F.concat(F.lit("<A> & "), "o_orderpriority")),
+        F.lit("<li>\ufeff x\x85y</ul></div></tr>"))
+    pages = (o.withColumn("row", F.struct("o_orderkey", row.alias("html")))
+             .groupBy(F.floor(F.col("o_orderkey") / _GRID_ROWS).alias("page_id"))  # at most _GRID_ROWS rows a group
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["html"]), "").alias("rows"),
+                  F.count(F.lit(1)).alias("n")))
+    heads = "".join(f'<th><div class="cell"><span> {x} </span><ul><li>Option A<li>Option B</ul></div>' for x in _GRID_LABELS)
+    head = ('<thead><tr><th class="el-table-column--selection"><div class="cell">x</div></th>' + heads
+            + '<th class="gutter"></th></tr><tr><th>second</th></tr></thead>')
+    body = F.concat(F.lit('<div class="el-table__body-wrapper"><table><tbody>'), "rows", F.lit("</tbody></table></div>"))
+    clone = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(
+        F.lit('<div class="el-table__fixed"><table>' + head + "<tbody>"), "rows", F.lit("</tbody></table></div>")))
+    total = F.col("n") + F.when(F.col("page_id") % 5 == 0, 1).otherwise(0)
+    return pages.select("page_id", F.concat(
+        F.lit('<div class="el-table"><div class="el-table__header-wrapper"><table>' + head + "</table></div>"), body, clone,
+        F.lit('</div><span class="el-pagination__total">Total '), total.cast("string"), F.lit(" rows</span>")).alias("html"))
+
+
+_GRID_SQL = f"""
+g AS (
+  SELECT o_orderkey // {_GRID_ROWS} AS page_id,
+         CAST(row_number() OVER (PARTITION BY o_orderkey // {_GRID_ROWS} ORDER BY o_orderkey) - 1 AS INTEGER) AS row_no,
+         CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS s,
+         '<A> & ' || o_orderpriority || ' x' || chr(133) || 'y' AS p
+  FROM orders
+), n AS (
+  SELECT page_id, count(*) AS n FROM g GROUP BY page_id
 )"""
 
 
-@register("html_grid_scan", sql=f"""WITH {_NAV_SQL}
-SELECT page_id, CAST(i AS INTEGER) AS row_no, 0 AS col_no, 'link' AS label, {collapse('txt')} AS value FROM items
-UNION ALL
-SELECT page_id, CAST(i AS INTEGER), 1, 'href', href FROM items""")
+@register("html_grid_scan", sql=f"""WITH {_GRID_SQL}
+SELECT page_id, row_no, 1 AS col_no, '{_GRID_LABELS[0]}' AS label, k AS value FROM g
+UNION ALL SELECT page_id, row_no, 2, '{_GRID_LABELS[1]}', s FROM g
+UNION ALL SELECT page_id, row_no, 3, '{_GRID_LABELS[2]}', p FROM g""")
 def html_grid_scan(spark, sf_dir):
-    """S5 on the pages: navigation items as grid rows (list mode)."""
-    pages = table(spark, sf_dir, "pages")
-    return H.grid_cells(H.grid_scan(pages, mode="list")).select(
+    """Body cells of every grid page; the clone's rows, the filter lists, the
+    selection column and the gutter yield none."""
+    return H.grid_cells(H.grid_scan(grid_page_table(spark, sf_dir))).select(
         "page_id", "row_no", "col_no", "label", "value")
 
 
-@register("count_reconcile", sql=f"""WITH {_NAV_SQL}
-SELECT page_id, CAST(len(texts) AS BIGINT) AS extracted,
-       CAST((length(html) - length(replace(html, '<li>', ''))) // 4 AS BIGINT) AS reported,
-       len(texts) = (length(html) - length(replace(html, '<li>', ''))) // 4 AS matches
-FROM nav JOIN pages USING (page_id)""")
+@register("count_reconcile", sql=f"""WITH {_GRID_SQL}
+SELECT page_id, n AS extracted, n + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS reported,
+       page_id % 5 <> 0 AS matches FROM n""")
 def count_reconcile(spark, sf_dir):
-    """Rows the scan extracted per page vs the count the page states
-    (here the raw item markers in its text)."""
-    pages = table(spark, sf_dir, "pages")
-    scanned = H.grid_pages(H.grid_scan(pages, mode="list")).select(
-        "page_id", F.col("body_rows").cast("bigint").alias("extracted"))
-    stated = pages.select("page_id", (F.size(F.split("html", "<li>", -1)) - 1).cast("bigint").alias("reported"))
-    return A.count_reconcile(scanned, stated)
-
-
-@register("copy_check", sql=f"""WITH {_NAV_SQL}
-SELECT page_id, CAST(len(texts) AS INTEGER) AS dom_rows, CAST(len(texts) AS INTEGER) AS body_rows,
-       len(texts) = 2 * len(texts) AS clone_doubles FROM nav""")
+    """Rows the scan extracted per page vs the total the page states."""
+    return A.count_reconcile(H.grid_pages(H.grid_scan(grid_page_table(spark, sf_dir))))
+
+
+@register("copy_check", sql=f"""WITH {_GRID_SQL}
+SELECT page_id, CAST(CASE WHEN page_id % 3 = 0 THEN n ELSE 2 * n END AS INTEGER) AS dom_rows,
+       CAST(n AS INTEGER) AS body_rows, page_id % 3 <> 0 AS clone_doubles FROM n""")
 def copy_check(spark, sf_dir):
-    """All rows vs body rows per page."""
-    return A.copy_check(H.grid_pages(H.grid_scan(table(spark, sf_dir, "pages"), mode="list")))
+    """All rows vs body rows per page; pages without a clone do not double."""
+    return A.copy_check(H.grid_pages(H.grid_scan(grid_page_table(spark, sf_dir))))
 
 
 _CONV_ALIASES = {"user": "question", "assistant": "answer"}

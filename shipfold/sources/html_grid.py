@@ -1,6 +1,6 @@
 """HTML grid scan (S5, J6, A12 inputs).
 
-Pages are parsed one per record inside ``mapInPandas`` (Arrow batches, stdlib
+Pages are read one per record inside ``mapInPandas`` (Arrow batches, stdlib
 ``html.parser``); Spark partitions the pages, so the scan scales with the
 number of executors. Output is long and uniform::
 
@@ -11,17 +11,23 @@ number of executors. Output is long and uniform::
 reported total text and its row counts, so a page with an empty grid is
 still reported.
 
+The reader is a handler of tags as they come: it knows which zone of the grid
+it is in and which texts it is collecting. No tree is built and nothing recurses, so
+deep or unclosed markup costs no more than its length; optional end tags of list
+items and table parts are implied.
+
 Grid rules: only the main header wrapper's first header row is read; the
-trailing gutter cell is skipped; the selection column is kept for
-positioning but yields no cell; a header's label is the text of the first
-direct ``span`` child of its ``.cell`` (else the ``.cell`` text), so a filter
-widget's option list is never swept up; body rows are the
-``tr.el-table__row`` elements inside the body wrapper only, never the frozen
-clone; text has white space collapsed and entities decoded.
+gutter cell is skipped; the selection column is kept for positioning but yields no
+cell; a header's label is the text of the first direct ``span`` child of its
+``.cell`` (else the ``.cell`` text), so a filter widget's option list is never
+swept up; body rows are the ``tr.el-table__row`` elements inside the body wrapper's
+table body only, never the frozen clone; text has the browser's white space
+collapsed and entities decoded.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 from html.parser import HTMLParser
 
@@ -51,173 +57,181 @@ OUT_CHUNK = 50_000  # output rows per Arrow batch handed back to Spark
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
          "param", "source", "track", "wbr"}
 _BLOCK = {"br", "p", "div", "li", "tr", "td", "th", "ul", "ol", "table", "h1", "h2", "h3"}
+# Tags whose end may be left out: a tag that opens ends those of its set that are
+# the innermost structural ones.
+_ENDS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"},
+         **dict.fromkeys(("thead", "tbody", "tfoot"), {"td", "th", "tr", "thead", "tbody", "tfoot"})}
+_STRUCTURE = {*_ENDS, "ul", "ol", "menu", "table"}
+
+# FIXED VALUES: white space as a browser sees it, here for Python workers.
+_SPACE = re.compile("[\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 
 
-class _El:
-    __slots__ = ("tag", "attrs", "classes", "children", "parent")
+def collapse(s: str) -> str:
+    return _SPACE.sub(" ", s).strip(" ")
 
-    def __init__(self, tag, attrs, parent):
-        self.tag = tag
-        self.attrs = dict(attrs)
-        self.classes = set((self.attrs.get("class") or "").split())
-        self.children = []
-        self.parent = parent
 
+class _GridReader(HTMLParser):
+    """Zones of one page, by what is open: each open tag may carry a zone name.
+
+    A zone that may come once (``root``, ``head``, ``thead``, ``labels``, ``body``) is
+    entered by the first tag that fits. Collected texts are lists that grow while
+    their zone is open.
+    """
 
-class _TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _El("#root", [], None)
-        self.cur = self.root
+        self.open: list[tuple[str, str | None]] = []
+        self.count: dict[str, int] = {}    # open tags by name
+        self.nested: list[tuple[str, int]] = []  # structural tags and their places in ``open``
+        self.inside: dict[str, int] = {}   # open zones by name
+        self.seen: set[str] = set()
+        self.sinks: dict[str, list[str]] = {}  # texts that grow
+        self.texts: dict[str, str] = {}        # those of closed cells and spans
+        self.total: str | None = None
+        self.columns: list[str | None] = []  # one for each header cell but the gutter
+        self.places: list[int] = []          # their positions among all header cells
+        self.header_cells = 0
+        self.rows: list[tuple[bool, list[str]]] = []
+
+    def _first(self, zone: str) -> bool:
+        if zone in self.seen:
+            return False
+        self.seen.add(zone)
+        return True
+
+    def _has(self, zone: str) -> bool:
+        return zone in self.sinks or zone in self.texts
+
+    def _zone(self, tag: str, classes: set[str]) -> str | None:
+        """The zone that this tag opens, given those that are open."""
+        inside = self.inside
+        if TOTAL in classes and self._first("total"):
+            return "total"
+        if not inside.get("root"):
+            return "root" if ROOT in classes and self._first("root") else None
+        if inside.get("labels"):
+            if inside.get("cell"):
+                direct = self.open and self.open[-1][1] == "cell"
+                return "span" if tag == "span" and direct and not self._has("span") else None
+            if inside.get("th"):
+                return "cell" if CELL in classes and not self._has("cell") else None
+            direct = self.open and self.open[-1][1] == "labels"
+            if tag == "th" and direct:
+                position, self.header_cells = self.header_cells, self.header_cells + 1
+                if GUTTER in classes:
+                    return None
+                self.places.append(position)
+                self.columns.append(None)
+                return None if SELECTION in classes else "th"
+            return None
+        if inside.get("td"):
+            return "cell" if CELL in classes and not self._has("cell") else None
+        if inside.get("row"):
+            return "td" if tag == "td" and CELL_TD in classes else None
+        if tag == "tr" and ROW in classes:
+            self.rows.append((bool(inside.get("tbody")), []))
+            return "row"
+        if inside.get("head"):
+            if tag == "thead" and self._first("thead"):
+                return "thead"
+            return "labels" if tag == "tr" and inside.get("thead") and self._first("labels") else None
+        if HEADER_WRAPPER in classes and self._first("head"):
+            return "head"
+        if BODY_WRAPPER in classes and self._first("body"):
+            return "body"
+        return "tbody" if tag == "tbody" and inside.get("body") else None
 
     def handle_starttag(self, tag, attrs):
-        el = _El(tag, attrs, self.cur)
-        self.cur.children.append(el)
-        if tag not in _VOID:
-            self.cur = el
+        ends = _ENDS.get(tag, ())
+        while self.nested and self.nested[-1][0] in ends:
+            self._close_to(self.nested[-1][1])
+        classes = set((dict(attrs).get("class") or "").split())
+        zone = self._zone(tag, classes)
+        if tag in _BLOCK:
+            for name in ("td", "cell"):
+                if name in self.sinks and not self.inside.get("labels"):
+                    self.sinks[name].append("\n")
+        if tag in _VOID:
+            return
+        if tag in _STRUCTURE:
+            self.nested.append((tag, len(self.open)))
+        self.open.append((tag, zone))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if zone:
+            self.inside[zone] = self.inside.get(zone, 0) + 1
+            if zone in ("total", "td", "cell", "span", "th"):
+                self.sinks[zone] = []
 
     def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(_El(tag, attrs, self.cur))
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        node = self.cur
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.cur = node.parent
+        if self.count.get(tag):
+            at = len(self.open) - 1
+            while self.open[at][0] != tag:
+                at -= 1
+            self._close_to(at)
 
     def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-def parse(html: str) -> _El:
-    b = _TreeBuilder()
-    b.feed(html or "")
-    b.close()
-    return b.root
-
-
-def _iter(el):
-    for ch in el.children:
-        if isinstance(ch, _El):
-            yield ch
-            yield from _iter(ch)
-
-
-def _find_all(el, tag=None, cls=None):
-    return [e for e in _iter(el) if (tag is None or e.tag == tag) and (cls is None or cls in e.classes)]
-
-
-def _find(el, tag=None, cls=None):
-    for e in _iter(el):
-        if (tag is None or e.tag == tag) and (cls is None or cls in e.classes):
-            return e
-    return None
-
-
-def _text(el, breaks=False) -> str:
-    out = []
-
-    def walk(e):
-        for ch in e.children:
-            if isinstance(ch, str):
-                out.append(ch)
-            else:
-                if breaks and ch.tag in _BLOCK:
-                    out.append("\n")
-                walk(ch)
-
-    walk(el)
-    return "".join(out)
-
-
-def collapse(s: str) -> str:
-    return " ".join(s.split())
-
-
-def _direct(el, tag):
-    return [c for c in el.children if isinstance(c, _El) and c.tag == tag]
+        for sink in self.sinks.values():
+            sink.append(data)
+
+    def _close_to(self, at: int) -> None:
+        while len(self.open) > at:
+            tag, zone = self.open.pop()
+            self.count[tag] -= 1
+            if self.nested and self.nested[-1][1] == len(self.open):
+                self.nested.pop()
+            if zone:
+                self.inside[zone] -= 1
+                self._leave(zone)
+
+    def _leave(self, zone: str) -> None:
+        if zone not in self.sinks:
+            return
+        text = collapse("".join(self.sinks.pop(zone)))
+        if zone == "total":
+            self.total = text
+        elif zone == "td":
+            self.rows[-1][1].append(self.texts.pop("cell", text))
+        elif zone == "th":
+            cell = self.texts.pop("cell", "")
+            self.columns[-1] = self.texts.pop("span", cell)
+        else:
+            self.texts[zone] = text
+
+    def finish(self) -> None:
+        self.close()
+        self._close_to(0)
 
 
 def extract_grid(page_id: int, html: str) -> list[tuple]:
     """Rows for one page in ``GRID_SCHEMA`` order."""
-    doc = parse(html)
-    total_el = _find(doc, cls=TOTAL)
-    reported = collapse(_text(total_el)) if total_el is not None else None
-    root = _find(doc, cls=ROOT)
-    if root is None:
-        return [(page_id, "page", None, None, None, None, None, reported, 0, 0)]
-    headers, kept = [], []
-    hw = _find(root, cls=HEADER_WRAPPER)
-    thead = _find(hw, tag="thead") if hw is not None else None
-    first_tr = _find(thead, tag="tr") if thead is not None else None
-    ths = _direct(first_tr, "th") if first_tr is not None else []
-    for i, th in enumerate(ths):
-        if GUTTER in th.classes:
-            continue
-        kept.append(i)
-        if SELECTION in th.classes:
-            headers.append(None)
-            continue
-        cell = _find(th, cls=CELL)
-        label = ""
-        if cell is not None:
-            span = next(iter(_direct(cell, "span")), None)
-            label = _text(span if span is not None else cell)
-        headers.append(collapse(label))
-    bw = _find(root, cls=BODY_WRAPPER)
-    body_trs = set()
-    if bw is not None:
-        for tb in _find_all(bw, tag="tbody"):
-            body_trs.update(id(t) for t in _find_all(tb, tag="tr", cls=ROW))
-    all_trs = _find_all(root, tag="tr", cls=ROW)
-    out = []
-    body_no = 0
-    for tr in all_trs:
-        in_body = id(tr) in body_trs
-        row_no = body_no if in_body else None
-        tds = _find_all(tr, tag="td", cls=CELL_TD)
-        for j, label in enumerate(headers):
-            if not label:
-                continue
-            idx = kept[j]
-            if idx >= len(tds):
-                continue
-            cell = _find(tds[idx], cls=CELL) or tds[idx]
-            out.append((page_id, "cell", row_no, j, label, collapse(_text(cell, breaks=True)),
-                        in_body, None, None, None))
-        if in_body:
-            body_no += 1
-    out.append((page_id, "page", None, None, None, None, None, reported, len(all_trs), body_no))
-    return out
-
-
-def extract_list(page_id: int, html: str, container: str = "nav", item: str = "li") -> list[tuple]:
-    """List mode: each ``item`` under a ``container`` is a row with cells
-    ``link`` (its text) and ``href`` (its first link's target)."""
-    doc = parse(html)
-    out = []
-    n = 0
-    for cont in _find_all(doc, tag=container):
-        for li in _find_all(cont, tag=item):
-            a = _find(li, tag="a")
-            out.append((page_id, "cell", n, 0, "link", collapse(_text(li)), True, None, None, None))
-            out.append((page_id, "cell", n, 1, "href", (a.attrs.get("href") if a is not None else None),
-                        True, None, None, None))
-            n += 1
-    out.append((page_id, "page", None, None, None, None, None, str(n), n, n))
+    page = _GridReader()
+    page.feed(html or "")
+    page.finish()
+    out, in_body_rows = [], 0
+    for in_body, cells in page.rows:
+        for col_no, (place, label) in enumerate(zip(page.places, page.columns)):
+            if label and place < len(cells):
+                out.append((page_id, "cell", in_body_rows if in_body else None, col_no, label, cells[place],
+                            in_body, None, None, None))
+        in_body_rows += in_body
+    out.append((page_id, "page", None, None, None, None, None, page.total, len(page.rows), in_body_rows))
     return out
 
 
-def _scanner(mode: str):
-    fn = extract_grid if mode == "grid" else extract_list
+def _scanner():
     cols = [c.split()[0] for c in GRID_SCHEMA.split(", ")]
 
     def scan(batches):
         for pdf in batches:
             rows = []
             for pid, html in zip(pdf["page_id"], pdf["html"]):
-                rows.extend(fn(int(pid), html))
+                rows.extend(extract_grid(int(pid), html))
                 if len(rows) >= OUT_CHUNK:
                     yield pd.DataFrame.from_records(rows, columns=cols)
                     rows = []
@@ -227,7 +241,7 @@ def _scanner(mode: str):
     return scan
 
 
-def grid_scan(pages: DataFrame, mode: str = "grid") -> DataFrame:
+def grid_scan(pages: DataFrame) -> DataFrame:
     """Parse ``pages(page_id, html)`` into the long grid frame.
 
     Parsing is CPU-bound per page, so an input with fewer partitions than the
@@ -239,7 +253,7 @@ def grid_scan(pages: DataFrame, mode: str = "grid") -> DataFrame:
     cores = default_parallelism(pages.sparkSession)
     if (partition_count(src) or cores) < cores:
         src = src.repartition(cores)
-    return src.mapInPandas(_scanner(mode), GRID_SCHEMA)
+    return src.mapInPandas(_scanner(), GRID_SCHEMA)
 
 
 def grid_cells(scan: DataFrame) -> DataFrame:

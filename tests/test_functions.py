@@ -83,3 +83,12 @@ def test_paging_and_facets(spark):
     ties = spark.createDataFrame([(f"c{i:02d}",) for i in range(12)] + [("c05",)], "a string")
     top = A.top_k(ties, "a", 10).collect()
     assert [r["label"] for r in top] == ["c05"] + [f"c{i:02d}" for i in range(10) if i != 5]
+
+
+def test_browser_and_python_white_space(spark):
+    """Collapse and tags use the browser's set: U+FEFF goes, U+0085 and U+001C stay; strip uses Python's."""
+    from shipfold.functions import text as T
+    df = spark.createDataFrame([("\ufeff a\x85\x1cb \u00a0c\x1c",)], "a string")
+    r = df.select(T.collapse_ws("a").alias("c"), T.strip("a").alias("s"), T.tag_split("a").alias("t")).first()
+    assert r.c == "a\x85\x1cb c\x1c" and r.t == ["a\x85\x1cb \u00a0c\x1c"]
+    assert r.s == "\ufeff a\x85\x1cb \u00a0c" == "\ufeff a\x85\x1cb \u00a0c\x1c".strip()

@@ -93,3 +93,47 @@ def test_full_grid_golden_counts(spark):
     assert mapped.count() == 25
     assert len(mapped.first()["fields"]) == 28
     assert N.unmapped_labels(cells, SCRAPE_LABEL_ALIASES).count() == 0
+
+
+def test_deep_and_unclosed_markup(spark):
+    """Neither nesting depth nor missing end tags fail a page or cost more than its length."""
+    deep = "<div>" * 30_000 + grid_page(ROWS, 3)
+    unclosed = "<ul>" + "<li>x" * 20_000 + "</ul>" + grid_page(ROWS, 3)
+    pages = spark.createDataFrame([(1, deep), (2, unclosed), (3, "</div>" * 20_000 + "<div>" * 20_000), (4, None), (5, "")],
+                                  "page_id long, html string")
+    scan = H.grid_scan(pages)
+    got = {r["page_id"]: (r["dom_rows"], r["body_rows"]) for r in H.grid_pages(scan).collect()}
+    assert got == {1: (6, 3), 2: (6, 3), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
+def test_optional_end_tags_are_implied():
+    html = ('<div class="el-table"><div class="el-table__header-wrapper"><table><thead><tr><th><div class=cell>A</div>'
+            '<th><div class=cell>B</div><th class=gutter></table></div><div class="el-table__body-wrapper"><table><tbody>'
+            '<tr class="el-table__row"><td class="el-table__cell">1<td class="el-table__cell"><ul><li>x<li>y</ul>'
+            '<tr class="el-table__row"><td class="el-table__cell"><div class="cell">2</div> after<td class="el-table__cell">z')
+    cells = [(r[2], r[4], r[5]) for r in H.extract_grid(1, html) if r[1] == "cell"]
+    assert cells == [(0, "A", "1"), (0, "B", "x y"), (1, "A", "2"), (1, "B", "z")]
+
+
+def test_text_has_the_browsers_white_space():
+    assert H.collapse("\ufeff a\x85b \u2003\x1cc\n") == "a\x85b \x1cc"
+
+
+def test_grid_path_end_to_end(spark):
+    """Pages, grid scan, label map, bulk changes, fold; the counts agree where the page's total does."""
+    from pyspark.sql import functions as F
+    from shipfold.operators import changes as C
+    from shipfold.operators import fold as FO
+    from shipfold.plans.queries_sources import grid_page_table
+    from shipfold.profiles import IMPORT_CONFIRM
+    scan = H.grid_scan(grid_page_table(spark, "/root/testdata/sf0.001"))
+    cells = H.grid_cells(scan)
+    rows = N.label_map(cells, SCRAPE_LABEL_ALIASES, "mawb")
+    ch, rejected = C.bulk_changes(rows, IMPORT_CONFIRM, F.struct("page_id", "row_no"), F.lit("2030-01-01 00:00:00"))
+    assert rejected.count() == 0
+    current = FO.fold_current(ch, IMPORT_CONFIRM) if hasattr(FO, "fold_current") else ch
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert current.count() == orders
+    counts = A.count_reconcile(H.grid_pages(scan))
+    assert counts.agg(F.sum("extracted")).first()[0] == orders
+    assert {(r.page_id % 5 != 0) == r.matches for r in counts.collect()} == {True}
