@@ -113,14 +113,25 @@ def _dst_src(mapping: Mapping[str, str], key) -> str:
     return key
 
 
+def table_spelling(fields: ColumnLike, profile: TableProfile) -> Column:
+    """Field names folded to the table's spelling: names are SQL identifiers,
+    which match without case. A name given in two spellings keeps its last value."""
+    from shipfold.sources.json import last_entries
+    names = literal_map({c.lower(): c for c in profile.columns})
+    folded = F.transform(F.map_entries(_c(fields)), lambda e: F.struct(
+        F.coalesce(F.try_element_at(names, F.lower(e["key"])), e["key"]).alias("key"), e["value"].alias("value")))
+    return F.transform(F.array(folded), last_entries)[0]
+
+
 def unknown_column_split(changes: DataFrame, profile: TableProfile,
-                         extra_known: tuple[str, ...] = ("last_updated",)) -> tuple[DataFrame, DataFrame]:
+                         extra_known: tuple[str, ...] = ("last_updated", "id")) -> tuple[DataFrame, DataFrame]:
     """A change naming a column the table lacks fails alone (F13):
-    ``(valid, errors)``; errors carry the sorted unknown names as the reason."""
-    known = F.array(*[F.lit(c) for c in sorted(set(profile.columns) | set(extra_known))])
-    bad = F.array_sort(F.array_except(F.map_keys("fields"), known))
+    ``(valid, errors)``; errors carry the sorted unknown names as the reason.
+    Names match without case, and valid changes carry the table's spelling."""
+    known = F.array(*[F.lit(c.lower()) for c in sorted(set(profile.columns) | set(extra_known))])
+    bad = F.array_sort(F.filter(F.map_keys("fields"), lambda k: ~F.array_contains(known, F.lower(k))))
     tagged = changes.withColumn("unknown", bad)
-    valid = tagged.filter(F.size("unknown") == 0).drop("unknown")
+    valid = tagged.filter(F.size("unknown") == 0).drop("unknown").withColumn("fields", table_spelling("fields", profile))
     errors = tagged.filter(F.size("unknown") > 0).withColumn(
         "error", F.concat(F.lit("no such column: "), F.array_join("unknown", ", ")))
     return valid, errors

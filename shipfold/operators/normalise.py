@@ -88,7 +88,7 @@ def label_map(cells: DataFrame, aliases: Mapping[str, str], key: str,
     values ``'' nan none -`` (any case) dropped, rows without a key dropped.
 
     A label seen twice in a row keeps its last cell (even when blank); then
-    blanks drop out and, per column, the last remaining cell wins.
+    blanks drop out and, per column, the label that first appears last wins.
 
     Skew-safe: cells are first reduced per (row, label) with a partial
     aggregate, so the per-row collect holds at most one entry per alias
@@ -101,7 +101,8 @@ def label_map(cells: DataFrame, aliases: Mapping[str, str], key: str,
         token_clean_scrape("value").alias("value"),
     ).filter(F.col("column").isNotNull())
     per_label = mapped.groupBy(*row_cols, "label").agg(
-        F.max(F.struct("col_no", "column", "value")).alias("c"))
+        F.min("col_no").alias("first"), F.max(F.struct("col_no", "column", "value")).alias("c"))
+    per_label = per_label.withColumn("c", F.struct("first", "c.column", "c.value"))
     grouped = (per_label.filter(F.col("c.value").isNotNull())
                .groupBy(*row_cols).agg(F.array_sort(F.collect_list("c")).alias("cells")))
     cells_col = F.col("cells")

@@ -8,7 +8,7 @@ total, so every order carries the unique key as its last term.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shipfold.profiles import DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE
@@ -21,61 +21,18 @@ def check_page(page: int, page_size: int) -> None:
         raise ValueError(f"page_size must be within 1..{MAX_PAGE_SIZE}")
 
 
-# Beyond this many rows (offset + size) a page is found by range counts
-# instead of a per-partition top-(offset + size).
-DEEP_PAGE_ROWS = 100_000
-# Target rows per range partition when locating a deep page.
-DEEP_PAGE_SLICE = 1_000_000
-
-
 def page_desc(df: DataFrame, order_col: str, page: int = 1,
-              page_size: int = DEFAULT_PAGE_SIZE, deep_rows: int = DEEP_PAGE_ROWS,
-              slice_rows: int = DEEP_PAGE_SLICE) -> DataFrame:
+              page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Newest first: ``ORDER BY order_col DESC LIMIT size OFFSET (page-1)*size``
-    (L1). ``order_col`` must be unique.
-
-    Shallow pages are a ``TakeOrderedAndProject``. Deep pages (offset + size
-    above ``deep_rows``) are located exactly without holding offset rows in
-    any task: only the order column is range-partitioned into slices of
-    about ``slice_rows`` rows, with one small row per slice (count, min,
-    max); a running sum over those rows finds the few consecutive slices
-    that hold the page, only they go to the driver, and the page is read
-    from their key range alone.
+    (L1); rows without an order value come last. ``order_col`` must be unique.
+
+    One plan at every offset. Walking far into a large table is cheaper
+    page by page with ``page_after``, which reads from the last key on.
     """
     check_page(page, page_size)
     offset = (page - 1) * page_size
-    if offset + page_size <= deep_rows:
-        ordered = df.orderBy(F.col(order_col).desc())
-        return (ordered.offset(offset) if offset else ordered).limit(page_size)
-    return _deep_page(df, order_col, offset, page_size, slice_rows)
-
-
-def _deep_page(df: DataFrame, order_col: str, offset: int, page_size: int,
-               slice_rows: int) -> DataFrame:
-    keys = df.select(F.col(order_col).alias("_k"))
-    total = keys.count()
-    if offset >= total:
-        return df.limit(0)
-    n_slices = max(1, -(-total // slice_rows))
-    stats = (keys.repartitionByRange(n_slices, F.col("_k").desc())
-             .groupBy(F.spark_partition_id().alias("_p"))
-             .agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi")))
-    # Rows before each slice, newest slice first: a running sum over the
-    # slice table (one small row per slice). Only the slices that hold the
-    # page reach the driver: one or two, as a page is far smaller than a slice.
-    newest_first = Window.orderBy(F.col("hi").desc())
-    before = F.coalesce(F.sum("n").over(newest_first.rowsBetween(Window.unboundedPreceding, -1)),
-                        F.lit(0))
-    located = (stats.withColumn("before", before)
-               .filter((F.col("before") < F.lit(offset + page_size))
-                       & (F.col("before") + F.col("n") > F.lit(offset)))
-               .orderBy(F.col("hi").desc()).collect())
-    first, last = located[0], located[-1]
-    skip = offset - first["before"]
-    hi, lo = first["hi"], last["lo"]
-    window = df.filter((F.col(order_col) <= F.lit(hi)) & (F.col(order_col) >= F.lit(lo)))
-    ordered = window.orderBy(F.col(order_col).desc())
-    return (ordered.offset(skip) if skip else ordered).limit(page_size)
+    ordered = df.orderBy(F.col(order_col).desc())
+    return (ordered.offset(offset) if offset else ordered).limit(page_size)
 
 
 def page_after(df: DataFrame, order_col: str, last_seen, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:

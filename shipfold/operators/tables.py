@@ -4,7 +4,7 @@ S13, P9, A11)."""
 from __future__ import annotations
 
 import re
-
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -31,13 +31,18 @@ def reset_tables(spark: SparkSession, root: str, current: Mapping[str, DataFrame
     cleared, reseeded)``, the reseeded counts read back from what was
     written.
     """
-    cleared = table_counts(current).withColumnRenamed("row_count", "cleared")
+    # Counted before anything is written: the tables may be those under ``root``.
+    cleared = spark.createDataFrame([tuple(r) for r in table_counts(current).collect()],
+                                    "table_name string, cleared long")  # a row a table
     written = {}
     for name, df in current.items():
         seed = seeds.get(name, df.limit(0))
         path = f"{root.rstrip('/')}/{name}"
-        seed.write.mode("overwrite").parquet(path)
-        written[name] = spark.read.parquet(path)
+        # Written beside the old version first, as the seed may read the table itself.
+        new = f"{root.rstrip('/')}/_reset/{name}-{uuid.uuid4().hex[:12]}"
+        seed.write.parquet(new)
+        spark.read.schema(seed.schema).parquet(new).write.mode("overwrite").parquet(path)
+        written[name] = spark.read.schema(seed.schema).parquet(path)
     reseeded = table_counts(written).withColumnRenamed("row_count", "reseeded")
     return cleared.join(reseeded, "table_name")
 
@@ -66,15 +71,18 @@ def column_options(spark: SparkSession, grid: Sequence[tuple[str, str, str, str
 # -- S11: change-log appends and snapshot publication -------------------------
 #
 # Writes never update in place. A change batch is appended as its own
-# partition (rewriting the same batch id replaces it, so a retried job is
-# harmless). A snapshot is written to a new version folder first; only then
-# is the version recorded in a small commit table. Readers take the newest
+# partition; only a caller that owns its batch id may write it again after a
+# failure. A snapshot is written to a new version folder first; only then is
+# the version recorded in a small commit table. Readers take the newest
 # committed version, so they see either the old or the new snapshot whole.
 
 
-def append_changes(changes: DataFrame, log_root: str, batch_id: int) -> None:
-    """Append one batch of changes to the log (idempotent per batch id)."""
-    changes.write.mode("overwrite").parquet(f"{log_root.rstrip('/')}/batch={int(batch_id)}")
+def append_changes(changes: DataFrame, log_root: str, batch_id: int, replace: bool = True) -> None:
+    """Append one batch of changes to the log. With ``replace`` the same batch id
+    replaces itself (a retried job that owns its id); without it a batch that is
+    there fails the call, so that two writers never lose one another's."""
+    mode = "overwrite" if replace else "errorifexists"
+    changes.write.mode(mode).parquet(f"{log_root.rstrip('/')}/batch={int(batch_id)}")
 
 
 def read_changes(spark: SparkSession, log_root: str) -> DataFrame:

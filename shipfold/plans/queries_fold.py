@@ -71,22 +71,15 @@ def disposition_tally(spark, sf_dir):
     return A.disposition_tally(FO.dispositions(events_changes_of(spark, sf_dir)))
 
 
-_SEEDED = "event_type = 'signup' AND ts < TIMESTAMP '2024-01-02 00:00:00'"
-
-
-@register("not_found_keys", sql=f"""
-SELECT DISTINCT user_id FROM events WHERE event_type IN ('click', 'view')
-  AND user_id NOT IN (SELECT user_id FROM events WHERE {_SEEDED})""")
+@register("not_found_keys", sql="""
+SELECT c_custkey AS user_id FROM customer
+WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type IN ('signup', 'purchase', 'error'))""")
 def not_found_keys(spark, sf_dir):
-    """Patch keys with no current row, the table being the rows seeded on
-    the first day; a left-anti join."""
-    ev = table(spark, sf_dir, "events")
-    from shipfold.plans.tables import events_changes
-    seeded = FO.fold(events_changes(ev.filter(
-        (F.col("event_type") == "signup") & (F.col("ts") < F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")))),
-        EVENT_COLUMNS)
-    patches = events_changes(ev.filter(F.col("event_type").isin("click", "view")))
-    return FO.not_found_keys(patches, seeded).select(F.col("key").cast("bigint").alias("user_id"))
+    """Write-backs to every customer, against the table that the whole log
+    folds to; a left-anti join gives the keys without a row."""
+    current = FO.fold(events_changes_of(spark, sf_dir), EVENT_COLUMNS)
+    patches = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    return FO.not_found_keys(patches, current).select(F.col("key").cast("bigint").alias("user_id"))
 
 
 @register("ingest_tally", sql="""
@@ -132,11 +125,14 @@ def patch_fields(spark, sf_dir):
 SELECT event_id,
        CASE WHEN event_type = 'click' THEN 'last_updated,value'
             WHEN event_type = 'view' THEN 'last_updated,props'
+            WHEN event_type = 'error' THEN 'last_updated,value'
+            WHEN event_type = 'purchase' THEN 'last_updated' || CASE WHEN props IS NULL THEN '' ELSE ',props' END
+                 || CASE WHEN value IS NULL THEN '' ELSE ',value' END
             ELSE 'last_updated,props,value' END AS updated
-FROM events WHERE event_type <> 'error'""")
+FROM events""")
 def changed_columns(spark, sf_dir):
     """Names a change sets, plus the stamp, sorted (comma-joined)."""
-    ch = events_changes_of(spark, sf_dir, ("signup", "purchase", "click", "view"))
+    ch = events_changes_of(spark, sf_dir)
     return ch.select(F.col("seq").alias("event_id"),
                      F.array_join(N.changed_columns("fields"), ",").alias("updated"))
 

@@ -84,7 +84,12 @@ def reset_report(spark, sf_dir):
                "atd_ata": miles}
     seeds = {"import_confirm": ship.filter(F.col("pod") == "1-URGENT"),
              "atd_ata": miles.filter(F.col("ata").isNotNull())}
-    return TB.reset_tables(spark, scratch_dir(spark, "reset"), current, seeds)
+    # The tables as stored under the root that is reset.
+    root = scratch_dir(spark, "reset")
+    for name, df in current.items():
+        df.write.parquet(f"{root}/{name}")
+    current = {name: spark.read.parquet(f"{root}/{name}") for name in current}
+    return TB.reset_tables(spark, root, current, seeds)
 
 
 @register("seed_if_empty", sql=f"""WITH {MILESTONES_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -102,6 +103,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:
         current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master or ""):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="shipfold-ckpt-")
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)

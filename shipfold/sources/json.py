@@ -20,10 +20,38 @@ FLAT_BATCH = "struct<mawbs:array<string>,field:string,value:string>"
 FLAT_BATCH_FIELDS = ("atd", "ata")
 
 
+MALFORMED = "malformed JSON body"
+
+
+def last_wins(m: ColumnLike) -> Column:
+    """A map whose repeated keys keep their last value."""
+    return F.transform(F.array(F.map_entries(_c(m))), last_entries)[0]
+
+
+def last_entries(entries: Column) -> Column:
+    keys = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last))
+
+
 def parse_row_array(text: ColumnLike) -> Column:
     """JSON array of objects -> ``array<map<string,string>>``; non-string
-    values keep their JSON text (numbers, true/false); NULL stays NULL."""
-    return F.from_json(_c(text), ROW_ARRAY)
+    values keep their JSON text (numbers, true/false); a key given twice keeps its
+    last value; NULL, and a body that is not such an array, give NULL."""
+    return F.transform(F.from_json(_c(text), ROW_ARRAY), last_wins)
+
+
+def json_rejects(df: DataFrame, text: ColumnLike, *keep: str) -> DataFrame:
+    """Bodies that are refused whole because they do not parse: ``*keep, reason``.
+    A NULL body is one that was not sent, and is no reject."""
+    return (df.filter(_c(text).isNotNull() & F.from_json(_c(text), ROW_ARRAY).isNull())
+            .select(*keep, F.lit(MALFORMED).alias("reason")))
+
+
+def nested_batch_rejects(df: DataFrame, payload: ColumnLike, *keep: str) -> DataFrame:
+    """Nested batches that are refused whole, with the reason."""
+    return (df.filter(_c(payload).isNotNull() & nested_batch_items(payload).isNull())
+            .select(*keep, F.lit(MALFORMED).alias("reason")))
 
 
 def explode_rows(df: DataFrame, text: ColumnLike, *keep: str) -> DataFrame:
@@ -65,7 +93,7 @@ def explode_nested_batch(df: DataFrame, payload: ColumnLike, *keep: str) -> Data
     non-NULL fields (S7, P10)."""
     ex = df.select(*keep, F.posexplode(nested_batch_items(payload)).alias("pos", "item"))
     return ex.select(*keep, "pos", F.col("item.mawb").alias("key"),
-                     F.map_filter(F.coalesce(F.col("item.result"), F.create_map().cast("map<string,string>")),
+                     F.map_filter(last_wins(F.coalesce(F.col("item.result"), F.create_map().cast("map<string,string>"))),
                                   lambda k, v: v.isNotNull()).alias("result"))
 
 

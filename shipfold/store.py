@@ -2,7 +2,7 @@
 
 ``ShipmentStore`` offers the record service's calls as DataFrame methods:
 uploads, bulk ingest, single and batch write-backs, listing with filters and
-pages, point lookups, statistics, reset. Every write appends one batch to the
+pages, point lookups, statistics. Every write appends one batch to the
 log (``root/log/batch=N``); reads fold the log (or read a published snapshot).
 Nothing passes through the driver except batch numbers and counts.
 
@@ -82,7 +82,7 @@ class ShipmentStore:
             F.raise_error(F.lit(f"more than 2^{BATCH_SHIFT} rows in one batch")).cast("bigint"))
 
     def _append(self, changes: DataFrame, batch: int) -> None:
-        TB.append_changes(changes.select(*C.CHANGE_COLUMNS), self.log_path, batch)
+        TB.append_changes(changes.select(*C.CHANGE_COLUMNS), self.log_path, batch, replace=False)
 
     # -- reads ---------------------------------------------------------------
     def current(self) -> DataFrame:
@@ -153,8 +153,8 @@ class ShipmentStore:
 
     def bulk(self, payloads: DataFrame, text_col: str, ts) -> tuple[DataFrame, DataFrame]:
         """Bulk JSON arrays (one per row of ``payloads``): blanks overwrite with
-        NULL; rows naming unknown columns fail alone. Returns ``(tally,
-        errors)``; the tally counts rows (``upserted``, ``skipped``)."""
+        NULL; rows naming unknown columns fail alone; a body that does not parse is
+        refused whole. Returns ``(tally, errors)``, a refused body without a key; the tally counts rows (``upserted``, ``skipped``)."""
         batch = self.next_batch()
         rows = C.dense_positions(
             payloads.select(F.posexplode(J.parse_row_array(text_col)).alias("_p", "fields")), "_pos")
@@ -167,7 +167,9 @@ class ShipmentStore:
         n_ok = self._batch_rows(batch)
         n_bad = rows.count() - n_ok
         tally = self.spark.createDataFrame([(n_ok, n_bad)], "upserted long, skipped long")
-        return tally, errors.select(F.col("key").alias(self.profile.key), "error")
+        refused = J.json_rejects(payloads, text_col).select(
+            F.lit(None).cast("string").alias(self.profile.key), F.col("reason").alias("error"))
+        return tally, errors.select(F.col("key").alias(self.profile.key), "error").unionByName(refused)
 
     def patch(self, patches: DataFrame, key_col: str, payload_col: str, ts,
               position_col: str | None = None) -> DataFrame:

@@ -169,3 +169,37 @@ def test_csv_header_after_blank_lines_and_quoted_header(spark):
     ]
     heads = CSV.header_lines(spark, [tmp])
     assert CSV.header_width(heads) == 4  # the quoted comma over-counts by one
+
+
+def test_repeated_keys_and_malformed_bodies(spark):
+    """A key given twice keeps its last value; a body that does not parse is refused whole, with a reason."""
+    df = spark.createDataFrame([(1, '[{"mawb":"1","eta":"a","eta":"b"}]'), (2, '[{"mawb":"2"},{"mawb":'), (3, "nonsense"), (4, None),
+                                (5, "[]")], "id int, p string")
+    rows = J.explode_rows(df, "p", "id").collect()
+    assert [(r.id, r.fields) for r in rows] == [(1, {"mawb": "1", "eta": "b"})]
+    assert sorted((r.id, r.reason) for r in J.json_rejects(df, "p", "id").collect()) == [(2, J.MALFORMED), (3, J.MALFORMED)]
+    nested = spark.createDataFrame([(1, '{"items":[{"mawb":"1","result":{"atd":"x","atd":"y"}}]}'), (2, "{"), (3, "{}")], "id int, p string")
+    assert [(r.id, r.result) for r in J.explode_nested_batch(nested, "p", "id").collect()] == [(1, {"atd": "y"})]
+    assert sorted(r.id for r in J.nested_batch_rejects(nested, "p", "id").collect()) == [2, 3]
+
+
+def test_column_names_match_without_case(spark):
+    from pyspark.sql import functions as F
+    from shipfold.operators import changes as C
+    from shipfold.profiles import IMPORT_CONFIRM
+    df = spark.createDataFrame([(1, {"mawb": "1", "Status": "New"}), (2, {"mawb": "2", "status": "a", "STATUS": "b", "id": "7"}),
+                                (3, {"mawb": "3", "nope": "x"})], "n int, fields map<string,string>")
+    ch, _ = C.bulk_changes(df, IMPORT_CONFIRM, F.col("n"), F.lit("2030-01-01 00:00:00"), apply_defaults=False)
+    valid, errors = C.unknown_column_split(ch, IMPORT_CONFIRM)
+    got = {r.key: r.fields for r in valid.collect()}
+    assert got["1"]["status"] == "New" and set(got) == {"1", "2"} and got["2"]["status"] in ("a", "b") and "STATUS" not in got["2"]
+    assert [r.error for r in errors.collect()] == ["no such column: nope"]
+
+
+def test_interleaved_repeated_label(spark):
+    """Labels A, B, A of one column: B first appears last, so B wins."""
+    from shipfold.operators import normalise as N
+    cells = spark.createDataFrame([(1, 0, 0, "M#", "k"), (1, 0, 1, "A", "a1"), (1, 0, 2, "B", "b"), (1, 0, 3, "A", "a2")],
+                                  "page_id int, row_no int, col_no int, label string, value string")
+    got = N.label_map(cells, {"m#": "mawb", "a": "x", "b": "x"}, "mawb").first()
+    assert got["fields"] == {"mawb": "k", "x": "b"}

@@ -117,3 +117,23 @@ def test_batch_outcomes_equal_the_whole_log_dispositions(spark):
     want = sorted((r["key"], r["seq"], r["disposition"]) for r in whole.collect())
     assert got == want
     assert [d for _, _, d in got] == ["ok", "ok", "ok", "not_found", "skipped", "skipped"]
+
+
+def test_a_batch_is_never_written_over(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+    from shipfold.operators import tables as TB
+    ch = spark.createDataFrame([("1", 1)], "key string, seq long")
+    TB.append_changes(ch, str(tmp_path), 1)
+    with pytest.raises(AnalysisException):
+        TB.append_changes(ch, str(tmp_path), 1, replace=False)
+
+
+def test_reset_of_stored_tables(spark, tmp_path):
+    """Tables under the root that is reset, one seeded from itself, one without a seed."""
+    from shipfold.operators import tables as TB
+    for name in ("a", "b"):
+        spark.range(10).write.parquet(f"{tmp_path}/{name}")
+    current = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in ("a", "b")}
+    got = TB.reset_tables(spark, str(tmp_path), current, {"a": current["a"].where("id < 3")})
+    assert sorted(map(tuple, got.collect())) == [("a", 10, 3), ("b", 10, 0)]
