@@ -82,20 +82,50 @@ def not_found_keys(spark, sf_dir):
     return FO.not_found_keys(patches, current).select(F.col("key").cast("bigint").alias("user_id"))
 
 
-@register("ingest_tally", sql="""
-SELECT event_type AS source,
-       COUNT(*) FILTER (WHERE event_type IN ('signup', 'purchase', 'error')) AS upserted,
-       COUNT(*) FILTER (WHERE event_type NOT IN ('signup', 'purchase', 'error')) AS skipped,
-       CAST(0 AS BIGINT) AS errors
-FROM events GROUP BY event_type""")
+_BODY_ROWS = 64  # records of one bulk request
+
+
+@register("ingest_tally", sql=f"""
+WITH r AS (
+  SELECT event_type, event_id // {_BODY_ROWS} AS body FROM events
+), good AS (
+  SELECT 'source ' || body % 3 AS source,
+         COUNT(*) FILTER (WHERE event_type NOT IN ('view', 'error')) AS upserted,
+         COUNT(*) FILTER (WHERE event_type = 'view') AS skipped,
+         COUNT(*) FILTER (WHERE event_type = 'error') AS errors
+  FROM r WHERE body % 11 <> 4 GROUP BY 1
+), refused AS (
+  SELECT 'source ' || body % 3 AS source, COUNT(DISTINCT body) AS n FROM r WHERE body % 11 = 4 GROUP BY 1
+)
+SELECT source, coalesce(upserted, 0) AS upserted, coalesce(skipped, 0) AS skipped,
+       coalesce(errors, 0) + coalesce(n, 0) AS errors
+FROM good FULL OUTER JOIN refused USING (source)""")
 def ingest_tally(spark, sf_dir):
-    """Per source, rows upserted (rows, not keys), skipped, errors; a patch
-    counts as skipped for the ingest tally."""
-    ch = events_changes_of(spark, sf_dir)
-    res = ch.select(F.col("event_type").alias("source"),
-                    F.when(F.col("kind") == "patch", F.lit("skipped"))
-                    .otherwise(F.lit("upserted")).alias("disposition"))
-    return A.ingest_tally(res)
+    """Per source, rows upserted, skipped (no key) and in error (an unknown
+    column, or a body that does not parse, refused whole) of bulk requests that
+    the ingest itself reads: every event as a JSON record, views without a key,
+    errors with a column that the table lacks, every eleventh body cut short."""
+    from shipfold.operators import changes as C
+    from shipfold.profiles import TableProfile
+    from shipfold.sources import json as J
+    ev = table(spark, sf_dir, "events")
+    t = F.col("event_type")
+    record = F.to_json(F.struct(
+        F.when(t == "view", F.lit(" nan ")).otherwise(F.col("user_id").cast("string")).alias("user_id"),
+        F.col("value").cast("string").alias("Value"), F.when(t == "error", F.col("event_id")).alias("debug_note")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", record.alias("j")))), lambda r: r["j"]), ",")
+    bodies = ev.groupBy(F.floor(F.col("event_id") / _BODY_ROWS).alias("body")).agg(body.alias("rows"))  # _BODY_ROWS rows each
+    bodies = bodies.select("body", F.concat(F.lit("["), "rows", F.when(F.col("body") % 11 == 4, "").otherwise("]")).alias("payload"))
+    profile = TableProfile("events", "user_id", ("user_id", "value", "props"))
+    source = lambda c: F.concat(F.lit("source "), (F.col(c) % 3).cast("string")).alias("source")
+    rows = J.explode_rows(bodies, "payload", "body")
+    changes, skipped = C.bulk_changes(rows, profile, F.struct("body", "pos"), F.lit("2030-01-01 00:00:00"))
+    valid, errors = C.unknown_column_split(changes, profile)
+    return A.ingest_tally(
+        valid.select(source("seq.body"), F.lit("upserted").alias("disposition"))
+        .unionByName(skipped.select(source("body"), F.lit("skipped").alias("disposition")))
+        .unionByName(errors.select(source("seq.body"), F.lit("error").alias("disposition")))
+        .unionByName(J.json_rejects(bodies, "payload", "body").select(source("body"), F.lit("error").alias("disposition"))))
 
 
 @register("error_sample", sql="""
