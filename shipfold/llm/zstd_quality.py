@@ -7,8 +7,9 @@ grows with quality; a logistic curve fitted on other labelled rows turns it into
 probability of label 1. Nothing but the text enters a score.
 
 Fitting takes at most ``TRAIN_ROWS`` labelled rows of each class, those with the
-smallest hash of their id, and at most ``CHUNKS`` chunks of ``CHUNK_BYTES`` from each;
-scoring compresses every text whole.
+smallest hash of their id, and at most ``CHUNKS * CHUNK_BYTES`` bytes from each; three
+fifths of them make the dictionaries, the others choose their sizes and fit the
+curve. Scoring compresses every text whole.
 
 Defined cases: a null or empty text has no difference and gets the curve's value there;
 a null id is never held out; rows that repeat score each; a class without labelled
@@ -27,7 +28,9 @@ from shipfold.llm.common import column, map_arrow, text_slices
 TRAIN_ROWS = 4000
 CHUNKS = 4
 CHUNK_BYTES = 4096
-DICTIONARY_BYTES = 112_640
+#: Dictionary and sample sizes to choose from, by the area under the curve on the
+#: training rows that the dictionaries did not see.
+SETTINGS = ((112_640, 4096), (112_640, 2048), (262_144, 4096), (262_144, 2048), (524_288, 2048))
 LEVEL = 3
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
@@ -64,17 +67,17 @@ def dictionary(raw: bytes | None, raw_content: bool):
     return d
 
 
-def train_dictionary(texts: list[bytes]) -> tuple[bytes | None, bool]:
+def train_dictionary(texts: list[bytes], size: int, sample: int) -> tuple[bytes | None, bool]:
     """(dictionary, plain content?); too few samples to train on serve as they are."""
     import zstandard
 
-    chunks = [t[i:i + CHUNK_BYTES] for t in texts for i in range(0, len(t), CHUNK_BYTES)]
+    chunks = [t[i:i + sample] for t in texts for i in range(0, len(t), sample)]
     if not chunks:
         return None, True
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, chunks, level=LEVEL).as_bytes(), False
+        return zstandard.train_dictionary(size, chunks, level=LEVEL).as_bytes(), False
     except zstandard.ZstdError:
-        return b"\n".join(chunks)[:DICTIONARY_BYTES], True
+        return b"\n".join(chunks)[:size], True
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float, float]:
@@ -113,11 +116,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .select("id", "y", F.substring(whole, 1, CHUNKS * CHUNK_BYTES).alias("text"),
                     F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(5)).alias("part"))
             .orderBy("y", order, "id", "text").limit(2 * train_rows).collect())
-    make = [train_dictionary([bytes(r.text) for r in rows if r.y == y and r.part < 3]) for y in (1, 0)]
     rest = [r for r in rows if r.part >= 3] or rows
-    good, bad = (dictionary(*m) for m in make)
-    x = differences(good, bad, [bytes(r.text).decode(errors="ignore") for r in rest])
-    return make[0], make[1], fit_curve(x, np.array([float(r.y) for r in rest]))
+    texts, y = [bytes(r.text).decode(errors="ignore") for r in rest], np.array([float(r.y) for r in rest])
+    best = None
+    for size, sample in SETTINGS:
+        make = [train_dictionary([bytes(r.text) for r in rows if r.y == k and r.part < 3], size, sample) for k in (1, 0)]
+        x = differences(*(dictionary(*m) for m in make), texts)
+        area = area_under(x, y)
+        if best is None or area > best[0]:
+            best = area, make, x
+    _, make, x = best
+    return make[0], make[1], fit_curve(x, y)
+
+
+def area_under(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of (1, 0) pairs that ``x`` puts in order, ties half; 0.5 without pairs."""
+    _, inverse, n = np.unique(x, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[inverse] if len(x) else x
+    ones = y.sum()
+    pairs = ones * (len(y) - ones)
+    return float((rank[y == 1].sum() - ones * (ones + 1) / 2) / pairs) if pairs else 0.5
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
