@@ -39,8 +39,9 @@ END = 0
 GROUP_ROWS = 50_000
 #: Words that a worker remembers, of at most so many bytes each. Past the number
 #: it keeps the first KEPT, which hold the common ones, and learns the rest anew.
-REMEMBERED = 300_000
-KEPT = 150_000
+REMEMBERED = 500_000
+KEPT = 250_000
+PARTS = 300_000
 REMEMBERED_BYTES = 48
 
 
@@ -75,8 +76,8 @@ class WordIds:
         """Token ids of each word, as little-endian 32-bit integers."""
         out: list = [None] * len(words)
         hard = []
-        if len(self.parts) > REMEMBERED:
-            self.parts = dict(itertools.islice(self.parts.items(), KEPT))
+        if len(self.parts) > PARTS:
+            self.parts = dict(itertools.islice(self.parts.items(), PARTS // 2))
         for i, w in enumerate(words):
             m = LETTERS.fullmatch(w.decode()) if len(w) <= REMEMBERED_BYTES else None
             if m:

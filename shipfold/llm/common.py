@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shipfold.session import scratch_dir
 
 #: Bytes and rows of text that one Python step holds at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 SLICE_ROWS = 2000
 #: Rows and bytes of an Arrow batch: whole texts travel in it.
 BATCH_ROWS = 1000
