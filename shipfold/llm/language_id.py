@@ -46,7 +46,7 @@ _SEEN = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 e
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each trigram, number of the text it is in) of whole texts."""
     data = [(t or "").encode() for t in texts]
-    b = _SEEN[np.frombuffer(b"  ".join([*data, b""]), np.uint8)]
+    b = _SEEN[np.frombuffer(b"  ".join([b"", *data, b""]), np.uint8)]
     ends = np.cumsum([len(x) + 2 for x in data])
     if len(b) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

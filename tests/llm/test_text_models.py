@@ -313,3 +313,11 @@ def test_anchors_leave_nothing_out():
     for _, _, _, counts in rows:
         whole = sum((c * weights[t]) ** 2 for t, c in counts.items())
         assert sum((c * weights[t]) ** 2 for t, c in counts.items() if t not in chosen) < 0.75 ** 2 * whole
+
+
+def test_trigrams_belong_to_their_own_text():
+    for texts in (["12 !", "abc", "", None, "x"], ["abc"], ["", "zz"]):
+        _, of = L.trigrams(texts)
+        alone = [len(L.trigrams([t])[0]) for t in texts]
+        assert np.bincount(of, minlength=len(texts)).tolist() == alone
+    assert [len(L.trigrams([t])[0]) for t in ("12 !", "", None, "x")] == [0, 0, 0, 3]
