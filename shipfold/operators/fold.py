@@ -40,24 +40,39 @@ def _applicable() -> Column:
     return (F.col("kind") != F.lit(PATCH)) | (F.size("fields") > 0)
 
 
-def state_aggregates(columns: Sequence[str]) -> list[Column]:
-    """The per-key aggregate state of the fold. Every entry is a min or max,
-    so states of two slices of the log merge by the same aggregate: batch
-    and stream folds agree, and replaying a slice changes nothing."""
+def _state(columns: Sequence[str]) -> dict[str, tuple]:
+    """Per state entry: how it merges, and what one change gives it."""
     kind, seq = F.col("kind"), F.col("seq")
-    aggs = [
-        F.min(F.when(kind.isin(*INSERT_KINDS), seq)).alias("_first_insert"),
-        F.max(F.when(kind == F.lit(REPLACE), seq)).alias("_last_replace"),
-        F.max(F.when(_applicable(), F.struct(
+    entries = {
+        "_first_insert": (F.min, F.when(kind.isin(*INSERT_KINDS), seq)),
+        "_last_replace": (F.max, F.when(kind == F.lit(REPLACE), seq)),
+        "_last": (F.max, F.when(_applicable(), F.struct(
             seq.alias("seq"), F.col("ts").alias("ts"), kind.alias("kind"),
             F.map_contains_key("fields", F.lit("status")).alias("has_status"),
             F.try_element_at("fields", F.lit("status")).alias("status"),
-        ))).alias("_last"),
-    ]
+        ))),
+    }
     for c in columns:
-        aggs.append(F.max(F.when(F.map_contains_key("fields", F.lit(c)), F.struct(
-            seq.alias("seq"), F.try_element_at("fields", F.lit(c)).alias("v")))).alias(f"_c_{c}"))
-    return aggs
+        entries[f"_c_{c}"] = (F.max, F.when(F.map_contains_key("fields", F.lit(c)), F.struct(
+            seq.alias("seq"), F.try_element_at("fields", F.lit(c)).alias("v"))))
+    return entries
+
+
+def state_aggregates(columns: Sequence[str]) -> list[Column]:
+    """The per-key aggregate state of the fold. Every entry is a min or max,
+    so states of two slices of the log merge by the same aggregate: batch
+    and stream folds agree, and replaying a slice changes nothing."""
+    return [merge(e).alias(name) for name, (merge, e) in _state(columns).items()]
+
+
+def fold_state(changes: DataFrame, columns: Sequence[str], base: DataFrame | None = None) -> DataFrame:
+    """Per-key state of ``changes`` on top of ``base``, the state of all earlier
+    ones. One aggregation: each change enters as a state of its own."""
+    if base is None:
+        return changes.groupBy("key").agg(*state_aggregates(columns))
+    entries = _state(columns)
+    one = changes.select("key", *[e.alias(name) for name, (_, e) in entries.items()])
+    return base.unionByName(one).groupBy("key").agg(*[merge(name).alias(name) for name, (merge, _) in entries.items()])
 
 
 def finish(state: DataFrame, columns: Sequence[str], milestone: bool = False,
@@ -88,8 +103,7 @@ def fold(changes: DataFrame, columns: Sequence[str], milestone: bool = False,
     ``row_seq`` (order of the row's id) and, if ``stamp``, the stamp column.
     Keys never inserted produce no row.
     """
-    state = changes.groupBy(F.col("key")).agg(*state_aggregates(columns))
-    return finish(state, columns, milestone, key_name, stamp)
+    return finish(fold_state(changes, columns), columns, milestone, key_name, stamp)
 
 
 def key_stats(changes: DataFrame) -> DataFrame:
@@ -98,7 +112,7 @@ def key_stats(changes: DataFrame) -> DataFrame:
         F.min(F.when(F.col("kind").isin(*INSERT_KINDS), F.col("seq"))).alias("first_insert"))
 
 
-def dispositions(changes: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def dispositions(changes: DataFrame, stats: DataFrame | None = None, *keep: str) -> DataFrame:
     """Outcome of every change (J1): inserts ``upserted``; patches ``ok`` when
     a row existed before them, ``not_found`` otherwise, ``skipped`` when empty.
 
@@ -115,7 +129,7 @@ def dispositions(changes: DataFrame, stats: DataFrame | None = None) -> DataFram
             .when(F.size("fields") == 0, F.lit("skipped"))
             .when(F.col("first_insert").isNotNull() & (seq > F.col("first_insert")), F.lit("ok"))
             .otherwise(F.lit("not_found")))
-    return j.select("key", "seq", "kind", disp.alias("disposition"))
+    return j.select("key", "seq", "kind", disp.alias("disposition"), *keep)
 
 
 def not_found_keys(patches: DataFrame, current: DataFrame, key: str = "key") -> DataFrame:

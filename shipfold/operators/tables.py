@@ -114,13 +114,26 @@ def publish_snapshot(spark: SparkSession, current: DataFrame, root: str, version
         n = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         current = current.repartitionByRange(n, cluster_key).sortWithinPartitions(cluster_key)
     current.write.mode("overwrite").parquet(f"{base}/data/version={int(version)}")
-    spark.createDataFrame([(int(version),)], "version long").write.mode("append").parquet(f"{base}/commits")
+    commit_version(spark, base, version)
+
+
+def commit_version(spark: SparkSession, root: str, version: int) -> None:
+    spark.createDataFrame([(int(version),)], "version long").write.mode("append").parquet(
+        f"{root.rstrip('/')}/commits")
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The newest committed snapshot."""
-    base = root.rstrip("/")
-    version = spark.read.parquet(f"{base}/commits").agg(F.max("version")).first()[0]
+    version = committed_version(spark, root)
     if version is None:
         raise FileNotFoundError(f"no committed snapshot under {root}")
-    return spark.read.parquet(f"{base}/data/version={int(version)}")
+    return spark.read.parquet(f"{root.rstrip('/')}/data/version={version}")
+
+
+def committed_version(spark: SparkSession, root: str) -> int | None:
+    """Version of the newest committed snapshot, None before the first."""
+    try:
+        version = spark.read.schema("version long").parquet(f"{root.rstrip('/')}/commits").agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
+    return None if version is None else int(version)

@@ -27,14 +27,18 @@ SELECT CAST(o_orderkey AS VARCHAR) AS mawb,
        CAST(o_custkey AS VARCHAR) AS airline,
        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS eta,
        CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'C-' || CAST(o_custkey AS VARCHAR) END AS hawb_customer,
-       'pending' AS bot_status
+       'pending' AS bot_status,
+       CASE WHEN o_orderpriority = '1-URGENT'
+            THEN o_orderkey || ' "Old" Road' || chr(10) || 'Town, ' || o_orderstatus || chr(10) || chr(10)
+            WHEN o_orderpriority = '3-MEDIUM' THEN 'Gate ' || o_custkey || ', "B"' END AS address
 FROM orders WHERE NOT (o_orderpriority = '2-HIGH' AND o_orderstatus = 'P')"""
 
 
 def orders_as_upload(orders):
     """Orders as an upload sheet with the headers people type: padded key,
     a spaced header, two aliases of one column (the last one sometimes
-    blank), an NA token, and a column the table does not know."""
+    blank), an NA token, a column the table does not know, and addresses, some
+    with quotes and commas, urgent orders' with line breaks."""
     prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     return orders.select(
         F.when((prio == "2-HIGH") & (status == "P"), F.lit("nan"))
@@ -46,13 +50,17 @@ def orders_as_upload(orders):
         F.when(prio == "5-LOW", F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("C-"), F.col("o_custkey").cast("string"))).alias("HAWB Customer"),
         F.col("o_totalprice").cast("string").alias("Unknown Col"),
+        F.when(prio == "1-URGENT", F.concat(F.col("o_orderkey").cast("string"), F.lit(' "Old" Road\nTown, '),
+                                            status, F.lit("\n\n")))
+         .when(prio == "3-MEDIUM", F.concat(F.lit("Gate "), F.col("o_custkey").cast("string"), F.lit(', "B"')))
+         .alias("Address"),
     )
 
 
 def upload_to_current(rows, profile: TableProfile, ts):
-    """Upload rows -> upserts -> current rows (files without a key column and
-    rows without a key are left out)."""
-    ok = rows.filter(F.col("has_key_column"))
+    """Upload rows -> upserts -> current rows (refused files and rows without a
+    key are left out)."""
+    ok = rows.filter(F.col("refused").isNull())
     changes, _rejected = C.upload_changes(ok, profile, F.col("row_index"), ts)
     return FO.fold(changes, profile.value_columns, key_name=profile.key)
 
@@ -60,19 +68,29 @@ def upload_to_current(rows, profile: TableProfile, ts):
 @register("csv_scan", sql=_CSV_COLUMNS_SQL)
 def csv_scan(spark, sf_dir):
     """Orders written as CSV uploads, read back as all-string
-    cells, headers mapped by alias, keys checked, folded into current rows."""
+    cells, headers mapped by alias, keys checked, folded into current rows. The
+    urgent orders' files hold cells with line breaks; a last set of files
+    repeats the orders under other keys with rows wider than the header, and
+    is refused whole."""
     path = scratch_dir(spark, "csv_scan")
-    sheet = orders_as_upload(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     # One upload file per partition; only a tiny input is spread out first.
     files_n = default_parallelism(spark)
-    if (partition_count(sheet) or files_n) < files_n:
-        sheet = sheet.repartition(files_n)
-    (sheet.write.mode("overwrite")
-     .option("header", True).option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).csv(path))
-    rows = CSV.csv_upload_rows(spark, [path], IMPORT_CONFIRM)
+    if (partition_count(orders) or files_n) < files_n:
+        orders = orders.repartition(files_n)
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    sheets = {"plain": orders_as_upload(orders.filter(~urgent)), "urgent": orders_as_upload(orders.filter(urgent))}
+    for name, sheet in sheets.items():
+        (sheet.write.mode("overwrite").option("escape", '"')
+         .option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{name}"))
+    # Without quoting the comma inside a cell makes one cell more than the header has.
+    ragged = orders.select(F.concat(F.lit("R-"), F.col("o_orderkey").cast("string")).alias("M#"),
+                           F.concat_ws(",", "o_orderstatus", "o_orderpriority").alias("Status"))
+    ragged.write.option("header", True).option("quote", "\u0000").csv(f"{path}/ragged")
+    rows = CSV.csv_upload_rows(spark, [f"{path}/{name}" for name in (*sheets, "ragged")], IMPORT_CONFIRM)
     cur = upload_to_current(rows, IMPORT_CONFIRM, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
-    return cur.select("mawb", "status", "airline", "eta", "hawb_customer", "bot_status")
+    return cur.select("mawb", "status", "airline", "eta", "hawb_customer", "bot_status", "address")
 
 
 @register("alias_rename", sql="""

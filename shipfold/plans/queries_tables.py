@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shipfold.operators import fold as FO
 from shipfold.operators import normalise as N
 from shipfold.operators import tables as TB
 from shipfold.plans.registry import register
@@ -131,19 +132,21 @@ def stream_fold(spark, sf_dir):
 
 @register("snapshot_publish", sql=fold_sql())
 def snapshot_publish(spark, sf_dir):
-    """The log appended in two batches, folded, published as snapshot
-    versions 1 and 2 (write-new-then-swap); the newest committed version is
-    read back."""
+    """The log appended in two batches, each published as a snapshot of fold
+    state (write-new-then-swap): version 2 is version 1's state and batch 2 alone.
+    The newest committed version is read back."""
     root = scratch_dir(spark, "store")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     cutoff = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     TB.append_changes(events_changes(ev.filter(F.col("ts") < cutoff)), f"{root}/log", 1)
-    TB.publish_snapshot(spark, fold_current(TB.read_changes(spark, f"{root}/log")), f"{root}/snap", 1)
+    TB.publish_snapshot(spark, published_state(spark, root), f"{root}/snap", 1, cluster_key="key")
     TB.append_changes(events_changes(ev.filter(F.col("ts") >= cutoff)), f"{root}/log", 2)
-    TB.publish_snapshot(spark, fold_current(TB.read_changes(spark, f"{root}/log")), f"{root}/snap", 2)
-    return typed_events_fold(TB.read_snapshot(spark, f"{root}/snap"))
+    TB.publish_snapshot(spark, published_state(spark, root), f"{root}/snap", 2, cluster_key="key")
+    return typed_events_fold(FO.finish(TB.read_snapshot(spark, f"{root}/snap"), EVENT_COLUMNS))
 
 
-def fold_current(changes):
-    from shipfold.operators.fold import fold
-    return fold(changes.drop("batch"), EVENT_COLUMNS)
+def published_state(spark, root):
+    """Fold state of the newest snapshot and the batches after it."""
+    done = TB.committed_version(spark, f"{root}/snap")
+    tail = TB.read_changes(spark, f"{root}/log").filter(F.col("batch") > (done or 0)).drop("batch")
+    return FO.fold_state(tail, EVENT_COLUMNS, TB.read_snapshot(spark, f"{root}/snap") if done else None)

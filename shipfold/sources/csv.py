@@ -1,11 +1,14 @@
 """CSV uploads read as all-string cells.
 
-Each file carries its own header row. Spark's reader is run with
-``header=False`` and a wide all-string schema; the header of every file is
-its first line that the reader does not skip, found by a text pass and
-parsed by ``from_csv``, so files with different layouts can be read in one
-job, and the mapping from header cells to columns is done by expressions,
-not on the driver.
+Each file carries its own header row, so files with different layouts are read
+in one job: Spark's reader is run with ``header=False`` and an all-string
+schema, and the mapping from header cells to columns is done by expressions.
+
+A text pass gives one row per file: its header line, the cells of its widest
+line, and whether a quoted cell runs on past a line's end. Files where one does
+are read whole by the reader's ``multiLine`` mode (one task per file), all
+others in splits; the rows are the same either way. A file with a row wider
+than its header, or without the key column, is refused whole with a reason.
 
 Line numbers are exact per file: rows are counted per split, a prefix sum
 over the (small) split table gives each split's first line, and a row's line
@@ -19,15 +22,16 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from typing import NamedTuple
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shipfold.operators.joins import join_checked
 from shipfold.operators.normalise import cells_to_fields, header_keep, header_targets
 from shipfold.profiles import TableProfile
-from shipfold.session import scratch_dir
+from shipfold.session import partition_count, scratch_dir
 
 # FIXED VALUES: cell texts a CSV upload treats as missing (the default NA
 # tokens of the common Python CSV reader), compared exactly.
@@ -40,6 +44,9 @@ NA_TOKENS = (
 # FIXED VALUES: accepted upload file extensions.
 UPLOAD_EXTENSIONS = (".xlsx", ".xls", ".csv")
 
+# Why a file is refused whole.
+WIDER_ROW = "a row is wider than the header"
+NO_KEY_COLUMN = "no key column"
 
 
 def accepted_path(path: str) -> bool:
@@ -67,46 +74,116 @@ _PARSE_KEYS = ("sep", "delimiter", "quote", "escape", "charToEscapeQuoteEscaping
                "unescapedQuoteHandling", "maxCharsPerColumn")
 
 
-def _text_headers_ok(options: dict) -> bool:
-    """Header lines can be taken from a text pass unless a record may span
-    lines or the files are not UTF-8."""
+# Lines the reader skips: empty after trimming every character up to U+0020.
+_BLANK = "^[\\x00-\\x20]*$"
+_RAW = "_raw"
+
+
+def _text_ok(options: dict) -> bool:
+    """Files can be looked at as text lines, unless the caller says that any
+    record may span lines or the files are not UTF-8."""
     multi = str(options.get("multiLine", options.get("multiline", "false"))).lower() == "true"
     enc = str(options.get("encoding", options.get("charset", "utf-8"))).lower().replace("-", "")
     return not multi and enc == "utf8"
 
 
-def header_lines(spark: SparkSession, paths: Sequence[str], options: dict | None = None) -> DataFrame:
-    """One row per file, ``file_path, line``: the file's header line, read as
-    text from the first split of each file.
+def record_shape(text: Column, options: dict | None = None) -> Column:
+    """``struct(cells, open)`` of a record's text: how many cells it has, and
+    whether it ends inside a quoted cell.
+
+    A quote opens a cell only at its start; elsewhere it is plain text. The text
+    is cut at its quotes, and one walk over the pieces counts the separators
+    outside quoted cells. Text without a quote is only counted."""
+    options = options or {}
+    opts = {**_READ_OPTIONS, **options}
+    sep, quote, escape = opts.get("sep", opts.get("delimiter", ",")), opts["quote"], opts["escape"]
+    seps = lambda c: ((F.length(c) - F.length(F.replace(c, F.lit(sep), F.lit("")))) / len(sep)).cast("int")
+    plain = F.struct((seps(text) + 1).alias("cells"), F.lit(False).alias("open"))
+    if not quote:
+        return plain
+    if escape and escape != quote:
+        text = F.replace(text, F.lit(escape + quote), F.lit(""))
+    pieces = F.split(text, re.escape(quote), -1)
+    ends = lambda c: F.endswith(c, F.lit(sep))
+
+    def step(acc, piece):
+        opens = ~acc["open"] & acc["start"]
+        return F.struct(
+            (acc["cells"] + F.when(opens, F.lit(0)).otherwise(seps(piece))).alias("cells"), opens.alias("open"),
+            # Right after a closing quote another quote opens again: a doubled quote.
+            (~opens & (ends(piece) | (acc["open"] & (piece == "")))).alias("start"))
+
+    first = pieces[0]
+    walked = F.aggregate(
+        F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))),
+        F.struct((seps(first) + 1).alias("cells"), F.lit(False).alias("open"),
+                 ((first == "") | ends(first)).alias("start")), step)
+    return F.when(F.contains(text, F.lit(quote)), F.struct(walked["cells"].alias("cells"), walked["open"].alias("open"))
+                  ).otherwise(plain)
+
+
+def _reader_path(uri: str) -> str:
+    """A file's URI as a reader path: unescaped, its glob characters taken literally."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(uri))
+
+
+def _record_files(spark: SparkSession, paths: Sequence[str], options: dict) -> DataFrame:
+    """``file_path, line, widest`` of files whose records may span lines: the
+    header record's text and the cells of the widest record. Each file is one
+    task, as such files cannot be split."""
+    raw = _reader(spark, 1, {**options, "multiLine": "true"}, raw_text=True).csv(list(paths))
+    quote = options.get("quote", _READ_OPTIONS["quote"])
+    one = F.concat(F.lit(quote), F.replace(F.coalesce("_c0", F.lit("")), F.lit(quote), F.lit(quote * 2)), F.lit(quote))
+    rows = raw.filter(_not_blank()).select(
+        F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("r"),
+        F.coalesce(F.col(_RAW), one).alias("line"))
+    return rows.groupBy("file_path").agg(
+        F.min_by("line", "r").alias("line"), F.max(record_shape(F.col("line"), options)["cells"]).alias("widest"))
+
+
+def file_table(spark: SparkSession, paths: Sequence[str], options: dict | None = None) -> tuple[DataFrame, list[str] | None]:
+    """One row per file, ``file_path, line, cells, widest``: the header line, its
+    cells, and the cells of the file's widest record. Also the paths of the files
+    with a cell that spans lines (None: all files may, see ``_text_ok``); they
+    go back to the reader, so they come to the driver like any list of inputs.
 
     The CSV reader skips lines that are empty after trimming every character
     up to U+0020 (and comment lines, if a comment prefix is set), so the header
-    is the first line it does not skip. The table (one row per file) is
-    written under the shared checkpoint folder, so the text pass runs once
-    for the width and the header mapping."""
+    is the first line it does not skip. The table is written under the shared
+    checkpoint folder, so the pass runs once."""
     options = options or {}
+    cells = lambda c: record_shape(F.col(c), options)["cells"]
+    out = scratch_dir(spark, "csv_files")
+    if not _text_ok(options):
+        _record_files(spark, paths, options).withColumn("cells", cells("line")).write.parquet(out)
+        return spark.read.parquet(out), None
     reader = spark.read.option("pathGlobFilter", "*.csv")
     if "lineSep" in options:
         reader = reader.option("lineSep", options["lineSep"])
-    txt = reader.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("r"), "value")
-    kept = ~F.col("value").rlike("^[\\x00-\\x20]*$")
+    kept = ~F.col("value").rlike(_BLANK)
     if options.get("comment"):
         kept = kept & ~F.col("value").startswith(options["comment"])
-    first = txt.filter((F.col("b") == 0) & kept).groupBy("file_path").agg(F.min_by("value", "r").alias("line"))
-    out = scratch_dir(spark, "csv_headers")
-    first.write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
-
-
-def header_width(heads: DataFrame, options: dict | None = None) -> int:
-    """Upper bound of the column count: the widest header line (separators
-    + 1; quoted separators only over-count). One number to the driver."""
-    options = options or {}
-    sep = options.get("sep", options.get("delimiter", ","))
-    width = heads.agg(F.max(F.size(F.split("line", re.escape(sep), -1)))).first()[0]
-    return int(width or 1)
+    lines = reader.text(list(paths)).filter(kept).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("r"), "value", record_shape(F.col("value"), options).alias("s"))
+    head = F.when(F.col("b") == 0, F.col("r"))
+    files = lines.groupBy("file_path").agg(
+        F.min_by("value", head).alias("line"), F.max("s.cells").alias("widest"), F.bool_or("s.open").alias("spans"))
+    files.withColumn("cells", cells("line")).write.parquet(out)
+    files = spark.read.parquet(out)
+    spanning = [r[0] for r in files.filter("spans").select("file_path").collect()]
+    whole = files.filter("NOT spans").drop("spans")
+    if not spanning:
+        return whole, []
+    out = scratch_dir(spark, "csv_files")
+    again = _record_files(spark, [_reader_path(p) for p in spanning], options).withColumn("cells", cells("line"))
+    whole.unionByName(again).write.parquet(out)
+    return spark.read.parquet(out), spanning
+
+
+def header_width(files: DataFrame) -> int:
+    """Cells of the widest header. One number to the driver."""
+    return int(files.agg(F.max("cells")).first()[0] or 1)
 
 
 def _parse_header(line: str, width: int, options: dict):
@@ -117,62 +194,75 @@ def _parse_header(line: str, width: int, options: dict):
     return F.array(*[F.coalesce(h[f"_c{i}"], F.lit("")) for i in range(width)])
 
 
-def _scan(spark: SparkSession, paths: Sequence[str], max_columns: int | None, options: dict,
-          need_headers: bool):
-    """The raw scan, the per-split table and (if asked) the header table.
-
-    Per split: first row id and row count, from a scan that parses no
-    column. Headers come from the text pass (``header_lines``), so the CSV
-    data is parsed in full once, by the main scan. For records that may
-    span lines or files that are not UTF-8, block 0's first row is the
-    header (one more parse of the data); the width bound still comes from
-    the text pass unless ``max_columns`` is given.
-    """
-    paths = _gate(list(paths), ".csv")
-    text_ok = _text_headers_ok(options)
-    heads = (header_lines(spark, paths, options)
-             if max_columns is None or (need_headers and text_ok) else None)
-    if max_columns is None:
-        max_columns = header_width(heads, options)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
+def _reader(spark: SparkSession, width: int, options: dict, raw_text: bool = False):
     # Doubled quotes inside a quoted field are one quote, as uploads write them.
-    reader = spark.read.schema(schema).option("header", False).option("pathGlobFilter", "*.csv")
+    fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
+    reader = spark.read.option("header", False).option("pathGlobFilter", "*.csv")
+    if raw_text:  # the record's text, given for every record whose cell count is not ``width``
+        fields.append(T.StructField(_RAW, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", _RAW)
     for k, v in {**_READ_OPTIONS, **options}.items():
         reader = reader.option(k, v)
-    raw = reader.csv(paths)
-    cols = [F.when(F.col(f"_c{i}").isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}"))
-            for i in range(max_columns)]
-    raw_cells = F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(max_columns)])
-    base = raw.select(
+    return reader.schema(T.StructType(fields))
+
+
+def _not_blank() -> Column:
+    """Records other than the blank lines that the split reader skips. (The
+    reader refuses to be asked for the raw text alone.)"""
+    return ~(F.coalesce("_c0", F.lit("")).rlike(_BLANK) & F.coalesce(_RAW, F.lit("x")).rlike(_BLANK))
+
+
+def _rows(raw: DataFrame, width: int) -> DataFrame:
+    cells = [F.when(F.col(f"_c{i}").isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}"))
+             for i in range(width)]
+    raw_cells = F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(width)])
+    return raw.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("_rid"),
-        F.array(*cols).alias("cells"),
+        F.array(*cells).alias("cells"),
         raw_cells.alias("raw_cells"),
     )
+
+
+def _scan(spark: SparkSession, paths: Sequence[str], options: dict) -> _Scan:
+    """The raw scan, the per-split table and the table of files.
+
+    Per split: first row id and row count, from a scan that parses no column.
+    The data is parsed in full once, by the main scan, and once more for its
+    records' widths in files whose records may span lines."""
+    paths = _gate(list(paths), ".csv")
+    files, spanning = file_table(spark, paths, options)
+    width = header_width(files)
+    multi = {**options, "multiLine": "true"}
+    # One cell more than any header, so that the spanning files' records of one cell have a text.
+    spans = lambda ps: _rows(_reader(spark, width + 1, multi, raw_text=True).csv(ps).filter(_not_blank()), width)
+    split = _reader(spark, width, options).csv(paths)
+    if spanning is None:
+        base = spans(paths)
+    elif spanning:
+        base = _rows(split.filter(~F.col("_metadata.file_path").isin(*spanning)), width).unionByName(
+            spans([_reader_path(p) for p in spanning]))
+    else:
+        base = _rows(split, width)
     per_split = base.groupBy("file_path", "block_start").agg(
         F.min("_rid").alias("_rid0"), F.count(F.lit(1)).alias("_n"))
-    headers = None
-    if need_headers:
-        if text_ok:
-            headers = heads.select("file_path", _parse_header("line", max_columns, options).alias("_header"))
-        else:
-            headers = (base.filter(F.col("block_start") == 0).groupBy("file_path")
-                       .agg(F.min_by("raw_cells", "_rid").alias("_header")))
-    files = raw.inputFiles()
+    wide = F.when(F.col("widest") > F.col("cells"), F.concat(
+        F.lit(WIDER_ROW), F.lit(" ("), F.col("widest").cast("string"), F.lit(" cells, header "),
+        F.col("cells").cast("string"), F.lit(")")))
+    headers = files.select("file_path", _parse_header("line", width, options).alias("_header"), wide.alias("_refused"))
+    names = split.inputFiles()
     # Planning facts bound the split table: splits <= files + scan partitions.
-    try:
-        split_bound = len(files) + raw.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): count instead
-        split_bound = None
-    max_path = max((len(f.encode("utf-8")) for f in files), default=0)
-    return _Scan(base, per_split, headers, len(files), split_bound, max_columns, max_path)
+    n_parts = partition_count(split)
+    split_bound = None if n_parts is None else len(names) + n_parts
+    max_path = max((len(f.encode("utf-8")) for f in names), default=0)
+    return _Scan(base, per_split, headers, len(names), split_bound, width, max_path)
 
 
 class _Scan(NamedTuple):
     base: DataFrame
     per_split: DataFrame
-    headers: DataFrame | None
+    headers: DataFrame       # one row per file: header cells, why its rows are refused
     n_files: int
     split_bound: int | None   # rows of the split table, from planning facts
     width: int                # cells per row
@@ -210,44 +300,73 @@ def _number_lines(base: DataFrame, per_split: DataFrame, split_bound: int | None
             .drop("_rid", "_rid0", "_first_line", "_first_row", "block_start"))
 
 
-def read_csv_cells(spark: SparkSession, paths: Sequence[str], max_columns: int | None = None,
-                   **options) -> DataFrame:
+def read_csv_cells(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
     """Raw cells of CSV files: ``file_path, cells, raw_cells, file_index,
     line_no, row_index``.
 
-    ``cells`` is ``array<string>`` of width ``max_columns`` (default: the
-    widest header, see ``header_width``) with NA tokens as NULL;
-    ``raw_cells`` keeps the text ('' for empty). Line 0 of each file is its
-    header. Files are ordered by path (``file_index``); ``row_index`` numbers
-    the rows of all files densely in (file, line) order.
+    ``cells`` is ``array<string>`` as wide as the widest header, with NA tokens
+    as NULL; ``raw_cells`` keeps the text ('' for empty). Line 0 of each file is
+    its header. Files are ordered by path (``file_index``); ``row_index`` numbers
+    the rows of all files densely in (file, line) order. Files with a row wider
+    than their own header are left out (``csv_upload`` names them).
     """
-    sc = _scan(spark, paths, max_columns, options, False)
-    return _number_lines(sc.base, sc.per_split, sc.split_bound, sc.max_path)
+    sc = _scan(spark, paths, options)
+    rows = _number_lines(sc.base, sc.per_split, sc.split_bound, sc.max_path)
+    fine = sc.headers.filter(F.col("_refused").isNull()).select("file_path")
+    return join_checked(rows, fine, "file_path", row_bound=sc.n_files, row_bytes=sc.max_path + _ROW_OVERHEAD)
 
 
-def csv_upload_rows(spark: SparkSession, paths: Sequence[str], profile: TableProfile,
-                    max_columns: int | None = None, **options) -> DataFrame:
-    """Upload rows ``file_path, file_index, line_no, fields, has_key_column``
-    of CSV files for a profile (see ``upload_rows_from_cells``).
+def csv_upload(spark: SparkSession, paths: Sequence[str], profile: TableProfile,
+               **options) -> tuple[DataFrame, DataFrame]:
+    """``(rows, refused)`` of CSV files for a profile: upload rows ``file_path,
+    file_index, line_no, row_index, fields, has_key_column, refused`` (see
+    ``upload_rows_from_cells``), and one row ``file_path, reason`` per refused file.
 
     Three passes over the data in all, one of them a full parse: a text
-    pass for each file's header line, one aggregation per split that parses
+    pass for the table of files, one aggregation per split that parses
     no column (line counts), then the main scan joined with the two small
     tables."""
-    sc = _scan(spark, paths, max_columns, options, True)
-    # A header row is its path, one target name (or NULL) and one flag per cell.
+    sc = _scan(spark, paths, options)
+    # A header row is its path, one target name (or NULL) and one flag per cell, and a reason.
     longest = max((len(t.encode("utf-8")) for t in profile.aliases.values()), default=0)
-    row_bytes = sc.max_path + _ROW_OVERHEAD + sc.width * (longest + _CELL_OVERHEAD)
-    return upload_rows_from_cells(_number_lines(sc.base, sc.per_split, sc.split_bound, sc.max_path),
+    row_bytes = sc.max_path + 2 * _ROW_OVERHEAD + sc.width * (longest + _CELL_OVERHEAD)
+    rows = upload_rows_from_cells(_number_lines(sc.base, sc.per_split, sc.split_bound, sc.max_path),
                                   profile, n_files=sc.n_files, headers=sc.headers,
                                   header_row_bytes=row_bytes)
+    refused = _mapped_headers(sc.headers, profile).filter(F.col("_refused").isNotNull())
+    return rows, refused.select("file_path", F.col("_refused").alias("reason"))
+
+
+def cells_upload(cells: DataFrame, profile: TableProfile) -> tuple[DataFrame, DataFrame]:
+    """``csv_upload``'s two results from cells already read (workbooks). ``cells``
+    is read twice, so it should be a written table."""
+    headers = _header_table(cells)
+    refused = _mapped_headers(headers, profile).filter(F.col("_refused").isNotNull())
+    return (upload_rows_from_cells(cells, profile, headers=headers),
+            refused.select("file_path", F.col("_refused").alias("reason")))
+
+
+def csv_upload_rows(spark: SparkSession, paths: Sequence[str], profile: TableProfile, **options) -> DataFrame:
+    """The upload rows of ``csv_upload``."""
+    return csv_upload(spark, paths, profile, **options)[0]
 
 
 def _header_table(cells: DataFrame) -> DataFrame:
     # One row per file; the aggregate is also a barrier: the header mapping
     # (and any filter on it) runs on header rows only, never on data.
     return (cells.filter(F.col("line_no") == 0).groupBy("file_path")
-            .agg(F.min_by("raw_cells", "line_no").alias("_header")))
+            .agg(F.min_by("raw_cells", "line_no").alias("_header"))
+            .withColumn("_refused", F.lit(None).cast("string")))
+
+
+def _mapped_headers(headers: DataFrame, profile: TableProfile) -> DataFrame:
+    """Per file: target column per cell, which cells count, and why it is refused, if it is."""
+    headers = headers.withColumn("_targets", header_targets("_header", profile.aliases))
+    headers = headers.withColumn("_keep", header_keep("_targets"))
+    headers = headers.withColumn("_has_key", F.coalesce(
+        F.exists("_targets", lambda t: t == F.lit(profile.key)), F.lit(False)))
+    why = F.coalesce("_refused", F.when(~F.col("_has_key"), F.lit(NO_KEY_COLUMN)))
+    return headers.select("file_path", "_targets", "_keep", "_has_key", why.alias("_refused"))
 
 
 def upload_rows_from_cells(cells: DataFrame, profile: TableProfile,
@@ -258,26 +377,22 @@ def upload_rows_from_cells(cells: DataFrame, profile: TableProfile,
     Header cells are normalised and renamed by alias; unknown columns drop;
     a repeated raw header maps only the first time; two aliases of one column
     resolve to the last (a blank there leaves the column absent); NULL cells
-    are absent from ``fields``. Files whose header lacks the key column give
-    rows with ``fields`` NULL and ``has_key_column`` false; the caller rejects
-    them whole, as the original rejects such a file.
+    are absent from ``fields``. Rows of a refused file (a row wider than its
+    header, no key column) have ``fields`` NULL and the reason in ``refused``;
+    the caller rejects them whole, as the original rejects such a file.
 
     The header table has one row per file; it is broadcast when the file
     count (``n_files``, else a count job) and, if given, the file count times
     ``header_row_bytes`` are small (``join_checked``).
     """
     headers = _header_table(cells) if headers is None else headers
-    headers = headers.withColumn("_targets", header_targets("_header", profile.aliases))
-    headers = headers.withColumn("_keep", header_keep("_targets"))
-    headers = headers.withColumn("_has_key", F.coalesce(
-        F.exists("_targets", lambda t: t == F.lit(profile.key)), F.lit(False)))
-    headers = headers.select("file_path", "_targets", "_keep", "_has_key")
+    headers = _mapped_headers(headers, profile)
     body = join_checked(cells.filter(F.col("line_no") > 0), headers, "file_path",
                         row_bound=n_files, row_bytes=header_row_bytes)
     fields = cells_to_fields("_targets", "_keep", F.slice("cells", 1, F.size("_targets")))
     order = [c for c in ("file_index", "line_no", "row_index") if c in cells.columns]
     return body.select(
         "file_path", *order,
-        F.when(F.col("_has_key"), fields).alias("fields"),
-        F.col("_has_key").alias("has_key_column"),
+        F.when(F.col("_refused").isNull(), fields).alias("fields"),
+        F.col("_has_key").alias("has_key_column"), F.col("_refused").alias("refused"),
     )

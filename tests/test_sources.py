@@ -60,7 +60,7 @@ def test_csv_line_numbers_across_splits(spark):
     p = _write(tmp, "big.csv", "B/L No,Notes\n" + body)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
     try:
-        cells = CSV.read_csv_cells(spark, [p], max_columns=4)
+        cells = CSV.read_csv_cells(spark, [p])
         got = cells.select("line_no", F.col("cells")[0].alias("k")).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -167,8 +167,52 @@ def test_csv_header_after_blank_lines_and_quoted_header(spark):
         (0, 2, {"mawb": "900-2"}),
         (1, 1, {"mawb": "900-3", "eta": "2031-01-01 00:00:00"}),
     ]
-    heads = CSV.header_lines(spark, [tmp])
-    assert CSV.header_width(heads) == 4  # the quoted comma over-counts by one
+    files, spanning = CSV.file_table(spark, [tmp])
+    assert CSV.header_width(files) == 3 and spanning == []
+
+
+def test_csv_quoted_line_breaks(spark):
+    """A cell with line breaks, doubled quotes and separators stays one cell; only its file is read whole."""
+    tmp = tempfile.mkdtemp()
+    _write(tmp, "a [1].csv", '\nM#,"Add\nress",Address,Operator\n1,x,"12 ""Old"" Road\nTown, North\n\n",2024\n \n2,,"",5" pipe\n')
+    _write(tmp, "b.csv", "M#,Address\n3,plain\n")
+    rows = CSV.csv_upload_rows(spark, [tmp], IMPORT_CONFIRM).orderBy("row_index").collect()
+    assert [(r["file_index"], r["line_no"], r["row_index"], r["fields"]) for r in rows] == [
+        (0, 1, 1, {"mawb": "1", "address": '12 "Old" Road\nTown, North\n\n', "operator": "2024"}),
+        (0, 2, 2, {"mawb": "2", "operator": '5" pipe'}),
+        (1, 1, 4, {"mawb": "3", "address": "plain"})]
+    whole = CSV.csv_upload_rows(spark, [tmp], IMPORT_CONFIRM, multiLine=True).orderBy("row_index").collect()
+    assert [r["fields"] for r in whole] == [r["fields"] for r in rows]
+
+
+def test_csv_wide_rows_refuse_their_file(spark):
+    """A row wider than its own file's header, even by an empty cell, refuses that file alone."""
+    tmp = tempfile.mkdtemp()
+    _write(tmp, "fine.csv", "M#,ETA,Status\n1,a,New\n2\n")
+    _write(tmp, "wide.csv", "M#,ETA\n3,c\n4,c,EXTRA,EXTRA2\n")
+    _write(tmp, "blank.csv", "M#,ETA\n5,c,\n")
+    _write(tmp, "spans.csv", 'M#,ETA\n6,"c\nd",x\n')
+    _write(tmp, "quoted.csv", 'M#,ETA\n7,"c,""d"",e"\n')
+    _write(tmp, "nokey.csv", "ETA\nx\n")
+    rows, refused = CSV.csv_upload(spark, [tmp], IMPORT_CONFIRM)
+    kept = {r["fields"]["mawb"]: r["fields"] for r in rows.filter("refused IS NULL").collect()}
+    assert set(kept) == {"1", "2", "7"} and kept["7"]["eta"] == 'c,"d",e'
+    why = {os.path.basename(r["file_path"]): r["reason"] for r in refused.collect()}
+    assert set(why) == {"wide.csv", "blank.csv", "spans.csv", "nokey.csv"}
+    assert why["wide.csv"] == CSV.WIDER_ROW + " (4 cells, header 2)" and why["nokey.csv"] == CSV.NO_KEY_COLUMN
+    cells = CSV.read_csv_cells(spark, [tmp]).filter("line_no > 0").collect()
+    assert sorted(r["cells"][0] for r in cells) == ["1", "2", "7", "x"]
+
+
+def test_record_shape(spark):
+    """Cells and open quotes of a line, against the standard library's reader."""
+    import csv
+    lines = ['a,b', '', ',', '"a,b",c', '"a""b,c"",""d",e', '"open, x', 'a"b,c"d,e', '"",""', '"a"', 'x,"y', '""",",z', '""""']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    for r in df.select("t", CSV.record_shape(F.col("t")).alias("s")).collect():
+        want = next(csv.reader([r["t"] + "\n"]), []) or [""]
+        assert r["s"]["cells"] == len(want), r
+        assert r["s"]["open"] == want[-1].endswith("\n"), r
 
 
 def test_repeated_keys_and_malformed_bodies(spark):

@@ -74,7 +74,7 @@ def test_import_confirm_upload_bulk_stats(spark):
                  "900-1,New,EXAMPLE AIR(X1),F1,2030-01-05 08:00:00\n"
                  "900-2,,SAMPLE CARGO(X2),F1,\n"
                  "None,New,EXAMPLE AIR(X1),F2,\n")
-    tally = store.upload_csv([csv], T1).first()
+    tally = store.upload_csv([csv], T1)[0].first()
     assert (tally["upserted"], tally["skipped"]) == (2, 1)
     # bulk: blank overwrites with NULL; an unknown column fails alone
     payload = spark.createDataFrame([(json.dumps([
@@ -137,3 +137,59 @@ def test_reset_of_stored_tables(spark, tmp_path):
     current = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in ("a", "b")}
     got = TB.reset_tables(spark, str(tmp_path), current, {"a": current["a"].where("id < 3")})
     assert sorted(map(tuple, got.collect())) == [("a", 10, 3), ("b", 10, 0)]
+
+
+def test_snapshot_state_and_log_tail(spark, tmp_path):
+    """Reads after a snapshot read it and the later batches only, and agree with the fold of the whole log."""
+    from shipfold.operators import fold as FO
+    store = ShipmentStore(spark, str(tmp_path), IMPORT_CONFIRM)
+    patch = "k string, m map<string,string>"
+    store.patch(spark.createDataFrame([("k1", {"eta": "early"})], patch), "k", "m", T1)
+    store.bulk(spark.createDataFrame([(json.dumps([{"mawb": f"k{i}", "eta": "y"} for i in range(3)]),)], "t string"), "t", T1)
+    assert store.publish() == 2 and store.publish() == 2 and store.snapshot().count() == 3
+    out = store.patch(spark.createDataFrame([("k1", {"eta": "z", "status": "New"}), ("k9", {"eta": "z"}), ("k2", {})], patch), "k", "m", T2)
+    assert sorted((r["mawb"], r["disposition"], r["changed"]) for r in out.collect()) == [
+        ("k1", "ok", ["eta", "status"]), ("k2", "skipped", None), ("k9", "not_found", None)]
+    cur = store.current()
+    files = [f for f in cur.inputFiles() if "/log/" in f]
+    whole = FO.fold(store.changes().drop("batch"), IMPORT_CONFIRM.value_columns, key_name="mawb")
+    assert sorted(map(tuple, cur.collect())) == sorted(map(tuple, whole.collect()))
+    plan = store.get("k1")._jdf.queryExecution().executedPlan().toString()
+    assert "batch#" in plan and "(batch" in plan[plan.index("PartitionFilters"):] and plan.count("EqualTo(key,k1)") >= 2, files
+    assert store.get("k1").first()["eta"] == "z"
+    assert store.publish() == 3
+    assert sorted(map(tuple, store.snapshot().collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_reset_and_nested_write_back(spark, tmp_path):
+    store = ShipmentStore(spark, str(tmp_path), ATD_ATA)
+    _seed_milestones(spark, store)
+    store.publish()
+    bodies = spark.createDataFrame([
+        (2, json.dumps({"items": [{"mawb": "777-00000001", "result": {"ata": "second"}}]})),
+        (1, json.dumps({"items": [{"mawb": "777-00000001", "result": {"ata": "first", "pod": "no"}},
+                                  {"mawb": "nope", "result": {"ata": "x"}}]})), (3, "{")], "n int, t string")
+    out, refused = store.batch_update(bodies, "t", T2, order_col="n")
+    assert sorted((r["mawb"], r["disposition"]) for r in out.collect()) == [
+        ("777-00000001", "ok"), ("777-00000001", "ok"), ("nope", "not_found")]
+    assert refused.count() == 1 and store.get("777-00000001").first()["ata"] == "second"
+    seed = spark.createDataFrame([({"mno": "1", "atd": "x"},), ({"mno": ""},)], "p map<string,string>")
+    assert tuple(store.reset(T3, seed, "p", {"mno": "mawb", "atd": "atd"}).first()) == ("atd_ata", 10, 1)
+    assert [r["mawb"] for r in store.current().collect()] == ["1"]
+    store.patch(spark.createDataFrame([("1", {"ata": "y"})], "k string, m map<string,string>"), "k", "m", T3)
+    assert store.get("1").first()["status"] == "Completed" and store.publish() == 2
+    assert tuple(store.reset(T3).first()) == ("atd_ata", 1, 0) and store.current().count() == 0
+
+
+def test_refused_upload_files_and_workbooks(spark, tmp_path):
+    from tests.test_sources import _xlsx
+    (tmp_path / "ok.csv").write_text('M#,Address\n1,"12 Road\nTown"\n,x\n')
+    (tmp_path / "wide.csv").write_text("M#,ETA\n2,c,EXTRA\n")
+    (tmp_path / "w.xlsx").write_bytes(_xlsx([["M#", "ETA"], ["3", "e"]]))
+    store = ShipmentStore(spark, str(tmp_path / "s"), IMPORT_CONFIRM)
+    tally, refused = store.upload_csv([str(tmp_path / "ok.csv"), str(tmp_path / "wide.csv")], T1)
+    assert tuple(tally.first()) == (1, 1)
+    assert [os.path.basename(r["file_path"]) for r in refused.collect()] == ["wide.csv"]
+    tally, refused = store.upload_workbook([str(tmp_path / "w.xlsx")], T2)
+    assert tuple(tally.first()) == (1, 0) and refused.count() == 0
+    assert {r["mawb"]: r["address"] for r in store.current().collect()} == {"1": "12 Road\nTown", "3": None}
