@@ -2,22 +2,29 @@
 
 1. Fingerprints: 64 bits over the hashes of all word shingles of a whole text.
    Equal fingerprints are one class from here on; copies are never expanded.
-2. A tree of vantage points, built on the driver from a sample of distinct
-   fingerprints (``SAMPLE_PER_LEAF`` for each leaf), splits the space of
-   fingerprints by Hamming distance: within the radius goes left. Every fingerprint has one
-   home leaf. By the triangle inequality a pair at most ``max_bits`` apart that a
-   node separates has its left member within ``max_bits`` of the boundary: only
-   such members visit the right side too. So each pair meets in exactly one leaf.
-3. A leaf holds about ``leaf_points`` fingerprints; larger ones are cut into
-   chunks, and each pair of chunks, or of a chunk and a block of visitors, is one
-   task. A task builds a tree of its own over its points and prunes both sides by
-   the same bound down to small blocks, which it compares exactly.
-4. A task returns a spanning forest of its links, at most one row per point, never
-   all pairs of a group. Components join the forests.
-
-Random 64-bit fingerprints lie about 32 bits apart give or take 4, so one vantage
-point prunes little at 4 bits: about 0.85 of the pairs stay per level. The work
-grows as about the 1.8th power of the fingerprints; see the README for figures.
+2. Shards: the 64 bits are cut into ``max_bits + 1`` disjoint masks, and a shard is the
+   Hamming ball of radius zero around a point in one mask's bits. Two fingerprints at
+   most ``max_bits`` apart agree in one of the masks at least, so they meet in that
+   mask's shard and no shard has a boundary for others to cross: every fingerprint is
+   dealt ``max_bits + 1`` times, whatever the size of the table.
+3. A shard of more than ``leaf_points`` fingerprints is cut again in the same way, over
+   the bits that its mask leaves: its members agree in the mask, so all their
+   differences lie in the rest. Only such shards are dealt once more; at
+   ``LAST_BITS`` bits left a shard can hold no more than 2^12 fingerprints. No task
+   holds more than the larger of these bounds, and no shard is cut into pairs of
+   chunks.
+4. Inside a shard a vantage-point tree over all 64 bits finds the exact pairs: within
+   a radius goes left, and by the triangle inequality a pair that the radius separates
+   lies within ``max_bits`` of it, so only such points are compared across. Points
+   within half of ``max_bits`` of a vantage point are linked to it as a star; points
+   already known to be connected are not compared any more, so a dense ball costs far
+   less than its pairs.
+5. A task returns a spanning forest of its links, at most one row per point and
+   shard, never all pairs of a group. Components join the forests.
+
+Random fingerprints lie about 32 bits apart give or take 4, so inside a shard the tree
+prunes little; the masks do most of the pruning: five masks of 13 bits leave 1/1600 of
+all pairs to compare.
 
 Defined cases: a null text has no words, as an empty one; no words give
 fingerprint zero, linked like any other; fewer words than a shingle give one
@@ -27,8 +34,6 @@ null id is never a component's id unless all its ids are null.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +44,10 @@ from shipfold.llm.components import components
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-#: Fingerprints of a leaf, and of a visitors' block.
-LEAF_POINTS = 32_768
-#: Sampled fingerprints per leaf that place vantage points and radii.
-SAMPLE_PER_LEAF = 64
+#: Fingerprints of a shard that one task compares; larger ones are cut again.
+LEAF_POINTS = 4096
+#: A shard with that many bits left is not cut further: it holds at most 2^12 fingerprints.
+LAST_BITS = 12
 #: Pairs that are compared at once; below that many a task's tree ends.
 BLOCK_PAIRS = 1 << 18
 
@@ -102,48 +107,6 @@ def radius(dist: np.ndarray) -> int | None:
     return None if lo == hi else min(max(mid, lo), hi - 1)
 
 
-def build_tree(sample: np.ndarray, leaf_sample: int, levels: int) -> tuple:
-    """("leaf", number) or ("node", vantage, radius, left, right); returns (tree, leaves)."""
-    leaves = [0]
-
-    def make(points: np.ndarray, depth: int):
-        if depth < levels and len(points) >= 2 * leaf_sample:
-            for k in range(3):  # a vantage in the middle of copies may not split: try others
-                v = points[(len(points) * (2 * k + 1)) // 6]
-                d = distance(points, v)
-                r = radius(d)
-                if r is not None:
-                    return ("node", v, r, make(points[d <= r], depth + 1), make(points[d > r], depth + 1))
-        leaves[0] += 1
-        return ("leaf", leaves[0] - 1)
-
-    return make(sample, 0), leaves[0]
-
-
-def route(tree: tuple, points: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of point, leaf, visits?) of every leaf that a point lives in or visits."""
-    found: list[tuple] = []
-    stack = [(tree, np.arange(len(points)), np.zeros(len(points), bool))]
-    while stack:
-        node, at, visits = stack.pop()
-        if not len(at):
-            continue
-        if node[0] == "leaf":
-            found.append((at, np.full(len(at), node[1], np.int32), visits))
-            continue
-        _, v, r, left, right = node
-        d = distance(points[at], v)
-        # A home point goes to its side and, if left and near, visits right. A
-        # visitor goes wherever the other member of a pair can be.
-        to_left = np.where(visits, d <= r + max_bits, d <= r)
-        to_right = d > r - max_bits
-        stack.append((left, at[to_left], visits[to_left]))
-        stack.append((right, at[to_right], visits[to_right] | (d[to_right] <= r)))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
 class Forest:
     """Spanning forest over 0..n-1 that grows by batches of links."""
 
@@ -172,7 +135,8 @@ class Forest:
 def link_points(points: np.ndarray, others: np.ndarray | None, max_bits: int) -> list[tuple[int, int]]:
     """Forest links, as indexes, between ``points`` and ``others``, or within ``points``.
 
-    Indexes of ``others`` follow those of ``points``.
+    Indexes of ``others`` follow those of ``points``. Sets that one component already
+    holds are not compared.
     """
     everything = points if others is None else np.concatenate([points, others])
     forest = Forest(len(everything))
@@ -182,14 +146,20 @@ def link_points(points: np.ndarray, others: np.ndarray | None, max_bits: int) ->
         xs, ys = stack.pop()
         if len(xs) < 2 and ys is None or not len(xs) or ys is not None and not len(ys):
             continue
+        first = forest.root[xs[0]]
+        if (forest.root[xs] == first).all() and (ys is None or (forest.root[ys] == first).all()):
+            continue
         pairs = len(xs) * (len(xs) if ys is None else len(ys))
         r = None
         if pairs > BLOCK_PAIRS and len(xs) > 64:
             for k in range(3):
-                v = everything[xs[(len(xs) * (2 * k + 1)) // 6]]
+                at = xs[(len(xs) * (2 * k + 1)) // 6]
+                v = everything[at]
                 dx = distance(everything[xs], v)
                 r = radius(dx)
                 if r is not None:
+                    near = xs[dx <= max_bits // 2]  # all within max_bits of one another
+                    forest.add(near, np.full(len(near), at))
                     break
         if r is None:
             _compare(everything, xs, ys, max_bits, forest)
@@ -218,72 +188,87 @@ def _compare(everything: np.ndarray, xs: np.ndarray, ys: np.ndarray | None, max_
 
 # --- the joins ----------------------------------------------------------------
 
-def link_fingerprints(classes: DataFrame, max_bits: int = MAX_BITS, leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """Links (a, b) that span every component of distinct fingerprints ``fp``."""
-    n = classes.count()
-    levels = max(0, math.ceil(math.log2(max(1, n / leaf_points))))
-    size = SAMPLE_PER_LEAF << levels
-    drawn = [r[0] for r in classes.orderBy(F.xxhash64("fp"), "fp").limit(size).select("fp").collect()]
-    sample = np.array(drawn, np.int64).view(np.uint64)
-    tree, leaves = build_tree(sample, SAMPLE_PER_LEAF // 2, levels)
-    # How many chunks and visitors' blocks a leaf has, by what the sample sends there.
-    _, leaf, visits = route(tree, sample, max_bits)
-    scale = n / max(1, len(sample)) / leaf_points
-    chunks = np.maximum(1, np.ceil(np.bincount(leaf[~visits], minlength=leaves) * scale)).astype(int)
-    blocks = np.maximum(1, np.ceil(np.bincount(leaf[visits], minlength=leaves) * scale)).astype(int)
-
-    def deal(batches):
-        """Rows (task, side, fp): side 0 points, side 1 what they are compared with."""
+def cut_mask(mask: int, parts: int) -> list[int]:
+    """The bits that ``mask`` leaves free, cut into ``parts`` runs, each added to ``mask``."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    edges = [len(free) * k // parts for k in range(parts + 1)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def deal(rows: DataFrame, max_bits: int) -> DataFrame:
+    """Rows (mask, part, fp): each row (mask, fp) once per mask that extends its own."""
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at, leaf, visits = route(tree, fp, max_bits)
-            mixed = fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            out = []
-            for number in np.unique(leaf):
-                c, b = int(chunks[number]), int(blocks[number])
-                here = leaf == number
-                home, guest = fp[at[here & ~visits]], fp[at[here & visits]]
-                own = (mixed[at[here & ~visits]] % np.uint64(c)).astype(int)
-                block = (mixed[at[here & visits]] % np.uint64(b)).astype(int)
-                base = int(number) << 40
-
-                def emit(points, x, y, side):
-                    out.append((base + (x << 20) + y, side, points))
-
-                for x in range(c):
-                    points = home[own == x]
-                    for y in range(x, c):  # a chunk with itself (one side) and with later ones
-                        emit(points, x, y, 0)
-                    for y in range(x):
-                        emit(points, y, x, 1)
-                    for y in range(b):
-                        emit(points, x, c + y, 0)
-                for y in range(b):
-                    points = guest[block == y]
-                    for x in range(c):
-                        emit(points, x, c + y, 1)
-            for task, side, points in out:
-                if len(points):
+            mask = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for m in np.unique(mask):
+                here = fp[mask == m]
+                for longer in cut_mask(int(m), max_bits + 1):
+                    longer = np.uint64(longer)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(points), task, np.int64)), pa.array(np.full(len(points), side, np.int8)),
-                         pa.array(points.view(np.int64))], names=["task", "side", "fp"])
-
-    def link(pdf):
-        import pandas as pd
-
-        fp, side = pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
-        points, others = fp[side == 0], fp[side == 1]
-        task = int(pdf["task"].iloc[0])
-        alone = (task >> 20 & 0xFFFFF) == (task & 0xFFFFF)
-        got = link_points(points, None if alone else others, max_bits) if len(points) else []
-        every = np.concatenate([points, others]).view(np.int64)
-        a, b = (np.array(x, np.int64) for x in (zip(*got, strict=True) if got else ((), ())))
-        return pd.DataFrame({"a": every[a], "b": every[b]})
-
-    return (classes.select("fp").mapInArrow(deal, "task bigint, side tinyint, fp bigint")
-            .groupBy("task").applyInPandas(link, "a bigint, b bigint"))
+                        [pa.array(np.full(len(here), longer).view(np.int64)), pa.array((here & longer).view(np.int64)),
+                         pa.array(here.view(np.int64))], names=["mask", "part", "fp"])
+
+    return rows.select("mask", "fp").mapInArrow(run, "mask bigint, part bigint, fp bigint")
+
+
+def shards(classes: DataFrame, max_bits: int, leaf_points: int) -> DataFrame:
+    """Rows (mask, part, fp) of shards that a task can hold, all levels together."""
+    todo, ready = classes.select(F.lit(0).cast("bigint").alias("mask"), "fp"), []
+    while True:
+        dealt = write_scratch(deal(todo, max_bits), "simhash-shards")
+        hot = write_scratch(
+            dealt.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n"))
+            .where((F.col("n") > leaf_points) & (F.bit_count("mask") < 64 - LAST_BITS)).select("mask", "part"), "simhash-hot")
+        if hot.isEmpty():
+            break
+        ready.append(dealt.join(hot, ["mask", "part"], "left_anti"))
+        todo = dealt.join(hot, ["mask", "part"], "left_semi")
+    for level in ready:
+        dealt = dealt.unionByName(level)
+    return dealt
+
+
+def link_shards(dealt: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) within each shard; a task reads its shards one after another."""
+
+    def forest(points: np.ndarray) -> list[tuple[int, int]]:
+        return [(points[a], points[b]) for a, b in link_points(points, None, max_bits)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def links(pairs):
+            a, b = (np.array(x, np.uint64).view(np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        key, kept = None, []
+        for batch in batches:
+            mask, part, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            fp, found = fp.view(np.uint64), []
+            new = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
+            for x, y in zip([0, *new], [*new, len(fp)], strict=True):
+                if x == y:
+                    continue
+                if (mask[x], part[x]) != key:
+                    if len(kept) > 1 or kept and len(kept[0]) > 1:
+                        found += forest(np.concatenate(kept))
+                    key, kept = (mask[x], part[x]), []
+                kept.append(fp[x:y])
+            yield links(found)
+        if kept:
+            yield links(forest(np.concatenate(kept)))
+
+    return (dealt.repartition("mask", "part").sortWithinPartitions("mask", "part").select("mask", "part", "fp")
+            .mapInArrow(run, "a bigint, b bigint"))
+
+
+def link_fingerprints(classes: DataFrame, max_bits: int = MAX_BITS, leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """Links (a, b) that span every component of distinct fingerprints ``fp``."""
+    return link_shards(shards(classes, max_bits, leaf_points), max_bits)
 
 
 def _roots(rows: DataFrame, id_col: str, max_bits: int, leaf_points: int) -> DataFrame:

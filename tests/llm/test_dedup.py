@@ -150,3 +150,22 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 400)] + [(7, i) for i in range(1000, 1400)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(100, 401), 100), **dict.fromkeys([7, *range(1000, 1400)], 7)}
+
+
+def test_each_fingerprint_is_dealt_once_per_mask(spark):
+    points = _points(2, 2500)
+    classes = spark.createDataFrame([(x,) for x in points.view(np.int64).tolist()], "fp long")
+    assert S.shards(classes, 4, 4096).count() == 5 * len(points)
+
+
+def test_dense_shards_are_cut_and_stay_whole(spark):
+    """Thousands of fingerprints around one point, most of them in one shard of every mask."""
+    rng = np.random.default_rng(3)
+    flips = [np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64) for _ in range(5)]
+    points = np.unique(np.bitwise_xor.reduce(flips) ^ np.uint64(0x0123456789ABCDEF))
+    comps = dict(zip(points.view(np.int64).tolist(), _components(points), strict=True))
+    classes = spark.createDataFrame([(x,) for x in points.view(np.int64).tolist()], "fp long")
+    dealt = S.shards(classes, 4, 128)
+    assert max(r["count"] for r in dealt.groupBy("mask", "part").count().collect()) <= 128
+    root = {r.node: r.root for r in components(S.link_shards(dealt, 4)).collect()}
+    assert len({(comps[p], root.get(p, p)) for p in comps}) == len(set(comps.values()))
