@@ -15,6 +15,8 @@ from shipfold.llm.common import read_table
 from shipfold.llm.exact_dedup import exact_dedup
 from shipfold.llm.language_id import identify_tables
 from shipfold.llm.license_scan import license_scan
+from shipfold.llm.merkle import every_third, manifest
+from shipfold.llm.merkle import oracle as merkle_oracle
 from shipfold.llm.pii_crf import find_pii
 from shipfold.llm.simhash_vp import simhash_components
 from shipfold.llm.source_mix import source_mix
@@ -64,13 +66,19 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return manifest(docs, every_third(docs))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_crf, op2_source_mix, op3_adaptive_scan, op4_zstd_quality, op5_simhash_vp, op6_token_count, op7_language_id,
-    op8_license_scan, op9_exact_dedup, op10_best_fit)}
+    op8_license_scan, op9_exact_dedup, op10_best_fit, op12_merkle_manifest)}
 
 ORACLE = {
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op12_merkle_manifest": merkle_oracle(),
 }
