@@ -21,6 +21,8 @@ from shipfold.llm.pii_crf import find_pii
 from shipfold.llm.simhash_vp import simhash_components
 from shipfold.llm.source_mix import source_mix
 from shipfold.llm.token_count import token_counts
+from shipfold.llm.url_filter import filter_urls
+from shipfold.llm.url_filter import oracle as url_oracle
 from shipfold.llm.zstd_quality import quality_scores
 
 
@@ -71,9 +73,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(docs, every_third(docs))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' verdicts label the URLs that they decide."""
+    return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_crf, op2_source_mix, op3_adaptive_scan, op4_zstd_quality, op5_simhash_vp, op6_token_count, op7_language_id,
-    op8_license_scan, op9_exact_dedup, op10_best_fit, op12_merkle_manifest)}
+    op8_license_scan, op9_exact_dedup, op10_best_fit, op12_merkle_manifest,
+    op13_url_filter)}
 
 ORACLE = {
     "op9_exact_dedup": """
@@ -81,4 +89,5 @@ ORACLE = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op12_merkle_manifest": merkle_oracle(),
+    "op13_url_filter": url_oracle(),
 }
