@@ -23,6 +23,7 @@ from shipfold.llm.source_mix import source_mix
 from shipfold.llm.token_count import token_counts
 from shipfold.llm.url_filter import filter_urls
 from shipfold.llm.url_filter import oracle as url_oracle
+from shipfold.llm.whitening import whiten
 from shipfold.llm.zstd_quality import quality_scores
 
 
@@ -68,6 +69,10 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return manifest(docs, every_third(docs))
@@ -80,7 +85,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pii_crf, op2_source_mix, op3_adaptive_scan, op4_zstd_quality, op5_simhash_vp, op6_token_count, op7_language_id,
-    op8_license_scan, op9_exact_dedup, op10_best_fit, op12_merkle_manifest,
+    op8_license_scan, op9_exact_dedup, op10_best_fit, op11_whitening, op12_merkle_manifest,
     op13_url_filter)}
 
 ORACLE = {
