@@ -18,8 +18,8 @@ WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
 BROWSER_WS_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680"
                     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                     "\u2028\u2029\u202f\u205f\u3000\ufeff")
-BROWSER_RUN_RE = (r"[\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}"
-                  r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+")
+# The same set as a pattern: ``\\p{Z}`` is its spaces and its two Unicode line ends.
+BROWSER_RUN_RE = r"[\t-\r\p{Z}\x{feff}]+"
 
 # FIXED VALUES: key values treated as missing (case-sensitive), after strip.
 MISSING_KEY_TOKENS = ("", "nan", "None")

@@ -92,3 +92,12 @@ def test_browser_and_python_white_space(spark):
     r = df.select(T.collapse_ws("a").alias("c"), T.strip("a").alias("s"), T.tag_split("a").alias("t")).first()
     assert r.c == "a\x85\x1cb c\x1c" and r.t == ["a\x85\x1cb \u00a0c\x1c"]
     assert r.s == "\ufeff a\x85\x1cb \u00a0c" == "\ufeff a\x85\x1cb \u00a0c\x1c".strip()
+
+
+def test_browser_white_space_pattern_is_the_listed_set(spark):
+    """Every code point but the surrogates, once."""
+    from shipfold.functions.text import BROWSER_RUN_RE, BROWSER_WS_CHARS
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    text = spark.createDataFrame([("".join(map(chr, points[i:i + 4096])),) for i in range(0, len(points), 4096)], "t string")
+    found = text.select(F.explode(F.regexp_extract_all("t", F.lit(BROWSER_RUN_RE), F.lit(0))).alias("run")).collect()
+    assert sorted("".join(r.run for r in found)) == sorted(BROWSER_WS_CHARS)
