@@ -29,7 +29,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS mawb,
        CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'C-' || CAST(o_custkey AS VARCHAR) END AS hawb_customer,
        'pending' AS bot_status,
        CASE WHEN o_orderpriority = '1-URGENT'
-            THEN o_orderkey || ' "Old" Road' || chr(10) || 'Town, ' || o_orderstatus || chr(10) || chr(10)
+            THEN o_orderkey || ' "Old" Road' || chr(13) || chr(10) || 'Town, ' || o_orderstatus || chr(10) || chr(10)
             WHEN o_orderpriority = '3-MEDIUM' THEN 'Gate ' || o_custkey || ', "B"' END AS address
 FROM orders WHERE NOT (o_orderpriority = '2-HIGH' AND o_orderstatus = 'P')"""
 
@@ -38,7 +38,7 @@ def orders_as_upload(orders):
     """Orders as an upload sheet with the headers people type: padded key,
     a spaced header, two aliases of one column (the last one sometimes
     blank), an NA token, a column the table does not know, and addresses, some
-    with quotes and commas, urgent orders' with line breaks."""
+    with quotes and commas, urgent orders' with line breaks of both kinds."""
     prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     return orders.select(
         F.when((prio == "2-HIGH") & (status == "P"), F.lit("nan"))
@@ -50,7 +50,7 @@ def orders_as_upload(orders):
         F.when(prio == "5-LOW", F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("C-"), F.col("o_custkey").cast("string"))).alias("HAWB Customer"),
         F.col("o_totalprice").cast("string").alias("Unknown Col"),
-        F.when(prio == "1-URGENT", F.concat(F.col("o_orderkey").cast("string"), F.lit(' "Old" Road\nTown, '),
+        F.when(prio == "1-URGENT", F.concat(F.col("o_orderkey").cast("string"), F.lit(' "Old" Road\r\nTown, '),
                                             status, F.lit("\n\n")))
          .when(prio == "3-MEDIUM", F.concat(F.lit("Gate "), F.col("o_custkey").cast("string"), F.lit(', "B"')))
          .alias("Address"),

@@ -5,10 +5,11 @@ in one job: Spark's reader is run with ``header=False`` and an all-string
 schema, and the mapping from header cells to columns is done by expressions.
 
 A text pass gives one row per file: its header line, the cells of its widest
-line, and whether a quoted cell runs on past a line's end. Files where one does
-are read whole by the reader's ``multiLine`` mode (one task per file), all
-others in splits; the rows are the same either way. A file with a row wider
-than its header, or without the key column, is refused whole with a reason.
+line, and whether a quoted cell runs on past a line's end. All files are read in
+splits: by the CSV reader, or, where a cell does, as records put together by
+their quotes (``csv_records``), with the text inside cells byte for byte. A file
+with a row wider than its header, without the key column, without any line but
+blank ones, or that ends inside a quoted cell, is refused whole with a reason.
 
 Line numbers are exact per file: rows are counted per split, a prefix sum
 over the (small) split table gives each split's first line, and a row's line
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 from shipfold.operators.joins import join_checked
 from shipfold.operators.normalise import cells_to_fields, header_keep, header_targets
 from shipfold.profiles import TableProfile
+from shipfold.sources.csv_records import BLANK, READ_OPTIONS, charset, read_records, record_shape
 from shipfold.session import partition_count, scratch_dir
 
 # FIXED VALUES: cell texts a CSV upload treats as missing (the default NA
@@ -47,6 +49,8 @@ UPLOAD_EXTENSIONS = (".xlsx", ".xls", ".csv")
 # Why a file is refused whole.
 WIDER_ROW = "a row is wider than the header"
 NO_KEY_COLUMN = "no key column"
+UNCLOSED = "a quoted cell is never closed"
+EMPTY = "no header line"
 
 
 def accepted_path(path: str) -> bool:
@@ -66,60 +70,16 @@ def _gate(paths: Sequence[str], ext: str) -> list[str]:
     return out
 
 
-# Reader options that shape how one line parses; they are handed to
-# ``from_csv`` too, so a header line parses exactly as the reader parses it.
-_READ_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 _PARSE_KEYS = ("sep", "delimiter", "quote", "escape", "charToEscapeQuoteEscaping", "comment",
                "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "nullValue", "emptyValue",
                "unescapedQuoteHandling", "maxCharsPerColumn")
 
 
-# Lines the reader skips: empty after trimming every character up to U+0020.
-_BLANK = "^[\\x00-\\x20]*$"
-_RAW = "_raw"
-
-
 def _text_ok(options: dict) -> bool:
-    """Files can be looked at as text lines, unless the caller says that any
+    """Files can be looked at line by line first, unless the caller says that any
     record may span lines or the files are not UTF-8."""
     multi = str(options.get("multiLine", options.get("multiline", "false"))).lower() == "true"
-    enc = str(options.get("encoding", options.get("charset", "utf-8"))).lower().replace("-", "")
-    return not multi and enc == "utf8"
-
-
-def record_shape(text: Column, options: dict | None = None) -> Column:
-    """``struct(cells, open)`` of a record's text: how many cells it has, and
-    whether it ends inside a quoted cell.
-
-    A quote opens a cell only at its start; elsewhere it is plain text. The text
-    is cut at its quotes, and one walk over the pieces counts the separators
-    outside quoted cells. Text without a quote is only counted."""
-    options = options or {}
-    opts = {**_READ_OPTIONS, **options}
-    sep, quote, escape = opts.get("sep", opts.get("delimiter", ",")), opts["quote"], opts["escape"]
-    seps = lambda c: ((F.length(c) - F.length(F.replace(c, F.lit(sep), F.lit("")))) / len(sep)).cast("int")
-    plain = F.struct((seps(text) + 1).alias("cells"), F.lit(False).alias("open"))
-    if not quote:
-        return plain
-    if escape and escape != quote:
-        text = F.replace(text, F.lit(escape + quote), F.lit(""))
-    pieces = F.split(text, re.escape(quote), -1)
-    ends = lambda c: F.endswith(c, F.lit(sep))
-
-    def step(acc, piece):
-        opens = ~acc["open"] & acc["start"]
-        return F.struct(
-            (acc["cells"] + F.when(opens, F.lit(0)).otherwise(seps(piece))).alias("cells"), opens.alias("open"),
-            # Right after a closing quote another quote opens again: a doubled quote.
-            (~opens & (ends(piece) | (acc["open"] & (piece == "")))).alias("start"))
-
-    first = pieces[0]
-    walked = F.aggregate(
-        F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))),
-        F.struct((seps(first) + 1).alias("cells"), F.lit(False).alias("open"),
-                 ((first == "") | ends(first)).alias("start")), step)
-    return F.when(F.contains(text, F.lit(quote)), F.struct(walked["cells"].alias("cells"), walked["open"].alias("open"))
-                  ).otherwise(plain)
+    return not multi and charset(options) == "utf8"
 
 
 def _reader_path(uri: str) -> str:
@@ -127,24 +87,25 @@ def _reader_path(uri: str) -> str:
     return re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(uri))
 
 
-def _record_files(spark: SparkSession, paths: Sequence[str], options: dict) -> DataFrame:
-    """``file_path, line, widest`` of files whose records may span lines: the
-    header record's text and the cells of the widest record. Each file is one
-    task, as such files cannot be split."""
-    raw = _reader(spark, 1, {**options, "multiLine": "true"}, raw_text=True).csv(list(paths))
-    quote = options.get("quote", _READ_OPTIONS["quote"])
-    one = F.concat(F.lit(quote), F.replace(F.coalesce("_c0", F.lit("")), F.lit(quote), F.lit(quote * 2)), F.lit(quote))
-    rows = raw.filter(_not_blank()).select(
-        F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("r"),
-        F.coalesce(F.col(_RAW), one).alias("line"))
-    return rows.groupBy("file_path").agg(
-        F.min_by("line", "r").alias("line"), F.max(record_shape(F.col("line"), options)["cells"]).alias("widest"))
+def _record_files(spark: SparkSession, paths: Sequence[str], options: dict) -> tuple[DataFrame, DataFrame]:
+    """``(records, files)`` of files whose records may span lines; a file's row is
+    ``file_path, line, cells, widest, unclosed``, with an empty line if it is not closed."""
+    records, files = read_records(spark, paths, options)
+    shape = record_shape(F.col("text"), options)["cells"].alias("cells")
+    per_file = (records.select("file_path", "record", "text", shape).groupBy("file_path")
+                .agg(F.min_by("text", "record").alias("line"), F.min_by("cells", "record").alias("cells"),
+                     F.max("cells").alias("widest")))
+    # Files whose lines are all blank have no record and no row, as in the line by line pass.
+    files = files.join(per_file, "file_path", "left").filter("unclosed OR line IS NOT NULL").select(
+        "file_path", F.coalesce("line", F.lit("")).alias("line"), F.coalesce("cells", F.lit(1)).alias("cells"),
+        F.coalesce("widest", F.lit(1)).alias("widest"), "unclosed")
+    return records, files
 
 
 def file_table(spark: SparkSession, paths: Sequence[str], options: dict | None = None) -> tuple[DataFrame, list[str] | None]:
-    """One row per file, ``file_path, line, cells, widest``: the header line, its
-    cells, and the cells of the file's widest record. Also the paths of the files
-    with a cell that spans lines (None: all files may, see ``_text_ok``); they
+    """One row per file, ``file_path, line, cells, widest, spans``: the header line, its
+    cells, the cells of the file's widest line and whether a cell spans lines. Also
+    the paths of the files where one does (None: all files may, see ``_text_ok``); they
     go back to the reader, so they come to the driver like any list of inputs.
 
     The CSV reader skips lines that are empty after trimming every character
@@ -152,15 +113,11 @@ def file_table(spark: SparkSession, paths: Sequence[str], options: dict | None =
     is the first line it does not skip. The table is written under the shared
     checkpoint folder, so the pass runs once."""
     options = options or {}
-    cells = lambda c: record_shape(F.col(c), options)["cells"]
     out = scratch_dir(spark, "csv_files")
-    if not _text_ok(options):
-        _record_files(spark, paths, options).withColumn("cells", cells("line")).write.parquet(out)
-        return spark.read.parquet(out), None
     reader = spark.read.option("pathGlobFilter", "*.csv")
     if "lineSep" in options:
         reader = reader.option("lineSep", options["lineSep"])
-    kept = ~F.col("value").rlike(_BLANK)
+    kept = ~F.col("value").rlike(BLANK)
     if options.get("comment"):
         kept = kept & ~F.col("value").startswith(options["comment"])
     lines = reader.text(list(paths)).filter(kept).select(
@@ -169,16 +126,9 @@ def file_table(spark: SparkSession, paths: Sequence[str], options: dict | None =
     head = F.when(F.col("b") == 0, F.col("r"))
     files = lines.groupBy("file_path").agg(
         F.min_by("value", head).alias("line"), F.max("s.cells").alias("widest"), F.bool_or("s.open").alias("spans"))
-    files.withColumn("cells", cells("line")).write.parquet(out)
+    files.withColumn("cells", record_shape(F.col("line"), options)["cells"]).write.parquet(out)
     files = spark.read.parquet(out)
-    spanning = [r[0] for r in files.filter("spans").select("file_path").collect()]
-    whole = files.filter("NOT spans").drop("spans")
-    if not spanning:
-        return whole, []
-    out = scratch_dir(spark, "csv_files")
-    again = _record_files(spark, [_reader_path(p) for p in spanning], options).withColumn("cells", cells("line"))
-    whole.unionByName(again).write.parquet(out)
-    return spark.read.parquet(out), spanning
+    return files, [r[0] for r in files.filter("spans").select("file_path").collect()]
 
 
 def header_width(files: DataFrame) -> int:
@@ -186,84 +136,100 @@ def header_width(files: DataFrame) -> int:
     return int(files.agg(F.max("cells")).first()[0] or 1)
 
 
-def _parse_header(line: str, width: int, options: dict):
-    """A header line parsed by the reader's own CSV parser, as ``raw_cells``."""
-    opts = {k: str(v) for k, v in {**_READ_OPTIONS, **options}.items() if k in _PARSE_KEYS or k == "mode"}
-    schema = ", ".join(f"_c{i} STRING" for i in range(width))
-    h = F.from_csv(F.col(line), schema, opts)
+def _parsed(text: str, width: int, options: dict) -> Column:
+    """A record's text parsed by the reader's own CSV parser: a struct of ``width`` cells."""
+    opts = {k: str(v) for k, v in {**READ_OPTIONS, **options}.items() if k in _PARSE_KEYS or k == "mode"}
+    return F.from_csv(F.col(text), ", ".join(f"_c{i} STRING" for i in range(width)), opts)
+
+
+def _parse_header(line: str, width: int, options: dict) -> Column:
+    """A header line's cells, as ``raw_cells``."""
+    h = _parsed(line, width, options)
     return F.array(*[F.coalesce(h[f"_c{i}"], F.lit("")) for i in range(width)])
 
 
-def _reader(spark: SparkSession, width: int, options: dict, raw_text: bool = False):
+def _reader(spark: SparkSession, width: int, options: dict):
     # Doubled quotes inside a quoted field are one quote, as uploads write them.
-    fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
     reader = spark.read.option("header", False).option("pathGlobFilter", "*.csv")
-    if raw_text:  # the record's text, given for every record whose cell count is not ``width``
-        fields.append(T.StructField(_RAW, T.StringType()))
-        reader = reader.option("columnNameOfCorruptRecord", _RAW)
-    for k, v in {**_READ_OPTIONS, **options}.items():
+    for k, v in {**READ_OPTIONS, **options}.items():
         reader = reader.option(k, v)
-    return reader.schema(T.StructType(fields))
+    return reader.schema(T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]))
 
 
-def _not_blank() -> Column:
-    """Records other than the blank lines that the split reader skips. (The
-    reader refuses to be asked for the raw text alone.)"""
-    return ~(F.coalesce("_c0", F.lit("")).rlike(_BLANK) & F.coalesce(_RAW, F.lit("x")).rlike(_BLANK))
+def _cells(width: int, cell) -> list[Column]:
+    """``cells`` (NA tokens as NULL) and ``raw_cells`` ('' for empty) of one record."""
+    return [F.array(*[F.when(cell(i).isin(*NA_TOKENS), F.lit(None)).otherwise(cell(i)) for i in range(width)]).alias("cells"),
+            F.array(*[F.coalesce(cell(i), F.lit("")) for i in range(width)]).alias("raw_cells")]
 
 
 def _rows(raw: DataFrame, width: int) -> DataFrame:
-    cells = [F.when(F.col(f"_c{i}").isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}"))
-             for i in range(width)]
-    raw_cells = F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(width)])
     return raw.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("_rid"),
-        F.array(*cells).alias("cells"),
-        raw_cells.alias("raw_cells"),
+        *_cells(width, lambda i: F.col(f"_c{i}")),
     )
 
 
+def _record_rows(records: DataFrame, width: int, options: dict) -> DataFrame:
+    """Rows like ``_rows`` from whole records' texts, parsed by the reader's own parser."""
+    parsed = records.select("file_path", F.col("record").alias("_rid"), _parsed("text", width, options).alias("p"))
+    return parsed.select("file_path", F.lit(0).cast("bigint").alias("block_start"), "_rid",
+                         *_cells(width, lambda i: F.col("p")[f"_c{i}"]))
+
+
 def _scan(spark: SparkSession, paths: Sequence[str], options: dict) -> _Scan:
     """The raw scan, the per-split table and the table of files.
 
     Per split: first row id and row count, from a scan that parses no column.
-    The data is parsed in full once, by the main scan, and once more for its
-    records' widths in files whose records may span lines."""
+    The data is parsed in full once, by the main scan. Files whose records span
+    lines are read in splits too, as written records (``csv_records``)."""
     paths = _gate(list(paths), ".csv")
-    files, spanning = file_table(spark, paths, options)
-    width = header_width(files)
-    multi = {**options, "multiLine": "true"}
-    # One cell more than any header, so that the spanning files' records of one cell have a text.
-    spans = lambda ps: _rows(_reader(spark, width + 1, multi, raw_text=True).csv(ps).filter(_not_blank()), width)
-    split = _reader(spark, width, options).csv(paths)
-    if spanning is None:
-        base = spans(paths)
-    elif spanning:
-        base = _rows(split.filter(~F.col("_metadata.file_path").isin(*spanning)), width).unionByName(
-            spans([_reader_path(p) for p in spanning]))
+    fields = ["file_path", "line", "cells", "widest", "unclosed"]
+    closed = F.lit(False).alias("unclosed")
+    # The listing writes file:///x where the rows' metadata has file:/x.
+    names = [re.sub("^([a-z0-9+.-]+):///", r"\1:/", n) for n in _reader(spark, 1, options).csv(paths).inputFiles()]
+    if _text_ok(options):
+        files, spanning = file_table(spark, paths, options)
+        files = files.filter("NOT spans").select(*fields[:-1], closed)
+        plain_paths = paths
+        if spanning:
+            plain_paths = [_reader_path(n) for n in names if n not in set(spanning)]
+        record_paths = [_reader_path(n) for n in spanning]
     else:
-        base = _rows(split, width)
+        files, plain_paths, record_paths = None, [], paths
+    records = None
+    if record_paths:
+        records, more = _record_files(spark, record_paths, options)
+        out = scratch_dir(spark, "csv_files")
+        (more if files is None else files.unionByName(more.select(*fields))).write.parquet(out)
+        files = spark.read.parquet(out)
+    width = header_width(files)
+    base, n_parts = None, 0
+    if plain_paths:
+        split = _reader(spark, width, options).csv(plain_paths)
+        base, n_parts = _rows(split, width), partition_count(split)
+    if records is not None:
+        spans = _record_rows(records, width, options)
+        base = spans if base is None else base.unionByName(spans)
     per_split = base.groupBy("file_path", "block_start").agg(
         F.min("_rid").alias("_rid0"), F.count(F.lit(1)).alias("_n"))
     wide = F.when(F.col("widest") > F.col("cells"), F.concat(
         F.lit(WIDER_ROW), F.lit(" ("), F.col("widest").cast("string"), F.lit(" cells, header "),
         F.col("cells").cast("string"), F.lit(")")))
-    headers = files.select("file_path", _parse_header("line", width, options).alias("_header"), wide.alias("_refused"))
-    names = split.inputFiles()
+    why = F.coalesce(F.when(F.col("unclosed"), F.lit(UNCLOSED)), wide)
+    headers = files.select("file_path", _parse_header("line", width, options).alias("_header"), why.alias("_refused"))
     # Planning facts bound the split table: splits <= files + scan partitions.
-    n_parts = partition_count(split)
     split_bound = None if n_parts is None else len(names) + n_parts
     max_path = max((len(f.encode("utf-8")) for f in names), default=0)
-    return _Scan(base, per_split, headers, len(names), split_bound, width, max_path)
+    return _Scan(base, per_split, headers, names, split_bound, width, max_path)
 
 
 class _Scan(NamedTuple):
     base: DataFrame
     per_split: DataFrame
     headers: DataFrame       # one row per file: header cells, why its rows are refused
-    n_files: int
+    names: list[str]         # the files' paths, as planned
     split_bound: int | None   # rows of the split table, from planning facts
     width: int                # cells per row
     max_path: int             # bytes of the longest file path
@@ -313,7 +279,7 @@ def read_csv_cells(spark: SparkSession, paths: Sequence[str], **options) -> Data
     sc = _scan(spark, paths, options)
     rows = _number_lines(sc.base, sc.per_split, sc.split_bound, sc.max_path)
     fine = sc.headers.filter(F.col("_refused").isNull()).select("file_path")
-    return join_checked(rows, fine, "file_path", row_bound=sc.n_files, row_bytes=sc.max_path + _ROW_OVERHEAD)
+    return join_checked(rows, fine, "file_path", row_bound=len(sc.names), row_bytes=sc.max_path + _ROW_OVERHEAD)
 
 
 def csv_upload(spark: SparkSession, paths: Sequence[str], profile: TableProfile,
@@ -331,10 +297,14 @@ def csv_upload(spark: SparkSession, paths: Sequence[str], profile: TableProfile,
     longest = max((len(t.encode("utf-8")) for t in profile.aliases.values()), default=0)
     row_bytes = sc.max_path + 2 * _ROW_OVERHEAD + sc.width * (longest + _CELL_OVERHEAD)
     rows = upload_rows_from_cells(_number_lines(sc.base, sc.per_split, sc.split_bound, sc.max_path),
-                                  profile, n_files=sc.n_files, headers=sc.headers,
+                                  profile, n_files=len(sc.names), headers=sc.headers,
                                   header_row_bytes=row_bytes)
     refused = _mapped_headers(sc.headers, profile).filter(F.col("_refused").isNotNull())
-    return rows, refused.select("file_path", F.col("_refused").alias("reason"))
+    refused = refused.select("file_path", F.col("_refused").alias("reason"))
+    # A planned file without a row in the table of files holds no line but blank ones.
+    named = spark.createDataFrame([(n,) for n in sc.names], "file_path string")
+    empty = named.join(sc.headers.select("file_path"), "file_path", "left_anti").select("file_path", F.lit(EMPTY).alias("reason"))
+    return rows, refused.unionByName(empty)
 
 
 def cells_upload(cells: DataFrame, profile: TableProfile) -> tuple[DataFrame, DataFrame]:

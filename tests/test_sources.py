@@ -172,7 +172,7 @@ def test_csv_header_after_blank_lines_and_quoted_header(spark):
 
 
 def test_csv_quoted_line_breaks(spark):
-    """A cell with line breaks, doubled quotes and separators stays one cell; only its file is read whole."""
+    """A cell with line breaks, doubled quotes and separators stays one cell; its file's records are put together."""
     tmp = tempfile.mkdtemp()
     _write(tmp, "a [1].csv", '\nM#,"Add\nress",Address,Operator\n1,x,"12 ""Old"" Road\nTown, North\n\n",2024\n \n2,,"",5" pipe\n')
     _write(tmp, "b.csv", "M#,Address\n3,plain\n")
@@ -247,3 +247,61 @@ def test_interleaved_repeated_label(spark):
                                   "page_id int, row_no int, col_no int, label string, value string")
     got = N.label_map(cells, {"m#": "mawb", "a": "x", "b": "x"}, "mawb").first()
     assert got["fields"] == {"mawb": "k", "x": "b"}
+
+
+def _bytes(tmp, name, data):
+    with open(os.path.join(tmp, name), "wb") as fh:
+        fh.write(data)
+
+
+def test_csv_records_across_splits_are_byte_for_byte(spark):
+    """Random cells with quotes, separators and all line ends, cut into many splits, against the standard library."""
+    import csv
+    import random
+    rnd = random.Random(4)
+    tmp, want = tempfile.mkdtemp(), {}
+    for f, end in enumerate(("\n", "\r\n")):
+        rows = [["M#", "Notes", "Op,\n erator"]]
+        for k in range(1500):
+            text = "".join(rnd.choice(['a', 'b"', '""', ',', '\n', '\r\n', '\n\n', ' ', 'é', 'x' * 40]) for _ in range(rnd.randrange(9)))
+            rows.append([f"{f}-{k}", text, rnd.choice(["", 'q"', "n\n", "z"])])
+        rows.insert(700, ["giant", "line\n" * 4000, '"'])  # one record over several splits
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=end)
+        for k, r in enumerate(rows):
+            writer.writerow(r)
+            if k % 50 == 0:
+                out.write(end + " \t" + end)  # blank lines between records
+        _bytes(tmp, f"f{f}.csv", out.getvalue().encode())
+        want[f] = rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        scan = CSV._scan(spark, [tmp], {})
+        assert scan.base.select("file_path").distinct().count() == 2
+        got = CSV.read_csv_cells(spark, [tmp]).orderBy("row_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["row_index"] for r in got] == list(range(len(got)))
+    for f, rows in want.items():
+        mine = [r["raw_cells"] for r in got if r["file_index"] == f]
+        assert mine == rows
+
+
+def test_csv_unclosed_and_empty_files_are_refused(spark):
+    tmp = tempfile.mkdtemp()
+    _write(tmp, "open.csv", 'M#,Notes\n1,"never closed\n2,x\n')
+    _write(tmp, "fine.csv", 'M#,Notes\n3,"closed\n"\n')
+    _bytes(tmp, "blank.csv", b"\n \r\n")
+    rows, refused = CSV.csv_upload(spark, [tmp], IMPORT_CONFIRM)
+    assert {r["fields"]["mawb"] for r in rows.filter("refused IS NULL").collect()} == {"3"}
+    why = {os.path.basename(r["file_path"]): r["reason"] for r in refused.collect()}
+    assert why == {"open.csv": CSV.UNCLOSED, "blank.csv": CSV.EMPTY}
+
+
+def test_csv_other_encodings_and_comments(spark):
+    tmp = tempfile.mkdtemp()
+    _bytes(tmp, "a.csv", 'M#,OP Remarks\n# "no cell\n1,"é\r\nü"\n'.encode("latin-1"))
+    rows = CSV.csv_upload_rows(spark, [tmp], IMPORT_CONFIRM, encoding="ISO-8859-1", comment="#").collect()
+    assert [r["fields"] for r in rows] == [{"mawb": "1", "op_remarks": "é\r\nü"}]
+    with pytest.raises(ValueError):
+        CSV.csv_upload_rows(spark, [tmp], IMPORT_CONFIRM, encoding="UTF-16")
