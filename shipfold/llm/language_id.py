@@ -15,8 +15,10 @@ Beside the labelled languages there is ``und``, under which all trigrams are
 equally likely. A row is accepted if its best language is not ``und``, its posterior
 reaches ``least`` and its text has a letter.
 
-The model has at most 1,000 languages (each holds ``min_share`` of the labelled
-rows) times ``BUCKETS`` numbers. Per-host tables stay distributed; a hot host is one
+The model has every declared language up to ``MAX_LANGS``, the most frequent ones, times
+``BUCKETS`` numbers. If there are more, a row that declares none of the model's cannot
+be judged: it keeps its declared language, with a null posterior, and is accepted if its
+text has a letter. So no language is lost for being rare. Per-host tables stay distributed; a hot host is one
 row of a small table after partial aggregation and a skew-split join side.
 
 Defined cases: null or letterless texts are ``und`` and rejected; null declared
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from shipfold.llm.common import column, map_arrow, text_slices, without, write_scratch
 
 BUCKETS = 1 << 14
-MIN_SHARE = 0.001
+MAX_LANGS = 256
+#: Rows that one task judges, about.
+TASK_ROWS = 10_000
 KAPPA = 20.0
 LEAST = 0.5
 UND = "und"
@@ -56,12 +60,13 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.searchsorted(ends, at, side="right")
 
 
-def train(labelled: DataFrame, text_col: str, lang_col: str, min_share: float = MIN_SHARE) -> tuple[list[str], np.ndarray]:
-    """(languages with ``und`` last, log P(bucket | language)) from every labelled row."""
+def train(labelled: DataFrame, text_col: str, lang_col: str, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray, bool]:
+    """(languages with ``und`` last, log P(bucket | language), whether languages are left out) from every labelled row."""
     rows = labelled.select(column(labelled, text_col).cast("string").alias("text"),
                            column(labelled, lang_col).cast("string").alias("lang")).where("lang is not null")
-    total = rows.count()
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().where(F.col("count") >= max(1, min_share * total)).collect())
+    often = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_langs + 1)
+    langs = [r[0] for r in often.collect()]
+    partial, langs = len(langs) > max_langs, sorted(langs[:max_langs])
     number = {name: k for k, name in enumerate(langs)}
 
     def count(batches):
@@ -88,7 +93,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, min_share: float =
             counts[k, bucket] = n
     counts = counts + 0.5
     counts[-1] = 1.0
-    return [*langs, UND], np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    return [*langs, UND], np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), partial
 
 
 def softmax(logs: np.ndarray) -> np.ndarray:
@@ -96,10 +101,9 @@ def softmax(logs: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def text_evidence(items: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def text_evidence(items: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     """Rows (rid, text, ...) with ``text`` replaced by ``grams``, ``ll`` (log-likelihoods by
     language) and ``soft`` (the same as a posterior under equal priors)."""
-    langs, logp = model
     names = [c for c in items.columns if c != "text"]
     at = items.columns.index("text")
     keep = [k for k in range(len(items.columns)) if k != at]
@@ -137,12 +141,13 @@ def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return left.join(renamed, on, how).drop(*[f"r_{k}" for k in keys])
 
 
-def fuse(evidence: DataFrame, langs: list[str], kappa: float = KAPPA, least: float = LEAST) -> DataFrame:
+def fuse(evidence: DataFrame, langs: list[str], kappa: float = KAPPA, least: float = LEAST, partial: bool = False) -> DataFrame:
     """Rows (rid, kind, declared, host, suffix, grams, ll) with lang, posterior, accepted, text_lang.
 
     ``kind`` keeps apart tables whose declarations and hosts mean different things.
+    ``partial``: the model left languages out, so rows that declare none of its own are not judged.
     """
-    n = len(langs)
+    n, known_langs = len(langs), set(langs)
     rows = write_scratch(evidence, "language-text")
     known = rows.where("grams > 0")
     said = _sums(known, ["kind", "declared"], n, "said_n")
@@ -154,7 +159,8 @@ def fuse(evidence: DataFrame, langs: list[str], kappa: float = KAPPA, least: flo
         out = _match(out, table, keys, "left")
     helpers = ["grams", "ll", "soft", "all_n", "suffix_n", "host_n", "said_n", "declarations"]
     kept = [f for f in out.schema if f.name not in helpers]
-    out = out.select(*[f.name for f in kept], *helpers)
+    # By rows, not by bytes: the step after is heavy on the processor.
+    out = out.select(*[f.name for f in kept], *helpers).repartition(max(1, -(-rows.count() // TASK_ROWS)))
 
     def decide(batches):
         import pyarrow as pa
@@ -181,9 +187,15 @@ def fuse(evidence: DataFrame, langs: list[str], kappa: float = KAPPA, least: flo
             lang = [langs[k] if g else UND for k, g in zip(best, grams, strict=True)]
             text = [langs[k] if g else UND for k, g in zip(ll.argmax(axis=1), grams, strict=True)]
             accepted = [x != UND and s >= least for x, s in zip(lang, score, strict=True)]
+            score = score.tolist()
+            for k, x in enumerate(batch.column("declared").to_pylist() if partial else ()):
+                if x is not None and x not in known_langs:
+                    if grams[k]:
+                        lang[k] = x
+                    score[k], accepted[k] = None, bool(grams[k])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(len(kept))), pa.array(lang, pa.string()), pa.array(text, pa.string()),
-                 pa.array(score), pa.array(accepted, pa.bool_())],
+                 pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())],
                 names=[*(f.name for f in kept), "lang", "text_lang", "score", "accepted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept),
@@ -211,11 +223,12 @@ def document_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        column(docs, source_col).cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))
 
 
-def identify(items: DataFrame, labelled: DataFrame, kappa: float = KAPPA, least: float = LEAST) -> DataFrame:
+def identify(items: DataFrame, labelled: DataFrame, kappa: float = KAPPA, least: float = LEAST,
+             max_langs: int = MAX_LANGS) -> DataFrame:
     """(id and further columns, lang, text_lang, score, accepted) of rows
     (id, kind, text, declared, host, suffix), with the model of ``labelled`` (text, lang)."""
-    model = train(labelled, "text", "lang")
-    return fuse(text_evidence(items, model), model[0], kappa, least)
+    langs, logp, partial = train(labelled, "text", "lang", max_langs)
+    return fuse(text_evidence(items, langs, logp), langs, kappa, least, partial)
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

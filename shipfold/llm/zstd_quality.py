@@ -6,10 +6,15 @@ text that its class's dictionary knows compresses better with it, so
 grows with quality; a logistic curve fitted on other labelled rows turns it into the
 probability of label 1. Nothing but the text enters a score.
 
+Every text is compressed whole, as consecutive chunks of ``CHUNK_BYTES``, each on its
+own, and the sizes are summed: a dictionary helps every chunk alike, so the difference
+does not fade with a text's length, and the curve holds for all lengths.
+
 Fitting takes at most ``TRAIN_ROWS`` labelled rows of each class, those with the
-smallest hash of their id, and at most ``CHUNKS * CHUNK_BYTES`` bytes from each; three
-fifths of them make the dictionaries, the others choose their sizes and fit the
-curve. Scoring compresses every text whole.
+smallest hash of their id, with their whole texts, which stay in Spark. Three fifths of
+them make the dictionaries, from ``TRAIN_CHUNKS`` chunks a class drawn by hash from all
+their chunks (the only texts that reach the driver, 16 MB at most); the others choose
+the dictionaries' sizes and fit the curve.
 
 Defined cases: a null or empty text has no difference and gets the curve's value there;
 a null id is never held out; rows that repeat score each; a class without labelled
@@ -23,11 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.llm.common import column, map_arrow, text_slices
+from shipfold.llm.common import column, map_arrow, text_slices, write_scratch
 
 TRAIN_ROWS = 4000
-CHUNKS = 4
 CHUNK_BYTES = 4096
+#: Chunks of each class that make its dictionary.
+TRAIN_CHUNKS = 2000
+#: Tasks that the fitting rows are spread over.
+FIT_TASKS = 16
 #: Dictionary and sample sizes to choose from, by the area under the curve on the
 #: training rows that the dictionaries did not see.
 SETTINGS = ((112_640, 4096), (112_640, 2048), (262_144, 4096), (262_144, 2048), (524_288, 2048))
@@ -42,11 +50,12 @@ def fold(id_column: F.Column) -> F.Column:
 
 
 def sizes(dictionary, texts: list[bytes]) -> np.ndarray:
+    """Compressed bytes of each text, its chunks summed."""
     import zstandard
 
     options = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
     c = zstandard.ZstdCompressor(dict_data=dictionary, **options) if dictionary else zstandard.ZstdCompressor(**options)
-    return np.array([len(c.compress(t)) for t in texts], float)
+    return np.array([sum(len(c.compress(t[k:k + CHUNK_BYTES])) for k in range(0, len(t), CHUNK_BYTES)) for t in texts], float)
 
 
 def differences(good, bad, texts: list[str | None]) -> np.ndarray:
@@ -111,22 +120,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select(column(docs, id_col).alias("id"), F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
                         .alias("text"))
+    rows = write_scratch(
+        texts.join(F.broadcast(drawn), "id")  # at most 2 * train_rows ids
+        .groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of rows that share an id, one
+        .withColumn("part", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(5)))
+        .repartition(FIT_TASKS, "id"), "quality-fit")
     whole = F.col("text").cast("binary")
-    rows = (texts.join(F.broadcast(drawn), "id")  # at most 2 * train_rows ids
-            .select("id", "y", F.substring(whole, 1, CHUNKS * CHUNK_BYTES).alias("text"),
-                    F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(5)).alias("part"))
-            .orderBy("y", order, "id", "text").limit(2 * train_rows).collect())
-    rest = [r for r in rows if r.part >= 3] or rows
-    texts, y = [bytes(r.text).decode(errors="ignore") for r in rest], np.array([float(r.y) for r in rest])
-    best = None
-    for size, sample in SETTINGS:
-        make = [train_dictionary([bytes(r.text) for r in rows if r.y == k and r.part < 3], size, sample) for k in (1, 0)]
-        x = differences(*(dictionary(*m) for m in make), texts)
-        area = area_under(x, y)
-        if best is None or area > best[0]:
-            best = area, make, x
-    _, make, x = best
-    return make[0], make[1], fit_curve(x, y)
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length("text") - 1, F.lit(0)), F.lit(CHUNK_BYTES))
+    pieces = (rows.where("part < 3").select("id", "y", whole.alias("whole"), F.explode(starts).alias("at"))
+              .select("id", "y", "at", F.substring("whole", F.col("at") + 1, F.lit(CHUNK_BYTES)).alias("chunk")))
+    drawn = {}
+    for y in (1, 0):
+        got = pieces.where(F.col("y") == y).orderBy(F.xxhash64(F.col("id").cast("string"), "at"), "id", "at").limit(TRAIN_CHUNKS)
+        drawn[y] = [bytes(r.chunk) for r in got.select("chunk").collect()]
+    made = [[train_dictionary(drawn[y], size, sample) for y in (1, 0)] for size, sample in SETTINGS]
+
+    def compare(batches):
+        import pyarrow as pa
+
+        pairs = [[dictionary(*m) for m in pair] for pair in made]
+        for batch in batches:
+            for first, texts in text_slices(batch, 0):
+                x = np.stack([differences(*pair, texts) for pair in pairs], axis=1)
+                at = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(pairs))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).slice(first, len(texts)), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["y", "x"])
+
+    judge = rows.where("part >= 3")
+    judge = rows if judge.isEmpty() else judge
+    got = map_arrow(judge.select("text", "y"), compare, "y int, x array<double>").collect()
+    y = np.array([float(r.y) for r in got])
+    x = np.array([r.x for r in got], float).reshape(len(got), len(SETTINGS))
+    best = max(range(len(SETTINGS)), key=lambda k: area_under(x[:, k], y))
+    return *made[best], fit_curve(x[:, best], y)
 
 
 def area_under(x: np.ndarray, y: np.ndarray) -> float:

@@ -199,6 +199,34 @@ def test_rejected_documents_go(spark, hostile, empty, documents):
     assert L.keep_identified(unlabelled).count() == 0
 
 
+def test_rare_languages_stay(spark, documents):
+    """A language of one row in thousands is modelled; beyond the model's bound rows keep what they declare."""
+    rare = [(900_000, "Naljepnica šuma žaba ćuk đak " * 30, "hr", "z", 1), (900_001, "Ağaç gölge ışık çiçek şehir " * 30, "tr", "z", 1),
+            (900_002, "123 !!", "tr", "z", 1)]
+    docs = documents.withColumn("doc_id", F.col("doc_id") + 1000)
+    for k in range(1, 6):  # 1,000 other rows and more
+        docs = docs.unionByName(documents.withColumn("doc_id", F.col("doc_id") + 10_000 * k))
+    docs = docs.unionByName(spark.createDataFrame(rare, documents.schema))
+    assert {900_000, 900_001} <= {r.doc_id for r in L.keep_identified(docs).collect()}
+    items = L.document_items(docs).withColumn("kind", F.lit("documents"))
+    got = L.identify(items, docs.select("text", "lang"), max_langs=2)
+    got = {r.id: (r.lang, r.score, r.accepted) for r in got.where("id >= 900000").collect()}
+    assert got == {900_000: ("hr", None, True), 900_001: ("tr", None, True), 900_002: ("und", None, False)}
+
+
+def test_tables_of_odd_rows_and_empty_ones(spark, hostile, empty):
+    pages = spark.createDataFrame([
+        (1, None, None), (1, "", ""), (None, "http://a.fr/", "<html lang=fr><p>le héron vole"), (2, "x" * 5000, "<p>" + "word " * 40_000),
+        (3, "http://b.de/", "<html lang='xx'>"), (3, "http://b.de/", "<html lang='xx'>")], "page_id long, url string, html string")
+    got = L.identify_tables(hostile, pages)
+    assert got.columns == ["doc_id", "page_id", "declared", "text_lang", "lang", "score", "accepted"]
+    rows = got.collect()
+    assert len(rows) == hostile.count() + 6 and all(r.lang is not None and r.accepted is not None for r in rows)
+    assert [r.accepted for r in rows if r.page_id in (1, 3)] == [False] * 4
+    assert L.identify_tables(empty, pages.limit(0)).count() == 0
+    assert {(r.lang, r.accepted) for r in L.identify_tables(empty, pages).collect()} == {("und", False)}
+
+
 def test_page_parts(spark):
     pages = spark.createDataFrame([
         (1, "https://u@News.Example.FR:80/a?x#y", "<HTML class=a lang='fr-CA'><style>b{}</style><p>Le <b>ch&eacute;ne</b><!-- x -->"),
@@ -225,6 +253,27 @@ def test_quality_on_held_out_rows(spark):
     assert auc > 0.85 and (held.predicted == held.quality).mean() > 0.9
 
 
+def test_quality_does_not_depend_on_length(spark):
+    """Held-out texts of one class joined to a hundred times their length are judged as that class."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = (docs.join(labels, "doc_id").where(Q.fold(F.col("doc_id")) == 0)
+            .where(F.length("text") > 0).select("doc_id", "quality", "text").toPandas())
+    rows = []
+    for quality in (0, 1):
+        texts = held[held.quality == quality].sort_values("doc_id").text.tolist()
+        for size in (4 << 10, 16 << 10, 64 << 10, 256 << 10, 1 << 20):
+            for k in range(4):
+                mine = texts[k::4] * 200
+                whole = "\n".join(mine)[:size]
+                rows.append((len(rows), whole, quality, size))
+    long = spark.createDataFrame(rows, "doc_id long, text string, quality int, size int")
+    # The fitting rows and the joined texts in one table, the latter under ids without labels.
+    every = docs.select("doc_id", "text").unionByName(long.select((F.col("doc_id") + 10 ** 9).alias("doc_id"), "text"))
+    got = {r.doc_id - 10 ** 9: r.predicted for r in Q.quality_scores(every, labels).where("doc_id >= 1000000000").collect()}
+    wrong = [(r[2], r[3]) for r in rows if got[r[0]] != r[2]]
+    assert not [w for w in wrong if w[1] >= 16 << 10] and len(wrong) <= 2, wrong
+
+
 def test_quality_odd_tables(spark, hostile, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in Q.quality_scores(hostile, none).collect()] == [0.5] * hostile.count()
