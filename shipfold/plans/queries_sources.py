@@ -18,6 +18,7 @@ from shipfold.session import default_parallelism, partition_count, scratch_dir
 from shipfold.sources import csv as CSV
 from shipfold.sources import html_grid as H
 from shipfold.sources import json as J
+from shipfold.sources import json_records as JR
 
 # -- S1: CSV upload round trip ------------------------------------------------
 
@@ -123,10 +124,10 @@ def header_normalise(spark, sf_dir):
 PAYLOAD_ROWS = 256  # records per bulk request
 
 
-def _event_payloads(ev, record, wrap=None):
-    """Events grouped into bulk requests of PAYLOAD_ROWS consecutive events;
+def _event_payloads(ev, record, wrap=None, rows=PAYLOAD_ROWS):
+    """Events grouped into bulk requests of so many consecutive events;
     each request is bounded, whatever the key skew."""
-    g = ev.groupBy((F.col("event_id") / F.lit(PAYLOAD_ROWS)).cast("bigint").alias("payload_id")).agg(
+    g = ev.groupBy((F.col("event_id") / F.lit(rows)).cast("bigint").alias("payload_id")).agg(
         F.array_sort(F.collect_list(F.struct("event_id", record.alias("j")))).alias("_r"))
     body = F.array_join(F.transform("_r", lambda r: r["j"]), ",\n    ")
     text = F.concat(F.lit("[\n    "), body, F.lit("\n  ]"))
@@ -175,6 +176,21 @@ def json_file_scan(spark, sf_dir):
     return _typed_rows(rows)
 
 
+LARGE_ROWS = 65_536  # records per large array file
+
+
+@register("json_split_scan", sql=_BULK_SQL.replace("256", str(LARGE_ROWS)))
+def json_split_scan(spark, sf_dir):
+    """S3 over large files: each array file is cut into splits, whose pieces
+    find their place in the array by quote parity and depth."""
+    ev = table(spark, sf_dir, "events")
+    path = scratch_dir(spark, "json_split_scan")
+    _event_payloads(ev, _bulk_record(), rows=LARGE_ROWS).write.partitionBy("payload_id").text(path)
+    rows, _ = JR.read_json_arrays(spark, path)
+    rows = rows.withColumn("payload_id", F.regexp_extract("file_path", r"payload_id=(\d+)", 1).cast("bigint"))
+    return _typed_rows(rows.withColumn("pos", F.col("pos").cast("int")))
+
+
 @register("embedded_json_scan", sql=_BULK_SQL)
 def embedded_json_scan(spark, sf_dir):
     """The same arrays embedded as ``var EVENTS = [...];`` in a script

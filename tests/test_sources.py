@@ -305,3 +305,47 @@ def test_csv_other_encodings_and_comments(spark):
     assert [r["fields"] for r in rows] == [{"mawb": "1", "op_remarks": "é\r\nü"}]
     with pytest.raises(ValueError):
         CSV.csv_upload_rows(spark, [tmp], IMPORT_CONFIRM, encoding="UTF-16")
+
+
+def test_json_arrays_in_splits_equal_the_one_task_reader(spark):
+    """Files of one line and of many, cut into many splits; braces, quotes and escapes inside strings."""
+    import json
+    import random
+    from shipfold.sources.json_records import read_json_arrays
+    rnd = random.Random(5)
+    bits = ["}", "{", "]", "[", '"', "\\", "\\\\\"", ",", "a", "é ", "\n", "},{", '"}', " "]
+    text = lambda: "".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))
+    tmp = tempfile.mkdtemp()
+    for f, indent in enumerate((None, 2, None)):
+        rows = [{"mawb": f"{f}-{k}", text(): text(), "n": rnd.choice([None, 1.5, True, {"x": [text(), {}]}, [], [{"a": text()}]])}
+                for k in range(800)]
+        rows[400]["long"] = "x}\"{" * 3000
+        rows[401] = {}
+        _write(tmp, f"f{f}.json", json.dumps(rows, indent=indent, ensure_ascii=bool(f)))
+    _write(tmp, "empty.json", " [ ]\n")
+    want = sorted((r["file_path"], r["pos"], sorted(r["fields"].items(), key=str)) for r in J.read_json_array_files(spark, tmp).collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.option("lineSep", "}").text(f"{tmp}/f0.json").rdd.getNumPartitions() > 5
+        rows, refused = read_json_arrays(spark, tmp)
+        got = sorted((r["file_path"], r["pos"], sorted(r["fields"].items(), key=str)) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want and len(got) == 2400 and refused.count() == 0
+
+
+def test_json_files_that_are_no_array_of_objects_are_refused(spark):
+    from shipfold.sources.json_records import read_json_arrays
+    bodies = {"object": '{"a": 1}', "open": '[{"a": 1}', "string": '[{"a": "1}]', "comma": '[{"a": 1} {"b": 2}]', "number": "[1, 2]",
+              "mixed": '[1, {"a": 1}]', "after": '[{"a": 1}] x', "two": '[{"a": 1}][{"a": 1}]', "nested": '[[{"a": 1}]]',
+              "twice": '[{"a": 1},, {"b": 2}]', "bad": '[{"a": }]', "text": "nonsense", "brace": '[{"a": 1}}', "null": "null"}
+    tmp = tempfile.mkdtemp()
+    for name, body in bodies.items():
+        _write(tmp, f"{name}.json", body)
+    _write(tmp, "good.json", '\n[\n{"a": 1} , {"a": null}\n]\n')
+    rows, refused = read_json_arrays(spark, tmp)
+    assert [(os.path.basename(r["file_path"]), r["pos"], r["fields"]) for r in rows.orderBy("pos").collect()] == [
+        ("good.json", 0, {"a": "1"}), ("good.json", 1, {"a": None})]
+    assert {os.path.basename(r["file_path"])[:-5]: r["reason"] for r in refused.collect()} == dict.fromkeys(bodies, J.MALFORMED)
