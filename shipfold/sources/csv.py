@@ -324,9 +324,9 @@ def csv_upload_rows(spark: SparkSession, paths: Sequence[str], profile: TablePro
 def _header_table(cells: DataFrame) -> DataFrame:
     # One row per file; the aggregate is also a barrier: the header mapping
     # (and any filter on it) runs on header rows only, never on data.
-    return (cells.filter(F.col("line_no") == 0).groupBy("file_path")
-            .agg(F.min_by("raw_cells", "line_no").alias("_header"))
-            .withColumn("_refused", F.lit(None).cast("string")))
+    refused = F.col("unreadable") if "unreadable" in cells.columns else F.lit(None).cast("string")
+    return (cells.filter((F.col("line_no") == 0) | refused.isNotNull()).groupBy("file_path")
+            .agg(F.min_by("raw_cells", "line_no").alias("_header"), F.max(refused).alias("_refused")))
 
 
 def _mapped_headers(headers: DataFrame, profile: TableProfile) -> DataFrame:

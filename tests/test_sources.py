@@ -349,3 +349,58 @@ def test_json_files_that_are_no_array_of_objects_are_refused(spark):
     assert [(os.path.basename(r["file_path"]), r["pos"], r["fields"]) for r in rows.orderBy("pos").collect()] == [
         ("good.json", 0, {"a": "1"}), ("good.json", 1, {"a": None})]
     assert {os.path.basename(r["file_path"])[:-5]: r["reason"] for r in refused.collect()} == dict.fromkeys(bodies, J.MALFORMED)
+
+
+_X = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+def _styled(sheet, styles="", strings="", properties=""):
+    """A workbook from the raw XML of its parts."""
+    data = _xlsx([["x"]])
+    buf = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", old.read("xl/workbook.xml").decode().replace("<sheets>", properties + "<sheets>"))
+        z.writestr("xl/_rels/workbook.xml.rels", old.read("xl/_rels/workbook.xml.rels"))
+        z.writestr("xl/styles.xml", f"<styleSheet {_X}>{styles}</styleSheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {_X}>{strings}</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {_X}><sheetData>{sheet}</sheetData></worksheet>")
+    return buf.getvalue()
+
+
+def test_workbook_dates_numbers_and_gaps():
+    styles = ('<numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd hh:mm"/><numFmt numFmtId="165" formatCode="[Red]0.00 &quot;days&quot;"/>'
+              '<numFmt numFmtId="166" formatCode="[hh]:mm:ss"/></numFmts><cellXfs>' + "".join(
+                  f'<xf numFmtId="{n}"/>' for n in (0, 14, 164, 165, 21, 166, 22)) + "</cellXfs>")
+    cell = lambda ref, v, s: f'<c r="{ref}" s="{s}"><v>{v}</v></c>'
+    sheet = ('<row r="1"><c r="A1" t="inlineStr"><is><r><t>M</t></r><r><t>#</t></r></is></c><c r="C1" t="s"><v>0</v></c></row>'
+             '<row r="3">' + cell("A3", "45292", 1) + cell("B3", "45292.354166666664", 2) + cell("C3", "45292", 3)
+             + cell("D3", "0.354166666666667", 4) + cell("E3", "1.5", 5) + cell("F3", "45292.99999999999", 6) + cell("G3", "59", 1)
+             + cell("H3", "61", 1) + "</row>"
+             '<row r="4">' + cell("A4", "12.0", 0) + cell("B4", "0.10000000000000001", 0) + cell("C4", "1E3", 0)
+             + '<c r="D4" t="e"><v>#N/A</v></c><c r="E4" t="b"><v>1</v></c><c r="F4" t="str"><v>f</v></c>'
+             + cell("G4", "1e12", 1) + "</row><row r=\"9\"><c r=\"A9\" s=\"1\"/></row>")
+    strings = "<si><t>ETA</t><rPh><t>guide</t></rPh></si>"
+    assert list(WB.sheet_rows(_styled(sheet, styles, strings))) == [
+        ["M#", None, "ETA"], [],
+        ["2024-01-01 00:00:00", "2024-01-01 08:30:00", "45292", "08:30:00", "1 day, 12:00:00", "2024-01-02 00:00:00",
+         "1900-02-28 00:00:00", "1900-03-01 00:00:00"],
+        ["12", "0.1", "1000", None, "True", "f", "1000000000000"]]
+    old = list(WB.sheet_rows(_styled('<row r="1">' + cell("A1", "1", 1) + "</row>", styles, properties='<workbookPr date1904="1"/>')))
+    assert old == [["1904-01-02 00:00:00"]]
+
+
+def test_workbooks_that_cannot_be_read_are_refused_alone(spark):
+    tmp = tempfile.mkdtemp()
+    good = _xlsx([["B/L", "Total Cartons"], ["BL1", 12]])
+    _bytes(tmp, "good.xlsx", good)
+    _bytes(tmp, "noise.xlsx", b"no archive")
+    _bytes(tmp, "cut.xlsx", good[:200])
+    _bytes(tmp, "sheet.xlsx", _styled("<row r='1'><c r='A1'><v>x"))
+    _bytes(tmp, "empty.xlsx", _styled(""))
+    _bytes(tmp, "nokey.xlsx", _xlsx([["Shipper"], ["S"]]))
+    names = ("good", "noise", "cut", "sheet", "empty", "nokey")
+    cells = WB.read_workbook_cells(spark, [os.path.join(tmp, f"{n}.xlsx") for n in names]).cache()
+    rows, refused = CSV.cells_upload(cells, PICKUP_REPORT)
+    assert [r["fields"] for r in rows.filter("refused IS NULL").collect()] == [{"bl_no": "BL1", "total_cartons": "12"}]
+    assert {os.path.basename(r["file_path"])[:-5]: r["reason"] for r in refused.collect()} == {
+        "noise": WB.UNREADABLE, "cut": WB.UNREADABLE, "sheet": WB.UNREADABLE, "empty": WB.NO_ROWS, "nokey": CSV.NO_KEY_COLUMN}
