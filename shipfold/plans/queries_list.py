@@ -6,11 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shipfold.operators import aggregates as A
+from shipfold.operators import changes as C
+from shipfold.operators import facet_state as FS
 from shipfold.operators import filters as F_
 from shipfold.operators import normalise as N
+from shipfold.operators import page_index as PI
 from shipfold.operators import paging as P
+from shipfold.operators import tables as TB
 from shipfold.plans.registry import register
 from shipfold.plans.tables import SHIPMENTS_SQL, shipments_of, table
+from shipfold.session import default_parallelism, scratch_dir
 
 _FACET_REPORT_SQL = f"""
 WITH {SHIPMENTS_SQL},
@@ -122,6 +127,56 @@ def point_lookup(spark, sf_dir):
     return F_.point_lookup(shipments_of(spark, sf_dir), "mawb", "777")
 
 
+@register("indexed_lookup", sql=_ws(f"SELECT {_SHIP_COLS} FROM shipments WHERE mawb = '777'"))
+def indexed_lookup(spark, sf_dir):
+    """F8 on a published snapshot clustered by its key, with Bloom filters: the
+    stored key is filtered as it is, so other files' row groups are skipped."""
+    root = scratch_dir(spark, "lookup")
+    TB.publish_snapshot(spark, shipments_of(spark, sf_dir), root, 1, cluster_key="mawb")
+    return F_.point_lookup(TB.read_snapshot(spark, root), "mawb", "777")
+
+
+@register("page_seek", sql=_ws(
+    f"SELECT {_SHIP_COLS} FROM shipments ORDER BY firm_code DESC NULLS LAST, row_seq DESC LIMIT 50 OFFSET 1000"))
+def page_seek(spark, sf_dir):
+    """L1 far into the list: the rank index names the slices that hold the page,
+    and only they are read."""
+    root, order = scratch_dir(spark, "pages"), ["firm_code", "row_seq"]
+    PI.write_page_index(shipments_of(spark, sf_dir), order, root, 2 * default_parallelism(spark))
+    return PI.seek_page(spark, root, order, page=21, page_size=50)
+
+
+_FACETS = {"by_status": ("status", "Unknown"), "by_bot_status": ("bot_status", "pending")}
+_TOP_FACETS = {"by_airline": "airline", "by_firm_code": "firm_code"}
+
+
+def shipment_batches(shipments):
+    """The shipment list as three batches of changes: all rows, every other one with values
+    that do not last; these rows' own values; a third of all rows again, unchanged."""
+    columns = ("status", "bot_status", "airline", "firm_code")
+    own = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])
+    first = F.create_map(*[x for c in columns for x in (F.lit(c), F.concat(F.lit("x"), F.col("firm_code")))])
+    n = F.col("row_seq")
+
+    def batch(rows, fields, kind, number):
+        return C.change_frame(rows, F.col("mawb"), n + F.lit(number << 40), F.lit(kind), fields,
+                              F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+
+    return columns, [batch(shipments, F.when(n % 2 == 0, first).otherwise(own), C.UPSERT, 1),
+                     batch(shipments.filter(n % 2 == 0), own, C.PATCH, 2), batch(shipments.filter(n % 3 == 0), own, C.PATCH, 3)]
+
+
+@register("facet_increments", sql=_FACET_REPORT_SQL)
+def facet_increments(spark, sf_dir):
+    """A2-A6 kept up to date: the shipment list published as three batches of
+    changes, each adjusting the counts by the rows it touches."""
+    root = scratch_dir(spark, "facets")
+    columns, batches = shipment_batches(shipments_of(spark, sf_dir))
+    for k, changes in enumerate(batches, 1):
+        FS.publish_batch(changes, root, k, columns, _FACETS, _TOP_FACETS)
+    return FS.read_report(spark, root, _TOP_FACETS, A.TOP_K)
+
+
 @register("filtered_count", sql=_ws(
     "SELECT COUNT(*) AS total FROM shipments WHERE status = 'F'"))
 def filtered_count(spark, sf_dir):

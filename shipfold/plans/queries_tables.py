@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from shipfold.operators import fold as FO
 from shipfold.operators import normalise as N
 from shipfold.operators import tables as TB
+from shipfold.plans.queries_fold import _DISP_SQL
 from shipfold.plans.registry import register
 from shipfold.plans.tables import (EVENT_COLUMNS, MILESTONES_SQL, SHIPMENTS_SQL, events_changes,
                                    fold_sql, milestones_of, shipments_of, table, typed_events_fold)
 from shipfold.profiles import IMPORT_CONFIRM_GRID, UPDATE_TYPE_COLUMNS
 from shipfold.session import default_parallelism, scratch_dir
 from shipfold.streaming.fold_stream import read_current, start_stream_fold
+from shipfold.streaming.outcome_stream import OUTCOMES, start_outcome_stream
 
 # Vocabularies derived from the data: options key -> (table, column).
 _VOCAB_SOURCES = {
@@ -130,6 +132,27 @@ def stream_fold(spark, sf_dir):
     return typed_events_fold(read_current(spark, sink, EVENT_COLUMNS))
 
 
+@register("stream_outcomes", sql=_DISP_SQL)
+def stream_outcomes(spark, sf_dir):
+    """T1 + J1: the events change log replayed as a file stream in ``seq`` order; each
+    change's outcome is appended once, from keyed state."""
+    src = scratch_dir(spark, "stream_src")
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    # One folder per stretch of the log, in order: a batch takes the files of one.
+    cuts = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    step = F.floor((F.col("event_id") - F.lit(cuts[0] or 0)) * STREAM_BATCHES / F.lit((cuts[1] or 0) - (cuts[0] or 0) + 1))
+    sink, ckpt = scratch_dir(spark, "stream_sink"), scratch_dir(spark, "stream_ckpt")
+    for k in range(STREAM_BATCHES):
+        ev.filter(step == k).write.parquet(f"{src}/part={k}")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{src}/part=*")
+        q = start_outcome_stream(events_changes(stream), sink, ckpt)  # goes on from its checkpoint
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    out = spark.read.schema(OUTCOMES).parquet(sink)
+    return out.select(F.col("key").cast("bigint").alias("user_id"), F.col("seq").alias("event_id"), "kind", "disposition")
+
+
 @register("snapshot_publish", sql=fold_sql())
 def snapshot_publish(spark, sf_dir):
     """The log appended in two batches, each published as a snapshot of fold
