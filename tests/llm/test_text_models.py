@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -310,11 +311,18 @@ def _licence_brute(rows):
 
     out, dirs = {}, {}
     for i, path, text in rows:
-        heads = [(b[0], pos, b[2]) for pos, s in enumerate(re.split(r"(?<=[.!?])[ \t]+|\n+", text or ""))
-                 if (b := best(terms(s), "header", C.HEADER_LEAST))]
-        words = set(terms(text))
-        file = best(terms(text), "file", C.FILE_LEAST) if words and len(words & vocabulary) >= C.FILE_SHARE * len(words) else None
-        out[i] = [min(heads)[2] if heads else None, file and file[2], None, None]
+        text = text or ""
+        joined = re.sub(r"[ \t]*\r?\n[ \t]*(?:(?:[/#*;%!>|-]+|REM|dnl)[ \t]+)?(?=[^\s/#*;%!>|-])", " ", text)
+        cut = r"(?<=[.!?])[ \t]+|\n+"
+        units = re.split(cut, text) + (re.split(cut, joined) if "\n" in text else [])
+        head = min([(b[0], pos, b[2]) for pos, s in enumerate(units) if (b := best(terms(s), "header", C.HEADER_LEAST))], default=None)
+        words = terms(text)
+        held = min([(b[0], k, b[2]) for k in range(0, max(len(words), 1), C.STEP)
+                    if (b := best(words[k:k + C.WINDOW], "file", C.FILE_LEAST))], default=None)
+        file = held if held and len(words) <= C.FILE_WORDS[held[2]] * C.LONGER + C.MARGIN else None
+        if held and not file and (head is None or held[0] < head[0]):
+            head = held
+        out[i] = [head[2] if head else None, file and file[2], None, None]
         if file and path is not None:
             key = path.rpartition("/")[0]
             dirs.setdefault(key, []).append((file[0], i, file[2]))
@@ -343,6 +351,86 @@ def test_licences_headers_files_and_ancestors(spark):
     assert have[11][0] == "GPL-3.0" and have[12][0] == "MIT" and have[6] == (None, None, None, None)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2031 Ada Example and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_TEXT = """Copyright 2031 Some Company. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the company nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+
+
+def test_whole_licence_files_and_wrapped_notices(spark):
+    """None of these texts equals a template."""
+    code = "\n".join(f"int f{k}(int a) {{ return a + {k}; }} // adds {k} to what it is given" for k in range(60))
+    wrapped = {
+        "gpl": ("GPL-3.0", "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General "
+                "Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) "
+                "any later version.\n */\n" + code),
+        "agpl": ("AGPL-3.0", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero "
+                 "General Public License as\n# published by the Free Software Foundation, either version 3 of the\n# License, or (at your "
+                 "option) any later version.\n#\nimport os\n"),
+        "gpl_short": ("GPL-3.0", "// This work is licensed under the GNU General Public\n// License, version 3.\nint x;\n"),
+        "bsd": ("BSD-3-Clause", "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage x\n"),
+        "apache": ("Apache-2.0", "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in "
+                   "compliance with the License.\n# You may obtain a copy of the License at\n\nimport os\n"),
+        "mit_block": ("MIT", "/* " + MIT_TEXT.replace("\n", "\n * ") + "*/\n" + code * 3),
+    }
+    texts = {"MIT": MIT_TEXT, "BSD-3-Clause": BSD_TEXT}
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"),
+                       ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0")):
+        if os.path.exists(f"/usr/share/common-licenses/{file}"):  # whole texts, where the system has them
+            texts[name] = open(f"/usr/share/common-licenses/{file}").read()
+    rows, want = [], {}
+    for name, text in texts.items():
+        rows += [(len(rows), f"r/{name}/LICENSE", text), (len(rows) + 1, f"r/{name}/src/deep/a.c", code)]
+        want |= {len(rows) - 2: (name, None), len(rows) - 1: (None, name)}
+    for name, (licence, text) in wrapped.items():
+        rows.append((len(rows), f"w/{name}", text))
+        want[len(rows) - 1] = licence
+    docs = spark.createDataFrame([(i, p, t) for i, p, t in rows], "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in C.license_scan(docs, F.col("path")).collect()}
+    for i, w in want.items():
+        if isinstance(w, tuple):
+            assert (got[i].file_licence, got[i].inherited) == w, rows[i][1]
+            assert got[i].licence == (w[0] or w[1])
+        else:
+            assert (got[i].header, got[i].file_licence) == (w, None), rows[i][1]
+
+
 def test_licences_of_tables(hostile, documents, empty):
     for docs in (hostile, documents):
         got = C.license_scan(docs, F.concat_ws("/", "source", F.col("doc_id").cast("string")))
