@@ -50,6 +50,38 @@ def test_scan_recall(spark):
     _check(A.nearest_neighbours(df, IS_QUERY, chunk_rows=16), rows, 0.9)  # several chunks and blocks of queries
 
 
+def test_scan_skips_most_products_and_keeps_recall():
+    """Clustered vectors: work is counted, recall is against brute force."""
+    rng = np.random.default_rng(3)
+    for n, d, noise, most in ((50_000, 64, 0.35, 0.5), (20_000, 512, 0.5, 0.25)):
+        centres = rng.standard_normal((300, d))
+        x = centres[rng.integers(0, 300, n)] + noise * rng.standard_normal((n, d))
+        index = A.Index(x[:4000], float(np.sqrt((x ** 2).sum(axis=1).max())), n, 20, 0.97)
+        chunk = A.Chunk(index, np.arange(n), x)
+        at, found, _ = chunk.scan(np.arange(200), x[:200], 20)
+        score = x[:200] @ x.T
+        score[np.arange(200), np.arange(200)] = -np.inf
+        want = np.argsort(-score, axis=1)[:, :20]
+        assert sum(len(set(found[at == q]) & set(want[q])) for q in range(200)) >= 0.93 * want.size
+        assert chunk.products <= most * chunk.all_products
+
+
+def test_repeated_query_ids_are_ranked_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 12)), 1)]
+    rows += [(20, (-np.array(rows[19][1])).tolist()), (40, rows[39][1]), (40, rows[39][1])]
+    got = A.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), IS_QUERY, recall=1.0).collect()
+    x, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    want = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        order = [i for i in np.lexsort((ids, -np.round(s, 12))) if ids[i] != ids[q]][:20]
+        want += [(int(ids[q]), k, int(ids[i]), round(s[i], 9)) for k, i in enumerate(order, 1)]
+    have = sorted((r.query_id, r["rank"], round(r.score, 9)) for r in got)
+    assert have == sorted((q, k, s) for q, k, _, s in want)
+    assert len({(r.query_id, r["rank"], r.vec_id) for r in got if r.query_id == 20}) == 40
+
+
 def test_scan_of_unequal_norms_and_copies(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((700, 24)) * rng.uniform(0.2, 3, (700, 1))
