@@ -183,6 +183,12 @@ class Chunk:
             np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
 
 
+def scan(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
+         k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, score) of each query's ``k`` best among ``vectors``, by the adaptive scan."""
+    return Chunk(index, ids, vectors).scan(query_ids, queries, k)
+
+
 def nearest_neighbours(df: DataFrame, is_query: Column | str, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
                        recall: float = RECALL, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found. ``is_query`` (or SQL) tests column ``id``."""
