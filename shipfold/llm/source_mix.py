@@ -4,9 +4,11 @@ The words of a source, in a fixed order of its documents, form one stream that
 is cut into blocks of ``block_words``. Output shards have ``shard_slots`` slots
 of one block each. Each slot draws its source by the inverse cumulative weight
 of a pseudorandom uniform; the counts per shard and source are that multinomial
-draw. With ``stratified`` (the default) slot j of n draws from the j-th n-th of
-the unit interval: the same expected counts, less variance, so that small
-corpora too come near their targets. Counts are numbered per source across
+draw. Shards draw in ``WAVES`` waves, each of half the shards that are left: a wave's
+weights are what the waves before have left of each source's target, so the totals
+differ from their targets only by the last wave's chance. With ``stratified`` slot j of
+n draws from the j-th n-th of the unit interval instead: the same expected counts, less
+variance, and no multinomial draw. Counts are numbered per source across
 shards; slot i of a source reads block ``permute(i mod M)`` of pass ``i div M``,
 where each pass has its own pseudorandom permutation of the source's M blocks.
 Every pass reads each block at most once, so three passes bound the repeats.
@@ -35,6 +37,7 @@ from shipfold.llm.common import column, fresh, once, with_row_id, write_scratch
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 16384
+MIN_SHARDS, WAVES = 64, 7
 MAX_REPEAT = 3
 SEED = 20240229
 #: Rows of one (source, salt) group when running word counts are taken.
@@ -90,6 +93,22 @@ def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
                     F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
+def _draw(slots: DataFrame, shares: DataFrame) -> DataFrame:
+    """(shard, sid, n): how many of the slots (shard, u) fall to each source (sid, share)."""
+    by_sid = Window.orderBy("sid")
+    up_to = by_sid.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = (shares.where("share > 0")
+             .withColumn("hi", F.sum("share").over(up_to) / F.sum("share").over(Window.partitionBy()))
+             .withColumn("lo", F.coalesce(F.lag("hi").over(by_sid), F.lit(0.0)))
+             .withColumn("hi", F.when(F.lead("sid").over(by_sid).isNull(), 1.0).otherwise(F.col("hi")))
+             .withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS),
+                                                      F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
+             .select("cell", "lo", "hi", "sid"))
+    return (slots.withColumn("cell", F.least(F.floor(F.col("u") * CELLS), F.lit(CELLS - 1))).join(cells, "cell")
+            .where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+            .groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n")))
+
+
 def _plan(d: DataFrame, block_words: int, shard_slots: int, max_repeat: int, stratified: bool):
     """(rows with sid and first word, sources, draws of blocks) of rows (rid, id, source, size)."""
     spark = d.sparkSession
@@ -114,24 +133,23 @@ def _plan(d: DataFrame, block_words: int, shard_slots: int, max_repeat: int, str
          .withColumn("first", F.col("first") + F.col("base")).drop("salt", "base"))
 
     # Draws: shard slots -> source -> counts per shard -> numbered slots -> blocks.
-    shards = max(1, math.ceil(slots / shard_slots))
+    shards = max(MIN_SHARDS, math.ceil(slots / shard_slots))
     per = F.floor((F.col("shard") + 1) * F.lit(slots) / shards) - F.floor(F.col("shard") * F.lit(slots) / shards)
     drawn = (spark.range(shards).withColumnRenamed("id", "shard").withColumn("n", per).where("n > 0")
              .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))))
     u = _unit(F.lit(SEED + 2), F.col("shard"), F.col("slot"))
     drawn = drawn.withColumn("u", (F.col("slot") + u) / F.col("n") if stratified else u)
-    by_sid = Window.orderBy("sid")
-    up_to = by_sid.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = (sources.where("slots > 0")
-             .withColumn("hi", F.sum("slots").over(up_to) / F.sum("slots").over(Window.partitionBy()))
-             .withColumn("lo", F.coalesce(F.lag("hi").over(by_sid), F.lit(0.0)))
-             .withColumn("hi", F.when(F.lead("sid").over(by_sid).isNull(), 1.0).otherwise(F.col("hi")))
-             .withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS),
-                                                      F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-             .select("cell", "lo", "hi", "sid"))
-    counts = (drawn.withColumn("cell", F.least(F.floor(F.col("u") * CELLS), F.lit(CELLS - 1))).join(cells, "cell")
-              .where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-              .groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n")))
+    wanted = sources.select("sid", F.col("slots").alias("share"))
+    if stratified:
+        counts = _draw(drawn, wanted)
+    else:
+        counts, left = None, wanted
+        edges = [*(shards - (shards >> w) for w in range(WAVES)), shards]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            wave = write_scratch(_draw(drawn.where((F.col("shard") >= lo) & (F.col("shard") < hi)), left), "mix-counts")
+            counts = wave if counts is None else counts.unionByName(wave)
+            left = (wanted.join(counts.groupBy("sid").agg(F.sum("n").alias("have")), "sid", "left")
+                    .select("sid", F.greatest(F.col("share") - F.coalesce("have", F.lit(0)), F.lit(0.0)).alias("share")))
     start = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("shard")
                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Numbered, they go apart again: a hot source's slots are not one task's work.
@@ -164,7 +182,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, rid: Col
 
 def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, max_repeat: int = MAX_REPEAT,
-               stratified: bool = True) -> DataFrame:
+               stratified: bool = False) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken (words the mix takes)."""
     d = write_scratch(_rows(docs, id_col, text_col, source_col, F.monotonically_increasing_id()), "mix-sizes")
     at, sources, draws = _plan(d, block_words, shard_slots, max_repeat, stratified)
@@ -179,7 +197,7 @@ def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     length_col: str = "n_chars", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS,
-                    max_repeat: int = MAX_REPEAT, stratified: bool = True) -> DataFrame:
+                    max_repeat: int = MAX_REPEAT, stratified: bool = False) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row per document and pass.
 
     A pass that takes the whole document returns its text unchanged; one that

@@ -64,6 +64,24 @@ def test_capped_sources_and_plain_multinomial(spark):
     assert abs(plain[0] - plain[1]) < 0.1 * plain[1]
 
 
+def test_each_source_meets_its_target_by_multinomial_draws(spark):
+    """Sources of many sizes; every shard's counts vary as draws do, and every source comes near its target."""
+    rows = [(i, "w " * (20 + i % 90), None, f"s{min(i % 40, 9)}", 1) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    _check_mix(docs, 0.01)
+    d = M._rows(docs, "doc_id", "text", "source", F.monotonically_increasing_id())
+    _, sources, taken = M._plan(d, M.BLOCK_WORDS, M.SHARD_SLOTS, M.MAX_REPEAT, False)
+    share = {r.sid: r.slots for r in sources.collect()}
+    got = defaultdict(dict)
+    for r in taken.groupBy("shard", "sid").count().collect():
+        got[r.shard][r.sid] = r["count"]
+    total = sum(share.values())
+    big = max(share, key=share.get)
+    p, n = share[big] / total, total / M.MIN_SHARDS
+    counts = np.array([got[k].get(big, 0) for k in range(M.MIN_SHARDS // 2)])  # the first wave: independent draws
+    assert 0.4 < counts.var() / (n * p * (1 - p)) < 2 and abs(counts.mean() - n * p) < 0.1 * n * p
+
+
 def test_mix_of_nothing(spark, empty):
     assert M.source_mix(empty).count() == 0 and M.mixed_documents(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None, None, 0), (2, " ", None, "a", 1)], empty.schema)
