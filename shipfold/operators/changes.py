@@ -141,30 +141,27 @@ def unknown_column_split(changes: DataFrame, profile: TableProfile,
 _ROW_ID_BITS = 33
 
 
-def dense_positions(df: DataFrame, name: str = "_pos", max_bits: int = 40) -> DataFrame:
-    """Add ``name``: increasing row positions in partition order, then row
-    order, below ``2**max_bits`` for any input of fewer rows than that.
-
-    Spark's increasing id keeps that order but is sparse: with many
-    partitions it outgrows the position bits of a batch ``seq``. Then the
-    positions are made dense: rows per partition (one small row per
-    partition), a running sum over them, and each row's offset inside its
-    partition. Inputs with few enough partitions keep the id as it is and
-    need no extra pass.
+def dense_positions(df: DataFrame, name: str = "_pos") -> DataFrame:
+    """``df`` written once, with ``name``: dense row positions from 0 in partition order, then
+    row order.
+
+    Spark's increasing id keeps that order but is sparse: with many partitions it would
+    outgrow the position bits of a batch ``seq``. Rows per partition (one small row
+    each), a running sum over them and each row's offset inside its partition give the
+    dense one. The ids are written first, so that they are the same in both reads.
     """
-    from shipfold.operators.joins import join_checked
-    from shipfold.session import partition_count
     from pyspark.sql import Window
 
-    n_parts = partition_count(df)
+    from shipfold.operators.joins import join_checked
+    from shipfold.session import scratch_dir
+
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "positions")
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
-    if n_parts is not None and n_parts <= 1 << (max_bits - _ROW_ID_BITS):
-        return tagged.withColumnRenamed("_mid", name)
-    tagged = tagged.withColumn("_part", F.shiftright("_mid", _ROW_ID_BITS))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    tagged.write.parquet(path)
+    tagged = spark.read.schema(tagged.schema).parquet(path).withColumn("_part", F.shiftright("_mid", _ROW_ID_BITS))
+    counts = tagged.groupBy("_part").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # One row of two longs per partition: bounded by the partition count.
-    j = join_checked(tagged, offsets, "_part", row_bound=n_parts, row_bytes=64)
-    pos = F.col("_off") + F.col("_mid") - F.shiftleft("_part", _ROW_ID_BITS)
-    return j.withColumn(name, pos).drop("_mid", "_part", "_off")
+    offsets = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # One row of three longs per partition.
+    j = join_checked(tagged, offsets, "_part", row_bytes=64)
+    return j.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first")).drop("_mid", "_part", "_off", "_first")

@@ -128,6 +128,14 @@ def rename_default(m: ColumnLike, mapping: Mapping[str, str]) -> list[Column]:
             for src, dst in mapping.items()]
 
 
+def view_rows(df: DataFrame, keys: Mapping[str, str], defaults: Mapping[str, str]) -> DataFrame:
+    """Rows under their view names (P7): each column that ``keys`` (view name -> column) names,
+    null or blank as the column's default, else ''. A column that the rows lack is blank."""
+    has = set(df.columns)
+    return df.select(*[(blank_default(c, defaults.get(c, "")) if c in has else F.lit(defaults.get(c, ""))).alias(name)
+                       for name, c in keys.items()])
+
+
 def view_defaults(df: DataFrame, columns: Sequence[str], defaults: Mapping[str, str]) -> DataFrame:
     """Null or blank -> the column's default, else '' (P7)."""
     return df.select(*[blank_default(c, defaults.get(c, "")).alias(c) for c in columns])

@@ -15,6 +15,7 @@ from shipfold.operators import paging as P
 from shipfold.operators import tables as TB
 from shipfold.plans.registry import register
 from shipfold.plans.tables import SHIPMENTS_SQL, shipments_of, table
+from shipfold.profiles import IMPORT_CONFIRM_RECORD_KEYS, IMPORT_CONFIRM_VIEW_DEFAULTS
 from shipfold.session import default_parallelism, scratch_dir
 
 _FACET_REPORT_SQL = f"""
@@ -280,6 +281,25 @@ def page_envelope(spark, sf_dir):
     return P.page_envelope(s, page=7, page_size=200)
 
 
+_SEEDED = {"mawb": "mawb", "status": "status", "airline": "airline", "firm_code": "firm_code", "eta": "eta", "pod": "pod"}
+
+
+@register("seed_view", sql=_ws("SELECT " + ", ".join(
+    f"COALESCE(NULLIF({_SEEDED[c]}, ''), '{IMPORT_CONFIRM_VIEW_DEFAULTS.get(c, '')}') AS \"{name}\"" if c in _SEEDED
+    else f"'{IMPORT_CONFIRM_VIEW_DEFAULTS.get(c, '')}' AS \"{name}\"" for name, c in IMPORT_CONFIRM_RECORD_KEYS.items())
+    + " FROM shipments"))
+def seed_view(spark, sf_dir):
+    """P6 + P7 with the shipped key maps: the shipment list as seed records (JSON, their own
+    names, blanks left out), renamed to columns (missing -> ''), and back to view names
+    with the grid's defaults."""
+    names = {c: n for n, c in IMPORT_CONFIRM_RECORD_KEYS.items()}
+    s = shipments_of(spark, sf_dir)
+    record = F.to_json(F.struct(*[F.col(c).alias(names[k]) for k, c in _SEEDED.items()]))  # nulls are left out
+    rows = s.select(F.from_json(record, "map<string,string>").alias("m"))
+    columns = rows.select(*N.rename_default("m", IMPORT_CONFIRM_RECORD_KEYS))
+    return N.view_rows(columns, IMPORT_CONFIRM_RECORD_KEYS, IMPORT_CONFIRM_VIEW_DEFAULTS)
+
+
 @register("view_defaults", sql=_ws(
     "SELECT mawb, COALESCE(NULLIF(status, ''), 'New') AS status, "
     "COALESCE(NULLIF(bot_status, ''), '') AS bot_status, "

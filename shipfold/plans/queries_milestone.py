@@ -13,6 +13,7 @@ from shipfold.operators import fold as FO
 from shipfold.plans.registry import register
 from shipfold.plans.sql_helpers import browser_trim, collapse, strip
 from shipfold.plans.tables import MILESTONES_SQL, milestones_of, table
+from shipfold.session import scratch_dir
 
 _STATUS_SQL = ("CASE WHEN NULLIF(ata, '') IS NOT NULL THEN 'Completed' "
                "WHEN NULLIF(atd, '') IS NOT NULL THEN 'Pending Arrival' ELSE 'Pending Depart' END")
@@ -86,8 +87,11 @@ SELECT mawb, atd, ata, {_STATUS_SQL} AS status FROM upd""")
 def batch_apply(spark, sf_dir):
     """J3 + S8 + fold rule 6: rows selected by a semi join get a batch ATD
     write-back; the fold derives each patched row's status from its final
-    atd/ata, seeded rows keep theirs."""
-    m = milestones_of(spark, sf_dir)
+    atd/ata, seeded rows keep theirs. The milestones are written once: the seeds
+    and the selection both read them."""
+    path = scratch_dir(spark, "milestones")
+    milestones_of(spark, sf_dir).write.parquet(path)
+    m = spark.read.parquet(path)
     seed_fields = F.create_map(
         F.lit("mawb"), F.col("mawb"), F.lit("atd"), F.col("atd"), F.lit("ata"), F.col("ata"),
         F.lit("status"), M.milestone_status("atd", "ata"))

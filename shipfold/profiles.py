@@ -193,6 +193,21 @@ IMPORT_CONFIRM_VIEW_DEFAULTS: dict[str, str] = {
     "abi_query_match": "Not Existing",
 }
 
+# FIXED VALUES: the names that seed records and the grids use, and the columns they stand for.
+IMPORT_CONFIRM_RECORD_KEYS: dict[str, str] = {
+    "status": "status", "abiStatus": "abi_query_status", "abiMatch": "abi_query_match", "tags": "tags", "uld": "uld_no",
+    "customer": "hawb_customer", "mno": "mawb", "hno": "hawb", "eta": "eta", "pol": "pol", "pod": "pod",
+    "airline": "airline", "firm": "firm_code", "flight": "flight_no", "destHandling": "dest_handling_office",
+    "destGateway": "dest_gateway_office", "addr": "address", "lfd": "last_free_date", "wt": "wt",
+    "scStatus": "sc_job_status", "opRem": "op_remarks", "scJob": "sc_job_no", "preAlert": "pre_alert_date",
+    "destCs": "dest_cs", "isOvs": "is_ovs_agent", "qSend": "query_send_date", "qUpdate": "query_update_date",
+    "operator": "operator",
+}
+ATD_ATA_RECORD_KEYS: dict[str, str] = {
+    "mawb": "mawb", "hawb": "hawb", "customer": "customer", "airline": "airline", "flight": "flight", "status": "status",
+    "pol": "pol", "pod": "pod", "slaDate": "sla_date", "etdOrig": "etd_orig", "eta": "eta", "atd": "atd", "ata": "ata",
+}
+
 # FIXED VALUES: facet labels used when a status is null or blank.
 STATUS_FACET_DEFAULT = "Unknown"
 BOT_STATUS_FACET_DEFAULT = "pending"

@@ -76,15 +76,13 @@ def test_join_checked_bounds_rows_and_bytes(spark):
 
 def test_dense_positions_keep_order_and_stay_small(spark):
     from shipfold.operators.changes import dense_positions
-    # Few partitions keep Spark's id; many take the dense path. Both keep
-    # partition order, then row order, and give distinct positions.
+    # One rule for few partitions and many: partition order, then row order.
     for parts in (4, 300):
         df = spark.range(0, 3000, numPartitions=parts)
         rows = dense_positions(df, "pos").orderBy("id").collect()
         pos = [r["pos"] for r in rows]
         assert pos == sorted(pos) and len(set(pos)) == 3000
-        if parts == 300:
-            assert pos == list(range(3000))
+        assert pos == list(range(3000))
         assert max(pos) < 1 << 40
 
 
