@@ -66,7 +66,9 @@ def publish_batch(changes: DataFrame, root: str, version: int, columns: Sequence
         touched = [r[0] for r in keys.select(_bucket().alias("b")).distinct().collect()]
         old = old_states(spark, base, before, touched, keys)
     state = fold_state(changes, columns, old)
-    state.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/state/version={version}")
+    # One bucket's rows meet in few tasks, and so in few files; large buckets are split again.
+    placed = state.withColumn("bucket", _bucket()).hint("rebalance", "bucket")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/state/version={version}")
     new = spark.read.schema(state.schema).parquet(f"{base}/state/version={version}")
     parts = [contributions(finish(new, columns), labelled, top)]
     if before:
