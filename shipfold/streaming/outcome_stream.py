@@ -22,6 +22,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from shipfold.operators.fold import INSERT_KINDS
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTCOMES = "key string, seq bigint, kind string, disposition string"
 
 
@@ -74,7 +75,9 @@ def outcomes(changes_stream: DataFrame) -> DataFrame:
 
 def start_outcome_stream(changes_stream: DataFrame, sink_dir: str, checkpoint_dir: str,
                          available_now: bool = True) -> StreamingQuery:
-    """Start appending outcomes to Parquet files under ``sink_dir``."""
+    """Start appending outcomes to Parquet files under ``sink_dir``. Keyed state of this kind
+    needs the RocksDB state store, so the session is set to it."""
+    changes_stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     writer = (outcomes(changes_stream).writeStream.outputMode("append").format("parquet").option("path", sink_dir)
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
