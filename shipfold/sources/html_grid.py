@@ -1,7 +1,7 @@
 """HTML grid scan (S5, J6, A12 inputs).
 
-Pages are read one per record inside ``mapInPandas`` (Arrow batches, stdlib
-``html.parser``); Spark partitions the pages, so the scan scales with the
+Pages are read one per record inside ``mapInPandas`` (Arrow batches, one pass over
+the page's tags); Spark partitions the pages, so the scan scales with the
 number of executors. Output is long and uniform::
 
     page_id, kind ('cell' | 'page'), row_no, col_no, label, value, in_body,
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 import sys
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,7 +71,32 @@ def collapse(s: str) -> str:
     return _SPACE.sub(" ", s).strip(" ")
 
 
-class _GridReader(HTMLParser):
+# A tag, comment or declaration; a value in quotes after an equals sign may hold any character.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</(?![a-zA-Z])[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')?+|[^>=]++)*+)>""", re.S)
+_CUT_TAG = re.compile("</?[a-zA-Z]|<[!?]")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+# Elements whose content is text up to their end tag; entities count in the latter two.
+_RAW = {"script", "style", "textarea", "title"}
+_KNOWN_CLASSES = 4096  # attribute texts remembered per worker
+_classes_of: dict[str, frozenset] = {"": frozenset()}
+
+
+def _classes(attributes: str) -> frozenset:
+    """The class names of a tag's attribute text."""
+    got = _classes_of.get(attributes)
+    if got is None:
+        value = ""
+        if "class" in attributes.lower():
+            for name, text in _ATTRIBUTE.findall(attributes):
+                if name.lower() == "class":
+                    value = unescape(text[1:-1] if text[:1] in ("'", '"') else text)
+        got = frozenset(value.split())
+        if len(_classes_of) < _KNOWN_CLASSES:
+            _classes_of[attributes] = got
+    return got
+
+
+class _GridReader:
     """Zones of one page, by what is open: each open tag may carry a zone name.
 
     A zone that may come once (``root``, ``head``, ``thead``, ``labels``, ``body``) is
@@ -80,7 +105,6 @@ class _GridReader(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str | None]] = []
         self.count: dict[str, int] = {}    # open tags by name
         self.nested: list[tuple[str, int]] = []  # structural tags and their places in ``open``
@@ -103,7 +127,7 @@ class _GridReader(HTMLParser):
     def _has(self, zone: str) -> bool:
         return zone in self.sinks or zone in self.texts
 
-    def _zone(self, tag: str, classes: set[str]) -> str | None:
+    def _zone(self, tag: str, classes: frozenset) -> str | None:
         """The zone that this tag opens, given those that are open."""
         inside = self.inside
         if TOTAL in classes and self._first("total"):
@@ -142,13 +166,47 @@ class _GridReader(HTMLParser):
             return "body"
         return "tbody" if tag == "tbody" and inside.get("body") else None
 
-    def handle_starttag(self, tag, attrs):
-        ends = _ENDS.get(tag, ())
-        while self.nested and self.nested[-1][0] in ends:
+    def read(self, html: str) -> None:
+        at = 0
+        for m in _TAG.finditer(html):
+            start = m.start()
+            if start < at:  # inside the text of a raw element
+                continue
+            if start > at and self.sinks:
+                self._text(html[at:start])
+            at = m.end()
+            tag = m[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m[1]:
+                self._end(tag)
+                continue
+            self._start(tag, _classes(m[3]))
+            if m[3].endswith("/") and tag not in _VOID:
+                self._end(tag)
+            elif tag in _RAW:
+                end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+                stop = end.start() if end else len(html)
+                for sink in self.sinks.values():
+                    sink.append(html[at:stop] if tag in ("script", "style") else unescape(html[at:stop]))
+                at = stop
+        if at < len(html) and self.sinks:
+            cut = _CUT_TAG.search(html, at)  # a tag that the page's end cuts off is no text
+            self._text(html[at:cut.start() if cut else len(html)])
+
+    def _text(self, text: str) -> None:
+        if "&" in text:
+            text = unescape(text)
+        for sink in self.sinks.values():
+            sink.append(text)
+
+    def _start(self, tag: str, classes: frozenset) -> None:
+        ends = _ENDS.get(tag)
+        while ends and self.nested and self.nested[-1][0] in ends:
             self._close_to(self.nested[-1][1])
-        classes = set((dict(attrs).get("class") or "").split())
         zone = self._zone(tag, classes)
-        if tag in _BLOCK:
+        if self.sinks and tag in _BLOCK:
             for name in ("td", "cell"):
                 if name in self.sinks and not self.inside.get("labels"):
                     self.sinks[name].append("\n")
@@ -163,22 +221,13 @@ class _GridReader(HTMLParser):
             if zone in ("total", "td", "cell", "span", "th"):
                 self.sinks[zone] = []
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+    def _end(self, tag: str) -> None:
         if self.count.get(tag):
             at = len(self.open) - 1
             while self.open[at][0] != tag:
                 at -= 1
             self._close_to(at)
 
-    def handle_data(self, data):
-        for sink in self.sinks.values():
-            sink.append(data)
-
     def _close_to(self, at: int) -> None:
         while len(self.open) > at:
             tag, zone = self.open.pop()
@@ -204,14 +253,13 @@ class _GridReader(HTMLParser):
             self.texts[zone] = text
 
     def finish(self) -> None:
-        self.close()
         self._close_to(0)
 
 
 def extract_grid(page_id: int, html: str) -> list[tuple]:
     """Rows for one page in ``GRID_SCHEMA`` order."""
     page = _GridReader()
-    page.feed(html or "")
+    page.read(html or "")
     page.finish()
     out, in_body_rows = [], 0
     for in_body, cells in page.rows:

@@ -137,3 +137,17 @@ def test_grid_path_end_to_end(spark):
     counts = A.count_reconcile(H.grid_pages(scan))
     assert counts.agg(F.sum("extracted")).first()[0] == orders
     assert {(r.page_id % 5 != 0) == r.matches for r in counts.collect()} == {True}
+
+
+def test_grid_markup_in_odd_places():
+    """Tags in attribute values, comments and scripts are none; a tag that the page cuts off is no text."""
+    head = ('<div class=el-table><div class="el-table__header-wrapper"><table><thead><tr><th><div class=cell>M#</div></th>'
+            '</tr></thead></table></div><div class="el-table__body-wrapper"><table><tbody>')
+    row = '<tr class="el-table__row"><TD title="a > b class=\'cell\'" data-class="x" CLASS=\'el-table__cell y\'>{}</td></tr>'
+    cells = ['1<!-- <td class="el-table__cell">no</td> -->', '<div class="cell">2 &lt;b&gt; &amp; 3 < 4</div>tail',
+             'a<script>var t = "</td><tr>";</script>b', 'x<br/>y', '<b title="<td>">z</b>']
+    page = head + "".join(row.format(c) for c in cells) + "</tbody></table></div></div><td cl"
+    got = [r[5] for r in H.extract_grid(1, page) if r[1] == "cell"]
+    assert got == ["1", "2 <b> & 3 < 4", 'avar t = "</td><tr>";b', "x y", "z"]
+    cut = H.extract_grid(1, page[:page.index("2 &lt;")] + "2</di")
+    assert [r[5] for r in cut if r[1] == "cell"] == ["1", "2"]
