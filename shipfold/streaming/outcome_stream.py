@@ -76,8 +76,10 @@ def outcomes(changes_stream: DataFrame) -> DataFrame:
 def start_outcome_stream(changes_stream: DataFrame, sink_dir: str, checkpoint_dir: str,
                          available_now: bool = True) -> StreamingQuery:
     """Start appending outcomes to Parquet files under ``sink_dir``. Keyed state of this kind
-    needs the RocksDB state store, so the session is set to it."""
-    changes_stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    needs the RocksDB state store, so the session is set to it, with checkpoints of what changed."""
+    conf = changes_stream.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     writer = (outcomes(changes_stream).writeStream.outputMode("append").format("parquet").option("path", sink_dir)
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
