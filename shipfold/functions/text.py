@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def lower_strip(c: ColumnLike) -> Column:
     return strip(F.lower(_c(c)))
 
 
+def lower_ascii(c: ColumnLike) -> Column:
+    """A-Z become a-z; all else stays (F3: the letters that a LIKE folds)."""
+    return F.translate(_c(c), string.ascii_uppercase, string.ascii_lowercase)
+
+
 def collapse_ws(c: ColumnLike) -> Column:
     """Runs of a browser's white space become one space, then strip (X2). After
     the collapse only single spaces remain at the ends, so ``trim`` is enough."""

@@ -8,13 +8,14 @@ scan's filter node.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shipfold.functions.text import is_missing_key, strip
+from shipfold.functions.text import is_missing_key, lower_ascii, strip
 
 ALL_SENTINEL = "All"
 # U+FFFF appended to an upper bound so a bare date covers its whole day.
@@ -48,8 +49,10 @@ def sentinel_filter(df: DataFrame, params: Mapping[str, str | None],
 
 def like_predicate(col: str, value: str) -> Column:
     """SQL ``LIKE '%v%'`` without escaping; ``%``/``_`` in ``v`` stay
-    wildcards; case-insensitive (F3)."""
-    return F.col(col).ilike(f"%{value}%")
+    wildcards, a backslash is a character like any other; A-Z match a-z and
+    no other letters are folded (F3)."""
+    pattern = value.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)).replace("\\", "\\\\")
+    return lower_ascii(col).like(f"%{pattern}%")
 
 
 def like_filter(df: DataFrame, col: str, value: str | None) -> DataFrame:

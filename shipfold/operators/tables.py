@@ -125,18 +125,23 @@ def commit_version(spark: SparkSession, root: str, version: int) -> None:
         f"{root.rstrip('/')}/commits")
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest committed snapshot."""
-    version = committed_version(spark, root)
-    if version is None:
-        raise FileNotFoundError(f"no committed snapshot under {root}")
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The newest committed snapshot, or the committed ``version``."""
+    newest = committed_version(spark, root)
+    if newest is None or (version is not None and not _commits(spark, root).filter(F.col("version") == version).take(1)):
+        raise FileNotFoundError(f"no committed snapshot{'' if version is None else f' {version}'} under {root}")
+    version = newest if version is None else version
     return spark.read.parquet(f"{root.rstrip('/')}/data/version={version}")
 
 
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("version long").parquet(f"{root.rstrip('/')}/commits")
+
+
 def committed_version(spark: SparkSession, root: str) -> int | None:
     """Version of the newest committed snapshot, None before the first."""
     try:
-        version = spark.read.schema("version long").parquet(f"{root.rstrip('/')}/commits").agg(F.max("version")).first()[0]
+        version = _commits(spark, root).agg(F.max("version")).first()[0]
     except AnalysisException:
         return None
     return None if version is None else int(version)

@@ -8,5 +8,6 @@ from shipfold.plans import queries_fold as _queries_fold  # noqa: F401,E402
 from shipfold.plans import queries_sources as _queries_sources  # noqa: F401,E402
 from shipfold.plans import queries_milestone as _queries_milestone  # noqa: F401,E402
 from shipfold.plans import queries_tables as _queries_tables  # noqa: F401,E402
+from shipfold.plans import queries_selections as _queries_selections  # noqa: F401,E402
 
 __all__ = ["ORACLE", "QUERIES", "register"]
