@@ -1,8 +1,8 @@
 """Contains filters over many rows by an index of three-letter grams.
 
 The index is a table ``gram, id`` with one row per different gram of a row's text,
-clustered by both, so that a gram of a third of all rows is spread over files, and the grams'
-row counts. A search reads the postings of its pattern's rarest grams alone; the rows that
+sorted by both in files by the gram's hash (a gram of a third of all rows is spread over
+several), and the grams' row counts. A search reads the postings of its pattern's rarest grams alone; the rows that
 have them all are candidates, and the filter itself decides on them. A pattern with no
 three letters in a row between its wildcards is answered by the filter over all rows.
 
@@ -23,6 +23,8 @@ from shipfold.operators.filters import contains_filter, like_filter
 GRAM = 3
 #: Grams whose postings a search reads.
 RAREST = 3
+#: Tasks (and so files) that share a gram's postings.
+SPREAD = 8
 _GRAMS = f"(?s)(?=(.{{{GRAM}}}))"
 
 
@@ -35,7 +37,8 @@ def write_gram_index(df: DataFrame, id_col: str, col: str, root: str, fold: Call
     ``search_like`` and Spark's ``lower`` for ``search_contains``: each as its filter compares."""
     base = root.rstrip("/")
     each = df.select(F.col(id_col).alias("id"), F.explode(grams_of(fold(F.col(col)))).alias("gram"))
-    placed = each.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+    # Placed by hash: a range would first extract all grams once more, for its sample.
+    placed = each.repartition("gram", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("gram", "id")
     placed.write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{base}/postings")
     postings = df.sparkSession.read.schema(each.schema).parquet(f"{base}/postings")
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
