@@ -7,11 +7,12 @@ words, never the words; it is trained in numpy from a small labelled table
 (``labelled_rows``: marked-up lines of invented data made by rule, or the caller's
 own) and decoded by Viterbi over batches of padded windows.
 
-Only white-space-free chunks with a digit, an at sign or a bracketed "at" or "dot",
-and those beside such a word that stands alone, may carry a label. The others are fixed to O, which cuts a text into windows (runs of such chunks
-with ``CONTEXT`` chunks around) that decode independently and exactly: two windows
-are joined by fixed O labels alone. A span that the field finds is added if its
-characters fit its kind and it meets no base span.
+Tokens end at white space, brackets, colons, slashes, quotes and the like, and are seen by
+their whole shape. Those with a digit, an at sign, a bracketed "at" or "dot" and those beside them may carry
+a label, and so may the three on each side of a "dot" that stands as a word. The others are fixed to O, which
+cuts a text into windows (runs of such tokens with ``CONTEXT`` tokens around) that decode
+independently: two windows are joined by fixed O labels alone. The field decides where a span
+starts and ends; it is added if it can be of its kind (``fitting``) and meets no base span.
 
 Defined cases: null counts as empty; empty texts give no spans and the hash of the
 empty string; very long texts run in linear time (the patterns never rescan a run);
@@ -96,15 +97,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- windows and features -----------------------------------------------------
 
-_CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
-_SEES = re.compile(r"[0-9@]|\[(?:at|dot)\]|\((?:at|dot)\)", re.I)
-_MARK = re.compile(r"[\[(](at|dot)[\])]", re.I)
-
-
-def shape(chunk: str) -> str:
-    """A chunk's shape: digits 0 with their count, letters a or A, marks themselves."""
+_SPACE = " \t\n\r\f\v"
+#: Tokens: bracketed "at", "dot" and full stops; runs without white space, brackets, colons, slashes and the like; else single marks.
+_TOKEN = re.compile(r"[\[(](?:at|dot|\.)[\])]|[^ \t\n\r\f\v()\[\]{}<>:/,;\"'=|]+|[^ \t\n\r\f\v]", re.I)
+_SEES = re.compile(r"[0-9]+|@|[\[(](?:at|dot|\.)[\])]|(?<![A-Za-z])dot(?![A-Za-z])", re.I)
+_MARK = re.compile(r"[\[(](at|dot|\.)[\])]", re.I)
+#: Tokens on each side that a seen token opens, and a "dot" that stands as a word.
+REACH, WORD_REACH = 1, 3
+
+
+def shape(token: str) -> str:
+    """A token's shape: digits 0 with their count, letters a or A, marks themselves; "at" and "dot" are marks."""
+    mark = _MARK.fullmatch(token)
+    word = mark[1].lower() if mark else token.lower()
+    if word in ("at", "dot", "."):
+        return {"at": "\x01", "dot": "\x02", ".": "\x02"}[word] + ("m" if mark else "")
     out, last, run = [], "", 0
-    for c in _MARK.sub(lambda m: "\x01" if m[1].lower() == "at" else "\x02", chunk[:64]):
+    for c in token:
         k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if k == last:
             run += 1
@@ -116,45 +125,49 @@ def shape(chunk: str) -> str:
     return "".join(out)
 
 
-def is_open(chunk: str) -> bool:
-    return bool(_SEES.search(chunk))
+def reach(token: str) -> int:
+    """Tokens that this one opens on each side; -1 if it opens none, itself included."""
+    if token.strip(".").lower() == "dot":
+        return WORD_REACH
+    return REACH if "@" in token or _DIGIT.search(token) or _MARK.fullmatch(token) else -1
 
 
 def windows(text: str) -> list[list[tuple[int, int, str, bool]]]:
-    """Runs of (start, end, shape, open?) around the chunks that may carry a label."""
-    marks = [m.start() for m in _SEES.finditer(text)]
+    """Runs of (start, end, shape, open?) around the tokens that may carry a label."""
     out: list[list] = []
-    done = 0  # chunks before this place are in a window already
-    for mark in marks:
-        if mark < done:
+    done = 0  # tokens before this place are in a window already
+    for mark in _SEES.finditer(text):
+        if mark.start() < done:
             continue
-        start = mark
-        while start > done and text[start - 1] not in " \t\n\r\f\v":
-            start -= 1
-        before, left = [], start
-        for _ in range(CONTEXT):  # the chunks in front
-            e = left
-            while e > done and text[e - 1] in " \t\n\r\f\v":
-                e -= 1
-            if e == done:
+        start = mark.start()
+        for _ in range(WORD_REACH + CONTEXT + 1):  # back over white-space-free stretches, in whole
+            while start > done and text[start - 1] in _SPACE:
+                start -= 1
+            while start > done and text[start - 1] not in _SPACE:
+                start -= 1
+        run, reaches, idle, last, seen = [], [], 0, -1, False
+        for m in _TOKEN.finditer(text, start):
+            r = reach(m[0])
+            run.append((m.start(), m.end(), ("~" if m.start() == last else "") + shape(m[0])))
+            reaches.append(r)
+            last = done = m.end()
+            seen = seen or r >= 0
+            idle = 0 if r >= 0 else idle + 1
+            if seen and idle == 2 * WORD_REACH + CONTEXT:
+                # No token is open for this window and the next; the last ones may be the next one's.
+                keep = len(run) - WORD_REACH
+                done = run[keep - CONTEXT - 1][1]
+                run, reaches = run[:keep], reaches[:keep]
                 break
-            s = e
-            while s > done and text[s - 1] not in " \t\n\r\f\v":
-                s -= 1
-            before.append((s, e, shape(text[s:e]), False))
-            left = s
-        run, closed = before[::-1], 0
-        for m in _CHUNK.finditer(text, start):
-            opened = is_open(m[0])
-            closed = 0 if opened else closed + 1
-            run.append((m.start(), m.end(), shape(m[0]), opened))
-            done = m.end()
-            if closed == CONTEXT:
-                break
-        lone = [k for k, c in enumerate(run) if _MARK.fullmatch(text, c[0], c[1])]
-        for k in {j for i in lone for j in (i - 1, i + 1) if 0 <= j < len(run)}:
-            run[k] = (*run[k][:3], True)
-        out.append(run)
+        opened = np.zeros(len(run), bool)
+        for k, r in enumerate(reaches):
+            if r >= 0:
+                opened[max(0, k - r):k + r + 1] = True
+        if not seen:
+            continue
+        # The context in front is the two tokens before the first that may carry a label.
+        first = max(0, int(opened.argmax()) - CONTEXT)
+        out.append([(*t, bool(o)) for t, o in zip(run[first:], opened[first:], strict=True)])
     return out
 
 
@@ -180,6 +193,17 @@ def labelled_rows(spark, n: int = LABELLED_ROWS, seed: int = SEED) -> DataFrame:
     return spark.createDataFrame(rows, "text string, spans array<struct<start int, end int, kind string>>")
 
 
+#: Sentences and layouts that hold an item; the table's own words are of no account, as only shapes are seen.
+CARRIERS = (
+    "Please write to {} before Friday.", "You can reach me on {} after six.", "My new number is {}, call any time!",
+    "Contact: {}", "tel:{}", "Tel. {} / Fax {}", "phone={}", "({})", "[{}]", "<{}>", "\"contact\": \"{}\",", "'{}'", "{}",
+    "Name | {} | City", "id,{},note", "mailto:{}", "href=\"tel:{}\"", "- {}\n- {}", "user {} logged in from {}", "Paid with {} yesterday.",
+    "Bitte schreiben Sie an {} oder rufen Sie {} an.", "Meine Nummer lautet {}.", "Appelez le {} ou écrivez à {} ;", "Mon adresse : {}.",
+    "Llame al {} o escriba a {}.", "Mi correo es {}, gracias.", "pin {} please", "Server {} is down", "from {} to {}", "{};{};{}",
+    "Ask Ann Lee ({}) or Bo ({}).", "Call us: {}. Thanks", "KEY {} END", "see {} and {}", "{}\t{}\t{}", "Order by phone at {} today",
+)
+
+
 def _invent(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
     rng = np.random.default_rng(seed)
 
@@ -195,22 +219,22 @@ def _invent(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
     def card():
         body = digits(15)
         full = next(body + str(c) for c in range(10) if luhn(body + str(c)))
-        sep = pick(["", " ", "-"])
-        return sep.join(full[i:i + 4] for i in range(0, 16, 4))
+        return pick(["", " ", "-", ".", "  ", "/"]).join(full[i:i + 4] for i in range(0, 16, 4))
 
     def email():
-        local = pick([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}"])
+        local = pick([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}", word().title()])
         host = f"{word()}.{pick(['com', 'org', 'net', 'example.com'])}"
-        return pick([f"{local}@{host}", f"{local}@{host}", f"{local}[at]{host.replace('.', '[dot]')}",
-                     f"{local} [at] {host.replace('.', ' [dot] ')}", f"{local}(at){host}"])
+        at, dot = pick([("@", "."), ("@", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "),
+                        (" at ", " dot "), (" AT ", " DOT "), (" @ ", "."), ("[at]", "."), ("@", "[.]")])
+        return f"{local}{at}{host.replace('.', dot)}"
 
     def phone():
         a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}",
-                     f"{a}.{b}.{c}"])
+        return pick([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}",
+                     f"{a} {b} {c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}", f"{a}/{b}-{c}", f"0{digits(3)} {digits(3)} {digits(4)}", f"({a}) {b} {c}"])
 
     def ip():
-        return ".".join(str(x) for x in rng.integers(0, 256, 4))
+        return pick([".", ".", "[.]", "(.)", "[dot]", " dot "]).join(str(x) for x in rng.integers(0, 256, 4))
 
     def nothing():
         return pick([digits(int(rng.integers(1, 9))), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}",
@@ -218,20 +242,26 @@ def _invent(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
                      f"token = \"{''.join(pick('0123456789abcdef') for _ in range(40))}\"", f"{digits(2)}%", f"@{word()}",
                      f"{word()}{digits(2)}", f"({digits(4)})", f"{digits(3)},{digits(3)}", f"{digits(2)}/{digits(2)}/{digits(4)}",
                      f"https://{word()}.com/{digits(5)}?p={digits(2)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(20)}",
-                     f"AKIA{digits(4)}{word().upper()}{digits(4)}", f"pages {digits(3)}-{digits(3)}", f"{digits(16)}x"])
+                     f"AKIA{digits(4)}{word().upper()}{digits(4)}", f"pages {digits(3)}-{digits(3)}", f"{digits(16)}x", f"{digits(10)}",
+                     " ".join(digits(int(rng.integers(1, 6))) for _ in range(int(rng.integers(2, 12)))), f"the {word()} dot {word()} is",
+                     " ".join(digits(3) for _ in range(int(rng.integers(4, 9)))), f"{digits(4)}-{digits(4)}-{digits(2)}", f"a dot and a {word()}",
+                     f"{digits(3)}-{digits(2)}-{digits(3)}-{digits(5)}-{digits(1)}", f"at {digits(2)}:{digits(2)}", f"{word()}[{digits(1)}]",
+                     f"{digits(2)} x {digits(2)} x {digits(2)}", f"({digits(3)}) {word()}", f"{digits(8)}-{digits(4)}-{digits(4)}-{digits(12)}"])
 
     makers = (email, ip, card, phone)
     out = []
     for _ in range(n):
-        text, spans = "", []
-        for _ in range(int(rng.integers(1, 4))):
-            text += " ".join(word() for _ in range(int(rng.integers(1, 5)))) + pick([" ", " ", ": ", ", "])
+        text, spans = pick(["", " ".join(word() for _ in range(int(rng.integers(1, 5)))) + pick([" ", ". ", ", "])]), []
+        for part in re.split(r"(\{\})", pick(CARRIERS)):
+            if part != "{}":
+                text += part
+                continue
             k = int(rng.integers(0, 8))
             got = makers[k]() if k < 4 else nothing()
             if k < 4:
                 spans.append((len(text), len(text) + len(got), k))
-            text += got + pick([" ", ". ", ", ", "; "])
-        out.append((text + word(), spans))
+            text += got
+        out.append((text + pick(["", " " + word(), "\n" + word().title()]), spans))
     return out
 
 
@@ -274,11 +304,11 @@ def train(rows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOC
     runs, opens, gold = [], [], []
     for text, spans in rows:
         for w in windows(text):
-            labels = []
+            labels, last = [], None
             for s, e, _, opened in w:
                 hit = next((x for x in spans if s < x[1] and e > x[0]), None) if opened else None
-                labels.append(0 if hit is None else 1 + 2 * hit[2] + (1 if labels and any(
-                    p[0] >= hit[0] or p[1] > hit[0] for p in w[len(labels) - 1:len(labels)]) and labels[-1] else 0))
+                labels.append(0 if hit is None else (2 if hit == last else 1) + 2 * hit[2])
+                last = hit
             runs.append(features(w))
             opens.append([c[3] for c in w])
             gold.append(labels)
@@ -292,6 +322,10 @@ def train(rows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOC
         y[i, :len(g)] = g
     real = np.arange(o.shape[1])[None, :] < size[:, None]
     bad, start = _allowed()[1:], _allowed()[0]
+    # Places by feature, sorted once: a gradient is a sum over each feature's places.
+    order = np.argsort(f, axis=None, kind="stable")
+    names, firsts = np.unique(f.ravel()[order], return_index=True)
+    places = order // f.shape[2]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, trans)]
     rate = 0.15
     for step in range(1, epochs + 1):
@@ -308,8 +342,7 @@ def train(rows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOC
         node = np.exp(alpha + beta - z[:, None, None])
         diff = (np.eye(n)[y] - node) * real[:, :, None] / len(runs)
         gw, gt = np.zeros_like(weights), np.zeros_like(trans)
-        for k in range(f.shape[2]):
-            np.add.at(gw, f[:, :, k].ravel(), diff.reshape(-1, n))
+        gw[names] = np.add.reduceat(diff.reshape(-1, n)[places], firsts)
         for j in range(1, s.shape[1]):
             pair = np.exp(alpha[:, j - 1, :, None] + t[None] + (s[:, j] + beta[:, j])[:, None, :] - z[:, None, None])
             live = real[:, j][:, None, None]
@@ -352,31 +385,39 @@ def viterbi(model: tuple[np.ndarray, np.ndarray], runs: list, opens: list) -> li
     return out
 
 
-_TRIM = " \t\n\r\f\v,;:\"'<>"
-_FITS = (
-    re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+)+", re.I),
-    re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    re.compile(r"[0-9](?:[ -]?[0-9])+"),
-    re.compile(r"\+?[0-9(][0-9 ().-]*[0-9]"),
-)
+_TRIM = _SPACE + ",;:\"'<>|=/{}-"
+_AT = re.compile(r"\s*[\[(]at[\])]\s*|\s+at\s+|\s*@\s*", re.I)
+_DOT = re.compile(r"\s*[\[(](?:dot|\.)[\])]\s*|\s+dot\s+", re.I)
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def plain(text: str) -> str:
+    """A span with its spelled-out marks as marks."""
+    return _DOT.sub(".", _AT.sub("@", text))
 
 
 def fitting(text: str, start: int, end: int, kind: int) -> tuple[int, int] | None:
-    """The part of a found span that has its kind's characters, or None."""
-    while start < end and text[start] in _TRIM:
+    """A found span without the marks at its ends, or None if it can't be of its kind: a mail
+    address has a local part and a host with a dot, an IP address four numbers up to 255, a card 13 to 19
+    digits passing Luhn, a telephone number 10 to 15 digits and no letter."""
+    while start < end and (text[start] in _TRIM + ".)]" or (text[start] in "([" and text.find(")" if text[start] == "(" else "]", start, end) < 0)):
         start += 1
-    while end > start and text[end - 1] in _TRIM + ".":
+    while end > start and (text[end - 1] in _TRIM + ".([" or (text[end - 1] in ")]" and not _MARK.search(text, max(start, end - 5), end)
+                                                            and text.rfind("(" if text[end - 1] == ")" else "[", start, end) < 0)):
         end -= 1
-    if not _FITS[kind].fullmatch(text, start, end):
-        return None
-    digits = _DIGITS.sub("", text[start:end])
-    if kind == 1 and any(int(p) > 255 for p in text[start:end].split(".")):
-        return None
-    if kind == 2 and not (13 <= len(digits) <= 19 and luhn(digits)):
-        return None
-    if kind == 3 and not 10 <= len(digits) <= 15:
-        return None
-    return start, end
+    if start == end or (start and text[start - 1].isalnum()) or text[end:end + 1].isalnum():
+        return None  # a slice of a longer word or number is none
+    got = plain(text[start:end])
+    digits = _DIGITS.sub("", got)
+    if kind == 0:
+        local, _, host = got.partition("@")
+        ok = bool(local) and _DOMAIN.fullmatch(host) is not None and set(local) <= _LOCAL
+    elif kind == 1:
+        parts = got.split(".")
+        ok = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    else:
+        ok = not _LETTER.search(got) and (13 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 15)
+    return (start, end) if ok else None
 
 
 def find_texts(model: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -> list[tuple[list, list]]:
@@ -412,7 +453,7 @@ def _text_of(spans: list[tuple[int, int, int]]) -> str:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None,
              epochs: int = EPOCHS) -> DataFrame:
-    """One row per input row: id, counts of base spans by kind, base_sha256, spans, n_added.
+    """One row per input row: id, counts of base spans by kind, base_sha256, spans, n_added, n_spans (of all kinds and both sorts).
 
     ``labelled`` is a small table (text, spans); at most ``10 * LABELLED_ROWS`` rows of it train.
     """
@@ -441,8 +482,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             counts = np.array(counts, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(counts[:, k]) for k in range(4)), pa.array(sha, pa.string()),
-                 pa.array(spans, pa.string()), pa.array(more, pa.int64())],
-                names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                 pa.array(spans, pa.string()), pa.array(more, pa.int64()),
+                 pa.array(counts.sum(axis=1) + np.array(more, np.int64))],
+                names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
     return map_arrow(d, run, (f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS)
-                              + ", base_sha256 string, spans string, n_added bigint")).withColumnRenamed("id", id_col)
+                              + ", base_sha256 string, spans string, n_added bigint, n_spans bigint")).withColumnRenamed("id", id_col)
