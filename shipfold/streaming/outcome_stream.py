@@ -7,13 +7,15 @@ with the stream, and the file sink commits whole batches, so a restarted job nei
 loses nor repeats an outcome.
 
 The log must arrive in ``seq`` order from batch to batch, as requests do; inside a batch
-any order will do. Rows of one key come in chunks: what is decided at once passes
-straight through, and only the ``seq`` of patches still waiting for an insert of the same
-batch is held.
+any order will do. Keys are grouped into ``BUCKETS`` by their hash, and a bucket's rows come
+in chunks: what is decided at once passes straight through, and only the patches still
+waiting for an insert of the same batch are held. State is read for the keys of the batch
+alone, and written where a first insert is new.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,40 +28,50 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 OUTCOMES = "key string, seq bigint, kind string, disposition string"
 
 
+BUCKETS = 512  # groups of keys; fixed for the life of a checkpoint
+_NEVER = np.iinfo("int64").max  # the first insert of a key that has none
+
+
 class FirstInserts(StatefulProcessor):
-    """Judges each key's changes by the ``seq`` of its first insert."""
+    """Judges each key's changes by the ``seq`` of its first insert, a bucket of keys at a
+    time: a call per key costs far more than the few changes that most keys have."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first_insert", "seq bigint")
+        self.first = handle.getMapState("first_inserts", "key string", "seq bigint")
 
     def handleInputRows(self, key, rows, timer_values):
-        known = self.first.get() if self.first.exists() else None
-        first, waiting = known[0] if known else None, []
+        first, new, waiting = {}, set(), []  # of the keys of this batch
         for pdf in rows:
+            for k in pdf["key"].unique():
+                if k not in first:
+                    known = self.first.getValue((k,))
+                    first[k] = known[0] if known else _NEVER
             inserts = pdf["kind"].isin(INSERT_KINDS)
-            if inserts.any():
-                least = int(pdf.loc[inserts, "seq"].min())
-                first = least if first is None else min(first, least)
-            if first is None:  # no insert so far: patches with fields wait
-                later = pd.Series(True, index=pdf.index)
-            else:
-                later = pdf["seq"] <= first
-            later &= ~inserts & ~pdf["empty"]
-            waiting.append(pdf.loc[later, ["seq", "kind"]])
+            for k, seq in zip(pdf.loc[inserts, "key"], pdf.loc[inserts, "seq"]):
+                if seq < first[k]:
+                    first[k] = int(seq)
+                    new.add(k)
+            ok = self._after(first, pdf)
+            later = ~ok & ~inserts & ~pdf["empty"]  # an insert before these may still come
+            waiting.append(pdf.loc[later, ["key", "seq", "kind"]])
             done = pdf[~later]
             out = pd.Series("ok", index=done.index)
             out[done["empty"]] = "skipped"
             out[inserts[~later]] = "upserted"
-            yield self._rows(key, done["seq"], done["kind"], out)
+            yield self._rows(done, out)
         for pdf in waiting:
-            ok = (pdf["seq"] > first) if first is not None else pd.Series(False, index=pdf.index)
-            yield self._rows(key, pdf["seq"], pdf["kind"], ok.map({True: "ok", False: "not_found"}))
-        if first is not None and (known is None or first < known[0]):
-            self.first.update((first,))
+            yield self._rows(pdf, self._after(first, pdf).map({True: "ok", False: "not_found"}))
+        for k in new:
+            self.first.updateValue((k,), (first[k],))
+
+    @staticmethod
+    def _after(first: dict, pdf: pd.DataFrame) -> pd.Series:
+        """Which changes come after their key's first insert, as far as it is known."""
+        return pdf["seq"] > np.fromiter((first[k] for k in pdf["key"]), "int64", len(pdf))
 
     @staticmethod
-    def _rows(key, seq, kind, disposition) -> pd.DataFrame:
-        return pd.DataFrame({"key": key[0], "seq": seq, "kind": kind, "disposition": disposition})
+    def _rows(pdf: pd.DataFrame, disposition: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "kind": pdf["kind"], "disposition": disposition})
 
     def close(self) -> None:
         pass
@@ -68,7 +80,8 @@ class FirstInserts(StatefulProcessor):
 def outcomes(changes_stream: DataFrame) -> DataFrame:
     """A streaming change log's outcomes, each emitted once: ``key, seq, kind, disposition``."""
     empty = (~F.col("kind").isin(*INSERT_KINDS)) & (F.coalesce(F.size("fields"), F.lit(0)) <= 0)
-    return (changes_stream.select("key", "seq", "kind", empty.alias("empty")).groupBy("key")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
+    return (changes_stream.select(bucket, "key", "seq", "kind", empty.alias("empty")).groupBy("bucket")
             .transformWithStateInPandas(statefulProcessor=FirstInserts(), outputStructType=OUTCOMES,
                                         outputMode="Append", timeMode="None"))
 

@@ -5,6 +5,7 @@ import os
 import random
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from shipfold.operators import facet_state as FS
 from shipfold.operators import fold as FO
 from shipfold.operators import page_index as PI
 from shipfold.operators import tables as TB
-from shipfold.streaming.outcome_stream import OUTCOMES, start_outcome_stream
+from shipfold.streaming.outcome_stream import BUCKETS, OUTCOMES, FirstInserts, outcomes, start_outcome_stream
 from tests.test_fold import COLS, SCHEMA, random_log
 
 T0 = dt.datetime(2030, 1, 1)
@@ -61,6 +62,55 @@ def test_outcome_stream_holds_a_key_in_chunks(spark):
     assert got == {i: "upserted" if i == 150 else "ok" if i > 150 else "not_found" for i in range(300)}
 
 
+class _States(dict):
+    """Map state in memory, with the keys read and written."""
+
+    def __init__(self):
+        self.read, self.written = [], []
+
+    def getMapState(self, name, keys, values):
+        return self
+
+    def getValue(self, key):
+        self.read.append(key)
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.written.append(key)
+        self[key] = value
+
+
+def test_outcomes_of_a_bucket_of_keys_take_one_call():
+    """Many keys in one call, in chunks that cut across them; state is read once a key, written where it is new."""
+    def pdf(rows):
+        return pd.DataFrame(rows, columns=["key", "seq", "kind", "empty"])
+
+    states, judge = _States(), FirstInserts()
+    judge.init(states)
+    chunks = [pdf([(f"k{k}", k * 10 + c, "upsert" if c == 2 and k % 2 else "patch", False) for k in range(50)]) for c in range(4)]
+    out = pd.concat(judge.handleInputRows((7,), iter(chunks), None))
+    want = {k * 10 + c: "not_found" if not k % 2 or c < 2 else "upserted" if c == 2 else "ok" for k in range(50) for c in range(4)}
+    assert dict(zip(out["seq"], out["disposition"])) == want and len(out) == 200
+    assert len(states.read) == 50 and sorted(states.written) == sorted((f"k{k}",) for k in range(1, 50, 2))
+    later = [pdf([("k1", 900, "patch", False), ("k2", 901, "patch", False), ("k1", 902, "upsert", False), ("k3", 903, "patch", True)])]
+    out = pd.concat(judge.handleInputRows((7,), iter(later), None))
+    assert dict(zip(out["seq"], out["disposition"])) == {900: "ok", 901: "not_found", 902: "upserted", 903: "skipped"}
+    assert len(states.written) == 25
+
+
+def test_outcome_stream_groups_keys_and_takes_a_null_key(spark):
+    rows = [(None, 1, "patch", {"a": "1"}, T0), (None, 2, "upsert", {"a": "1"}, T0), (None, 3, "patch", {"a": "1"}, T0)]
+    rows += [(f"k{k}", 10 + k, "patch", {"a": "1"}, T0) for k in range(2 * BUCKETS)]
+    root = tempfile.mkdtemp()
+    for b, part in enumerate((rows, [(None, 5000, "patch", {"a": "2"}, T0)])):
+        spark.createDataFrame(part, SCHEMA).write.parquet(f"{root}/in/b{b}")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{root}/in/b*")
+        assert outcomes(stream).isStreaming
+        start_outcome_stream(stream, f"{root}/out", f"{root}/ck").awaitTermination()
+    got = {r.seq: r.disposition for r in spark.read.schema(OUTCOMES).parquet(f"{root}/out").collect()}
+    assert got == {1: "not_found", 2: "upserted", 3: "ok", 5000: "ok", **{10 + k: "not_found" for k in range(2 * BUCKETS)}}
+
+
 LABELLED, TOP = {"by_a": ("a", "Unknown")}, {"by_b": "b"}
 
 
