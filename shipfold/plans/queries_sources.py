@@ -319,17 +319,21 @@ def grid_page_table(spark, sf_dir):
     """Grid pages over ``orders``: header with a filter widget, selection column
     and gutter; body rows; a frozen clone but on every third page; a stated total,
     wrong on every fifth page; list items and cells without end tags."""
-    o = table(spark, sf_dir, "orders")
+    # Orders meet by page as they are; the markup, many times as large, is made there.
+    cores, shuffle = default_parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = (table(spark, sf_dir, "orders")
+         .select(F.floor(F.col("o_orderkey") / _GRID_ROWS).alias("page_id"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+         .repartition(max(2 * cores, shuffle), "page_id"))
     td = '<td class="el-table__cell"><div class="cell">'
-    row = F.concat(
+    row = lambda r: F.concat(
         F.lit('<tr class="el-table__row"><td class="el-table__cell"><input type="checkbox">' + td),
-        F.col("o_orderkey").cast("string"), F.lit("</div></td>" + td + "<span>&nbsp;"), F.col("o_orderstatus"),
-        F.lit("</span>\n</div>" + td + "<ul><li>"), T.html_escape(F.concat(F.lit("<A> & "), "o_orderpriority")),
+        r["o_orderkey"].cast("string"), F.lit("</div></td>" + td + "<span>&nbsp;"), r["o_orderstatus"],
+        F.lit("</span>\n</div>" + td + "<ul><li>"), T.html_escape(F.concat(F.lit("<A> & "), r["o_orderpriority"])),
         F.lit("<li>\ufeff x\x85y</ul></div></tr>"))
-    pages = (o.withColumn("row", F.struct("o_orderkey", row.alias("html")))
-             .groupBy(F.floor(F.col("o_orderkey") / _GRID_ROWS).alias("page_id"))  # at most _GRID_ROWS rows a group
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["html"]), "").alias("rows"),
-                  F.count(F.lit(1)).alias("n")))
+    pages = (o.groupBy("page_id")  # at most _GRID_ROWS rows a group
+             .agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("_r"),
+                  F.count(F.lit(1)).alias("n"))
+             .select("page_id", F.array_join(F.transform("_r", row), "").alias("rows"), "n"))
     heads = "".join(f'<th><div class="cell"><span> {x} </span><ul><li>Option A<li>Option B</ul></div>' for x in _GRID_LABELS)
     head = ('<thead><tr><th class="el-table-column--selection"><div class="cell">x</div></th>' + heads
             + '<th class="gutter"></th></tr><tr><th>second</th></tr></thead>')
@@ -361,7 +365,7 @@ UNION ALL SELECT page_id, row_no, 3, '{_GRID_LABELS[2]}', p FROM g""")
 def html_grid_scan(spark, sf_dir):
     """Body cells of every grid page; the clone's rows, the filter lists, the
     selection column and the gutter yield none."""
-    return H.grid_cells(H.grid_scan(grid_page_table(spark, sf_dir))).select(
+    return H.grid_cells(H.grid_scan(grid_page_table(spark, sf_dir), spread=False)).select(
         "page_id", "row_no", "col_no", "label", "value")
 
 
@@ -370,7 +374,7 @@ SELECT page_id, n AS extracted, n + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END
        page_id % 5 <> 0 AS matches FROM n""")
 def count_reconcile(spark, sf_dir):
     """Rows the scan extracted per page vs the total the page states."""
-    return A.count_reconcile(H.grid_pages(H.grid_scan(grid_page_table(spark, sf_dir))))
+    return A.count_reconcile(H.grid_pages(H.grid_scan(grid_page_table(spark, sf_dir), spread=False)))
 
 
 @register("copy_check", sql=f"""WITH {_GRID_SQL}
@@ -378,7 +382,7 @@ SELECT page_id, CAST(CASE WHEN page_id % 3 = 0 THEN n ELSE 2 * n END AS INTEGER)
        CAST(n AS INTEGER) AS body_rows, page_id % 3 <> 0 AS clone_doubles FROM n""")
 def copy_check(spark, sf_dir):
     """All rows vs body rows per page; pages without a clone do not double."""
-    return A.copy_check(H.grid_pages(H.grid_scan(grid_page_table(spark, sf_dir))))
+    return A.copy_check(H.grid_pages(H.grid_scan(grid_page_table(spark, sf_dir), spread=False)))
 
 
 _CONV_ALIASES = {"user": "question", "assistant": "answer"}

@@ -151,3 +151,52 @@ def test_grid_markup_in_odd_places():
     assert got == ["1", "2 <b> & 3 < 4", 'avar t = "</td><tr>";b', "x y", "z"]
     cut = H.extract_grid(1, page[:page.index("2 &lt;")] + "2</di")
     assert [r[5] for r in cut if r[1] == "cell"] == ["1", "2"]
+
+
+def test_scan_holds_one_page_of_a_batch_as_text(monkeypatch):
+    """A batch of large pages stays as Arrow holds it; beside it only one page is a Python text, and
+    the output waits for few pages."""
+    import tracemalloc
+
+    import pyarrow as pa
+    page = grid_page([["一" * 20_000] * 2], 1)  # two bytes a character as a Python text
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([page] * 200)], ["page_id", "html"])
+    scan, rows = H._scanner(), 0
+    monkeypatch.setattr(H, "OUT_CHARS", 1 << 20)
+    H.extract_grid(1, page)
+    tracemalloc.start()
+    try:
+        for out in scan(iter([batch])):
+            rows += out.filter(pa.compute.equal(out["kind"], "page")).num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 200 and peak < 16 << 20 < 200 * 2 * len(page)
+
+
+def test_pages_of_a_query_meet_as_orders_and_are_counted_by_no_extra_shuffle(spark):
+    """The markup is made behind the shuffle, whose map side runs in the query alone."""
+    from shipfold.plans.queries_sources import copy_check, count_reconcile, html_grid_scan
+    for query in (html_grid_scan, count_reconcile, copy_check):
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(f"plan {query.__name__}", "")
+        try:
+            df = query(spark, "/root/testdata/sf0.001")
+            # Reading a table's schema is a job of one task; a shuffle's map side is one more.
+            assert len(tracker.getJobIdsForGroup(f"plan {query.__name__}")) <= 1
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "MapInPandas" not in plan
+        below = plan[plan.index("Exchange hashpartitioning"):]
+        assert "el-table__row" not in below
+
+
+def test_long_pages_and_raw_text_read_alike(monkeypatch):
+    """Pages cut at once and tag by tag give the same rows."""
+    page = grid_page([["a<script>x</td><b</script>b", "<title>&lt;c</title>", "<b title='>'>d</b>"], ["e &amp; f", "g<br>h", "<p>i"]], 2)
+    plain = page.replace("script", "span").replace("title", "div")
+    got = [H.extract_grid(1, p) for p in (page, plain)]
+    assert [r[5] for r in got[0] if r[6]][:3] == ["ax</td><bb", "<c", "d"]
+    monkeypatch.setattr(H, "_SPLIT_CHARS", 0)
+    assert [H.extract_grid(1, p) for p in (page, plain)] == got
