@@ -91,12 +91,12 @@ def _record_files(spark: SparkSession, paths: Sequence[str], options: dict) -> t
     """``(records, files)`` of files whose records may span lines; a file's row is
     ``file_path, line, cells, widest, unclosed``, with an empty line if it is not closed."""
     records, files = read_records(spark, paths, options)
-    shape = record_shape(F.col("text"), options)["cells"].alias("cells")
-    per_file = (records.select("file_path", "record", "text", shape).groupBy("file_path")
-                .agg(F.min_by("text", "record").alias("line"), F.min_by("cells", "record").alias("cells"),
-                     F.max("cells").alias("widest")))
+    shaped = records.select("file_path", "record", "text", record_shape(F.col("text"), options)["cells"].alias("cells"))
+    # Records are numbered from 0: the texts are not aggregated, which would sort them all.
+    heads = shaped.filter(F.col("record") == 0).select("file_path", F.col("text").alias("line"), "cells")
+    widest = shaped.groupBy("file_path").agg(F.max("cells").alias("widest"))
     # Files whose lines are all blank have no record and no row, as in the line by line pass.
-    files = files.join(per_file, "file_path", "left").filter("unclosed OR line IS NOT NULL").select(
+    files = files.join(heads.join(widest, "file_path"), "file_path", "left").filter("unclosed OR line IS NOT NULL").select(
         "file_path", F.coalesce("line", F.lit("")).alias("line"), F.coalesce("cells", F.lit(1)).alias("cells"),
         F.coalesce("widest", F.lit(1)).alias("widest"), "unclosed")
     return records, files
@@ -120,12 +120,20 @@ def file_table(spark: SparkSession, paths: Sequence[str], options: dict | None =
     kept = ~F.col("value").rlike(BLANK)
     if options.get("comment"):
         kept = kept & ~F.col("value").startswith(options["comment"])
-    lines = reader.text(list(paths)).filter(kept).select(
+    lines = reader.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("r"), "value", record_shape(F.col("value"), options).alias("s"))
-    head = F.when(F.col("b") == 0, F.col("r"))
-    files = lines.groupBy("file_path").agg(
-        F.min_by("value", head).alias("line"), F.max("s.cells").alias("widest"), F.bool_or("s.open").alias("spans"))
+        F.monotonically_increasing_id().alias("r"), "value")
+    # The texts are not aggregated, which would sort them all: numbers alone are, and the header
+    # lines are picked out by theirs from a second scan, which parses nothing.
+    shaped = lines.filter(kept).select("file_path", "b", "r", record_shape(F.col("value"), options).alias("s"))
+    files = shaped.groupBy("file_path").agg(
+        F.min(F.when(F.col("b") == 0, F.col("r"))).alias("r"), F.max("s.cells").alias("widest"), F.bool_or("s.open").alias("spans"))
+    numbers = scratch_dir(spark, "csv_files")
+    files.write.parquet(numbers)
+    files = spark.read.parquet(numbers)
+    heads = join_checked(lines.filter(F.col("b") == 0).select("r", F.col("value").alias("line")),
+                         files.filter("r IS NOT NULL").select("r", "file_path"), "r").select("file_path", "line")
+    files = files.select("file_path", "widest", "spans").join(heads, "file_path", "left")
     files.withColumn("cells", record_shape(F.col("line"), options)["cells"]).write.parquet(out)
     files = spark.read.parquet(out)
     return files, [r[0] for r in files.filter("spans").select("file_path").collect()]

@@ -2,10 +2,11 @@
 
 A file's lines say nothing alone about where its records end: that depends on whether
 the line begins inside a quoted cell. So each line is first reduced to two facts, whether
-it ends inside a cell if it began outside one, and if it began inside one. Within a
-split a running window composes them; each split then reports its end state and its
-number of records under both start states. A second, small window over the splits of
-each file picks the true start states and gives every split its first record's number.
+it ends inside a cell if it began outside one, and if it began inside one. Within a run of
+a split's lines (at most ``2 ** RUN_BITS``) a running window composes them; each run then
+reports its end state and its number of records under both start states. A second, small
+window over the runs of each file picks the true start states and gives every run its
+first record's number.
 Joined back, every line knows its record. Lines that are whole records pass straight on;
 the others are put together per record, so no file is ever one task.
 
@@ -22,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shipfold.operators.joins import join_checked
-from shipfold.session import partition_count, scratch_dir
+from shipfold.session import scratch_dir
 
 # Reader options that shape how one line parses; they are handed to
 # ``from_csv`` too, so a header line parses exactly as the reader parses it.
 READ_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
+RUN_BITS = 16  # a run of lines is this many bits of a line's number
+
 # Lines the reader skips: empty after trimming every character up to U+0020.
 BLANK = "^[\\x00-\\x20]*$"
 
@@ -127,34 +130,36 @@ def read_records(spark: SparkSession, paths: Sequence[str], options: dict) -> tu
     """``(records, files)``: ``file_path, record, text`` of every record that is not blank,
     numbered from 0 in each file, and ``file_path, unclosed`` of every file with a line. Both written."""
     lines = _lines(spark, paths, options)
-    parts = partition_count(lines)
     outside, inside = _ends(F.col("value"), options)
     blank = F.col("value").rlike(BLANK)
     if options.get("comment"):
         blank = blank | F.startswith("value", F.lit(options["comment"]))
-    marked = _running(lines.withColumn("out", outside).withColumn("in", inside).withColumn("blank", blank), ["file_path", "block"], "line")
-    so_far = Window.partitionBy("file_path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    # A window's group is a run of a split's lines, so that groups are small and spread evenly over tasks.
+    lines = lines.withColumn("run", F.shiftright("line", RUN_BITS))
+    marked = _running(lines.withColumn("out", outside).withColumn("in", inside).withColumn("blank", blank), ["file_path", "block", "run"], "line")
+    so_far = Window.partitionBy("file_path", "block", "run").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     starts = lambda state: F.sum((~_before(F.lit(state)) & ~F.col("blank")).cast("long")).over(so_far)
     path = scratch_dir(spark, "csv_lines")
     marked.withColumn("n_out", starts(False)).withColumn("n_in", starts(True)).write.parquet(path)
     marked = spark.read.parquet(path)
 
-    splits = marked.groupBy("file_path", "block").agg(
+    run = ["file_path", "block", "run"]
+    splits = marked.groupBy(*run).agg(
         F.max_by(_after(F.lit(False)), "line").alias("out"), F.max_by(_after(F.lit(True)), "line").alias("in"),
-        F.max("n_out").alias("n_out"), F.max("n_in").alias("n_in"))
-    by_file = Window.partitionBy("file_path").orderBy("block")
+        F.max("n_out").alias("n_out"), F.max("n_in").alias("n_in")).withColumn("place", F.struct("block", "run"))
+    by_file = Window.partitionBy("file_path").orderBy("place")
     whole = Window.partitionBy("file_path")
-    splits = (_running(splits, ["file_path"], "block").withColumn("enters", _before(F.lit(False)))
+    splits = (_running(splits, ["file_path"], "place").withColumn("enters", _before(F.lit(False)))
               .withColumn("ends", _after(F.lit(False)))
               .withColumn("n", F.when(F.col("enters"), F.col("n_in")).otherwise(F.col("n_out")))
               .withColumn("first", F.coalesce(F.sum("n").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("unclosed", F.max_by("ends", "block").over(whole))
-              .select("file_path", "block", "enters", "first", "unclosed"))
+              .withColumn("unclosed", F.max_by("ends", "place").over(whole))
+              .select(*run, "enters", "first", "unclosed"))
     path = scratch_dir(spark, "csv_splits")
     splits.write.parquet(path)
     splits = spark.read.parquet(path)
 
-    placed = join_checked(marked, splits, ["file_path", "block"], row_bound=parts).filter(~F.col("unclosed"))
+    placed = join_checked(marked, splits, run).filter(~F.col("unclosed"))
     state, after = _before(F.col("enters")), _after(F.col("enters"))
     number = F.col("first") + F.when(F.col("enters"), F.col("n_in")).otherwise(F.col("n_out")) - 1
     placed = (placed.filter(state | ~F.col("blank"))

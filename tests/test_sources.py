@@ -404,3 +404,42 @@ def test_workbooks_that_cannot_be_read_are_refused_alone(spark):
     assert [r["fields"] for r in rows.filter("refused IS NULL").collect()] == [{"bl_no": "BL1", "total_cartons": "12"}]
     assert {os.path.basename(r["file_path"])[:-5]: r["reason"] for r in refused.collect()} == {
         "noise": WB.UNREADABLE, "cut": WB.UNREADABLE, "sheet": WB.UNREADABLE, "empty": WB.NO_ROWS, "nokey": CSV.NO_KEY_COLUMN}
+
+
+def test_csv_texts_are_never_sorted_for_the_table_of_files(spark, monkeypatch):
+    """Headers are picked by number; no aggregate holds a text, which would sort all lines by file."""
+    root = tempfile.mkdtemp()
+    for k in range(3):
+        with open(f"{root}/f{k}.csv", "w") as f:
+            f.write(f"\n  \nM#,H{k}\n" + "".join(f"{k}-{i},x\n" for i in range(200)))
+    with open(f"{root}/g.csv", "w") as f:
+        f.write("\nM#,Note\n" + "".join(f'g-{i},"a\nb, {i}"\n' for i in range(200)))
+    plans, write = [], type(spark.range(1).write).parquet
+
+    def parquet(self, path, *a, **b):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", parquet)
+    files, spanning = CSV.file_table(spark, [root])
+    _, more = CSV._record_files(spark, [f"{root}/g.csv"], {})
+    plans.append(more._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "SortAggregate" in p]
+    heads = {r.file_path[-6:]: (r.line, r.cells, r.widest, r.spans) for r in files.collect()}
+    assert heads == {**{f"f{k}.csv": (f"M#,H{k}", 2, 2, False) for k in range(3)}, "/g.csv": ("M#,Note", 2, 2, True)}
+    assert len(spanning) == 1 and spanning[0].endswith("g.csv")
+    assert [tuple(r)[1:] for r in more.collect()] == [("M#,Note", 2, 2, False)]
+
+
+def test_records_of_a_split_are_found_in_runs_of_lines(spark, monkeypatch):
+    """Runs cut a split anywhere, also inside quoted cells; the records are the same."""
+    from shipfold.sources import csv_records as R
+    root = tempfile.mkdtemp()
+    want = ["M#,Note"] + [f'{i},"a{i}\n\n""b"", {i}\nc"' if i % 3 else f"{i},plain" for i in range(300)]
+    with open(f"{root}/x.csv", "w") as f:
+        f.write("\n".join(want) + "\n")
+    for bits in (2, 5):
+        monkeypatch.setattr(R, "RUN_BITS", bits)
+        records, files = R.read_records(spark, [root], {})
+        assert [r.text for r in records.orderBy("record").collect()] == want
+        assert [r.unclosed for r in files.collect()] == [False]
